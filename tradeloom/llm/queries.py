@@ -6,6 +6,9 @@ import importlib
 
 #: Query name to the module that defines it under the same name.
 MODULES = {
+    "op1_embedding_near_dedup": "embedding_dedup",
+    "op3_packing": "packing",
+    "op4_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash_dedup",
 }
 
