@@ -47,6 +47,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A table made by ``written``, read anew: for joins of a table with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._tradeloom_path)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_tradeloom_path", None)

@@ -9,6 +9,8 @@ MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op3_packing": "packing",
     "op4_mixing": "mixing",
+    "op6_exact_topk": "exact_topk",
+    "op7_toxicity": "toxicity",
     "op8_simhash_near_dedup": "simhash_dedup",
 }
 
@@ -18,4 +20,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL expresses at any size."""
+    from . import exact_topk
+
+    return {"op6_exact_topk": exact_topk.ORACLE_SQL}
