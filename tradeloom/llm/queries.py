@@ -11,6 +11,7 @@ MODULES = {
     "op4_mixing": "mixing",
     "op6_exact_topk": "exact_topk",
     "op7_toxicity": "toxicity",
+    "op9_quality": "quality",
     "op8_simhash_near_dedup": "simhash_dedup",
 }
 
