@@ -9,6 +9,7 @@ MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op3_packing": "packing",
     "op4_mixing": "mixing",
+    "op5_language_id": "language_id",
     "op6_exact_topk": "exact_topk",
     "op7_toxicity": "toxicity",
     "op9_quality": "quality",
