@@ -7,12 +7,14 @@ import importlib
 #: Query name to the module that defines it under the same name.
 MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
+    "op2_warc": "arc_convert",
     "op3_packing": "packing",
     "op4_mixing": "mixing",
     "op5_language_id": "language_id",
     "op6_exact_topk": "exact_topk",
     "op7_toxicity": "toxicity",
     "op9_quality": "quality",
+    "op10_html_extraction": "html_render",
     "op8_simhash_near_dedup": "simhash_dedup",
 }
 
@@ -23,6 +25,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL expresses at any size."""
-    from . import exact_topk
+    from . import arc_convert, exact_topk
 
-    return {"op6_exact_topk": exact_topk.ORACLE_SQL}
+    return {"op2_warc": arc_convert.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL}
