@@ -176,7 +176,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
         for b in batches:
             for page, url, text in zip(b["page_id"], b["url"], b["html"]):
                 payload = text.encode("utf-8") if isinstance(text, str) else b""
-                name = "" if pd.isna(page) else str(int(page))
+                name = page if isinstance(page, str) else ""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {name}\r\n\r\n".encode()
                 target = re.sub(r"[\s\x00-\x20\x7f]", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url) if isinstance(url, str) and url else f"urn:page:{name}"
                 extra = f"200 - - {offset} part-{part}.arc " if version == 2 else ""
@@ -189,7 +189,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
         if rows:
             yield _text(rows)
 
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
     _save(slim.mapInPandas(run, "value binary"), path, "\n")
 
 

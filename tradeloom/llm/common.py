@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,36 @@ def again(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(df._tradeloom_path)
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def computed(df: DataFrame, id_col: str, text_col: str, compute: Callable[[list], dict], fields: dict[str, str]) -> DataFrame:
+    """``id_col`` as it is, and ``fields`` (name to type) computed from lists of texts, an Arrow batch at a time."""
+    arrow_rows(df.sparkSession)
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    names = ["id", *fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = compute(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[k], type=ARROW[v]) for k, v in fields.items())], names=names)
+
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in fields.items())
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def kept_where(df: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
+    """The rows, whole, whose text ``keep`` accepts; it gets lists of texts and gives booleans."""
+    arrow_rows(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_tradeloom_path", None)

@@ -24,7 +24,7 @@ from . import common
 
 BLOCKS = 4
 LISTS = 24
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 COSINE = 0.98
 SEED = 20_240_501
 

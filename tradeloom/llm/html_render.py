@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,14 +303,7 @@ def render(source: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id_col``, ``text`` for every row; null and repeated ids stay as they are, an empty table gives an empty result, other columns are ignored."""
-    common.arrow_rows(pages.sparkSession)
-    slim = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("page"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [render(x if isinstance(x, str) else None) for x in b["page"]]})
-
-    return slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return common.computed(pages, id_col, html_col, lambda sources: {"text": list(map(render, sources))}, {"text": "string"})
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

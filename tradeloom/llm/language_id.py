@@ -14,12 +14,11 @@ long texts are exact as well.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,34 +275,33 @@ def learn(docs: DataFrame) -> Field:
     return fit(texts, labels)
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[str, Reader] = {}
 
 
 def predict(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` for every row. A text that is null or has no letter is ``und`` with score 0. Repeated rows get equal answers; an
     empty table gives an empty result; other columns are ignored."""
-    common.arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS rows of a float for each language
-    slim = docs.select("doc_id", F.col("text").alias("body"))
+    shared, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex  # BUCKETS rows of a float for each language
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if shared.id not in _READERS:
+    def compute(texts: list[str | None]) -> dict:
+        if key not in _READERS:  # a worker keeps the reader of the last field it served
             _READERS.clear()
-            _READERS[shared.id] = Reader(shared.value)
-        reader = _READERS[shared.id]
-        for b in batches:
-            texts = b["body"].tolist()
-            first = 0
-            while first < len(texts):
-                stop, chars = first, 0
-                while stop < len(texts) and (stop == first or chars + len(texts[stop] or "") <= 1 << 19):
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                names, scores = reader.read(texts[first:stop])
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[first:stop], "lang_pred": names, "score": scores})
-                first = stop
-
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+            _READERS[key] = Reader(shared.value)
+        names: list[str] = []
+        scores: list[np.ndarray] = [np.zeros(0)]
+        first = 0
+        while first < len(texts):  # a bounded number of characters at a time
+            stop, chars = first, 0
+            while stop < len(texts) and (stop == first or chars + len(texts[stop] or "") <= 1 << 19):
+                chars += len(texts[stop] or "")
+                stop += 1
+            some, s = _READERS[key].read(texts[first:stop])
+            names += some
+            scores.append(s)
+            first = stop
+        return {"lang_pred": names, "score": np.concatenate(scores)}
+
+    return common.computed(docs, "doc_id", "text", compute, {"lang_pred": "string", "score": "double"})
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     Input: ``doc_id``, ``text``, ``source``, any of them null; other columns are ignored. Equal rows (same id, source and text) are decided
     together. A null text has size 0; a source without words has target 0, and its documents one copy each. No document has over ``cap`` copies.
     """
-    units = common.written(sized_units(docs), "units")
+    kind = docs.schema["doc_id"].dataType
+    units = common.written(sized_units(docs.withColumn("doc_id", F.col("doc_id").cast("string"))), "units")  # ids as text: pandas would make longs beside nulls doubles
     targets = common.written(source_targets(units, weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
     plan = units.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -174,16 +175,16 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "h", "rows", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "h", "rows", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents, each repeated as often as the mix takes it; columns as given."""
     names = docs.columns
-    plan = copies(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_h")))
-    return met.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*names)
+    plan = copies(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("__tl_id"), F.col("source").alias("__tl_source"), F.col("h").alias("__tl_h"), F.col("copies").alias("__tl_copies"))
+    keyed = docs.withColumn("__tl_hash", F.xxhash64("text"))
+    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & F.col("source").eqNullSafe(F.col("__tl_source")) & (F.col("__tl_hash") == F.col("__tl_h")))
+    return met.withColumn("__tl_copy", F.explode(F.expr("sequence(1L, __tl_copies)"))).select(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,7 +178,7 @@ class Stretch:
         return out
 
 
-COLUMNS = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,26 +191,30 @@ def pack(docs: DataFrame, path: str | None = None, size: int = WINDOW, with_ids:
     """
     common.arrow_rows(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=names)
-        return df.assign(ids=[x.astype(np.int32) for x in df["ids"]]) if with_ids else df.drop(columns="ids")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or tokenizer_path())
         stretch = Stretch(enc.ends, size, TaskContext.get().partitionId() << 40)
+        kind = None
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            arrays = [pa.array(columns[0], type=kind), *(pa.array(c, type=pa.int64()) for c in columns[1:7])]
+            if with_ids:
+                arrays.append(pa.array(columns[7], type=pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names=NAMES[: len(arrays)])
+
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["body"]]
-            for doc_id, text in zip(b["doc_id"], texts):
-                stretch.add(doc_id, np.append(enc.encode(text), np.uint16(END_ID)))
+            kind = b.column(0).type
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                stretch.add(doc_id, np.append(enc.encode(text or ""), np.uint16(END_ID)))
                 if stretch.tokens >= STRETCH and (rows := stretch.pack(False)):
-                    yield frame(rows)
+                    yield batch(rows)
         if rows := stretch.pack(True):
-            yield frame(rows)
+            yield batch(rows)
 
-    schema = COLUMNS.format(kind=slim.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
-    return slim.mapInPandas(run, schema)
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in NAMES[1:7]) + (", ids array<int>" if with_ids else "")
+    return slim.mapInArrow(run, schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import sample
 
-SAMPLE, FOLDS, HELD_OUT, ACCEPT = 3000, 4, 2, 0.7
+SAMPLE, FOLDS, HELD_OUT, ACCEPT = 2000, 4, 2, 0.7
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 40, 15, 8
 BLOCK = 256
 
@@ -139,28 +139,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) for every row. A null or empty text is scored by its lack of terms. Repeated rows get equal scores; an empty table
     gives an empty result; other columns are ignored."""
-    common.arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(voters)  # 2 * SAMPLE vectors and a basis of TERMS rows at most
-    slim = docs.select("doc_id", F.col("text").alias("body"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": shared.value.scores(b["body"].tolist())})
-
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
+    return common.computed(docs, "doc_id", "text", lambda texts: {"score": shared.value.scores(texts)}, {"score": "double"})
 
 
 def keep_good(docs: DataFrame, voters: Voters, accept: float = ACCEPT) -> DataFrame:
     """The documents that score ``accept`` or more; columns as given. No join: each row is scored where it is."""
-    common.arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
-    body = docs.columns.index("text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[shared.value.scores(b.iloc[:, body].tolist()) >= accept]
-
-    return docs.mapInPandas(run, docs.schema)
+    return common.kept_where(docs, "text", lambda texts: shared.value.scores(texts) >= accept)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

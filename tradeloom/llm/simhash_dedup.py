@@ -16,10 +16,11 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -51,16 +52,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of bytes other than ASCII white space, after lower-casing A-Z only; a shingle is three words, repeats included; a text
     with fewer words is one shingle; a null or blank text has fingerprint zero. Bit i is set if it is set in over half the hashes.
     """
-    common.arrow_rows(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b["body"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
+    def compute(texts: list[str | None]) -> dict:
+        return {"fp": np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64)}
 
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return common.computed(docs, id_col, text_col, compute, {"fp": "long"})
 
 
 def _parity(x: Column, mask: int) -> Column:
@@ -118,16 +114,27 @@ def components_of(fps: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one kept of each component: the row with the smallest id. Of repeated rows with that id one is kept; rows with a
-    null id are kept only where their component has no id at all (then one). Columns as given."""
-    found = near_duplicates(docs, id_col, text_col)
-    winners = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return _one_per_id(kept, id_col)
-
+    """The documents with one kept of each component: the row with the smallest id, one of them if that id repeats. Rows without an id are
+    kept only where no row of the component has one, one for each fingerprint. Columns as given."""
+    names = docs.columns
+    found = common.written(near_duplicates(docs, id_col, text_col), "found")
+    winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
+    kept = docs.join(winners, F.col(id_col) == F.col("__tl_id"))
+    once, more = kept.where("__tl_n = 1").select(*names), kept.where("__tl_n > 1").dropDuplicates([id_col]).select(*names)
+    lone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__tl_fp")).distinct()
+    nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col).join(lone, "__tl_fp").dropDuplicates(["__tl_fp"]).select(*names)
+    return once.unionByName(more).unionByName(nameless)
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    at, docs_names = docs.columns.index(text_col), list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter(map(fingerprint, b.column(at).to_pylist()), dtype=np.uint64, count=b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*docs_names, "__tl_fp"])
 
-def _one_per_id(df: DataFrame, id_col: str) -> DataFrame:
-    return df.dropDuplicates([id_col])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__tl_fp", T.LongType())]))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

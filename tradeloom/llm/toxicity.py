@@ -196,28 +196,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1), ``hits`` (their weights' sum) for every row. A null or empty text is scored as a text without hits. Repeated
     rows get equal scores; an empty table gives an empty result; other columns are ignored."""
-    common.arrow_rows(docs.sparkSession)
-    slim = docs.select("doc_id", F.col("text").alias("body"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit, words = lexicon.sums(b["body"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": lexicon.scores(hit, words), "hits": hit})
+    def compute(texts: list[str | None]) -> dict:
+        hit, words = lexicon.sums(texts)
+        return {"score": lexicon.scores(hit, words), "hits": hit}
 
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double, hits double")
+    return common.computed(docs, "doc_id", "text", compute, {"score": "double", "hits": "double"})
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, reject: float = REJECT) -> DataFrame:
     """The documents that score below ``reject``; columns as given. No join: each row is scored where it is."""
-    common.arrow_rows(docs.sparkSession)
-    names, body = docs.columns, docs.columns.index("text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit, words = lexicon.sums(b.iloc[:, body].tolist())
-            yield b[lexicon.scores(hit, words) < reject]
-
-    return docs.mapInPandas(run, docs.schema).select(*names)
+    return common.kept_where(docs, "text", lambda texts: lexicon.scores(*lexicon.sums(texts)) < reject)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
