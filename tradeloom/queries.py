@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .operators import graph, ingest, joins, ontology, provenance, resolve, retrieval, simulate, world  # noqa: F401  they register their queries
+from .plans import registry
+from .streaming import events  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
