@@ -229,7 +229,7 @@ def responses(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REVISIT_BYTES) -> None:
     """Convert ARC files to WARC files. Records with the page, target and date of their payload's response are responses too (repeated rows)."""
     winners = common.written(responses(read_arc(spark, arc_path, payloads=False), least), "responses")
-    met = read_arc(spark, arc_path).join(winners, "digest", "left")
+    met = read_arc(spark, arc_path).join(winners.hint("shuffle_hash"), "digest", "left")
     mine = F.col("r_page").eqNullSafe(F.col("page")) & (F.col("r_target") == F.col("target")) & (F.col("r_date") == F.col("date"))
     revisits = F.coalesce(F.col("shared") & (F.col("size") >= least) & ~mine, F.lit(False))
     met = met.select("target", "ip", "date", "page", "size", "digest", "head", F.when(~revisits, F.col("payload")).alias("payload"), revisits.alias("revisit"), "r_page", "r_target", "r_date")

@@ -183,7 +183,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     names = docs.columns
     plan = copies(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("__tl_id"), F.col("source").alias("__tl_source"), F.col("h").alias("__tl_h"), F.col("copies").alias("__tl_copies"))
     keyed = docs.withColumn("__tl_hash", F.xxhash64("text"))
-    met = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & F.col("source").eqNullSafe(F.col("__tl_source")) & (F.col("__tl_hash") == F.col("__tl_h")))
+    met = keyed.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__tl_id")) & F.col("source").eqNullSafe(F.col("__tl_source")) & (F.col("__tl_hash") == F.col("__tl_h")))
     return met.withColumn("__tl_copy", F.explode(F.expr("sequence(1L, __tl_copies)"))).select(*names)
 
 

@@ -119,11 +119,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = docs.columns
     found = common.written(near_duplicates(docs, id_col, text_col), "found")
     winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
-    kept = docs.join(winners, F.col(id_col) == F.col("__tl_id"))
-    once, more = kept.where("__tl_n = 1").select(*names), kept.where("__tl_n > 1").dropDuplicates([id_col]).select(*names)
+    # A hash join built from the ids: texts are neither sorted nor held.
+    kept = lambda n: docs.join(winners.where(n).hint("shuffle_hash"), F.col(id_col) == F.col("__tl_id")).select(*names)
+    out = kept("__tl_n = 1")
+    if not winners.where("__tl_n > 1").isEmpty():
+        out = out.unionByName(kept("__tl_n > 1").dropDuplicates([id_col]))
     lone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__tl_fp")).distinct()
-    nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col).join(lone, "__tl_fp").dropDuplicates(["__tl_fp"]).select(*names)
-    return once.unionByName(more).unionByName(nameless)
+    if not lone.isEmpty():
+        nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col)
+        out = out.unionByName(nameless.join(lone, "__tl_fp").dropDuplicates(["__tl_fp"]).select(*names))
+    return out
 
 
 def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
