@@ -1 +1,131 @@
-pass
+"""Ontology: the grammar of edges, typed properties, personal keys and validity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.registry import query
+from ..plans.tables import table
+from .world import typed_edges
+
+# The edges our tables may hold, by type, source and target.
+GRAMMAR = [("LOCATED_IN", "supplier", "country"), ("LOCATED_IN", "customer", "country"), ("PART_OF", "region", "country"), ("SUPPLIES", "supplier", "part"), ("CLASSIFIED_AS", "part", "industry")]
+# Keys that name a person.
+PERSONAL_KEYS = "name firstname lastname fullname email phone phonenumber address birthdate ssn passport nationalid".split()
+
+
+def grammar_violations(edges: DataFrame, grammar: DataFrame) -> DataFrame:
+    """Edges whose (type, source type, target type) the grammar does not have."""
+    return edges.join(F.broadcast(grammar), ["type", "source_type", "target_type"], "left_anti")  # a catalogue of a few dozen literals
+
+
+@query("""WITH e AS (SELECT DISTINCT 'supplier' AS source_type, 'LOCATED_IN' AS type, 'country' AS target_type, 's' || s_suppkey AS k FROM supplier UNION SELECT 'customer', 'LOCATED_IN', 'country', 'c' || c_custkey FROM customer UNION SELECT 'region', 'PART_OF', 'country', 'n' || n_nationkey FROM nation
+UNION SELECT 'supplier', 'SUPPLIES', 'part', l_suppkey || '-' || l_partkey FROM lineitem UNION SELECT 'part', 'CLASSIFIED_AS', 'class', 'p' || p_partkey FROM part)
+SELECT type, source_type, target_type, count(*) AS edges, type <> 'CLASSIFIED_AS' AS allowed FROM e GROUP BY ALL""")
+def grammar_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by kind, and whether the grammar allows the kind."""
+    kinds = typed_edges(spark, sf_dir).groupBy("type", "source_type", "target_type").agg(F.count("*").alias("edges"))
+    known = spark.createDataFrame(GRAMMAR, "type string, source_type string, target_type string").withColumn("known", F.lit(True))
+    return kinds.join(known, ["type", "source_type", "target_type"], "left").select("type", "source_type", "target_type", "edges", F.coalesce("known", F.lit(False)).alias("allowed"))
+
+
+def property_fits(value: Column, kind: Column) -> Column:
+    """Whether a JSON value, as ``get_json_object`` gives it, is of one of the ten kinds of property."""
+    t = lambda name: kind == name
+    return (
+        F.when(t("INTEGER"), value.rlike(r"^-?\d+(\.0+)?$"))
+        .when(t("NUMBER"), value.try_cast("double").isNotNull())
+        .when(t("BOOLEAN"), value.isin("true", "false"))
+        .when(t("DATE"), value.rlike(r"^\d{4}-\d{2}-\d{2}$") & value.try_cast("date").isNotNull())
+        .when(t("DATE_TIME"), value.rlike(r"^\d{4}-\d{2}-\d{2}T[0-9:.]+Z$") & value.try_cast("timestamp").isNotNull())
+        .when(t("UUID"), value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"))
+        .when(t("URI"), value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"))
+        .when(t("OBJECT"), value.rlike(r"^\{"))
+        .when(t("ARRAY"), value.rlike(r"^\["))
+        .otherwise(t("STRING") & value.isNotNull())
+    )
+
+
+def property_violations(entities: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``id``, ``property``, ``problem`` of entities (``id``, ``entity_type``, ``attributes`` as JSON) against declared properties (``entity_type``, ``property``, ``kind``, ``required``). Undeclared attributes are accepted."""
+    attrs = F.from_json("attributes", "map<string,string>")
+    j = entities.withColumn("a", attrs).join(F.broadcast(catalogue), "entity_type").withColumn("v", F.col("a")[F.col("property")])
+    problem = F.when(F.col("v").isNull() & F.col("required"), "missing").when(F.col("v").isNotNull() & ~property_fits(F.col("v"), F.col("kind")), F.concat(F.lit("not a "), F.lower("kind")))
+    return j.select("id", "property", problem.alias("problem")).where("problem is not null")
+
+
+def validity_violations(df: DataFrame) -> DataFrame:
+    """Rows whose interval ends without a start or before it."""
+    return df.where(F.col("valid_to").isNotNull() & (F.col("valid_from").isNull() | (F.col("valid_to") < F.col("valid_from"))))
+
+
+def check_schema(value, schema: dict, path: str = "$") -> list[str]:
+    """Faults of a JSON value against a schema of type, properties, required, additionalProperties, minProperties, minimum, maximum, format and enum."""
+    import datetime
+    import re
+
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool}
+    out = []
+    kind = schema.get("type")
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    fits = {"number": number, "integer": number and float(value).is_integer(), "null": value is None}.get(kind, isinstance(value, kinds.get(kind, object)))
+    if kind and not fits:
+        return [f"{path} must be {kind}"]
+    if "enum" in schema and value not in schema["enum"]:
+        out.append(f"{path} is not one of the allowed values")
+    if number:
+        out += [f"{path} must be at least {schema['minimum']}"] if value < schema.get("minimum", value) else []
+        out += [f"{path} must be at most {schema['maximum']}"] if value > schema.get("maximum", value) else []
+    if isinstance(value, str) and (form := schema.get("format")):
+        try:
+            ok = bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)) if form == "uuid" else bool(re.match(r"[A-Za-z][\w+.-]*:\S+$", value)) if form == "uri" else bool(datetime.date.fromisoformat(value) if form == "date" else datetime.datetime.fromisoformat(value) if form == "date-time" else True)
+        except ValueError:
+            ok = False
+        out += [] if ok else [f"{path} is no {form}"]
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        out += [f"{path}.{k} is required" for k in schema.get("required", []) if value.get(k) is None]
+        out += [f"{path} has too few properties"] if len(value) < schema.get("minProperties", 0) else []
+        if schema.get("additionalProperties") is False:
+            out += [f"{path}.{k} is not allowed" for k in value if k not in known]
+        for k, v in value.items():
+            if k in known and v is not None:
+                out += check_schema(v, known[k], f"{path}.{k}")
+    return out
+
+
+def schema_violations(rows: DataFrame, schema: dict, column: str = "payload") -> DataFrame:
+    """``id`` and the faults of a JSON column against a schema, for the rows that have any."""
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def faults(text):
+        try:
+            return check_schema(json.loads(text), schema)
+        except (TypeError, ValueError):
+            return ["$ is no JSON"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame({"id": b["id"], "faults": [faults(t) for t in b["body"]]})
+            yield out[out["faults"].map(len) > 0]
+
+    return rows.select(F.col("id").cast("string").alias("id"), F.col(column).alias("body")).mapInPandas(run, "id string, faults array<string>")
+
+
+def personal_keys(json_column, deny: list[str] | None = None) -> Column:
+    """Keys anywhere in a JSON text that, in lower case and without other marks, are on the deny list."""
+    keys = F.regexp_extract_all(json_column, F.lit(r'"([^"\\]+)"\s*:'), 1)
+    plain = F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z]", ""))
+    return F.array_distinct(F.array_intersect(plain, F.array(*map(F.lit, deny or PERSONAL_KEYS))))
+
+
+@query("""WITH j AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"Full-Name": "x", "in": ' || props || '}' WHEN 1 THEN '{"a": {"E_Mail": 1, "email": 2}}' ELSE props END AS body FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'fullname' WHEN 1 THEN 'email' ELSE '' END AS personal FROM j""")
+def pii_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose JSON names a person anywhere."""
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"Full-Name": "x", "in": '), "props", F.lit("}"))).when(F.col("event_id") % 4 == 1, F.lit('{"a": {"E_Mail": 1, "email": 2}}')).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.array_join(personal_keys(body), ",").alias("personal"))

@@ -1 +1,62 @@
-pass
+"""Entity resolution: trusted keys first, then names that are the same or nearly so, never ties."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..plans.registry import query
+from ..plans.tables import table
+
+# Schemes whose equal values mean equal entities.
+TRUSTED = "CIK LEI ISIN DUNS CORP_CODE STOCK_CODE BUSINESS_NUMBER ISO_ALPHA2 ISO_ALPHA3 UN_M49 UNLOCODE WPI HS ISIC INDICATOR_CODE NATURAL_KEY".split()
+
+
+def scheme(c) -> Column:
+    """A key's scheme in one spelling."""
+    return F.translate(F.upper(F.trim(c)), "-", "_")
+
+
+def key_value(c) -> Column:
+    """A key's value in one spelling; compatibility forms are folded by ``functions.text.nfkc_casefold`` beforehand where they matter."""
+    return F.lower(F.trim(c))
+
+
+def untrusted(keys: DataFrame) -> DataFrame:
+    return keys.where(~scheme(F.col("scheme")).isin(*TRUSTED))
+
+
+def match_keys(candidates: DataFrame, registered: DataFrame) -> DataFrame:
+    """For each candidate (``candidate``, ``entity_type``, ``scheme``, ``value``): ``matches``, the registered entities its keys point to, ``entity_id`` if that is one, and ``status`` NEW, MATCHED or CONFLICT."""
+    keyed = candidates.select("candidate", "entity_type", scheme("scheme").alias("scheme"), key_value("value").alias("value"))
+    hits = keyed.join(registered.select("entity_type", scheme("scheme").alias("scheme"), key_value("value").alias("value"), "entity_id"), ["entity_type", "scheme", "value"], "left")
+    g = hits.select("candidate", "entity_id").distinct().groupBy("candidate").agg(F.count("entity_id").alias("matches"), F.min("entity_id").alias("entity_id"))
+    return g.select("candidate", "matches", F.when(F.col("matches") == 1, F.col("entity_id")).alias("entity_id"), F.when(F.col("matches") == 0, "NEW").when(F.col("matches") == 1, "MATCHED").otherwise("CONFLICT").alias("status"))
+
+
+def match_names(candidates: DataFrame, registered: DataFrame, least: float = 0.96) -> DataFrame:
+    """Candidates (``candidate``, ``entity_type``, ``name``) whose name is that of one registered entity, or nearly that of just one: ``candidate``, ``entity_id``, ``score``.
+
+    Nearly equal names are sought among those of the same type that share a first or a last four letters and whose lengths allow the
+    similarity; an edit cannot spoil both ends of a long name within 4 % of it. Names under three letters are skipped.
+    """
+    c = candidates.select("candidate", "entity_type", fn.company_name("name").alias("a")).where(F.length("a") >= 3)
+    r = registered.select("entity_id", "entity_type", fn.company_name("name").alias("b")).where(F.length("b") >= 3)
+    ends = lambda x: F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(x, 1, 4)), F.concat(F.lit("$"), F.right(x, F.lit(4))))))
+    pairs = c.withColumn("end", ends(F.col("a"))).join(r.withColumn("end", ends(F.col("b"))), ["entity_type", "end"]).select("candidate", "entity_id", "a", "b").distinct()
+    la, lb = F.length("a"), F.length("b")
+    scored = pairs.where(F.least(la, lb) >= least * F.greatest(la, lb)).withColumn("score", fn.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    g = scored.groupBy("candidate").agg(F.count_distinct(F.when(F.col("score") == 1, F.col("entity_id"))).alias("same"), F.count_distinct("entity_id").alias("near"), F.max_by("entity_id", "score").alias("entity_id"), F.max("score").alias("score"))
+    return g.where("same = 1 or (same = 0 and near = 1)").select("candidate", "entity_id", "score")
+
+
+@query("""WITH k AS (SELECT 'supplier:' || s_suppkey AS entity, 'NATURAL_KEY' AS scheme, lower(trim(s_name)) AS value FROM supplier UNION ALL SELECT 'supplier:' || s_suppkey, 'STOCK_CODE', CAST(s_suppkey % 60 AS VARCHAR) FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'NATURAL_KEY', lower(trim(c_name)) FROM customer),
+g AS (SELECT scheme, value, count(DISTINCT entity) AS owners, min(entity) AS owner FROM k GROUP BY ALL) SELECT scheme, value, owner, owners, owners > 1 AS conflict FROM g""")
+def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with its owner, and the keys that several entities claim."""
+    s, c = table(spark, sf_dir, "supplier", "s_suppkey", "s_name"), table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    sup = F.concat(F.lit("supplier:"), "s_suppkey").alias("entity")
+    k = s.select(sup, F.lit("natural-key").alias("scheme"), F.col("s_name").alias("value")).union(s.select(sup, F.lit("stock-code"), (F.col("s_suppkey") % 60).cast("string"))).union(c.select(F.concat(F.lit("customer:"), "c_custkey"), F.lit("NATURAL_KEY"), "c_name"))
+    owned = k.select("entity", scheme("scheme").alias("scheme"), key_value("value").alias("value")).distinct().groupBy("scheme", "value").agg(F.count("*").alias("owners"), F.min("entity").alias("owner"))
+    return owned.select("scheme", "value", "owner", "owners", (F.col("owners") > 1).alias("conflict"))
