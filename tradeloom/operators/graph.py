@@ -94,12 +94,12 @@ def path_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TRADE + DEPENDENCY + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3),
-h1 AS (SELECT rel, src, dst FROM top WHERE src = 0), h2 AS (SELECT DISTINCT t.rel, t.src, t.dst FROM top t JOIN h1 ON t.src = h1.dst), used AS (SELECT rel FROM h1 UNION SELECT rel FROM h2)
+h1 AS (SELECT rel, src, dst FROM top WHERE src = 9), h2 AS (SELECT DISTINCT t.rel, t.src, t.dst FROM top t JOIN h1 ON t.src = h1.dst), used AS (SELECT rel FROM h1 UNION SELECT rel FROM h2)
 SELECT used.rel AS rel, coalesce(b.ratio, p.ratio) AS ratio, b.rel IS NOT NULL AS from_baseline FROM used JOIN top p ON used.rel = p.rel LEFT JOIN (SELECT * FROM top WHERE ratio >= 0.045) b ON used.rel = b.rel""")
 def subgraph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges on paths of two hops from a shocked country, with the baseline's parameters where it has the edge."""
     top = top_edges(dependency(trade(spark, sf_dir)), 3)
-    h1 = top.where("src = 0").select("rel", "src", "dst")
+    h1 = top.where("src = 9").select("rel", "src", "dst")
     h2 = top.select("rel", "src", "dst").join(h1.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
     used = h1.select("rel").union(h2.select("rel")).distinct()
     baseline = top.where("ratio >= 0.045").select(F.col("rel").alias("b_rel"), F.col("ratio").alias("b_ratio"))
@@ -113,7 +113,7 @@ def top_edges(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rn", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cents"), "rel"))).where(F.col("rn") <= k).drop("rn")
 
 
-@query("""WITH q AS (SELECT 'spring' AS q UNION ALL SELECT 'united'), n AS (SELECT 'part:' || p_partkey AS id, lower(p_name) AS name FROM part UNION ALL SELECT 'country:' || n_nationkey, lower(n_name) FROM nation UNION ALL SELECT 'segment:' || c_custkey, lower(c_mktsegment) FROM customer),
+@query("""WITH q AS (SELECT 'red widget' AS q UNION ALL SELECT 'nation_1'), n AS (SELECT 'part:' || p_partkey AS id, lower(p_name) AS name FROM part UNION ALL SELECT 'country:' || n_nationkey, lower(n_name) FROM nation UNION ALL SELECT 'segment:' || c_custkey, lower(c_mktsegment) FROM customer),
 c AS (SELECT q, id, CASE WHEN name = q THEN 100 WHEN contains(name, q) THEN 80 ELSE 0 END AS score FROM q JOIN n ON contains(name, q) UNION ALL SELECT q, id, 20 FROM q JOIN n ON list_contains(string_split(name, ' '), q)),
 m AS (SELECT q, id, max(score) AS score FROM c GROUP BY ALL) SELECT q AS query, id, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rn FROM m) WHERE rn <= 20""")
 def node_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def node_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p, n, c = table(spark, sf_dir, "part", "p_partkey", "p_name"), table(spark, sf_dir, "nation", "n_nationkey", "n_name"), table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     nodes = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.lower("p_name").alias("name")).union(n.select(F.concat(F.lit("country:"), "n_nationkey"), F.lower("n_name"))).union(c.select(F.concat(F.lit("segment:"), "c_custkey"), F.lower("c_mktsegment")))
-    asked = nodes.withColumn("query", F.explode(F.array(F.lit("spring"), F.lit("united"))))
+    asked = nodes.withColumn("query", F.explode(F.array(F.lit("red widget"), F.lit("nation_1"))))
     alias = F.when(F.col("name") == F.col("query"), 100).when(F.contains("name", "query"), 80)
     word = F.when(F.array_contains(F.split("name", " "), F.col("query")), 20)
     best = asked.withColumn("score", F.greatest(alias, word)).where("score is not null").groupBy("query", "id").agg(F.max("score").alias("score"))

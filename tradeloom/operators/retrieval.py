@@ -1 +1,271 @@
-pass
+"""Retrieval: chunks, postings, keyword and vector ranking, fusion, reranking, extractive answers and their evaluation."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as fn
+from ..plans.registry import query
+from ..plans.tables import table
+
+# The chunker's window and overlap, the fusion's constant.
+WINDOW, OVERLAP, RRF = 1200, 160, 60
+#: Queries that meet a row at a time.
+QUERY_BLOCK = 256
+
+
+def candidate_limit(k: int) -> int:
+    """How many candidates each ranking gives for ``k`` results."""
+    return min(max(4 * k, 20), 100)
+
+
+@query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t GROUP BY term")
+def posting_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary with document and occurrence counts: counts by term and document combine before they are shuffled by term."""
+    p = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(fn.tokens("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+def keyword_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``: the terms that query and document share, by the lesser count, over the root of the document's length. Only terms that some query has leave the documents."""
+    q = queries.select(query_id, F.explode(fn.tokens("text")).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf_q"))
+    known = q.select("term").distinct()
+    d = docs.select(doc_id, fn.tokens("text").alias("tokens")).withColumn("length", F.size("tokens")).select(doc_id, "length", F.explode("tokens").alias("term"))
+    d = d.join(known, "term", "left_semi").groupBy(doc_id, "length", "term").agg(F.count("*").alias("tf_d"))
+    s = d.join(q, "term").groupBy(query_id, doc_id).agg(F.sum(F.least("tf_q", "tf_d")).alias("shared"), F.first("length").alias("length"))
+    return s.select(query_id, doc_id, F.round(F.col("shared") / F.sqrt(F.greatest(F.col("length"), F.lit(1)).cast("double")), 6).alias("score"))
+
+
+def ranked(scores: DataFrame, by: str, item: str, k: int) -> DataFrame:
+    """The ``k`` best of each ``by`` with their ``rank``. Ties go to the smaller item; ranks are limited before the shuffle too."""
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item))).where(F.col("rank") <= k)
+
+
+_KEYWORD = r"""WITH q AS (SELECT item_id, term, count(*) AS tf_q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, term, count(*) AS tf_d FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL), n AS (SELECT doc_id, sum(tf_d) AS length FROM d GROUP BY ALL),
+kw AS (SELECT item_id, d.doc_id AS doc_id, round(sum(least(tf_q, tf_d)) / sqrt(CAST(any_value(length) AS DOUBLE)), 6) AS score FROM q JOIN d ON q.term = d.term JOIN n ON n.doc_id = d.doc_id GROUP BY item_id, d.doc_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM kw)"""
+
+
+@query(_KEYWORD + " SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10")
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark text."""
+    return ranked(keyword_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id"), "item_id", "doc_id", 10)
+
+
+def unit(c) -> Column:
+    """A vector over its length, in double precision."""
+    d = F.transform(c, lambda x: x.cast("double"))
+    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(d, lambda x: x / n)
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` (cosine) of each of a stated query set (``query_id``, ``q``) against all rows (``vec_id``, ``v``); the queries go to the rows in blocks."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = queries.groupBy(F.expr(f"cast(pmod(xxhash64(query_id), {n}) as int)").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    met = vectors.withColumn("block", F.explode(F.expr(f"sequence(0, {n - 1})"))).join(blocks, "block")
+    pairs = met.select("vec_id", "v", F.explode("asked").alias("a")).where(F.col("a.query_id") != F.col("vec_id"))
+    return pairs.select(F.col("a.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("a.q"), F.col("v")), 6).alias("score"))
+
+
+_VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM v),
+vs AS (SELECT q.vec_id AS query_id, u.vec_id AS vec_id, round(list_inner_product(q.v, u.v), 6) AS score, q.label = u.label AS relevant FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 20 = 0),
+vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
+
+
+def _vector_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", unit("embedding").alias("v"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return ranked(vector_scores(e, q), "query_id", "vec_id", k)
+
+
+@query(_VECTOR + " SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM vt WHERE rank <= 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors for every twentieth."""
+    return _vector_top(spark, sf_dir, 10)
+
+
+def fuse(*rankings: DataFrame, by: str, item: str, constant: int = RRF) -> DataFrame:
+    """``by``, ``item``, ``score``: the sum of 1 / (constant + rank) over the rankings that have the item."""
+    all_ = None
+    for r in rankings:
+        r = r.select(by, item, (1.0 / (constant + F.col("rank"))).alias("part"))
+        all_ = r if all_ is None else all_.unionByName(r)
+    return all_.groupBy(by, item).agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+@query(_KEYWORD + """, byl AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY -doc_id DESC) AS rank FROM top WHERE rank <= 40),
+f AS (SELECT item_id, doc_id, round(sum(p), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS p FROM top WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM byl) GROUP BY ALL)
+SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings of the same candidates, by keywords and by age, fused by reciprocal ranks."""
+    first = ranked(keyword_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id"), "item_id", "doc_id", candidate_limit(10))
+    second = first.select("item_id", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
+    f = fuse(first, second, by="item_id", item="doc_id")
+    return ranked(f, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
+
+
+@query(_KEYWORD + r""", c AS (SELECT * FROM top WHERE rank <= 20), s AS (SELECT c.item_id AS item_id, c.doc_id AS doc_id, score, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')) AS dt, contains(lower(d.text), substr(lower(b.text), 1, 40)) AS phrase FROM c JOIN benchmark b ON b.item_id = c.item_id JOIN documents d ON d.doc_id = c.doc_id),
+r AS (SELECT item_id, doc_id, round(score + len(list_intersect(qt, dt)) / CAST(greatest(len(qt), 1) AS DOUBLE) + CASE WHEN phrase THEN 0.2 ELSE 0 END::DOUBLE, 6) AS score FROM s)
+SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM r) WHERE rn <= 5""")
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidates anew: their score, the share of the query's terms, and a bonus for its beginning as a phrase. Texts are joined to candidates only."""
+    d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    c = ranked(keyword_scores(d, b, "doc_id", "item_id"), "item_id", "doc_id", 20)
+    j = c.join(b.select("item_id", F.col("text").alias("asked")), "item_id").join(d, "doc_id")
+    qt, dt = F.array_distinct(fn.tokens("asked")), F.array_distinct(fn.tokens("text"))
+    phrase = F.contains(F.lower("text"), F.substring(F.lower("asked"), 1, 40))
+    score = F.round(F.col("score") + F.size(F.array_intersect(qt, dt)) / F.greatest(F.size(qt), F.lit(1)).cast("double") + F.when(phrase, 0.2).otherwise(0.0), 6)
+    return ranked(j.select("item_id", "doc_id", score.alias("score")), "item_id", "doc_id", 5).select("item_id", "doc_id", "score")
+
+
+def sentences(c) -> Column:
+    return F.split(c, r"(?<=[.!?。！？])\s+")
+
+
+def best_sentence(asked, text) -> Column:
+    """The text's sentence that shares most terms with the question, the first of equals, as a struct ``overlap``, ``sentence``."""
+    qt = F.array_distinct(fn.tokens(asked))
+    each = F.transform(sentences(text), lambda s, i: F.struct(F.size(F.array_intersect(qt, fn.tokens(s))).alias("overlap"), (-i).alias("i"), s.alias("sentence")))
+    return F.array_max(each)
+
+
+@query(_KEYWORD + r""", c AS (SELECT * FROM top WHERE rank <= 3), s AS (SELECT c.item_id AS item_id, rank, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, regexp_split_to_array(regexp_replace(d.text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM c JOIN benchmark b ON b.item_id = c.item_id JOIN documents d ON d.doc_id = c.doc_id),
+e AS (SELECT item_id, rank, qt, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM s), o AS (SELECT item_id, rank, i, sentence, len(list_intersect(qt, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')))) AS overlap FROM e)
+SELECT item_id, CAST(overlap AS INTEGER) AS overlap, sentence || ' [' || rank || ']' AS answer FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, rank, i) AS rn FROM o) WHERE rn = 1""")
+def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of the three best documents that answers best, with its source's number."""
+    d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    c = ranked(keyword_scores(d, b, "doc_id", "item_id"), "item_id", "doc_id", 3)
+    j = c.join(b.select("item_id", F.col("text").alias("asked")), "item_id").join(d, "doc_id").select("item_id", "rank", best_sentence("asked", "text").alias("s"))
+    best = j.groupBy("item_id").agg(F.max(F.struct(F.col("s.overlap").alias("overlap"), (-F.col("rank")).alias("order"), F.col("s.sentence").alias("sentence"))).alias("b"))
+    return best.select("item_id", F.col("b.overlap").alias("overlap"), F.concat("b.sentence", F.lit(" ["), (-F.col("b.order")).cast("string"), F.lit("]")).alias("answer"))
+
+
+def ranking_metrics(rankings: DataFrame, k: int) -> DataFrame:
+    """``recall_at_k`` and ``mrr`` of rankings (``query_id``, ``rank``, ``relevant``): the share of queries with a relevant result in the first ``k``, and the mean of 1 / first relevant rank."""
+    first = rankings.groupBy("query_id").agg(F.min(F.when(F.col("relevant") & (F.col("rank") <= k), F.col("rank"))).alias("r"))
+    return first.agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("r").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
+    """The value at position ceil(share * n) in order."""
+    n = values.count()
+    at = max(1, -(-int(share * n * 10**9) // 10**9))
+    return values.select(column).orderBy(column).limit(at).agg(F.max(column).alias(f"p{int(share * 100)}"))
+
+
+def quality_delta(current: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``strategy``, ``metric``, ``delta`` of two sets of figures; what the legacy set lacks counts as 0."""
+    return current.join(legacy.withColumnRenamed("value", "old"), ["strategy", "metric"], "left").select("strategy", "metric", F.round(F.col("value") - F.coalesce("old", F.lit(0.0)), 6).alias("delta"))
+
+
+@query(_VECTOR + """, f AS (SELECT query_id, min(CASE WHEN relevant AND rank <= 5 THEN rank END) AS r FROM vt WHERE rank <= 10 GROUP BY ALL)
+SELECT count(*) AS queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM f""")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at five and mean reciprocal rank of vector search, with equal labels as relevance."""
+    labels = table(spark, sf_dir, "embeddings", "vec_id", "label")
+    top = _vector_top(spark, sf_dir, 10).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return ranking_metrics(top.withColumn("relevant", F.col("label") == F.col("own")), 5)
+
+
+@query("SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, 'null'), coalesce(source, 'null'), coalesce(text, 'null'), 'simple', '1')) AS fingerprint FROM documents")
+def doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes an indexed document the same: its fields, the normaliser and its version."""
+    from .ingest import fingerprint
+
+    return table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text").select("doc_id", fingerprint("doc_id", "lang", "source", "text", F.lit("simple"), F.lit("1")).alias("fingerprint"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 161, 0) // 1040)) AS ordinal FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, ordinal, ordinal * 1040 AS begins, least(ordinal * 1040 + 1200, length(text)) AS ends, substr(text, CAST(ordinal * 1040 + 1 AS BIGINT), 1200) AS content FROM w)
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(begins AS INTEGER) AS begins, CAST(ends AS INTEGER) AS ends, substr(sha256(concat_ws(':', doc_id, ordinal, begins, ends)), 1, 32) AS chunk_id, sha256(content) AS content_hash FROM c WHERE content <> ''""")
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed overlapping windows over every text, exploded where the text is."""
+    step = WINDOW - OVERLAP
+    n = F.length("text")
+    ordinals = F.expr(f"sequence(0, cast(greatest(length(text) - {OVERLAP + 1}, 0) div {step} as int))")
+    c = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", "text", F.explode(ordinals).alias("ordinal")).withColumn("begins", F.col("ordinal") * step).withColumn("ends", F.least(F.col("begins") + WINDOW, n))
+    c = c.withColumn("content", F.expr(f"substring(text, begins + 1, {WINDOW})")).where("content <> ''")
+    return c.select("doc_id", "ordinal", "begins", "ends", F.substring(F.sha2(F.concat_ws(":", "doc_id", "ordinal", "begins", "ends"), 256), 1, 32).alias("chunk_id"), F.sha2("content", 256).alias("content_hash"))
+
+
+_HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+
+
+def split_sections(text: str) -> list[tuple[list[str], int, int]]:
+    """Sections of a Markdown text: the headings above each, and its range without the heading lines."""
+    out, path, at, begin = [], [], 0, 0
+    for line in text.splitlines(keepends=True):
+        if m := _HEADING.match(line.rstrip("\r\n")):
+            out.append((list(path), begin, at))
+            path = [*path[: len(m[1]) - 1], m[2]]
+            begin = at + len(line)
+        at += len(line)
+    out.append((list(path), begin, at))
+    return [(p, b, e) for p, b, e in out if text[b:e].strip()]
+
+
+def windows(text: str, begin: int, end: int, size: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Windows of a range: cut at the last line break or space past half a window; the next begins ``overlap`` before."""
+    out, at = [], begin
+    while at < end:
+        stop = min(at + size, end)
+        if stop < end:
+            cut = max(text.rfind("\n", at + size // 2, stop), text.rfind(" ", at + size // 2, stop))
+            stop = cut if cut > at else stop
+        if text[at:stop].strip():
+            out.append((at, stop))
+        if stop >= end:
+            break
+        at = max(at + 1, stop - overlap)
+    return out
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``chunk_id``, ``ordinal``, ``section`` (headings), ``begins``, ``ends``, ``content`` of every text; blank chunks have no number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b["id"], b["body"]):
+                n = 0
+                for path, s, e in split_sections(t or ""):
+                    for x, y in windows(t, s, e):
+                        rows.append((i, hashlib.sha256(f"{i}:{n}:{x}:{y}".encode()).hexdigest()[:32], n, path, x, y, t[x:y]))
+                        n += 1
+            yield pd.DataFrame(rows, columns=["id", "chunk_id", "ordinal", "section", "begins", "ends", "content"])
+
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body"))
+    return slim.mapInPandas(run, "id string, chunk_id string, ordinal int, section array<string>, begins int, ends int, content string").withColumnRenamed("id", id_col)
+
+
+def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
+    """``id_col``, ``embedding``: terms hashed to signed buckets, weighted by 1 / root of their position, of length 1."""
+
+    def one(text):
+        import numpy as np
+
+        v = np.zeros(dims)
+        for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").casefold())):
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            v[h % dims] += (1 if h >> 63 else -1) / (i + 1) ** 0.5
+        n = np.linalg.norm(v)
+        return (v / n if n else v).astype("float32")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "embedding": [one(t) for t in b["body"]]})
+
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).mapInPandas(run, "id string, embedding array<float>").withColumnRenamed("id", id_col)
