@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as fn
 from ..plans.registry import query
-from ..plans.tables import DEPENDENCY, TRADE, dependency, table, trade
+from ..plans.storage import written
+from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, trade
 
 
 def simple_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -98,7 +99,7 @@ h1 AS (SELECT rel, src, dst FROM top WHERE src = 9), h2 AS (SELECT DISTINCT t.re
 SELECT used.rel AS rel, coalesce(b.ratio, p.ratio) AS ratio, b.rel IS NOT NULL AS from_baseline FROM used JOIN top p ON used.rel = p.rel LEFT JOIN (SELECT * FROM top WHERE ratio >= 0.045) b ON used.rel = b.rel""")
 def subgraph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges on paths of two hops from a shocked country, with the baseline's parameters where it has the edge."""
-    top = top_edges(dependency(trade(spark, sf_dir)), 3)
+    top = written(top_edges(dependency(pair_flows(trade(spark, sf_dir))), 3), "edges")
     h1 = top.where("src = 9").select("rel", "src", "dst")
     h2 = top.select("rel", "src", "dst").join(h1.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
     used = h1.select("rel").union(h2.select("rel")).distinct()

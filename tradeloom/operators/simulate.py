@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.tables import DEPENDENCY, TRADE, dependency, table, trade
+from ..plans.storage import written
+from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, trade
 from .graph import top_edges
 
 #: Edge types that observed alternative supply softens.
@@ -41,7 +42,7 @@ def alternatives(edges: DataFrame) -> DataFrame:
 @query(TRADE + DEPENDENCY + """, a AS (SELECT e.rel AS rel, sum(o.ratio) AS other FROM edges e JOIN edges o ON o.dst = e.dst AND o.src <> e.src GROUP BY e.rel) SELECT edges.rel AS rel, round(least(1.0::DOUBLE, coalesce(other, 0)), 6) AS alternative FROM edges LEFT JOIN a ON a.rel = edges.rel""")
 def alternative_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed alternative supply of every edge: two aggregations in place of a self-join."""
-    return alternatives(dependency(trade(spark, sf_dir)))
+    return alternatives(dependency(_pairs(spark, sf_dir)))
 
 
 def propagate(edges: DataFrame, shocks: DataFrame, depth: int) -> DataFrame:
@@ -105,8 +106,13 @@ def totals(state: DataFrame) -> DataFrame:
     return state.groupBy("branch", "turn").agg(of("SUPPLY").alias("supply"), of("DEMAND").alias("demand"), F.count_distinct(F.when(F.col("affected"), F.col("entity"))).alias("affected"))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_edges(dependency(trade(spark, sf_dir)), 3)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of pairs of countries, computed once: all levels and branches work on this small table."""
+    return written(pair_flows(trade(spark, sf_dir)), "pairs")
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return written(top_edges(dependency(pairs), 3), "edges")
 
 
 def _shock(spark: SparkSession, branches: str = "(1, false)", turn: int = 1) -> DataFrame:
@@ -122,12 +128,12 @@ trace AS (SELECT depth, path, rel, src, dst, p FROM a1 UNION ALL SELECT depth, p
 
 @query(_TOP + " SELECT rel, src, dst, round(p, 9) AS propagated FROM a1")
 def propagate_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propagate(_edges(spark, sf_dir), _shock(spark), 1).select("rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
+    return propagate(_edges(_pairs(spark, sf_dir)), _shock(spark), 1).select("rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
 
 
 @query(_TOP + " SELECT depth, rel, src, dst, round(p, 9) AS propagated FROM trace")
 def propagate_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propagate(_edges(spark, sf_dir), _shock(spark), 3).select("depth", "rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
+    return propagate(_edges(_pairs(spark, sf_dir)), _shock(spark), 3).select("depth", "rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
 
 
 _BRANCHES = _TOP.replace(", top AS (SELECT *", ", top0 AS (SELECT *", 1).replace("a1 AS (", "alt AS (SELECT e.rel AS rel, round(least(1.0::DOUBLE, coalesce(sum(o.ratio), 0)), 6) AS alternative FROM top0 e LEFT JOIN top0 o ON o.dst = e.dst AND o.src <> e.src GROUP BY e.rel),\ntop AS (SELECT top0.rel AS rel, src, dst, ratio, alternative FROM top0 JOIN alt ON alt.rel = top0.rel),\nb(branch, m) AS (VALUES (1, 0), (2, 0), (3, 1)),\na1 AS (", 1)
@@ -138,7 +144,7 @@ c2 AS (SELECT * FROM (SELECT c1.branch AS branch, t.rel AS rel, t.dst AS dst, c1
 t AS (SELECT branch, dst, p FROM c1 UNION ALL SELECT branch, dst, p FROM c2) SELECT branch, dst AS entity, round(sum(p) + CASE WHEN dst = 9 THEN -0.3::DOUBLE ELSE 0 END, 6) AS change FROM (SELECT * FROM t UNION ALL SELECT branch, 9, 0 FROM b) GROUP BY branch, dst""")
 def branch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shock in three branches: as it is, with a recorded policy, and with observed alternative supply."""
-    e = _edges(spark, sf_dir)
+    e = _edges(_pairs(spark, sf_dir))
     e = e.join(alternatives(e), "rel")
     s = _shock(spark, "(1, false), (2, false), (3, true)")
     return changes(propagate(e, s, 2), s).select("branch", "entity", F.round("change", 6).alias("change"))
@@ -149,10 +155,10 @@ st AS (SELECT turn, base.entity AS entity, metric, CASE WHEN metric = 'SUPPLY' A
 SELECT turn, round(sum(CASE WHEN metric = 'SUPPLY' THEN v ELSE 0 END), 0) AS supply, round(sum(CASE WHEN metric = 'DEMAND' THEN v ELSE 0 END), 0) AS demand, count(DISTINCT CASE WHEN hit THEN entity END) AS affected FROM st GROUP BY turn""")
 def turn_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of three turns, the second of them shocked; what was shocked stays so."""
-    flows = trade(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
     s = _shock(spark, turn=2)
-    ch = changes(propagate(_edges(spark, sf_dir), s, 2), s)
-    side = lambda c, m: flows.groupBy(F.col(c).alias("entity")).agg((F.sum("cents") / F.lit(100.0)).alias("value")).withColumn("metric", F.lit(m))
+    ch = changes(propagate(_edges(pairs), s, 2), s)
+    side = lambda c, m: pairs.groupBy(F.col(c).alias("entity")).agg((F.sum("cents") / F.lit(100.0)).alias("value")).withColumn("metric", F.lit(m))
     nodes = side("src", "SUPPLY").unionByName(side("dst", "DEMAND"))
     return totals(states(nodes, ch, 3)).select("turn", F.round("supply", 0).alias("supply"), F.round("demand", 0).alias("demand"), "affected")
 

@@ -51,7 +51,8 @@ SELECT newest.src AS src, newest.dst AS dst, record_id, cents, pair_cents FROM n
 def trade_pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records behind each newest pair flow, one row for each link: no pair's records are gathered in one place."""
     flows = trade(spark, sf_dir)
-    newest = flows.join(flows.agg(F.max("year").alias("year")), "year")
+    last = flows.agg(F.max("year")).first()[0]  # one number; the filter then reaches the scan
+    newest = flows.where(F.col("year") == F.lit(last))
     return newest.join(pair_flows(newest).withColumnRenamed("cents", "pair_cents"), ["src", "dst"]).select("src", "dst", "record_id", "cents", "pair_cents")
 
 

@@ -40,9 +40,8 @@ def pair_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy("src", "dst").agg(F.sum("cents").alias("cents"))
 
 
-def dependency(flows: DataFrame) -> DataFrame:
-    """Edges ``src``, ``dst``, ``rel`` (id), ``cents``, ``ratio``: a pair's flow as a share of all that its destination takes; no self edges."""
-    pairs = pair_flows(flows)
+def dependency(pairs: DataFrame) -> DataFrame:
+    """Edges ``src``, ``dst``, ``rel`` (id), ``cents``, ``ratio``: a pair's flow as a share of all that its destination takes; no self edges. ``pairs``: from ``pair_flows``."""
     totals = pairs.groupBy("dst").agg(F.sum("cents").alias("total")).where("total > 0")
     rel = F.format_string("%03d-%03d", "src", "dst")
     return pairs.where("src <> dst").join(totals, "dst").select(rel.alias("rel"), "src", "dst", "cents", F.round(F.col("cents") / F.col("total"), 6).alias("ratio"))
