@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import scratch, shared_folder, written  # noqa: F401  for the operators
+
 #: Rows in an Arrow batch sent to a Python worker. Documents may hold 100 KB and more each, so this bounds a batch's memory.
 ARROW_ROWS = 512
 
@@ -25,30 +25,6 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests), a local one."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tradeloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/tradeloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there, and it survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tradeloom_path = path
-    return out
-
-
 def again(df: DataFrame) -> DataFrame:
     """A table made by ``written``, read anew: for joins of a table with itself."""
     return df.sparkSession.read.schema(df.schema).parquet(df._tradeloom_path)
