@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -262,17 +263,14 @@ def learn(docs: DataFrame) -> Field:
     """The field of a bounded sample of the labelled documents outside the held-out fold: of each language those with the smallest hashes of their ids.
     Without labelled text every prediction is ``und``. At most ``LANGUAGES`` languages, the most frequent ones, are learned."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     fits = known.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64("doc_id", F.lit(7))
-    texts: list[str] = []
-    labels: list[str] = []
-    for name in langs:  # LANGUAGES at most; each keeps SAMPLE rows
-        ids = F.broadcast(fits.where(F.col("lang") == name).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE))
-        rows = fits.where(F.col("lang") == name).select("doc_id", "text").join(ids.distinct(), "doc_id").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
-        texts += [r["text"] for r in rows]
-        labels += [name] * len(rows)
-    return fit(texts, labels)
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    # The rank is limited in every task before the shuffle, so a language sends SAMPLE ids from each.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    chosen = fits.join(F.broadcast(langs), "lang", "left_semi").select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
+    rows = fits.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).toPandas()  # LANGUAGES * SAMPLE texts of SAMPLE_CHARS at most, but for repeated ids
+    rows = rows.sort_values(["lang", "doc_id", "text"])
+    return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
 _READERS: dict[str, Reader] = {}

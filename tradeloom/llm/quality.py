@@ -104,11 +104,11 @@ class Voters:
 
 
 def fit(x: np.ndarray, y: np.ndarray, share: float) -> Voters:
-    """``x``: terms of the labelled documents, ``y`` their labels, ``share`` that of label 1 among all labelled."""
+    """``x``: terms of the labelled documents (weighted in place), ``y`` their labels, ``share`` that of label 1 among all labelled."""
     if not len(y):
         return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
     weight = (np.log((1 + len(y)) / (1 + (x > 0).sum(axis=0))) + 0.3).astype(np.float32)
-    a = x * weight
+    a = np.multiply(x, weight, out=x)
     rng = np.random.default_rng(5)
     q = rng.standard_normal((a.shape[1], min(DIMENSIONS + 12, *a.shape))).astype(np.float32)
     for _ in range(4):
@@ -117,7 +117,8 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> Voters:
     basis = (q @ vt.T)[:, :DIMENSIONS].astype(np.float32)
     votes = np.where(y == 1, share / max((y == 1).sum(), 1), (1 - share) / max((y == 0).sum(), 1))
     out = Voters(weight, basis, np.zeros((0, basis.shape[1]), np.float32), votes / votes.max(), y.astype(np.float64))
-    out.vectors = out.project(x)
+    v = a @ basis
+    out.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     return out
 
 
@@ -130,10 +131,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int32"), "x": [v.astype("<f2").tobytes() for v in terms(b["text"].tolist())]})
 
-    found = rows.mapInPandas(run, "doc_id long, y int, x binary").orderBy("doc_id", "y", "x").toPandas()  # 2 * SAMPLE rows of 8 KB
-    x = np.frombuffer(b"".join(found["x"]), dtype="<f2").reshape(len(found), TERMS).astype(np.float32)
+    found = rows.mapInPandas(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y", "x"])  # 2 * SAMPLE rows of 8 KB
+    y, x = found["y"].to_numpy(), np.empty((len(found), TERMS), dtype=np.float32)
+    for i, v in enumerate(found.pop("x")):
+        x[i] = np.frombuffer(v, dtype="<f2")
+    del found
     known = labels.where(F.col("quality").isin(0, 1) & ~common.in_fold("doc_id", FOLDS, HELD_OUT)).agg(F.avg("quality")).first()[0]
-    return fit(x, found["y"].to_numpy(), 0.5 if known is None else float(known))
+    return fit(x, y, 0.5 if known is None else float(known))
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

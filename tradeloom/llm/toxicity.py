@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             hit, words = lexicon.sums(b["text"].tolist())
             yield pd.DataFrame({"hit": hit, "words": words, "y": b["y"].astype("float64")})
 
-    m = rows.mapInPandas(measure, "hit double, words double, y double").orderBy("y", "hit", "words").toPandas()
+    m = rows.mapInPandas(measure, "hit double, words double, y double").toPandas().sort_values(["y", "hit", "words"])  # the sample's rows, in an order of their own
     if (m["y"] == 0).any():
         lexicon.curve = _fit_curve(m["hit"].to_numpy(), m["words"].to_numpy(), m["y"].to_numpy())
     return lexicon
