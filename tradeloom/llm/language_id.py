@@ -34,7 +34,6 @@ STRETCH = 32
 REMEMBERED = 200_000
 UNKNOWN = "und"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 #: Beginnings and endings of two to five bytes, the mark of the word's edge included, and the word itself.
@@ -48,7 +47,7 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of lower-case words without marks around them: all words' features one after another, and how many each has."""
-    marked = [b"^" + w.encode("utf-8", "surrogatepass")[:48] + b"$" for w in words]
+    marked = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
     n = np.fromiter(map(len, marked), dtype=np.int64, count=len(words))
     text = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
     begin = np.cumsum(n) - n
@@ -78,7 +77,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def core(token: str) -> str:
     """A token as a word: lower case, without marks and digits around it; empty if it has no letter."""
-    return _EDGE.sub("", token).lower() if _LETTER.search(token) else ""
+    return _EDGE.sub("", token).lower() if any(map(str.isalpha, token)) else ""
 
 
 def padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +189,7 @@ class Reader:
             self.rows.update(dict.fromkeys(new, 0))
             self.rows.update((new[i], base + k) for k, i in enumerate(known))
             self.table = np.concatenate([self.table, self.field.emissions([cores[i] for i in known])])
-            self.letters = np.concatenate([self.letters, [float(min(len(cores[i]), 48)) for i in known]])
+            self.letters = np.concatenate([self.letters, [float(len(cores[i])) for i in known]])
         return np.fromiter(map(self.rows.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def read(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
