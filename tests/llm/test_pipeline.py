@@ -75,3 +75,20 @@ def test_stages_on_odd_documents(spark, small):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, small)
             assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_clashing_columns(spark, small):
+    """Columns named like those that the stages make inside are carried along untouched."""
+    from pyspark.sql import functions as F
+
+    names = ["id", "body", "fp", "component_id", "rep", "h", "size", "rows", "copies", "target", "units", "block", "draw", "p", "score", "hits", "y", "offset"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.col("doc_id") + i)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.where(" or ".join(f"{n} <> doc_id + {i}" for i, n in enumerate(names))).count() == 0
+        else:
+            assert out.count() > 0

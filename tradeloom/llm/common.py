@@ -84,7 +84,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     links = written(links, "links")
-    for _ in range(max_rounds):
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(links)
+    for _ in range(max_rounds if seen[0] else 0):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -93,12 +95,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same = mark(nxt) == mark(links)
         drop_written(links)
-        links = nxt
-        if same:
+        links, before, seen = nxt, seen, mark(nxt)
+        if seen == before:
             break
     else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        if seen[0]:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
