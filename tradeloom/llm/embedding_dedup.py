@@ -70,7 +70,8 @@ def _valid(vectors: DataFrame) -> DataFrame:
 
 
 def _decoded(classes: DataFrame, dims: int, per_block: int) -> DataFrame:
-    classes = classes.select("cid", "copies", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    classes = classes.select("cid", "copies", "label", "embedding")
+    label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = product_code(dims, per_block)
@@ -80,7 +81,7 @@ def _decoded(classes: DataFrame, dims: int, per_block: int) -> DataFrame:
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 yield b.assign(filters=list(list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), code)))
 
-    return classes.mapInPandas(run, "cid long, copies long, label int, embedding array<float>, filters array<bigint>")
+    return classes.mapInPandas(run, f"cid long, copies long, label {label}, embedding {vector}, filters array<bigint>")
 
 
 def _linked_in_filter(g: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
