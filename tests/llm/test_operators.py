@@ -79,6 +79,14 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_of_doubles_and_named_labels(spark):
+    """Doubles that differ below a float's precision stay different, and labels may be of any type."""
+    v, w = [1.0, 2.0, 3.0, 4.0], [1.0 + 1e-12, 2.0, 3.0, 4.0]
+    frame = spark.createDataFrame([(1, v, "a"), (2, w, "a"), (3, v, "b"), (4, [1e300, -1e300, 0.0, 0.0], "a"), (5, [1.0, -1.0, 0.0, 0.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False)]
+
+
 def test_filters_find_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 64))
@@ -318,6 +326,13 @@ def test_toxicity(spark):
     assert toxicity.score(odd, fixed).where("score >= 0.5").count() == 4
 
 
+def test_samples_hold_a_repeated_id_once(spark):
+    docs = docs_frame(spark, [(1, f"text {k}", "en", "s") for k in range(500)] + [(2, None, "en", "s"), (3, "other", "en", "s")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", 5, 9, 10, 10)
+    assert sorted(tuple(r) for r in got.select("doc_id", "y", "text").collect()) == [(1, 1, "text 0"), (2, 0, None), (3, 0, "other")]
+
+
 # 8 SimHash
 
 

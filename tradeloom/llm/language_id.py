@@ -260,14 +260,14 @@ def fit(texts: list[str], langs: list[str]) -> Field:
 
 def learn(docs: DataFrame) -> Field:
     """The field of a bounded sample of the labelled documents outside the held-out fold: of each language those with the smallest hashes of their ids.
-    Without labelled text every prediction is ``und``. At most ``LANGUAGES`` languages, the most frequent ones, are learned."""
+    Of a repeated id the first text in their order counts. Without labelled text every prediction is ``und``. At most ``LANGUAGES`` languages, the most frequent ones, are learned."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
     fits = known.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
     langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     # The rank is limited in every task before the shuffle, so a language sends SAMPLE ids from each.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
     chosen = fits.join(F.broadcast(langs), "lang", "left_semi").select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
-    rows = fits.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).toPandas()  # LANGUAGES * SAMPLE texts of SAMPLE_CHARS at most, but for repeated ids
+    rows = fits.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()  # LANGUAGES * SAMPLE texts of SAMPLE_CHARS at most
     rows = rows.sort_values(["lang", "doc_id", "text"])
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 

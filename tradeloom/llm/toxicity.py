@@ -132,11 +132,11 @@ def _fit_curve(hit: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[f
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, ones: int, zeros: int) -> DataFrame:
     """``doc_id``, ``text``, ``y`` of a bounded number of labelled documents outside the held-out fold: ``ones`` and ``zeros`` of each label, those
-    with the smallest hashes of their ids. Labels other than 0 and 1, null labels and null ids are left out; a repeated id counts once for each label."""
+    with the smallest hashes of their ids. Labels other than 0 and 1, null labels and null ids are left out; a repeated id counts once for each label, with the first of its texts in their order."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~common.in_fold("doc_id", folds, held_out)).distinct()
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = known.where("y = 1").orderBy(order, "doc_id").limit(ones).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(zeros))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ones + zeros rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most ones + zeros rows
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
