@@ -99,6 +99,33 @@ def test_filters_find_pairs_at_the_threshold():
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())]) >= 0.99
 
 
+def test_filters_miss_no_pair_at_any_size():
+    """Every pair at the threshold shares a filter, with uneven components and the codes of large inputs too."""
+    rng = np.random.default_rng(4)
+    for power in (0.0, 0.5, 1.0):
+        for vectors in (10**4, 10**6, 10**8):
+            x = rng.standard_normal((600, 64)) * np.arange(1, 65) ** -power
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            z = rng.standard_normal(x.shape) * np.arange(1, 65) ** -power
+            z -= (z * x).sum(axis=1, keepdims=True) * x
+            y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+            code = embedding_dedup.product_code(64, embedding_dedup.directions_per_block(vectors))
+            a, b = embedding_dedup.list_decode(x, code), embedding_dedup.list_decode(y, code)
+            assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist()))
+
+
+def test_embeddings_of_every_length_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims in (1, 2, 3, 5, 16, 16, 16, 64):
+        for v in rng.standard_normal((12, dims)):
+            rows += [(len(rows) + k, (v + 0.05 * k * rng.standard_normal(dims)).tolist(), 0) for k in range(3)]
+    links = brute_links(rows)
+    want = union_find(links, range(len(rows)))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (sum(i in e for e in links), want[i]) for i in want}
+
+
 # 2 archives
 
 

@@ -1,9 +1,12 @@
-"""Near-duplicate embeddings by spherical-cap filters.
+"""Near-duplicate embeddings by spherical-cap filters that miss no pair.
 
-A filter is a direction made of one random unit vector for each of four blocks of the components (a structured product code), so a
-few hundred vectors stand for a million filters. Each vector is list-decoded to the filters whose cap it lies in: the block scores
-are sorted and the best sums are merged block by block; a vector's cap is set so that it is in ``LISTS`` filters. Vectors meet in filters of
-their label, and meetings are verified by cosine in double precision.
+Vectors are rotated by one fixed random rotation and cut into four blocks. Each block has random unit vectors, and a filter is a choice of
+one of them in each of the two blocks of a half (a structured product code); its region holds the vectors that score highest with both. The
+middle of two vectors at the least cosine is within sqrt((1 - cosine) / 2) of both, so in one half the squares are at most half of that. A
+vector is list-decoded to every filter of each half whose region may come that near: a score behind the best by no more than the distance
+allows, bounded plane by plane, with the squares of the blocks added. So both vectors are in the filter of their middle. There is no fixed
+list, beam or number of directions; the lists are as long as the bound makes them. Vectors meet in filters of their label and length, and
+meetings are verified by cosine in double precision.
 
 No pairs are shuffled or written. Vectors that no other vector meets drop out by a count. In each filter the remaining vectors are
 compared in blocks; a link is counted only in the smallest filter that both vectors share, so the counts of the filters add up to
@@ -14,6 +17,7 @@ task. Equal vectors are one class with a multiplicity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,14 +27,15 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS = 4
-LISTS = 24
+#: Parts of the blocks that have filters of their own.
+HALVES = 2
 BLOCK_ROWS = 256
 COSINE = 0.98
 SEED = 20_240_501
 
 
 def directions_per_block(vectors: int) -> int:
-    """Random vectors in each block of the code: twice the fourth root of the number of vectors, so that filters hold a steady number."""
+    """Random vectors in each block of the code: twice the fourth root of the number of vectors."""
     return max(16, round(2 * max(vectors, 1) ** 0.25))
 
 
@@ -40,26 +45,50 @@ def product_code(dims: int, per_block: int, seed: int = SEED) -> list[np.ndarray
     out = []
     for part in np.array_split(np.arange(dims), min(BLOCKS, dims)):
         r = rng.standard_normal((per_block, len(part)))
-        out.append(r / np.linalg.norm(r, axis=1, keepdims=True))
+        r /= np.linalg.norm(r, axis=1, keepdims=True)
+        out.append(np.unique(np.sign(r), axis=0) if len(part) == 1 else r)
     return out
 
 
-def list_decode(unit: np.ndarray, code: list[np.ndarray], lists: int = LISTS) -> np.ndarray:
-    """For each unit vector the ids of its ``lists`` filters of the highest scores (fewer where the code has fewer filters)."""
-    score = np.zeros((len(unit), 1))
-    ids = np.zeros((len(unit), 1), dtype=np.int64)
-    at = 0
-    for k, block in enumerate(code):
-        size, width = block.shape
-        p = unit[:, at : at + width] @ block.T
-        at += width
-        best = np.argsort(-p, axis=1, kind="stable")[:, : min(size, 12)]
-        total = (score[:, :, None] + np.take_along_axis(p, best, 1)[:, None, :]).reshape(len(unit), -1)
-        names = (ids[:, :, None] * size + best[:, None, :]).reshape(len(unit), -1)
-        keep = min(lists if k == len(code) - 1 else 4 * lists, total.shape[1])
-        top = np.argpartition(-total, keep - 1, axis=1)[:, :keep]
-        score, ids = np.take_along_axis(total, top, 1), np.take_along_axis(names, top, 1)
-    return ids
+def list_decode(unit: np.ndarray, code: list[np.ndarray], cosine: float = COSINE) -> np.ndarray:
+    """For each unit vector the ids of all filters whose region may hold the middle of it and a vector at ``cosine`` or more: an array of arrays.
+    Two such vectors share a filter."""
+    halves = np.array_split(np.arange(len(code)), min(HALVES, len(code)))
+    reach = (1 - cosine) / 2 / len(halves) + 1e-9
+    rows, names, at = [], [], 0
+    for h, blocks in enumerate(halves):
+        row, cost, ids = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), dtype=np.int64)
+        for k in blocks:
+            size, width = code[k].shape
+            p = unit[:, at : at + width] @ code[k].T
+            at += width
+            apart = np.linalg.norm(code[k][:, None] - code[k][None], axis=2)
+            np.fill_diagonal(apart, 1)
+            # the squared distance to a region is at least that to the farthest of the planes that bound it
+            far = np.column_stack([np.maximum((p - p[:, [c]]) / apart[c], 0).max(axis=1) for c in range(size)]) ** 2
+            who, cell = np.nonzero(far <= reach)
+            count = np.bincount(who, minlength=len(unit))
+            times = count[row]
+            of = np.repeat(np.arange(len(row)), times)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + (np.cumsum(count) - count)[row[of]]
+            total = cost[of] + far[who[nth], cell[nth]]
+            near = total <= reach
+            of, nth, cost = of[near], nth[near], total[near]
+            row, ids = row[of], ids[of] * size + cell[nth]
+        rows.append(row)
+        names.append(ids + (h << 32))
+    row, ids = np.concatenate(rows), np.concatenate(names)
+    ids = ids[np.argsort(row, kind="stable")]
+    ends = np.cumsum(np.bincount(row, minlength=len(unit)))
+    out = np.empty(len(unit), dtype=object)
+    out[:] = [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    return out
+
+
+@lru_cache(maxsize=8)
+def _rotated_code(dims: int, per_block: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The fixed rotation of a vector length, which spreads the energy evenly over the blocks, and its code."""
+    return np.linalg.qr(np.random.default_rng(SEED + 1).standard_normal((dims, dims)))[0], product_code(dims, per_block)
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -69,17 +98,18 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & some)
 
 
-def _decoded(classes: DataFrame, dims: int, per_block: int) -> DataFrame:
+def _decoded(classes: DataFrame, per_block: int, cosine: float) -> DataFrame:
     classes = classes.select("cid", "copies", "label", "embedding")
     label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = product_code(dims, per_block)
-        for b in batches:
-            x = np.array(b["embedding"].tolist(), dtype=np.float64).reshape(len(b), -1)
-            if len(b):
+        for batch in batches:
+            for dims, b in batch.groupby(batch["embedding"].map(len), sort=False):
+                rotation, code = _rotated_code(dims, per_block)
+                x = np.array(b["embedding"].tolist(), dtype=np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                yield b.assign(filters=list(list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), code)))
+                lists = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation, code, cosine)
+                yield b.assign(filters=[v + (dims << 34) for v in lists])
 
     return classes.mapInPandas(run, f"cid long, copies long, label {label}, embedding {vector}, filters array<bigint>")
 
@@ -147,16 +177,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Input: ``vec_id``, ``embedding``, ``label``; other columns are ignored. Rows whose id or label is null, and vectors that are null, empty,
     zero or hold null or non-finite components, link with nothing: no links, their own component, kept (null id: component null, not
     kept). Equal vectors of one label are linked, whatever their ids; a repeated id is a vector of its own in the counts. Vectors of
-    other lengths than the most common one of the input link only with equal vectors.
+    each length link among themselves.
     """
     spark = vectors.sparkSession
     common.arrow_rows(spark, 2048)
     base = vectors.select("vec_id", "embedding", "label")
     classes = _valid(base).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    sizes = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims, total = (sizes["d"], sizes["count"]) if sizes else (1, 0)
-    lists = common.written(_decoded(classes.where(F.size("embedding") == dims), dims, directions_per_block(total)), "filters")
+    lists = common.written(_decoded(classes, directions_per_block(classes.count()), cosine), "filters")
     slim = lists.select("label", "cid", F.explode("filters").alias("filter"))
     met = slim.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
     slim = slim.join(met, ["label", "filter"]).withColumn("blocks", F.expr(f"cast((n + {BLOCK_ROWS - 1}) div {BLOCK_ROWS} as int)"))
