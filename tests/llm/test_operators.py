@@ -416,6 +416,18 @@ def test_simhash_documents(spark):
     assert simhash_dedup.deduplicate(frame.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_of_every_component_where_ids_repeat(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 300) for _ in range(4))
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (1, b, "en", "s"), (3, b, "en", "s"), (4, c, "en", "s"), (5, c, "en", "s"), (5, d, "en", "s"), (6, d, "en", "s"), (6, d, "en", "s")]
+    # 1 is the smallest id of two components; 5 wins over d only, though it also has a row of c
+    kept = simhash_dedup.deduplicate(docs_frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (4, c), (5, d)])
+    rows = [(7, a, "en", "s"), (7, b, "en", "s"), (6, b, "en", "s"), (7, c, "en", "s"), (7, c, "en", "s")]
+    kept = simhash_dedup.deduplicate(docs_frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, a), (6, b), (7, c)])
+
+
 # 9 quality
 
 

@@ -99,13 +99,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest non-null id reachable over links of fingerprints with two or fewer differing bits, the row's own
     fingerprint included; null only where no row of the component has an id. Repeated rows get equal answers; an empty table gives an empty result.
     """
+    return _found(docs, id_col, text_col).select(id_col, "fp", "component_id")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates``, and ``wins``: whether the row has its component's smallest id and, of the rows of the component with that id, the least fingerprint."""
     fps = common.written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = common.written(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     comp = components_of(classes.select("fp"))
     found = classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = found.join(least, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select(id_col, "fp", "component_id")
+    least = found.groupBy("root").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "fp"))).alias("least"))
+    ids = found.join(least, "root").select("fp", F.col("least.rep").alias("component_id"), (F.col("least.fp") == F.col("fp")).alias("first"))
+    wins = F.coalesce(F.col("first") & (F.col(id_col) == F.col("component_id")), F.lit(False))
+    return fps.join(ids, "fp").select(id_col, "fp", "component_id", wins.alias("wins"))
 
 
 def components_of(fps: DataFrame) -> DataFrame:
@@ -114,16 +120,20 @@ def components_of(fps: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one kept of each component: the row with the smallest id, one of them if that id repeats. Rows without an id are
-    kept only where no row of the component has one, one for each fingerprint. Columns as given."""
+    """The documents with one kept of each component: the row with the smallest id, one of them if that id repeats. An id that repeats with
+    different texts wins in each component for itself. Rows without an id are kept only where no row of the component has one, one for
+    each fingerprint. Columns as given."""
     names = docs.columns
-    found = common.written(near_duplicates(docs, id_col, text_col), "found")
-    winners = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
+    found = common.written(_found(docs, id_col, text_col), "found")
+    winners = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__tl_id")).agg(F.count("*").alias("__tl_n"), F.max("wins").alias("__tl_wins")).where("__tl_wins").select("__tl_id", "__tl_n")
     # A hash join built from the ids: texts are neither sorted nor held.
-    kept = lambda n: docs.join(winners.where(n).hint("shuffle_hash"), F.col(id_col) == F.col("__tl_id")).select(*names)
-    out = kept("__tl_n = 1")
+    held = lambda n: docs.join(winners.where(n).hint("shuffle_hash"), F.col(id_col) == F.col("__tl_id"))
+    out = held("__tl_n = 1").select(*names)
     if not winners.where("__tl_n > 1").isEmpty():
-        out = out.unionByName(kept("__tl_n > 1").dropDuplicates([id_col]))
+        # Rows of a repeated id are told apart by their fingerprints.
+        pairs = found.where("wins").select(F.col(id_col).alias("__tl_id"), F.col("fp").alias("__tl_fp")).distinct()
+        repeated = _with_fingerprint(held("__tl_n > 1").select(*names), text_col).withColumn("__tl_id", F.col(id_col))
+        out = out.unionByName(repeated.join(pairs, ["__tl_id", "__tl_fp"], "left_semi").dropDuplicates(["__tl_id", "__tl_fp"]).select(*names))
     lone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__tl_fp")).distinct()
     if not lone.isEmpty():
         nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col)
