@@ -465,6 +465,23 @@ def test_rendering():
     assert html_render.render("<!-- a --><script>var t='</p>'; x</script>see<noscript> this</noscript><a href='>'>link</a> &copy;") == "see thislink ©"
 
 
+def test_rendering_hides_by_attributes_alone():
+    shown = ['<a title="The hidden truth">text</a>', '<b data-x="a hidden gem">text</b>', "<i class='a hidden b'>text</i>", '<i data-style="display:none">text</i>', '<i title="style=display:none">text</i>', '<i style="content:\'display:none\'">text</i>', '<i style="display:none;display:inline">text</i>', "<dialog open>text</dialog>"]
+    assert [html_render.render(x) for x in shown] == ["text"] * len(shown)
+    unseen = ["<i hidden>no</i>", "<i hidden=''>no</i>", "<i a=b HIDDEN class=c>no</i>", "<i style='color:red; DISPLAY : none !important'>no</i>", "<i style=display:none>no</i>", '<i style="visibility:hidden">no</i>', '<dialog class="open">no</dialog>']
+    assert [html_render.render(x) for x in unseen] == [""] * len(unseen)
+
+
+def test_rendering_of_formulas_drawings_and_lists():
+    assert html_render.render("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b") == "a x=2 b"
+    assert html_render.render("<p>a <svg><title>t</title><defs><text>no</text></defs><g><text>one <tspan>two</tspan></text></g><text/></svg> b") == "a one two b"
+    options = "<option>x<option{}>y<option>z"
+    assert html_render.render(f"<p>a <select>{options.format('')}</select> b") == "a x b"
+    assert html_render.render(f"<p>a <select>{options.format(' selected')}</select> b") == "a y b"
+    assert html_render.render(f"<p>a <select multiple>{options.format('')}</select> b") == "a x y z b"
+    assert html_render.render("<p>a <select hidden><option>x</select> b") == "a b"
+
+
 def test_rendering_keeps_every_visible_word(spark, small):
     """Against a plain walk with the standard library's parser."""
     from html.parser import HTMLParser

@@ -27,7 +27,9 @@ SPAN = 1000
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template iframe noembed noframes object datalist meta link base area param source track audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style title template iframe noembed noframes object datalist meta link base area param source track audio video canvas".split())
+#: Parts of drawings and formulas that are described or kept for reuse, not shown.
+UNDRAWN = frozenset("defs symbol metadata desc clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup p pre search section summary table ul legend tr td th thead tbody tfoot caption".split())
 #: Blocks that have a blank line before and after.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table hr fieldset".split())
@@ -40,19 +42,43 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
-_HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""", re.S)
+_DECLARATION = re.compile(r"""(?:[^;"']|"[^"]*"|'[^']*')+""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "_values")
 
     def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.children = name, attributes, []
+        self.name, self.attributes, self.children, self._values = name, attributes, [], None
+
+    def values(self) -> dict[str, str]:
+        """Attributes by name; of a repeated name the first counts."""
+        if self._values is None:
+            self._values = {}
+            for m in _ATTRIBUTE.finditer(self.attributes):
+                self._values.setdefault(m[1].lower(), html.unescape(next((x for x in m.groups()[1:] if x is not None), "")))
+        return self._values
 
     def attribute(self, name: str) -> str | None:
-        m = re.search(rf"""(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", self.attributes, re.I)
-        return html.unescape(next((x for x in m.groups() if x is not None), "")) if m else None
+        return self.values().get(name) if self.attributes else None
+
+    def hidden(self) -> bool:
+        """By the attribute of that name, or by its own style."""
+        if not self.attributes:
+            return False
+        if "hidden" in self.values():
+            return True
+        style = re.sub(r"/\*.*?(?:\*/|\Z)", " ", self.attribute("style") or "", flags=re.S)
+        last: dict[str, tuple[bool, str]] = {}
+        for declaration in _DECLARATION.findall(style):
+            name, _, value = declaration.partition(":")
+            name, value = name.strip().lower(), " ".join(value.lower().split())
+            force = value.replace(" ", "").endswith("!important")
+            if value and (force or not last.get(name, (False, ""))[0]):
+                last[name] = force, value.split("!")[0].strip()
+        return last.get("display", (False, ""))[1] == "none" or last.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 def parse(source: str) -> Node:
@@ -131,7 +157,31 @@ class Flow:
 
 
 def seen(node: Node) -> bool:
-    return node.name not in UNSEEN and not (node.attributes and _HIDDEN.search(node.attributes)) and not (node.name == "dialog" and "open" not in node.attributes.lower())
+    return node.name not in UNSEEN and node.name not in UNDRAWN and not node.hidden() and not (node.name == "dialog" and node.attribute("open") is None)
+
+
+def chosen(node: Node) -> list[Node]:
+    """The options that a list shows: the last selected one, or else the first; all of them where it is a box of several rows."""
+    found: list[Node] = []
+
+    def walk(n: Node) -> None:
+        for c in n.children:
+            if isinstance(c, Node) and seen(c):
+                if c.name == "option":
+                    found.append(c)
+                walk(c)
+
+    walk(node)
+    rows = node.attribute("size") or ""
+    if node.attribute("multiple") is not None or (re.fullmatch(r"\d{1,6}", rows) and int(rows) > 1):
+        return found
+    # a disabled option is shown only if it is selected or nothing else is there
+    picked = [c for c in found if c.attribute("selected") is not None]
+    return picked[-1:] or ([c for c in found if c.attribute("disabled") is None] or found)[:1]
+
+
+def _label(option: Node) -> str:
+    return option.attribute("label") or "".join(_texts(option, []))
 
 
 def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
@@ -159,6 +209,12 @@ def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
         elif c.name == "input":
             if (c.attribute("type") or "text").lower() not in ("hidden", "password", "checkbox", "radio", "file", "image") and (value := c.attribute("value")):
                 flow.text.append(f" {value} ")
+        elif c.name == "select":
+            for option in chosen(c):
+                flow.text.append(f" {_label(option)} ")
+        elif c.name == "svg":
+            for text in _drawn(c, []):
+                flow.text.append(f" {text} ")
         elif c.name == "pre":
             flow.flush()
             flow.add(_preformatted(c), 1)
@@ -192,12 +248,31 @@ def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
     return flow
 
 
+def _drawn(node: Node, out: list[str]) -> list[str]:
+    """The texts of a drawing; anything else between its elements is not shown."""
+    for c in node.children:
+        if isinstance(c, Node) and seen(c):
+            if c.name == "text":
+                out.append("".join(_texts(c, [])))
+            elif c.name == "foreignobject":
+                inner = lay_out(c, Flow())
+                inner.flush()
+                out.append(" ".join(inner.lines))
+            else:
+                _drawn(c, out)
+    return out
+
+
 def _texts(node: Node, out: list[str]) -> list[str]:
     for c in node.children:
         if isinstance(c, str):
             out.append(c)
         elif c.name == "br":
             out.append("\n")
+        elif c.name == "select":
+            out += [f" {_label(o)} " for o in chosen(c)] if seen(c) else []
+        elif c.name == "svg":
+            out += [f" {x} " for x in _drawn(c, [])] if seen(c) else []
         elif seen(c):
             _texts(c, out)
     return out
