@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import scratch, shared_folder, written  # noqa: F401  for the operators
 
-#: Rows in an Arrow batch sent to a Python worker. Documents may hold 100 KB and more each, so this bounds a batch's memory.
-ARROW_ROWS = 512
+#: Bytes in an Arrow batch sent to a Python worker, whatever the length of its texts; a longer row is a batch of its own.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes. All operators set the same bound, so it does not matter which of several lazy ones was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def again(df: DataFrame) -> DataFrame:
@@ -30,12 +30,12 @@ def again(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(df._tradeloom_path)
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def computed(df: DataFrame, id_col: str, text_col: str, compute: Callable[[list], dict], fields: dict[str, str]) -> DataFrame:
     """``id_col`` as it is, and ``fields`` (name to type) computed from lists of texts, an Arrow batch at a time."""
-    arrow_rows(df.sparkSession)
+    bound_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     names = ["id", *fields]
 
@@ -50,7 +50,7 @@ def computed(df: DataFrame, id_col: str, text_col: str, compute: Callable[[list]
 
 def kept_where(df: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
     """The rows, whole, whose text ``keep`` accepts; it gets lists of texts and gives booleans."""
-    arrow_rows(df.sparkSession)
+    bound_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,13 @@
 
 Documents are tokenised and laid end to end, in the order of their partition. Windows are cut where the dynamic programme says:
 after a document (free), after a sentence (a small truncation penalty), or at a fixed grid inside a sentence (a larger one). It minimises
-padding plus penalties over all such cuts: cost(j) = min over i in [j - size, j) of cost(i) + (size - (j - i)) + penalty(j). As the term
-in i is cost(i) + i, its minimum over the sliding range comes from a monotone queue, so the work is linear in the candidate cuts.
+padding plus penalties over all such cuts: cost(j) = min over i in [j - size, j) of cost(i) + pad(j - i) + penalty(j), where a window of n
+tokens is padded by size - n, or not at all if n is a power of two. For the padded windows the term in i is cost(i) + i, whose minimum
+over the sliding range comes from a monotone queue; the windows of a power of two are as many further look-ups as there are powers. So
+the work is linear in the candidate cuts.
 
 Each partition is packed on its own, without a shuffle: a partition's stream is held in stretches of ``STRETCH`` tokens, each packed
-to optimality, and the tail of a stretch is carried into the next. Only a partition's last window may be short of padding's optimum.
-A window whose length is a power of two needs no padding.
+to optimality, and the tail of a stretch is carried into the next. Memory is a stretch and the longest document's ids.
 """
 
 from __future__ import annotations
@@ -96,13 +97,11 @@ def window_cuts(ends: np.ndarray, penalties: np.ndarray, size: int = WINDOW) ->
     ``ends``: increasing cut positions, the last of them the end of the stretch, with no gap above ``size`` (from 0 on). A window costs
     its padding (none at a power of two) and its cut's penalty; the last position has none. Ties go to the longest window.
     """
-    position = [0, *ends.tolist()]
-    penalty = [0, *penalties.tolist()]
+    places = np.concatenate([[0], ends])
+    steps = _steps_of_a_power(places, size)
+    position, penalty = places.tolist(), [0, *penalties.tolist()]
     penalty[-1] = 0
-    cost = [0.0] * len(position)
-    came = [0] * len(position)
-    index = {p: i for i, p in enumerate(position)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    cost, came = [0] * len(position), [0] * len(position)
     queue: deque[int] = deque([0])
     for j in range(1, len(position)):
         at = position[j]
@@ -110,11 +109,9 @@ def window_cuts(ends: np.ndarray, penalties: np.ndarray, size: int = WINDOW) ->
             queue.popleft()
         i = queue[0]
         best = cost[i] + size - (at - position[i])
-        if j == len(position) - 1:  # only the last window is likely to be short
-            for p in powers:
-                k = index.get(at - p)
-                if k is not None and cost[k] < best:
-                    best, i = cost[k], k
+        for k in steps.get(j, ()):
+            if cost[k] < best or (cost[k] == best and k < i):
+                best, i = cost[k], k
         cost[j], came[j] = best + penalty[j], i
         key = cost[j] + at
         while queue and cost[queue[-1]] + position[queue[-1]] > key:
@@ -127,6 +124,16 @@ def window_cuts(ends: np.ndarray, penalties: np.ndarray, size: int = WINDOW) ->
     return cuts[::-1]
 
 
+def _steps_of_a_power(places: np.ndarray, size: int) -> dict[int, list[int]]:
+    """For each place the places that lie a power of two up to ``size`` before it, both by index."""
+    out: dict[int, list[int]] = {}
+    for p in (1 << k for k in range(size.bit_length()) if 1 << k <= size):
+        before = np.searchsorted(places, places - p)
+        for j in np.flatnonzero((places >= p) & (places[before] == places - p)).tolist():
+            out.setdefault(j, []).append(int(before[j]))
+    return out
+
+
 class Stretch:
     """Documents laid end to end, packed when there are enough tokens."""
 
@@ -140,7 +147,7 @@ class Stretch:
         self.tokens += len(ids)
 
     def pack(self, last: bool) -> list[tuple]:
-        """Pieces of the windows; all but the last few windows' tokens unless ``last``."""
+        """Pieces of the windows; unless ``last``, the windows at the end stay, as more tokens may change their cuts."""
         if not self.tokens:
             return []
         ids = np.concatenate([d[3] for d in self.docs])
@@ -153,8 +160,8 @@ class Stretch:
         at = at[at > 0]
         cuts = window_cuts(at, penalty[at], self.size)
         if not last:
-            keep = max(1, len(cuts) - 4)
-            cuts = cuts[:keep]
+            settled = [c for c in cuts if c <= len(ids) - 4 * self.size]
+            cuts = settled or cuts[:1]
         out, begin, d = [], 0, 0
         starts = doc_ends - [len(x[3]) for x in self.docs]
         for cut in cuts:
@@ -186,10 +193,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = WINDOW, with_ids:
     ``with_ids`` the piece's ``ids``.
 
     A document's ids end with id 0, so that a null or empty text is one id. Every id lies in one piece. Ids of documents may be null or
-    repeat: each row is packed by itself. Sequence ids are unique; they number the windows of a partition from its number shifted
-    by 40 bits. An empty table gives an empty result.
+    repeat: each row is packed by itself. A document of any length is cut into as many windows as it takes. Sequence ids are unique; they
+    number the windows of a partition from its number shifted by 40 bits. An empty table gives an empty result, other columns are ignored.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
