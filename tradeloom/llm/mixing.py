@@ -4,8 +4,9 @@ A source's target over its size gives the copies each of its documents should ha
 inclusion probability. The flight phase moves these probabilities: of three undecided documents it finds the direction that changes
 neither the expected number of documents nor the expected number of words (the null space of the two constraints), and goes along it, to one
 side or the other with odds that keep the expectation, until a probability reaches 0 or 1. Blocks of a source fly on their own, in
-parallel; each leaves at most two documents undecided, and its few smallest ones. These fly again, many blocks' rests together, until a source has at most two: the
-landing problem, solved by trying every rounding.
+parallel; each leaves at most two documents undecided, and ``LANDING`` of all sizes that it does not touch. These fly again, many blocks'
+rests together, until a source is one block. What its last flight leaves is the landing problem. Every rounding of these is tried; of those whose number of documents is within one of the expected number, that with
+the nearest number of words is taken. No decision of a flight is changed.
 
 Blocks hold a bounded number of documents, chosen by a hash, so a hot source is many blocks. Random choices come from a generator seeded by
 source and block, over rows in a fixed order, so reruns agree. Only ids, sizes and hashes are shuffled, never texts.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,8 @@ CAP = 3
 #: Documents of a block of the first flight, and blocks whose rests fly together.
 BLOCK = 4096
 REST_BLOCKS = 512
-#: The smallest documents of a block that fly last, and decisions that the landing may turn over.
-RESERVE = 16
-TURNS = 32
+#: Documents of a block, evenly spread over its sizes, that stay out of its flight.
+LANDING = 12
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
 
@@ -69,39 +68,32 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray, words: float, may_turn: np.ndarray) -> np.ndarray:
-    """The last few probabilities rounded so that the words come nearest to ``words``; then, while that brings them nearer, one decision of
-    those that ``may_turn`` is turned over, ``TURNS`` times at most."""
+def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The undecided probabilities (``LANDING`` + 2 at most) rounded: of the roundings whose number of documents is within one of its expectation, that whose
+    words come nearest to theirs; ties to the nearer number of documents, then to the first documents."""
     undecided = np.flatnonzero((p > 0) & (p < 1))
+    if not len(undecided):
+        return p
+    own, words = p[undecided], size[undecided]
+    sides = (np.arange(1 << len(undecided))[:, None] >> np.arange(len(undecided)) & 1).astype(np.float64)
+    documents_off, words_off = np.abs(sides.sum(axis=1) - own.sum()), np.abs(sides @ words - own @ words)
     out = p.copy()
-    if len(undecided):
-        missing = words - float((p * size).sum()) + float((p * size)[undecided].sum())
-        out[undecided] = min(product((0.0, 1.0), repeat=len(undecided)), key=lambda s: (abs(np.dot(s, size[undecided]) - missing), s))
-    able = np.flatnonzero(may_turn)
-    for _ in range(TURNS if len(able) else 0):
-        over = float((out * size).sum()) - words
-        after = np.abs(over + np.where(out[able] > 0, -size[able], size[able]))
-        k = int(np.argmin(after))
-        if after[k] >= abs(over):
-            break
-        out[able[k]] = 1.0 - out[able[k]]
+    out[undecided] = sides[np.lexsort((documents_off, words_off, documents_off >= 1))[0]]
     return out
 
 
 def _fly(key: tuple, g: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """One block's flight. But for the last, the block's smallest documents stay for the next, so that the last flight can end on them."""
+    """One block's flight, and for the last one the landing. Some documents of all sizes stay out of the flight, so that what comes after can end on them."""
     by, up = (["size", "draw", "doc_id", "h"], [False, True, True, True]) if last else (["draw", "doc_id", "h", "size"], True)
     g = g.sort_values(by, ascending=up, kind="stable", na_position="last", ignore_index=True)
     name = "" if key[0] is None else str(key[0])
     rng = np.random.default_rng([zlib.crc32(name.encode("utf-8", "surrogatepass")), key[0] is None, int(key[1])])
     size, p = (g["size"] * g["rows"]).to_numpy(dtype=np.float64), g["p"].to_numpy(dtype=np.float64)
-    if last:
-        return g.assign(p=landing(flight(p, size, rng), size, float((p * size).sum()), (p > 0) & (p < 1)))
     flies = np.ones(len(p), dtype=bool)
-    flies[np.argsort(size, kind="stable")[:RESERVE]] = False
+    flies[np.argsort(size, kind="stable")[np.unique((np.arange(LANDING) + 0.5) * len(p) // LANDING).astype(int)]] = False
     out = p.copy()
     out[flies] = flight(p[flies], size[flies], rng)
-    return g.assign(p=out)
+    return g.assign(p=landing(out, size) if last else out)
 
 
 def _flier(last: bool):
@@ -118,17 +110,17 @@ def source_targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     exceeds ``cap`` times its source's size stops there, and what it leaves is shared anew among the others.
     """
     per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
-    per = per.repartitionByRange(8, F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
+    per = per.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
     per = common.written(per, "sources")
-    # A row per partition of the sources, 8 or a few hundred; not one per source.
+    # A row per partition of the sources, as many as the session shuffles into; not one per source.
     starts, seen = [], 0
     for r in per.groupBy("part").count().orderBy("part").collect():
         starts.append((r["part"], seen))
         seen += r["count"]
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    offset = F.coalesce(*(F.when(F.col("part") == part, F.lit(n)) for part, n in starts), F.lit(0)) if starts else F.lit(0)
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((within + offset) % len(weights) + 1).cast("int"))
-    ranked = common.written(per.withColumn("weight", weight), "weights")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("within") + F.col("start")) % len(weights) + 1).cast("int"))
+    numbered = per.withColumn("within", within).join(per.sparkSession.createDataFrame(starts, "part int, start long"), "part")
+    ranked = common.written(numbered.select("source", "source_size", "units", weight.alias("weight")), "weights")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # at most once per source that stops; in practice a few times
@@ -151,6 +143,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
 
     Input: ``doc_id``, ``text``, ``source``, any of them null; other columns are ignored. Equal rows (same id, source and text) are decided
     together. A null text has size 0; a source without words has target 0, and its documents one copy each. No document has over ``cap`` copies.
+    Documents of equal size are told apart by a hash of id and text. A text of any length is counted where it is read; an empty table gives
+    an empty result.
     """
     kind = docs.schema["doc_id"].dataType
     units = common.written(sized_units(docs.withColumn("doc_id", F.col("doc_id").cast("string"))), "units")  # ids as text: pandas would make longs beside nulls doubles
