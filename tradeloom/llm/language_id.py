@@ -1,24 +1,28 @@
 """Language of whole texts, code-switched ones too, by a linear-chain conditional random field.
 
 Words are the tokens between white space that hold a letter. A word's features are its beginnings and endings, its letter pairs and
-triples, and itself as an entry of a hashed lexicon; each has a learned weight for every language. A transition matrix ties neighbouring
-words. Forward-backward gives each word's marginals; a document's languages are the means of its words' marginals by letters, and the
-greatest is predicted.
-
-Training maximises the likelihood of a bounded sample (``SAMPLE`` documents of each language, of at most ``SAMPLE_CHARS`` characters), every
-word labelled with its document's language, by AdaGrad. Prediction reads every document once, whole, and shuffles nothing. Chains are
-cut into stretches of ``STRETCH`` words that run side by side; the matrix product of a stretch carries the messages across, so that
-long texts are exact as well.
+triples, and its entry in a lexicon: the languages whose training documents use it. Each feature has a learned weight for every language,
+and a learned transition matrix ties neighbouring words. Forward-backward gives each word's marginals; a document's languages are the
+means of its words' marginals by letters, and the greatest is predicted.
+
+Training maximises the likelihood of a bounded sample by AdaGrad: of each language ``SAMPLE`` documents, or fewer where there are many
+languages (``SAMPLE_DOCS`` in all), and of each ``SAMPLE_WORDS`` words, in runs spread over it. Their words carry their document's
+language. Beside them stand chains spliced from runs of several languages, so that switches are seen and their weights learned. The
+lexicon comes from as many other documents, so that training meets words that it lacks. Prediction reads every document once, whole,
+and shuffles nothing. Chains are cut into stretches that run side by side, of ``STRETCH`` words for four languages and longer ones for more;
+the matrix product of a stretch carries the messages across, so that long texts are exact as well.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,17 +30,21 @@ from pyspark.sql.window import Window
 from . import common
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 120, 20_000, 64
+SAMPLE, SAMPLE_DOCS, SAMPLE_WORDS = 120, 2400, 400
+#: Words of a run that is taken from a long document; spliced chains, by languages, and the least and most words of their runs.
+RUN_WORDS = 50
+SPLICES, SPLICE_RUNS, SPLICE_WORDS = 40, 5, (3, 16)
+#: Documents of a language that have a word which its lexicon keeps, and entries of a lexicon, all languages together.
+LEXICON_DOCS, LEXICON = 2, 200_000
 BUCKETS = 1 << 16
 EPOCHS, RATE, DECAY = 16, 0.5, 1e-5
 STRETCH = 32
+#: Numbers held at a time while training: words by languages.
+CELLS = 1_000_000
 #: Words whose features a worker remembers.
 REMEMBERED = 200_000
 UNKNOWN = "und"
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-
-
-#: Beginnings and endings of two to five bytes, the mark of the word's edge included, and the word itself.
+#: Beginnings and endings of two to five bytes, the mark of the word's edge included; and the lexicon's entry.
 AFFIXES = (2, 3, 4, 5)
 FIXED = 2 * len(AFFIXES) + 1
 
@@ -45,8 +53,9 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(40)) & np.uint64(BUCKETS - 1)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of lower-case words without marks around them: all words' features one after another, and how many each has."""
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of lower-case words without marks around them: all words' features one after another, and how many each has. ``lexicon``: a
+    word's set of languages as a number; other words have 0."""
     marked = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
     n = np.fromiter(map(len, marked), dtype=np.int64, count=len(words))
     text = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
@@ -71,61 +80,68 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 at = begin + (n - 1 - k if ending else k)
                 x = np.where(k < n, (x << np.uint64(8)) | text[np.where(k < n, at, 0)], x)
             out[fixed + 2 * i + ending] = _bucket(x, 3 + 2 * i + ending)
-    out[fixed + FIXED - 1] = _bucket(np.fromiter(map(zlib.crc32, marked), dtype=np.uint64, count=len(words)), 20)
+    out[fixed + FIXED - 1] = _bucket(np.fromiter((lexicon.get(w, 0) for w in words), dtype=np.uint64, count=len(words)), 20)
     return out, sizes
 
 
 def core(token: str) -> str:
-    """A token as a word: lower case, without marks and digits around it; empty if it has no letter."""
-    return _EDGE.sub("", token).lower() if any(map(str.isalpha, token)) else ""
+    """A token as a word: lower case, without what is no letter at either end; empty if it has no letter."""
+    start, stop = 0, len(token)
+    while start < stop and not token[start].isalpha():
+        start += 1
+    while start < stop and not token[stop - 1].isalpha():
+        stop -= 1
+    return token[start:stop].lower()
 
 
-def padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(lengths: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For chains laid end to end: of each stretch its chain, its first word and its number of words."""
-    pieces = -(-lengths // STRETCH)
+    pieces = -(-lengths // stretch)
     chain = np.repeat(np.arange(len(lengths)), pieces)
     nth = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * STRETCH
-    return chain, first, np.minimum(STRETCH, lengths[chain] - nth * STRETCH)
+    first = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * stretch
+    return chain, first, np.minimum(stretch, lengths[chain] - nth * stretch)
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray, pairs: bool = False):
+def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray, pairs: bool = False, stretch: int = STRETCH):
     """Marginals of every word, and with ``pairs`` the expected transitions. ``emission``: words by languages, ``transition``: from by to, both as
-    logarithms; ``lengths``: words of each chain, none zero."""
+    logarithms; ``lengths``: words of each chain, none zero. Stretches of chains longer than ``stretch`` are tied by the products of their steps."""
     n, size = emission.shape
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
     t = np.exp(transition - transition.max())
-    chain, first, count = padded(lengths)
+    chain, first, count = padded(lengths, stretch)
     m = len(chain)
-    at = first[:, None] + np.arange(STRETCH)
-    inside = np.arange(STRETCH) < count[:, None]
-    at = np.where(inside, at, 0)
-    cols = [e[at[:, k]] for k in range(STRETCH)]
-    # product[s]: messages through stretch s; a chain's first word has no transition before it
+    inside = np.arange(stretch) < count[:, None]
+    at = np.where(inside, first[:, None] + np.arange(stretch), 0)
+    cols = [e[at[:, k]] for k in range(stretch)]
+    # a chain's first word has no transition before it
     starts = np.r_[True, chain[1:] != chain[:-1]]
-    product = np.broadcast_to(np.eye(size), (m, size, size)).copy()
-    for k in range(STRETCH):
-        step = product @ t
-        if k == 0:
-            step[starts] = product[starts]
-        step = step * cols[k][:, None, :]
-        step /= step.sum(axis=(1, 2), keepdims=True)
-        product = np.where(inside[:, k, None, None], step, product)
-    nth = np.arange(m) - np.maximum.accumulate(np.where(starts, np.arange(m), 0))
-    left = np.ones((m, size)) / size
-    right = np.ones((m, size)) / size
-    by_nth = np.argsort(nth, kind="stable")
-    bounds = np.searchsorted(nth[by_nth], np.arange(nth.max() + 2)) if m else np.array([0])
-    for k in range(1, len(bounds) - 1):
-        s = by_nth[bounds[k] : bounds[k + 1]]
-        v = np.einsum("si,sij->sj", left[s - 1], product[s - 1])
-        left[s] = v / v.sum(axis=1, keepdims=True)
-    for k in range(len(bounds) - 2, 0, -1):
-        s = by_nth[bounds[k] : bounds[k + 1]]
-        v = np.einsum("sij,sj->si", product[s], right[s])
-        right[s - 1] = v / v.sum(axis=1, keepdims=True)
+    left, right = np.ones((m, size)) / size, np.ones((m, size)) / size
+    many = np.flatnonzero((lengths > stretch)[chain])
+    if len(many):
+        place = np.zeros(m, dtype=np.int64)
+        place[many] = np.arange(len(many))
+        product = np.broadcast_to(np.eye(size), (len(many), size, size)).copy()  # messages through each stretch
+        for k in range(stretch):
+            step = product @ t
+            if k == 0:
+                step[starts[many]] = product[starts[many]]
+            step = step * cols[k][many][:, None, :]
+            step /= step.sum(axis=(1, 2), keepdims=True)
+            product = np.where(inside[many, k, None, None], step, product)
+        nth = np.arange(m) - np.maximum.accumulate(np.where(starts, np.arange(m), 0))
+        by_nth = np.argsort(nth, kind="stable")
+        bounds = np.searchsorted(nth[by_nth], np.arange(nth.max() + 2))
+        for k in range(1, len(bounds) - 1):
+            s = by_nth[bounds[k] : bounds[k + 1]]
+            v = np.einsum("si,sij->sj", left[s - 1], product[place[s - 1]])
+            left[s] = v / v.sum(axis=1, keepdims=True)
+        for k in range(len(bounds) - 2, 0, -1):
+            s = by_nth[bounds[k] : bounds[k + 1]]
+            v = np.einsum("sij,sj->si", product[place[s]], right[s])
+            right[s - 1] = v / v.sum(axis=1, keepdims=True)
     alphas, a = [], left
-    for k in range(STRETCH):
+    for k in range(stretch):
         b = a @ t
         if k == 0:
             b = np.where(starts[:, None], a, b)
@@ -135,19 +151,17 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.n
     out = np.empty((n, size))
     expected = np.zeros((size, size))
     b = right
-    for k in range(STRETCH - 1, -1, -1):
+    for k in range(stretch - 1, -1, -1):
         ok = inside[:, k]
         g = alphas[k] * b
         out[at[ok, k]] = (g / g.sum(axis=1, keepdims=True))[ok]
         back = cols[k] * b
+        v = back @ t.T
         if pairs:
-            before = alphas[k - 1] if k else left
             use = ok & ~(starts & (k == 0))
-            x = before[use][:, :, None] * t[None] * back[use][:, None, :]
-            expected += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        if k or not starts.all():
-            v = back @ t.T
-            b = np.where(ok[:, None], v / v.sum(axis=1, keepdims=True), b)
+            before = (alphas[k - 1] if k else left)[use]
+            expected += t * ((before / (before * v[use]).sum(axis=1, keepdims=True)).T @ back[use])
+        b = np.where(ok[:, None], v / v.sum(axis=1, keepdims=True), b)
     return (out, expected) if pairs else out
 
 
@@ -158,19 +172,20 @@ class Field:
     names: list[str]
     weight: np.ndarray
     transition: np.ndarray
+    lexicon: dict[str, int] = field(default_factory=dict)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.names)), dtype=np.float32)
-        flat, sizes = features(words)
+        flat, sizes = features(words, self.lexicon)
         return np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes, axis=0)
 
 
 class Reader:
     """A worker's memory of tokens: their rows of emissions. Row 0 stands for tokens without a letter."""
 
-    def __init__(self, field: Field):
-        self.field = field
+    def __init__(self, learned: Field):
+        self.field = learned
         self.forget()
 
     def forget(self) -> None:
@@ -192,115 +207,201 @@ class Reader:
             self.letters = np.concatenate([self.letters, [float(len(cores[i])) for i in known]])
         return np.fromiter(map(self.rows.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
-    def read(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The predicted language and its score for each text."""
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        size = len(self.field.names)
-        if not size:
-            return names, scores
+    def marginals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word in each text: the text's number, the word's letters, and its marginals by language."""
         split = [(t or "").split() for t in texts]
         row = self.look_up([w for ws in split for w in ws])
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
         row, owner = row[row > 0], owner[row > 0]
         lengths = np.bincount(owner, minlength=len(texts))
-        has = np.flatnonzero(lengths)
+        if not len(row):
+            return owner, np.zeros(0), np.zeros((0, len(self.field.names)))
+        return owner, self.letters[row], forward_backward(self.table[row].astype(np.float64), self.field.transition, lengths[lengths > 0], stretch=STRETCH * max(1, len(self.field.names) // 4))
+
+    def read(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The predicted language and its score for each text."""
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.field.names:
+            return names, scores
+        owner, weight, marginal = self.marginals(texts)
+        has = np.flatnonzero(np.bincount(owner, minlength=len(texts)))
         if not len(has):
             return names, scores
-        marginal = forward_backward(self.table[row].astype(np.float64), self.field.transition, lengths[has])
-        weight = self.letters[row]
         total = np.bincount(owner, weights=weight, minlength=len(texts))[has]
-        share = np.column_stack([np.bincount(owner, weights=weight * marginal[:, k], minlength=len(texts))[has] for k in range(size)]) / total[:, None]
+        share = np.column_stack([np.bincount(owner, weights=weight * marginal[:, k], minlength=len(texts))[has] for k in range(len(self.field.names))]) / total[:, None]
         best = share.argmax(axis=1)
         scores[has] = np.clip(share[np.arange(len(has)), best], 0, 1)
         for i, k in zip(has, best):
             names[i] = self.field.names[k]
         return names, scores
 
-
-def fit(texts: list[str], langs: list[str]) -> Field:
-    """The field that maximises the likelihood of the texts' words, each labelled with its text's language."""
+    def label(self, texts: list[str | None]) -> list[list[str]]:
+        """The language of each word of each text."""
+        out: list[list[str]] = [[] for _ in texts]
+        if self.field.names:
+            owner, _, marginal = self.marginals(texts)
+            for i, k in zip(owner.tolist(), marginal.argmax(axis=1).tolist()):
+                out[i].append(self.field.names[k])
+        return out
+
+
+def spliced(chains: list[tuple[list[str], int]], languages: int) -> list[tuple[list[str], list[int]]]:
+    """Chains of runs from documents of several languages, each word with its own."""
+    rng = np.random.default_rng(3)
+    by = defaultdict(list)
+    for words, y in chains:
+        by[y].append(words)
+    out = []
+    for _ in range(SPLICES * languages if len(by) > 1 else 0):
+        words, label, last = [], [], -1
+        for _ in range(SPLICE_RUNS):
+            y = int(rng.choice([k for k in by if k != last]))
+            own = by[y][rng.integers(len(by[y]))]
+            n = int(rng.integers(SPLICE_WORDS[0], SPLICE_WORDS[1] + 1))
+            at = int(rng.integers(max(1, len(own) - n + 1)))
+            words += own[at : at + n]
+            label += [y] * len(own[at : at + n])
+            last = y
+        out.append((words, label))
+    return out
+
+
+def fit(texts: list[str], langs: list[str], lexicon: dict[str, int] | None = None) -> Field:
+    """The field that maximises the likelihood of the texts' words, each labelled with its text's language, and of chains spliced from them."""
     names = sorted(set(langs))
-    field = Field(names, np.zeros((BUCKETS, len(names)), dtype=np.float32), np.zeros((len(names), len(names))))
-    chains = [([c for c in map(core, t.split()) if c], names.index(y)) for t, y in zip(texts, langs)]
-    chains = [(ws, y) for ws, y in chains if ws]
-    if not chains or len(names) < 2:
-        return field
+    out = Field(names, np.zeros((BUCKETS, len(names)), dtype=np.float32), np.zeros((len(names), len(names))), lexicon or {})
+    whole = [([c for c in map(core, t.split()) if c], names.index(y)) for t, y in zip(texts, langs)]
+    whole = [(ws, y) for ws, y in whole if ws]
+    if not whole or len(names) < 2:
+        return out
+    chains = sorted([(ws, [y] * len(ws)) for ws, y in whole] + spliced(whole, len(names)), key=lambda c: len(c[0]))
     kinds: dict[str, int] = {}
     word = np.array([kinds.setdefault(w, len(kinds)) for ws, _ in chains for w in ws])
     lengths = np.array([len(ws) for ws, _ in chains])
-    label = np.repeat([y for _, y in chains], lengths)
-    flat, sizes = features(list(kinds))
+    label = np.array([y for _, ys in chains for y in ys])
+    flat, sizes = features(list(kinds), out.lexicon)
     of = np.repeat(np.arange(len(kinds)), sizes)
     starts = np.cumsum(sizes) - sizes
     # a language's words weigh as much as another's
     balance = (len(label) / len(names) / np.maximum(np.bincount(label, minlength=len(names)), 1))[label]
-    truth = np.zeros((len(label), len(names)))
-    truth[np.arange(len(label)), label] = 1
     seen = np.zeros((len(names), len(names)))
     inner = np.ones(len(label) - 1, dtype=bool)
     inner[np.cumsum(lengths)[:-1] - 1] = False
     np.add.at(seen, (label[:-1][inner], label[1:][inner]), 1)
-    w, t = np.zeros((BUCKETS, len(names))), np.zeros((len(names), len(names)))
-    gw, gt = np.full(w.shape, 1e-8), np.full(t.shape, 1e-8)
+    w, t = np.zeros((BUCKETS, len(names)), dtype=np.float32), np.zeros((len(names), len(names)))
+    gw, gt = np.full(w.shape, 1e-8, dtype=np.float32), np.full(t.shape, 1e-8)
+    ends = np.cumsum(lengths)
+    cells = np.cumsum(lengths) * len(names)
+    parts = np.unique(np.r_[0, np.flatnonzero(np.diff(cells // CELLS)) + 1, len(lengths)])  # chains that go through the field together
     for _ in range(EPOCHS):
-        emission = np.add.reduceat(w[flat], starts, axis=0)[word]
-        marginal, expected = forward_backward(emission, t, lengths, pairs=True)
-        error = (truth - marginal) * balance[:, None]
-        by_kind = np.column_stack([np.bincount(word, weights=error[:, k], minlength=len(kinds)) for k in range(len(names))])
-        g = np.column_stack([np.bincount(flat, weights=by_kind[of, k], minlength=BUCKETS) for k in range(len(names))]) / len(label) - DECAY * w
-        gw += g * g
-        w += RATE * g / np.sqrt(gw)
+        emission = np.add.reduceat(w[flat], starts, axis=0)
+        by_kind, expected = np.zeros((len(kinds), len(names))), np.zeros(t.shape)
+        for first, stop in zip(parts, parts[1:]):
+            s = slice(ends[first] - lengths[first], ends[stop - 1])
+            marginal, pairs = forward_backward(emission[word[s]].astype(np.float64), t, lengths[first:stop], pairs=True, stretch=int(lengths[stop - 1]))
+            expected += pairs
+            marginal *= -1
+            marginal[np.arange(len(marginal)), label[s]] += 1
+            marginal *= balance[s, None]
+            for k in range(len(names)):
+                by_kind[:, k] += np.bincount(word[s], weights=marginal[:, k], minlength=len(kinds))
+        for k in range(len(names)):
+            g = np.bincount(flat, weights=by_kind[of, k], minlength=BUCKETS) / len(label) - DECAY * w[:, k]
+            gw[:, k] += g * g
+            w[:, k] += RATE * g / np.sqrt(gw[:, k])
         g = (seen - expected) / len(label) - 1e-3 * t
         gt += g * g
         t += RATE * g / np.sqrt(gt)
-    # switches are never seen in texts of one label: the bound keeps them possible
-    field.weight, field.transition = w.astype(np.float32), np.clip(t - t.max(), -5.0, 0.0)
-    return field
+    out.weight, out.transition = w, t
+    return out
+
+
+def _runs(text: str, most: int) -> str:
+    """The text's words, or ``most`` of them: runs spread evenly over it."""
+    words = text.split()
+    if len(words) <= most:
+        return text
+    runs = max(1, most // RUN_WORDS)
+    return " ".join(w for at in np.linspace(0, len(words) - RUN_WORDS, runs).astype(int) for w in words[at : at + RUN_WORDS])
+
+
+def _cores(texts: pd.Series) -> list[list[str]]:
+    return [sorted({c for c in map(core, t.split()) if c}) for t in texts]
 
 
 def learn(docs: DataFrame) -> Field:
-    """The field of a bounded sample of the labelled documents outside the held-out fold: of each language those with the smallest hashes of their ids.
-    Of a repeated id the first text in their order counts. Without labelled text every prediction is ``und``. At most ``LANGUAGES`` languages, the most frequent ones, are learned."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
-    fits = known.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    # The rank is limited in every task before the shuffle, so a language sends SAMPLE ids from each.
+    """The field of a bounded sample of the labelled documents outside the held-out fold: of each language those with the smallest hashes of their ids, every
+    second one for the lexicon. Every language with a labelled text is learned. Of a repeated id the first text in their order counts. Without
+    labelled text every prediction is ``und``. A document without white space counts as one word, whatever its length."""
+    common.bound_batches(docs.sparkSession)
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
+    languages = known.select("lang").distinct().count()
+    if not languages:
+        return fit([], [])
+    each = max(2, min(SAMPLE, SAMPLE_DOCS // languages))
+    # The rank is limited in every task before the shuffle, so a language sends as many ids from each.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    chosen = fits.join(F.broadcast(langs), "lang", "left_semi").select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
-    rows = fits.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()  # LANGUAGES * SAMPLE texts of SAMPLE_CHARS at most
-    rows = rows.sort_values(["lang", "doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    chosen = known.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * each)
+    rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(text=[_runs(t, SAMPLE_WORDS) for t in b["text"]])
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"lang": b["lang"], "word": _cores(b["text"])})
+
+    rows = common.written(rows.select("lang", "rank", "text").mapInPandas(cut, "lang string, rank int, text string"), "language-sample")
+    words = rows.where(F.col("rank") % 2 == 0).select("lang", "text").mapInPandas(entries, "lang string, word array<string>").select("lang", F.explode("word").alias("word"))
+    kept = words.groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("n") >= LEXICON_DOCS).groupBy("word").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.sum("n").alias("n"))
+    lexicon = {r["word"]: zlib.crc32("\0".join(r["langs"]).encode()) for r in kept.orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    taught = rows.where(F.col("rank") % 2 == 1).select("lang", "text").toPandas().sort_values(["lang", "text"])  # SAMPLE_DOCS texts of SAMPLE_WORDS words
+    return fit(taught["text"].tolist(), taught["lang"].tolist(), lexicon)
 
 
 _READERS: dict[str, Reader] = {}
 
 
-def predict(docs: DataFrame, field: Field) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` for every row. A text that is null or has no letter is ``und`` with score 0. Repeated rows get equal answers; an
-    empty table gives an empty result; other columns are ignored."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex  # BUCKETS rows of a float for each language
+def _by_reader(learned: Field, spark: SparkSession):
+    """A function from texts to what a worker's reader says of them, a bounded number of characters at a time."""
+    shared, key = spark.sparkContext.broadcast(learned), uuid.uuid4().hex  # BUCKETS rows of a float for each language, and the lexicon
 
-    def compute(texts: list[str | None]) -> dict:
+    def each(texts: list[str | None]) -> Iterator[tuple[Reader, list]]:
         if key not in _READERS:  # a worker keeps the reader of the last field it served
             _READERS.clear()
             _READERS[key] = Reader(shared.value)
-        names: list[str] = []
-        scores: list[np.ndarray] = [np.zeros(0)]
         first = 0
-        while first < len(texts):  # a bounded number of characters at a time
+        while first < len(texts):
             stop, chars = first, 0
             while stop < len(texts) and (stop == first or chars + len(texts[stop] or "") <= 1 << 19):
                 chars += len(texts[stop] or "")
                 stop += 1
-            some, s = _READERS[key].read(texts[first:stop])
-            names += some
-            scores.append(s)
+            yield _READERS[key], texts[first:stop]
             first = stop
-        return {"lang_pred": names, "score": np.concatenate(scores)}
+
+    return each
+
+
+def predict(docs: DataFrame, learned: Field) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score`` for every row. A text that is null or has no letter is ``und`` with score 0; languages of equal shares go to the
+    first name. A text of any length is read whole. Repeated rows get equal answers; an empty table gives an empty result; other columns
+    are ignored."""
+    each = _by_reader(learned, docs.sparkSession)
+
+    def compute(texts: list[str | None]) -> dict:
+        found = [reader.read(some) for reader, some in each(texts)]
+        return {"lang_pred": [n for names, _ in found for n in names], "score": np.concatenate([np.zeros(0), *(s for _, s in found)])}
 
     return common.computed(docs, "doc_id", "text", compute, {"lang_pred": "string", "score": "double"})
 
 
+def label_words(docs: DataFrame, learned: Field) -> DataFrame:
+    """``doc_id``, ``word_langs`` for every row: the language of each word, that is of each token with a letter, in order. Null texts have none."""
+    each = _by_reader(learned, docs.sparkSession)
+    return common.computed(docs, "doc_id", "text", lambda texts: {"word_langs": [x for reader, some in each(texts) for x in reader.label(some)]}, {"word_langs": "array<string>"})
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
