@@ -1,10 +1,10 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Candidates are dealt into shards of a bounded number of rows by a hash; each shard's task builds a KD-tree (median splits of the widest
-component, tight bounding boxes). Queries come in blocks of a bounded number and meet every shard: a block of queries and a shard are
-one task. A query walks the tree best first: of the open boxes it takes the one with the highest bound on the inner product, and stops
-when that bound is below its k-th score. Each block of queries first searches one shard; the k-th scores found there go along to all other
-shards, where they prune boxes from the start and keep hopeless rows from being returned.
+Candidates are dealt into shards of a bounded number of rows by a hash; each shard's KD-tree (median splits of the widest component, tight
+bounding boxes) is built once and kept as a row of a table in the shared folder. Queries travel to the shards, in rounds: in the first each
+query meets one shard, in the next ones ever more of the rest, and with a query goes the k-th score of what it has found so far. In a
+task a shard's tree comes first and its queries stream past it, so memory is a tree and a batch. A query walks the tree best first: of the
+open boxes it takes the one with the highest bound on the inner product, and stops when that bound is below its k-th score.
 
 Scores are exact: components are whole numbers, and products are taken in double precision only where they stay below 2**53, else in
 Python's integers.
@@ -13,6 +13,8 @@ Python's integers.
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,9 @@ from . import common
 
 SCALE = 1024
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
 LEAF = 64
+#: Shards that a query meets in the second round, and how many times as many in each round after it.
+ROUND_SHARDS, ROUND_GROWTH = 16, 16
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -89,70 +92,121 @@ def whole(embedding: pd.Series) -> np.ndarray:
     return np.floor(SCALE * np.array(embedding.tolist(), dtype=np.float64).reshape(len(embedding), -1))
 
 
-def _search(points: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    columns = ["query_row", "query_id", "row", "vec_id", "score"]
-    if not len(points) or not len(queries):
-        return pd.DataFrame(columns=columns)
-    x, q = whole(points["embedding"]), whole(queries["embedding"])
-    out = []
-    rows, names = points["row"].to_numpy(), points["vec_id"].to_numpy()
-    if max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) * max(x.shape[1], 1) >= 2.0**53:
-        exact = [[int(v) for v in p] for p in x]
-        for own, name, v in zip(queries["row"], queries["query_id"], q):
-            v = [int(c) for c in v]
-            scored = sorted(((min(max(sum(map(int.__mul__, v, p)), LONG[0]), LONG[1]), i) for i, p in enumerate(exact) if rows[i] != own), key=lambda t: (-t[0], names[t[1]]))[:k]
-            out += [(own, name, rows[i], names[i], s) for s, i in scored]
-        return pd.DataFrame(out, columns=columns)
-    tree = Tree(x)
-    rows, names = rows[tree.order], names[tree.order]
-    place = {r: i for i, r in enumerate(rows.tolist())}
-    bounds = np.maximum(q, 0) @ tree.hi.T + np.minimum(q, 0) @ tree.lo.T
-    for own, name, floor, v, b in zip(queries["row"], queries["query_id"], queries["floor"], q, bounds):
-        floor = -np.inf if pd.isna(floor) else float(floor)
-        out += [(own, name, rows[p], names[p], int(s)) for s, p in tree.search(v, b, names, place.get(own, -1), floor, k)]
-    return pd.DataFrame(out, columns=columns)
-
-
-FOUND = "query_row long, query_id long, row long, vec_id long, score long"
-
-
-def _met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each ``(block, shard)`` of queries searched in that shard."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(left, right, k)
-
-    return points.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard")).applyInPandas(run, FOUND)
+class Shard:
+    """A shard's tree with its rows and ids."""
+
+    def __init__(self, points: pd.DataFrame):
+        x = whole(points["embedding"])
+        self.tree = Tree(x)
+        self.rows, self.ids = points["row"].to_numpy()[self.tree.order], points["vec_id"].to_numpy()[self.tree.order]
+        self.place = {r: i for i, r in enumerate(self.rows.tolist())}
+        self.largest = max(np.abs(x).max(initial=0), 1)
+
+    def found(self, queries: pd.DataFrame, k: int) -> Iterator[tuple]:
+        """Rows ``query_row``, ``query_id``, ``row``, ``vec_id``, ``score``: the best of this shard for each query, of at least its floor."""
+        q = whole(queries["embedding"])
+        exact = self.largest * max(np.abs(q).max(initial=0), 1) * max(q.shape[1], 1) >= 2.0**53
+        if not exact:
+            bounds = np.maximum(q, 0) @ self.tree.hi.T + np.minimum(q, 0) @ self.tree.lo.T
+        for i, (own, name, floor) in enumerate(zip(queries["row"], queries["vec_id"], queries["floor"])):
+            at = self.place.get(own, -1)
+            if exact:
+                v = [int(c) for c in q[i]]
+                scored = ((min(max(sum(c * int(u) for c, u in zip(v, p)), LONG[0]), LONG[1]), j) for j, p in enumerate(self.tree.points) if j != at)
+                best = sorted(scored, key=lambda t: (-t[0], self.ids[t[1]]))[:k]
+            else:
+                best = self.tree.search(q[i], bounds[i], self.ids, at, -np.inf if pd.isna(floor) else float(floor), k)
+            for score, j in best:
+                yield own, name, self.rows[j], self.ids[j], int(score)
+
+
+FOUND = ["query_row", "query_id", "row", "vec_id", "score"]
+
+
+def _planted(points: DataFrame) -> DataFrame:
+    """``dims``, ``shard``, ``tree`` (bytes) of each shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def tree(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            own = pd.concat(parts, ignore_index=True)
+            return pd.DataFrame({"dims": own["dims"][:1], "shard": own["shard"][:1], "tree": [pickle.dumps(Shard(own), protocol=5)]})
+
+        parts, last = [], None
+        for b in batches:
+            for key, g in b.groupby(["dims", "shard"], sort=False):
+                if parts and key != last:
+                    yield tree(parts)
+                    parts = []
+                parts.append(g)
+                last = key
+        if parts:
+            yield tree(parts)
+
+    ordered = points.repartition("dims", "shard").sortWithinPartitions("dims", "shard", "row")
+    return ordered.select("dims", "shard", "row", "vec_id", "embedding").mapInPandas(run, "dims int, shard long, tree binary")
+
+
+def _met(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each query (``dims``, ``shard``, ``row``, ``vec_id``, ``embedding``, ``floor``) searched in its shard."""
+    vector = queries.schema["embedding"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, shard = None, None
+        for b in batches:
+            for own, g in b.groupby(["dims", "shard"], sort=False):
+                if g["tree"].iat[0] is not None:
+                    key, shard, g = own, pickle.loads(g["tree"].iat[0]), g.iloc[1:]
+                if own == key and len(g):
+                    yield pd.DataFrame(list(shard.found(g, k)), columns=FOUND)
+
+    first = trees.select("dims", "shard", "tree", F.lit(-1).cast("long").alias("row"), F.lit(-1).cast("long").alias("vec_id"), F.lit(None).cast(vector).alias("embedding"), F.lit(None).cast("double").alias("floor"))
+    rows = first.unionByName(queries.select("dims", "shard", F.lit(None).cast("binary").alias("tree"), "row", "vec_id", "embedding", "floor"))
+    # a shard's tree sorts before its queries
+    ordered = rows.repartition("dims", "shard").sortWithinPartitions("dims", "shard", "row")
+    return ordered.mapInPandas(run, "query_row long, query_id long, row long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 10) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for every row where the SQL condition ``is_query`` holds, the ``k`` rows other than
     itself of the highest inner products of floor(1024 x), ties to the smaller ``vec_id``; all, if there are fewer.
 
-    Input: ``vec_id``, ``embedding``; other columns are ignored. Rows whose id is null, and vectors that are null, empty or hold null or
-    non-finite components, take no part, nor do vectors of another length than the most common one. Rows of a repeated id are rows of their
-    own: each is a query, and finds the others. Scores beyond a long are cut to its range.
+    Input: ``vec_id`` (a whole number), ``embedding``; other columns are ignored. Rows whose id is null, and vectors that are null, empty or hold
+    null or non-finite components, take no part. A query finds vectors of its own length, whatever lengths others have. Rows of a repeated
+    id are rows of their own: each is a query, and finds the others. Scores beyond a long are cut to its range. An empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
+    common.bound_batches(spark)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     base = vectors.where(F.col("vec_id").isNotNull() & finite & (F.size("embedding") > 0))
-    base = common.written(base.select("vec_id", "embedding", F.expr(is_query).alias("asks")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).orderBy(F.desc("n"), "d").first()
-    if not sizes or not sizes["q"]:
+    base = base.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dims"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id())
+    base = common.written(base, "vectors")
+    sizes = common.written(base.groupBy("dims").agg(F.expr(f"cast(ceil(count(*) / {SHARD_ROWS}) as long)").alias("shards"), F.count_if("asks").alias("asked")).where("asked > 0"), "sizes")
+    most = sizes.agg(F.max("shards")).first()[0]
+    if not most:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    other = common.again(base).where(F.size("embedding") == sizes["d"])
-    base = base.where(F.size("embedding") == sizes["d"])
-    shards, blocks = -(-sizes["n"] // SHARD_ROWS), -(-sizes["q"] // QUERY_ROWS)
-    points = base.select("row", "vec_id", "embedding", F.expr(f"cast(pmod(xxhash64(row, 3), {shards}) as int)").alias("shard"))
-    points = points.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-    asks = other.where("asks").select("row", F.col("vec_id").alias("query_id"), "embedding", F.expr(f"cast(pmod(xxhash64(row, 5), {blocks}) as int)").alias("block"))
-    pilot = F.expr(f"block % {shards}")
-    first = common.written(_met(points.where(F.col("shard") == pilot), asks.withColumn("shard", pilot).withColumn("floor", F.lit(None).cast("double")), k), "pilot")
-    floors = first.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    others = asks.join(floors, F.col("row") == F.col("query_row"), "left").drop("query_row").withColumn("shard", F.explode(F.expr(f"sequence(0, {shards - 1})"))).where(F.col("shard") != pilot)
-    found = first.unionByName(_met(points.where(F.col("shard") != pilot), others, k)) if shards > 1 else first
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    dealt = base.join(sizes.drop("asked"), "dims")
+    points = dealt.withColumn("shard", F.expr("pmod(xxhash64(row, 3), shards)"))
+    trees = common.written(_planted(points), "trees")
+    asks = dealt.where("asks").withColumn("pilot", F.expr("pmod(xxhash64(row, 5), shards)"))
+    found, first, stop = None, 0, 1
+    while first < most:
+        floor = F.lit(None).cast("double").alias("floor")
+        going = asks
+        if found is not None:
+            floors = common.again(found).groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+            going, floor = asks.join(floors, "row", "left"), F.col("floor")
+        steps = F.explode(F.expr(f"sequence({first}L, least(shards, {stop}L) - 1)")).alias("step")
+        going = going.where(f"shards > {first}").select("dims", "row", "vec_id", "embedding", floor, "pilot", "shards", steps).withColumn("shard", F.expr("(pilot + step) % shards"))
+        met = _met(trees, going, k)
+        found = common.written(_best(met if found is None else found.unionByName(met), k).drop("rank"), "found")
+        first, stop = stop, (1 + ROUND_SHARDS if stop == 1 else stop * ROUND_GROWTH)
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
