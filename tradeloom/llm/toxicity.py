@@ -2,12 +2,14 @@
 
 Folding lower-cases, maps look-alike letters and digits to one form, drops invisible characters and turns punctuation into spaces. The
 lexicon is a fixed list of insults plus what the labels teach: whole words, word beginnings and word endings that cover toxic training
-documents and hardly occur in clean ones, chosen greedily by the toxic documents that nothing chosen so far covers. A document's hits,
-less those inside exception phrases, are summed by weight; the sum and the sum by length go through a logistic curve fitted on
-the same sample.
-
-Learning takes a bounded sample of labelled documents (``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE``, those with the smallest hashes of their ids); scoring reads
-every document once, without a shuffle, with a broadcast automaton of at most ``LEXICON`` entries.
+documents and hardly occur in clean ones, chosen greedily by the toxic documents that nothing chosen so far covers. Exception phrases are
+a fixed list, in the singular and the plural, and what the labels teach: an insult with the word before or after it, where clean documents
+have the two and toxic ones hardly. A document's hits, less those inside exception phrases, are summed by weight; the sum and the sum
+by length go through a logistic curve fitted on the same sample.
+
+Learning takes a bounded sample of labelled documents (``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE``, those with the smallest hashes of their ids). Every
+learned pattern covers ``LEAST`` of the sample's toxic documents that no other covers, so there are at most 1 / ``LEAST`` of them, and the
+broadcast automaton is small at any size. Scoring reads every document once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOXIC_SAMPLE, CLEAN_SAMPLE, LEXICON = 3000, 6000, 512
+TOXIC_SAMPLE, CLEAN_SAMPLE, LEAST = 3000, 6000, 0.002
 FOLDS, HELD_OUT, REJECT = 5, 0, 0.5
 #: Toxic documents that a pattern must newly cover for each clean sample document that has it.
 CLEAN_COST = 5
+#: Clean sample documents that have an exception phrase, and for each toxic one that has it.
+EXCEPTION_DOCS, EXCEPTION_ODDS = 3, 10
 
 # Insults that count before anything is learned, and phrases in which they don't count.
 INSULTS = "idiot moron imbecile scum scumbag loser trash pathetic worthless stupid disgusting clown dumbass bastard bitch asshole cretin degenerate dimwit filth freak garbage jerk lowlife parasite retard slut vermin whore wretch".split()
@@ -82,9 +87,14 @@ class Lexicon:
 
     weights: dict[str, float]
     curve: tuple[float, float, float] = (-3.0, 1.5, 0.5)
-    exceptions: list[str] = field(default_factory=lambda: list(EXCEPTIONS))
+    exceptions: list[str] = field(default_factory=lambda: [p for e in EXCEPTIONS for p in (e, f"{e}s")])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
+    @cached_property
     def automaton(self) -> ahocorasick.Automaton:
+        """Built once by whoever matches with it; it does not travel."""
         a = ahocorasick.Automaton()
         for phrase in self.exceptions:
             p = fold(phrase)
@@ -95,8 +105,9 @@ class Lexicon:
         return a
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the weighted hits and the number of words."""
-        a = self.automaton()
+        """Of each text the weighted hits and the number of words. A word counts once, by the heaviest of its patterns that lie in no exception phrase;
+        of equally heavy ones it does not matter which."""
+        a = self.automaton
         hit, words = np.zeros(len(texts)), np.zeros(len(texts))
         for i, text in enumerate(texts):
             t = fold(text)
@@ -141,15 +152,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon that a bounded sample of the labels teaches; without toxic labels only the fixed list."""
-    fixed = {f" {fold(w).strip()} ": 3.0 for w in INSULTS}
-    common.arrow_rows(docs.sparkSession)
+    insults = {fold(w).strip() for w in INSULTS}
+    fixed = {f" {w} ": 3.0 for w in insults}
+    common.bound_batches(docs.sparkSession)
     rows = common.written(sample(docs, labels, "toxic", FOLDS, HELD_OUT, TOXIC_SAMPLE, CLEAN_SAMPLE), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, y in zip(b["text"], b["y"]):
-                seen[int(y)].update({p for w in set(fold(text).split()) for p in parts(w)})
+                words = fold(text).split()
+                seen[int(y)].update({p for w in set(words) for p in parts(w)} | {f"{a} {b}" for a, b in zip(words, words[1:]) if a in insults or b in insults})
         for y, c in seen.items():
             yield pd.DataFrame({"part": list(c), "y": y, "n": list(c.values())})
 
@@ -157,11 +170,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic:
         return Lexicon(fixed)
-    least = max(3, math.ceil(0.002 * toxic))
+    least = max(3, math.ceil(LEAST * toxic))
     counts = rows.mapInPandas(count, "part string, y int, n long").groupBy("part").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    telling = counts.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= 2.5)).orderBy(F.desc(F.col("odds") * F.col("bad")), "part").limit(20_000)
-    known = {r["part"]: (r["odds"], r["good"]) for r in telling.collect()}
+    counts = common.written(counts, "toxic-parts")
+    phrase = F.col("part").rlike("^[^ ]+ [^ ]+$")
+    learned = [r["part"] for r in counts.where(phrase & (F.col("good") >= EXCEPTION_DOCS) & (F.col("good") >= EXCEPTION_ODDS * F.col("bad"))).collect()]  # with an insult: a few of the sample's phrases
+    telling = counts.withColumn("odds", odds).where(~phrase & (F.col("bad") >= least) & (F.col("odds") >= 2.5))
+    known = {r["part"]: (r["odds"], r["good"]) for r in telling.collect()}  # words of several of the sample's toxic documents
 
     def covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     for i, ps in enumerate(has):
         for p in ps:
             where[p].add(i)
-    while len(chosen) < LEXICON - len(fixed) and where:
+    while where:
         p = max(where, key=lambda p: (len(where[p]) - CLEAN_COST * known[p][1], p[0] == p[-1], len(p), p))
         gone = where[p]
         if len(gone) - CLEAN_COST * known[p][1] < least:
@@ -181,6 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         chosen[p] = round(min(known[p][0], 6.0), 4)
         where = {q: s for q, v in where.items() if len(s := v - gone) >= least}
     lexicon = Lexicon(fixed | chosen)
+    lexicon.exceptions += sorted(set(learned).difference(fold(p).strip() for p in lexicon.exceptions))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,8 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id``, ``score`` (0 to 1), ``hits`` (their weights' sum) for every row. A null or empty text is scored as a text without hits. Repeated
-    rows get equal scores; an empty table gives an empty result; other columns are ignored."""
+    """``doc_id``, ``score`` (0 to 1), ``hits`` (their weights' sum) for every row. A null or empty text is scored as a text without hits, a text of any
+    length whole. Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored."""
 
     def compute(texts: list[str | None]) -> dict:
         hit, words = lexicon.sums(texts)
