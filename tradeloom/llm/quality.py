@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A document's terms are pairs of adjacent character classes over its whole text (single letters, and one class each for capitals, digits,
-white space, every punctuation mark and other bytes), and graded measures of its form: how varied its words and lines are, how often a word
-follows itself, its length. Term weights and the latent space (a truncated singular value decomposition) come from a bounded sample of
+A document's terms are its words and its runs of three bytes, both hashed, over the whole text in any script, and graded measures of its
+form: how varied its words and lines are, how often a word follows itself, its length. Terms are weighted by the logarithm of their
+counts and by their rarity (tf-idf). The weights and the latent space (a truncated singular value decomposition) come from a bounded sample of
 labelled documents, as do the labelled vectors, which are broadcast: ``SAMPLE`` of each label at most, so about two megabytes at any size of
 corpus. Every document's cosine with all of them is taken in blocks, exactly, and its ``NEIGHBOURS`` nearest vote by similarity.
 
@@ -11,6 +11,8 @@ Scoring reads every document once and shuffles nothing.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,57 +24,49 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import sample
 
-SAMPLE, FOLDS, HELD_OUT, ACCEPT = 2000, 4, 2, 0.7
+SAMPLE, FOLDS, HELD_OUT, ACCEPT = 1500, 4, 2, 0.7
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 40, 15, 8
 BLOCK = 256
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte: below 64."""
-    out = np.full(256, 61, dtype=np.uint16)
-    out[128:] = 62
-    out[0xC2:] = 63
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = 26
-    out[ord("0") : ord("9") + 1] = 27
-    out[ord(" ")], out[ord("\n")] = 28, 29
-    for i, c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"):
-        out[c] = 30 + min(i, 30)
-    return out
-
+#: Buckets of hashed words and of hashed runs of three bytes, and the places of each graded measure.
+WORDS, RUNS, GRADES = 1 << 11, 1 << 11, 16
+MEASURES = 5
+TERMS = WORDS + RUNS + MEASURES * GRADES
+#: The lengths of a text's words, runs and measures as parts of its vector.
+WORD_LENGTH, RUN_LENGTH, MEASURE_LENGTH = 30.0, 60.0, 120.0
 
-CLASSES = _classes()
-PAIRS, GRADES = 64 * 64, 16
-TERMS = PAIRS + 5 * GRADES
 
-
-def grades(raw: bytes) -> list[float]:
+def grades(raw: bytes, words: list[bytes], counts: dict[bytes, int]) -> list[float]:
     """Measures of form between 0 and 1: share of different words, of words that repeat the one before, of different lines; commonest word's share; length."""
-    words = raw.split()
     n = len(words)
     if not n:
         return [1.0, 0.0, 1.0, 0.0, 0.0]
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
     lines = raw.split(b"\n")
     again = sum(map(bytes.__eq__, words, words[1:])) / n
     return [len(counts) / n, again, len(set(lines)) / len(lines), max(counts.values()) / n, min(1.0, np.log10(1 + n) / 5)]
 
 
 def terms(texts: list[str | None]) -> np.ndarray:
-    """Term weights of each text before those of the corpus: logarithms of counts a thousand characters, and spread grades."""
+    """Term weights of each text before those of the corpus: logarithms of counts, each kind brought to its length, and spread grades."""
     out = np.zeros((len(texts), TERMS), dtype=np.float32)
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        c = CLASSES[np.frombuffer(raw, dtype=np.uint8)]
-        if len(c) > 1:
-            out[i, :PAIRS] = np.bincount(c[:-1] * np.uint16(64) + c[1:], minlength=PAIRS)
-            out[i, :PAIRS] *= 1000.0 / len(c)
-        for k, g in enumerate(grades(raw)):
+        words = raw.split()
+        counts = Counter(words)
+        if words:
+            bucket = np.fromiter(map(zlib.crc32, counts), dtype=np.int64, count=len(counts)) % WORDS
+            out[i, :WORDS] = np.bincount(bucket, weights=np.log1p(np.fromiter(counts.values(), dtype=np.float64, count=len(counts))), minlength=WORDS)
+        if len(raw) > 2:
+            c = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+            bucket = (((c[:-2] << 16) | (c[1:-1] << 8) | c[2:]) * np.uint32(2654435761)) >> np.uint32(32 - RUNS.bit_length() + 1)
+            out[i, WORDS : WORDS + RUNS] = np.log1p(np.bincount(bucket, minlength=RUNS))
+        for part, length in ((slice(0, WORDS), WORD_LENGTH), (slice(WORDS, WORDS + RUNS), RUN_LENGTH)):
+            out[i, part] *= length / max(np.linalg.norm(out[i, part]), 1e-12)
+        for k, g in enumerate(grades(raw, words, counts)):
             centre = np.arange(GRADES) - g * (GRADES - 1)
-            out[i, PAIRS + k * GRADES : PAIRS + (k + 1) * GRADES] = 60 * np.exp(-(centre**2) / 2)
-    return np.log1p(out, out=out)
+            out[i, WORDS + RUNS + k * GRADES : WORDS + RUNS + (k + 1) * GRADES] = MEASURE_LENGTH * np.exp(-(centre**2) / 2)
+    return out
 
 
 @dataclass
@@ -124,14 +118,14 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> Voters:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Voters:
     """The voters of a bounded sample of the labels, stratified; votes are weighted back to the labels' shares. Without labels every score is 0.5."""
-    common.arrow_rows(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     rows = sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE, SAMPLE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int32"), "x": [v.astype("<f2").tobytes() for v in terms(b["text"].tolist())]})
 
-    found = rows.mapInPandas(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y", "x"])  # 2 * SAMPLE rows of 8 KB
+    found = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, x binary").toPandas().sort_values(["doc_id", "y", "x"])  # 2 * SAMPLE rows of 8 KB
     y, x = found["y"].to_numpy(), np.empty((len(found), TERMS), dtype=np.float32)
     for i, v in enumerate(found.pop("x")):
         x[i] = np.frombuffer(v, dtype="<f2")
@@ -141,8 +135,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
-    """``doc_id``, ``score`` (0 to 1) for every row. A null or empty text is scored by its lack of terms. Repeated rows get equal scores; an empty table
-    gives an empty result; other columns are ignored."""
+    """``doc_id``, ``score`` (0 to 1) for every row. A null or empty text is scored by its lack of terms, a text of any length whole. Repeated rows get
+    equal scores; an empty table gives an empty result; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(voters)  # 2 * SAMPLE vectors and a basis of TERMS rows at most
     return common.computed(docs, "doc_id", "text", lambda texts: {"score": shared.value.scores(texts)}, {"score": "double"})
 
