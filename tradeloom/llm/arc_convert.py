@@ -3,22 +3,26 @@
 An ARC file begins with a version block, whose lines name the version and the fields of the header line before each record; version 1 has
 five fields, version 2 has ten. The last field declares the record's length, and nothing else bounds a record. The converter reads header
 lines by the file's own version, takes the declared lengths, and synthesises what WARC has and ARC lacks: a record id (a name-based UUID of
-target, date, digest and position in its stream), an ISO timestamp, a content type, payload and block digests, and whether a record is a
-response or revisits an equal payload.
-
-Archives are written by Spark's text writer, compressed, in the folder that driver and executors share, and read with its binary file
-source: a row is a file, as large as the partition it was written from. Which record of equal payloads is the response is decided over
-digests alone; then the payloads are joined to that once.
+target, date, digest, file and position in it, so no two records share one), an ISO timestamp, a content type, payload and block digests,
+and whether a record is a response or revisits an equal payload.
+
+Archives are written by Spark's text writer, compressed, in the folder that driver and executors share. Its rows are sections of about
+``BATCH_BYTES``, each with a version block or a warcinfo record of its own, and a file ends after ``ARCHIVE_BYTES`` of them. So the binary file
+source, whose rows are files, never meets a large one; only a single record may be larger, and is held in memory as it is in its row. A
+file is one gzip stream, named by that writer. Which record of equal payloads is the response is decided over digests alone; then the
+payloads are joined to that once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import posixpath
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -29,8 +33,8 @@ from . import common
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
-#: Bytes of records given on at a time.
-BATCH_BYTES = 4 << 20
+#: Bytes of records given on at a time, and of a file before it is compressed.
+BATCH_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 20
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
@@ -143,8 +147,17 @@ def record_id(target: str, date: str, digest: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{target} {date} {digest} {key}')}>"
 
 
-def _text(parts: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame({"value": parts})
+def _sections(records: Iterator[bytes], start: Callable[[int], bytes], end: bytes, most: int) -> Iterator[pd.DataFrame]:
+    """Sections of ``most`` bytes of records between ``end``, or one longer record, each after what ``start`` gives for its number; one without records if there are none."""
+    number, part, size = 0, [start(0)], 0
+    for r in records:
+        if size and size + len(r) > most:
+            yield pd.DataFrame({"value": [end.join(part)]})
+            number += 1
+            part, size = [start(number)], 0
+        part.append(r)
+        size += len(r)
+    yield pd.DataFrame({"value": [end.join(part)]})
 
 
 def _batches(rows: Iterator[tuple], columns: list[str], weight: int) -> Iterator[pd.DataFrame]:
@@ -160,57 +173,69 @@ def _batches(rows: Iterator[tuple], columns: list[str], weight: int) -> Iterator
         yield pd.DataFrame(part, columns=columns)
 
 
-def _save(lines: DataFrame, path: str, end: str) -> None:
-    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+def _save(sections: DataFrame, path: str, end: bytes) -> None:
+    out = sections.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end.decode()).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    out.option("maxRecordsPerFile", ARCHIVE_BYTES // BATCH_BYTES).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     """Write ``page_id``, ``url``, ``html`` as ARC files, of version 1 and 2 by turns of partitions: an HTTP response for each row, its page in a header."""
+    most = BATCH_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         version = 1 + part % 2
         body = f"{version} 0 tradeloom\n{' '.join(FIELDS[version])}\n".encode()
-        rows = [f"filedesc://part-{part}.arc 0.0.0.0 {date} text/plain {'200 - - 0 part.arc ' if version == 2 else ''}{len(body)}\n".encode() + body]
-        offset, size = len(rows[0]), 0
-        for b in batches:
-            for page, url, text in zip(b["page_id"], b["url"], b["html"]):
-                payload = text.encode("utf-8") if isinstance(text, str) else b""
-                name = page if isinstance(page, str) else ""
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {name}\r\n\r\n".encode()
-                target = re.sub(r"[\s\x00-\x20\x7f]", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url) if isinstance(url, str) and url else f"urn:page:{name}"
-                extra = f"200 - - {offset} part-{part}.arc " if version == 2 else ""
-                rows.append(f"{target} 0.0.0.0 {date} text/html {extra}{len(head) + len(payload)}\n".encode() + head + payload)
-                offset += len(rows[-1]) + 1
-                size += len(rows[-1])
-                if size >= BATCH_BYTES:
-                    yield _text(rows)
-                    rows, size = [], 0
-        if rows:
-            yield _text(rows)
+
+        def start(number: int) -> bytes:
+            name = f"part-{part}-{number}.arc"
+            return f"filedesc://{name} 0.0.0.0 {date} text/plain {f'200 - - 0 {name} ' if version == 2 else ''}{len(body)}\n".encode() + body
+
+        def records() -> Iterator[bytes]:
+            offset = 0
+            for b in batches:
+                for page, url, text in zip(b["page_id"], b["url"], b["html"]):
+                    payload = text.encode("utf-8") if isinstance(text, str) else b""
+                    name = quote(page, safe="") if isinstance(page, str) else None
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{'' if name is None else f'X-Page-Id: {name}' + CRLF.decode()}\r\n".encode()
+                    target = re.sub(r"[\s\x00-\x20\x7f]", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url) if isinstance(url, str) and url else f"urn:page:{name or ''}"
+                    extra = f"200 - - {offset} part-{part}.arc " if version == 2 else ""
+                    record = f"{target} 0.0.0.0 {date} text/html {extra}{len(head) + len(payload)}\n".encode() + head + payload
+                    offset += len(record) + 1
+                    yield record
+
+        yield from _sections(records(), start, b"\n", most)
 
     slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
-    _save(slim.mapInPandas(run, "value binary"), path, "\n")
+    _save(slim.mapInPandas(run, "value binary"), path, b"\n")
+
+
+RECORD = ["record_id", "target", "ip", "date", "page", "size", "digest", "head", "payload"]
+RECORD_TYPES = "record_id string, target string, ip string, date string, page string, size long, digest string, head binary, payload binary"
 
 
-RECORD = ["target", "ip", "date", "page", "size", "digest", "head", "payload"]
-RECORD_TYPES = "target string, ip string, date string, page string, size long, digest string, head binary, payload binary"
+def page_of(head: bytes) -> str | None:
+    """The page that a header names."""
+    name = http_field(head, "X-Page-Id")
+    return None if name is None else unquote(name)
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of ARC files: target, address, ISO date, page (the ``X-Page-Id`` header), payload size and SHA-1 (hex), HTTP head and payload."""
+    """The records of ARC files: a new id, target, address, ISO date, page (the ``X-Page-Id`` header), payload size and SHA-1 (hex), HTTP head and payload."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
             for b in batches:
-                for content in b["content"]:
-                    for fields, body in arc_records(content):
+                for name, content in zip(b["path"], b["content"]):
+                    name = posixpath.basename(name)
+                    for n, (fields, body) in enumerate(arc_records(content)):
                         head, payload = split_http(body)
-                        yield fields["URL"], fields["IP-address"], iso_date(fields["Archive-date"]), http_field(head, "X-Page-Id"), len(payload), hashlib.sha1(payload).hexdigest(), head, payload if payloads else None
+                        digest, date = hashlib.sha1(payload).hexdigest(), iso_date(fields["Archive-date"])
+                        yield record_id(fields["URL"], date, digest, f"{name} {n}"), fields["URL"], fields["IP-address"], date, page_of(head), len(payload), digest, head, payload if payloads else None
 
-        yield from _batches(rows(), RECORD, 7)
+        yield from _batches(rows(), RECORD, 8)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, RECORD_TYPES)
 
 
@@ -218,53 +243,54 @@ def _base32(digest: str) -> str:
     return base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def responses(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """``digest``, ``page``, ``target``, ``date`` of the response of each payload of at least ``least`` bytes that several records share: the record of the
-    largest page number (numbers before none), ties to the greatest target and date."""
-    order = F.struct(F.expr("try_cast(page as bigint)").alias("number"), F.col("target").alias("target"), F.col("date").alias("date"), F.col("page").alias("page"))
+def responses(records: DataFrame, least: int = REVISIT_BYTES, page_type: str = "bigint") -> DataFrame:
+    """``digest``, ``r_record_id``, ``r_target`` of the response of each payload of at least ``least`` bytes that several records share: the record of the
+    largest page as a ``page_type`` (pages of that type before others and none), ties to the greatest target, date and id."""
+    order = F.struct(F.expr(f"try_cast(page as {page_type})").alias("page"), "target", "date", "record_id")
     best = records.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(order).alias("best")).where("n > 1")
-    return best.select("digest", F.col("best.page").alias("r_page"), F.col("best.target").alias("r_target"), F.col("best.date").alias("r_date"), F.lit(True).alias("shared"))
+    return best.select("digest", F.col("best.record_id").alias("r_record_id"), F.col("best.target").alias("r_target"), F.lit(True).alias("shared"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REVISIT_BYTES) -> None:
-    """Convert ARC files to WARC files. Records with the page, target and date of their payload's response are responses too (repeated rows)."""
-    winners = common.written(responses(read_arc(spark, arc_path, payloads=False), least), "responses")
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REVISIT_BYTES, page_type: str = "bigint") -> None:
+    """Convert ARC files to WARC files. Of several equal rows one is the response, as of any equal payloads."""
+    winners = common.written(responses(read_arc(spark, arc_path, payloads=False), least, page_type), "responses")
     met = read_arc(spark, arc_path).join(winners, "digest", "left")
-    mine = F.col("r_page").eqNullSafe(F.col("page")) & (F.col("r_target") == F.col("target")) & (F.col("r_date") == F.col("date"))
-    revisits = F.coalesce(F.col("shared") & (F.col("size") >= least) & ~mine, F.lit(False))
-    met = met.select("target", "ip", "date", "page", "size", "digest", "head", F.when(~revisits, F.col("payload")).alias("payload"), revisits.alias("revisit"), "r_page", "r_target", "r_date")
+    revisits = F.coalesce(F.col("shared") & (F.col("size") >= least) & (F.col("r_record_id") != F.col("record_id")), F.lit(False))
+    met = met.select("record_id", "target", "ip", "date", "digest", "head", F.when(~revisits, F.col("payload")).alias("payload"), revisits.alias("revisit"), "r_record_id", "r_target")
+    most = BATCH_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        info = b"software: tradeloom\r\nformat: WARC File Format 1.0\r\n"
         part = TaskContext.get().partitionId()
-        head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id('warcinfo', '', '', str(part))}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
-        rows, size = [head.encode() + info], 0
-        for b in batches:
-            for r in b.itertuples(index=False):
-                block = r.head + (b"" if r.revisit else r.payload)
-                lines = [
-                    "WARC/1.0",
-                    f"WARC-Type: {'revisit' if r.revisit else 'response'}",
-                    f"WARC-Record-ID: {record_id(r.target, r.date, r.digest, r.page or '')}",
-                    f"WARC-Date: {r.date}",
-                    f"WARC-Target-URI: {r.target}",
-                    f"WARC-IP-Address: {r.ip}",
-                    "Content-Type: application/http; msgtype=response",
-                    f"WARC-Payload-Digest: sha1:{_base32(r.digest)}",
-                    f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
-                ]
-                if r.revisit:
-                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(r.r_target, r.r_date, r.digest, r.r_page or '')}", f"WARC-Refers-To-Target-URI: {r.r_target}"]
-                lines.append(f"Content-Length: {len(block)}")
-                rows.append("\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block)
-                size += len(rows[-1])
-                if size >= BATCH_BYTES:
-                    yield _text(rows)
-                    rows, size = [], 0
-        yield _text(rows)
-
-    common.arrow_rows(spark)
-    _save(met.mapInPandas(run, "value binary"), warc_path, "\r\n\r\n")
+        info = b"software: tradeloom\r\nformat: WARC File Format 1.0\r\n"
+
+        def start(number: int) -> bytes:
+            name = record_id("warcinfo", "", "", f"{warc_path} {part} {number}")
+            return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {name}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info
+
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    block = r.head + (b"" if r.revisit else r.payload)
+                    lines = [
+                        "WARC/1.0",
+                        f"WARC-Type: {'revisit' if r.revisit else 'response'}",
+                        f"WARC-Record-ID: {r.record_id}",
+                        f"WARC-Date: {r.date}",
+                        f"WARC-Target-URI: {r.target}",
+                        f"WARC-IP-Address: {r.ip}",
+                        "Content-Type: application/http; msgtype=response",
+                        f"WARC-Payload-Digest: sha1:{_base32(r.digest)}",
+                        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
+                    ]
+                    if r.revisit:
+                        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {r.r_record_id}", f"WARC-Refers-To-Target-URI: {r.r_target}"]
+                    lines.append(f"Content-Length: {len(block)}")
+                    yield "\r\n".join(lines).encode("utf-8", "surrogateescape") + CRLF + CRLF + block
+
+        yield from _sections(records(), start, CRLF + CRLF, most)
+
+    common.bound_batches(spark)
+    _save(met.mapInPandas(run, "value binary"), warc_path, CRLF + CRLF)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -301,7 +327,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         if kind == "response" and hashlib.sha1(payload).hexdigest() != declared:
                             raise ArchiveError(f"{fields.get('warc-record-id')} does not have its declared digest")
                         size = len(payload) if kind == "response" else int(http_field(head, "Content-Length") or 0)
-                        yield fields.get("warc-record-id"), kind, http_field(head, "X-Page-Id"), size, declared, fields.get("warc-refers-to")
+                        yield fields.get("warc-record-id"), kind, page_of(head), size, declared, fields.get("warc-refers-to")
 
         yield from _batches(rows(), columns, 0)
 
@@ -312,19 +338,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC records read back: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
 
-    Input: ``page_id``, ``url``, ``html``; other columns are ignored. A null html is an empty payload, a null url a name made of the page; a null page
-    comes back as null, and is a response of shared payloads only where no page of the group has a number. Rows repeated with page, url and
-    payload stay rows of their own of equal ids. An empty table gives an empty result.
+    Input: ``page_id`` of any type that can be written as text and read again, ``url``, ``html``; other columns are ignored. A null html is an empty
+    payload, a null url a name made of the page; a null page comes back as null, and is the response of shared payloads only where no record
+    of the group has a page. Repeated rows stay records of their own: one of them may be the response of the others. Payloads of any
+    length are kept whole. An empty table gives an empty result.
     """
-    spark = pages.sparkSession
-    common.arrow_rows(spark)
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
+    common.bound_batches(spark)
     arc, warc = common.scratch(spark, "arc"), common.scratch(spark, "warc")
     write_arc(pages, arc)
-    convert(spark, arc, warc)
+    convert(spark, arc, warc, page_type=kind)
     found = common.written(read_warc(spark, warc), "records")
-    whole = common.again(found).where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.expr("try_cast(page as bigint)").alias("refers_to"))
-    out = found.join(whole.dropDuplicates(["refers_to_id"]), "refers_to_id", "left")
-    return out.select(F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"), "record_id")
+    page = F.expr(f"try_cast(page as {kind})")
+    whole = common.again(found).where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), page.alias("refers_to"))
+    out = found.join(whole, "refers_to_id", "left")
+    return out.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
