@@ -12,16 +12,20 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Elements nested deeper are children of the element at this depth.
-DEPTH = 120
-#: Cells are padded to at most this width; wider ones push the rest of their own row only.
+#: Elements nested deeper are children of the element at this depth, as in browsers. No text is lost.
+DEPTH = 512
+#: Calls that a level of the tree takes at most.
+CALLS = 6
+#: Cells are padded to at most this width; wider ones push the rest of their own row only. No text is lost.
 CELL = 80
+#: Fixed value of the HTML standard: the most columns of a cell; rows are held to the same.
 SPAN = 1000
 
 # Fixed values of the HTML standard.
@@ -48,10 +52,16 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children", "_values")
+    __slots__ = ("name", "attributes", "children", "shown", "gone", "_values")
 
-    def __init__(self, name: str, attributes: str = ""):
+    def __init__(self, name: str, attributes: str = "", parent: Node | None = None):
         self.name, self.attributes, self.children, self._values = name, attributes, [], None
+        #: Whether its own texts are visible, and whether it is left out with all that is in it.
+        self.shown, self.gone = parent.shown if parent else True, False
+        if attributes:
+            style = self.style()
+            self.gone = "hidden" in self.values() or style.get("display") == "none"
+            self.shown = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility"), self.shown)
 
     def values(self) -> dict[str, str]:
         """Attributes by name; of a repeated name the first counts."""
@@ -64,21 +74,19 @@ class Node:
     def attribute(self, name: str) -> str | None:
         return self.values().get(name) if self.attributes else None
 
-    def hidden(self) -> bool:
-        """By the attribute of that name, or by its own style."""
-        if not self.attributes:
-            return False
-        if "hidden" in self.values():
-            return True
-        style = re.sub(r"/\*.*?(?:\*/|\Z)", " ", self.attribute("style") or "", flags=re.S)
+    def style(self) -> dict[str, str]:
+        """The declarations of the element's own style; the last of a name counts, important ones before others."""
+        text = self.attribute("style")
+        if not text:
+            return {}
         last: dict[str, tuple[bool, str]] = {}
-        for declaration in _DECLARATION.findall(style):
+        for declaration in _DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", text, flags=re.S)):
             name, _, value = declaration.partition(":")
             name, value = name.strip().lower(), " ".join(value.lower().split())
             force = value.replace(" ", "").endswith("!important")
             if value and (force or not last.get(name, (False, ""))[0]):
                 last[name] = force, value.split("!")[0].strip()
-        return last.get("display", (False, ""))[1] == "none" or last.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+        return {k: v for k, (_, v) in last.items()}
 
 
 def parse(source: str) -> Node:
@@ -108,7 +116,7 @@ def parse(source: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                stack[-1].children.append(Node("p", "", stack[-1]))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     del stack[i:]
@@ -120,7 +128,7 @@ def parse(source: str) -> Node:
             close({"p"}, {"td", "th", "li", "button", "table", "caption"})
         if name in IMPLIED:
             close(*IMPLIED[name])
-        node = Node(name, m[3])
+        node = Node(name, m[3], stack[-1])
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
@@ -157,7 +165,7 @@ class Flow:
 
 
 def seen(node: Node) -> bool:
-    return node.name not in UNSEEN and node.name not in UNDRAWN and not node.hidden() and not (node.name == "dialog" and node.attribute("open") is None)
+    return node.name not in UNSEEN and node.name not in UNDRAWN and not node.gone and not (node.name == "dialog" and node.attribute("open") is None)
 
 
 def chosen(node: Node) -> list[Node]:
@@ -184,14 +192,22 @@ def _label(option: Node) -> str:
     return option.attribute("label") or "".join(_texts(option, []))
 
 
+def _whole(text: str | None) -> int | None:
+    return int(text) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text or "") else None
+
+
 def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
-    number = 0
+    step, number = 1, 1
     if node.name == "ol":
-        start = node.attribute("start") or "1"
-        number = (int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1) - 1
+        number = 1
+        if node.attribute("reversed") is not None:
+            step, number = -1, sum(isinstance(c, Node) and c.name == "li" for c in node.children)
+        start = _whole(node.attribute("start"))
+        number = number if start is None else start
     for c in node.children:
         if isinstance(c, str):
-            flow.text.append(c)
+            if node.shown:
+                flow.text.append(c)
             continue
         if not seen(c):
             continue
@@ -202,16 +218,16 @@ def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
                 flow.lines.append("")
         elif c.name == "hr":
             flow.flush()
-            flow.add(["---"], 1)
+            flow.add(["---"] if c.shown else [], 1)
         elif c.name == "img":
-            if alt := c.attribute("alt"):
+            if (alt := c.attribute("alt")) and c.shown:
                 flow.text.append(f" {alt} ")
         elif c.name == "input":
-            if (c.attribute("type") or "text").lower() not in ("hidden", "password", "checkbox", "radio", "file", "image") and (value := c.attribute("value")):
+            if c.shown and (c.attribute("type") or "text").lower() not in ("hidden", "password", "checkbox", "radio", "file", "image") and (value := c.attribute("value")):
                 flow.text.append(f" {value} ")
         elif c.name == "select":
             for option in chosen(c):
-                flow.text.append(f" {_label(option)} ")
+                flow.text.append(f" {_label(option)} " if option.shown else "")
         elif c.name == "svg":
             for text in _drawn(c, []):
                 flow.text.append(f" {text} ")
@@ -220,14 +236,16 @@ def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
             flow.add(_preformatted(c), 1)
         elif c.name == "textarea":
             flow.flush()
-            flow.add([x for x in html.unescape("".join(c.children)).split("\n") if x.strip()], 0)
+            flow.add([x for x in html.unescape("".join(c.children)).split("\n") if x.strip() and c.shown], 0)
         elif c.name == "table":
             flow.flush()
             flow.add(_table(c), 1)
         elif c.name == "li":
             flow.flush()
-            number += 1
+            value = _whole(c.attribute("value"))
+            number = number if value is None else value
             mark = f"{number}. " if node.name == "ol" else "* "
+            number += step
             lines = lay_out(c, Flow(), True)
             lines.flush()
             flow.add([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines.lines)], 0)
@@ -240,10 +258,11 @@ def lay_out(node: Node, flow: Flow, nested: bool = False) -> Flow:
                 lines = ["    " + x if x else x for x in lines]
             flow.add(lines, 0 if nested and c.name in ("ul", "ol") else int(c.name in APART))
         else:
-            if c.name == "q":
+            quoted = c.name == "q" and c.shown
+            if quoted:
                 flow.text.append('"')
             lay_out(c, flow, nested)
-            if c.name == "q":
+            if quoted:
                 flow.text.append('"')
     return flow
 
@@ -266,11 +285,11 @@ def _drawn(node: Node, out: list[str]) -> list[str]:
 def _texts(node: Node, out: list[str]) -> list[str]:
     for c in node.children:
         if isinstance(c, str):
-            out.append(c)
+            out.append(c if node.shown else "")
         elif c.name == "br":
             out.append("\n")
         elif c.name == "select":
-            out += [f" {_label(o)} " for o in chosen(c)] if seen(c) else []
+            out += [f" {_label(o)} " for o in chosen(c) if o.shown] if seen(c) else []
         elif c.name == "svg":
             out += [f" {x} " for x in _drawn(c, [])] if seen(c) else []
         elif seen(c):
@@ -297,17 +316,17 @@ def _rows(node: Node, out: list[Node], captions: list[Node]) -> None:
             elif c.name in ("thead", "tbody", "tfoot"):
                 _rows(c, out, captions)
             elif c.name not in ("col", "colgroup"):
-                stray = Node("tr")
-                stray.children = [c if c.name in ("td", "th") else _wrapped(c)]
+                stray = Node("tr", "", node)
+                stray.children = [c if c.name in ("td", "th") else _wrapped(c, node)]
                 out.append(stray)
         elif isinstance(c, str) and c.strip():
-            stray = Node("tr")
-            stray.children = [_wrapped(c)]
+            stray = Node("tr", "", node)
+            stray.children = [_wrapped(c, node)]
             out.append(stray)
 
 
-def _wrapped(child) -> Node:
-    cell = Node("td")
+def _wrapped(child, parent: Node) -> Node:
+    cell = Node("td", "", parent)
     cell.children = [child]
     return cell
 
@@ -332,11 +351,11 @@ def _table(node: Node) -> list[str]:
             if isinstance(c, str):
                 if not c.strip():
                     continue
-                c = _wrapped(c)
+                c = _wrapped(c, row)
             elif not seen(c):
                 continue
             elif c.name not in ("td", "th"):
-                c = _wrapped(c)
+                c = _wrapped(c, row)
             while column in taken:
                 column += 1
             inner = lay_out(c, Flow())
@@ -371,13 +390,16 @@ def _table(node: Node) -> list[str]:
 
 def render(source: str | None) -> str:
     """The visible text of a page; empty for null or empty pages. Blank lines are never doubled at the ends, and no line ends in spaces."""
+    if sys.getrecursionlimit() < DEPTH * CALLS:
+        sys.setrecursionlimit(DEPTH * CALLS)
     flow = lay_out(parse((source or "").replace("\x00", "")), Flow())
     flow.flush()
     return "\n".join(x.rstrip() for x in flow.lines).strip("\n")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id_col``, ``text`` for every row; null and repeated ids stay as they are, an empty table gives an empty result, other columns are ignored."""
+    """``id_col``, ``text`` for every row; null and repeated ids stay as they are, an empty table gives an empty result, other columns are ignored. Pages
+    of any length are rendered whole."""
     return common.computed(pages, id_col, html_col, lambda sources: {"text": list(map(render, sources))}, {"text": "string"})
 
 
