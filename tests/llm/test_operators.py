@@ -142,6 +142,23 @@ def test_archives(spark):
     assert arc_convert.archived(frame.limit(0)).count() == 0
 
 
+def test_archives_of_named_pages_repeated_rows_and_small_files(spark, monkeypatch):
+    """Ids of any type come back, record ids are unique, files end by bytes, and one of equal rows is the response."""
+    monkeypatch.setattr(arc_convert, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(arc_convert, "ARCHIVE_BYTES", 60_000)
+    big = "x" * 4000
+    rows = [(f"p {i}/é\n", f"http://{i}", f"{i} {big}") for i in range(60)] + [("", "u", big), ("b", "u", big), ("a", "u", big), ("b", "u", big), (None, None, big)]
+    frame = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    got = arc_convert.archived(frame).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows) and len({r["record_id"] for r in got}) == len(rows)
+    shared = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 4000)
+    assert shared == sorted([("", "revisit", "b"), ("a", "revisit", "b"), ("None", "revisit", "b"), ("b", "response", None), ("b", "revisit", "b")])
+    path = common.scratch(spark, "arc")
+    arc_convert.write_arc(frame, path)
+    sizes = [len(f["content"]) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert len(sizes) > 3 and arc_convert.read_arc(spark, path).count() == len(rows)
+
+
 def test_arc_versions_and_broken_archives():
     v1 = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
     v2 = b"2 0 x\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
@@ -191,31 +208,50 @@ def test_packing_round_trip(spark, small):
     assert packing.pack(frame.limit(0)).count() == 0
 
 
+def padding(n, size):
+    return 0 if n.bit_count() == 1 else size - n
+
+
 def test_window_cuts_are_optimal():
+    """Against every choice of cuts, by the contract: a window of a power of two is not padded, wherever it stands."""
     rng = random.Random(2)
-    for _ in range(40):
-        size = 16
-        ends, at = [], 0
-        for _ in range(rng.randint(1, 14)):
-            at += rng.randint(1, 16)
-            ends.append(at)
-        penalties = [rng.choice([0, 1, 3]) for _ in ends]
-        powers = {1, 2, 4, 8}
-
-        def cost(i, j, last):
-            return (0 if last and j - i in powers else size - (j - i))
-
-        best = {0: 0}
-        for n, j in enumerate(ends):
-            last = n == len(ends) - 1
-            best[j] = min(best[i] + cost(i, j, last) for i in best if j - i <= size) + (0 if last else penalties[n])
-        cuts = packing.window_cuts(np.array(ends), np.array(penalties), size)
-        got, i = 0, 0
-        for j in cuts:
-            last = j == ends[-1]
-            got += cost(i, j, last) + (0 if last else penalties[ends.index(j)])
-            i = j
-        assert got == best[ends[-1]] and all(b - a <= size for a, b in zip([0, *cuts], cuts))
+    for size in (16, 20):
+        for _ in range(250):
+            ends, at = [], 0
+            for _ in range(rng.randint(1, 14)):
+                at += rng.randint(1, 16)
+                ends.append(at)
+            penalties = [rng.choice([0, 1, 3]) for _ in ends]
+            best = {0: 0}
+            for n, j in enumerate(ends):
+                best[j] = min(best[i] + padding(j - i, size) for i in best if j - i <= size) + (0 if n == len(ends) - 1 else penalties[n])
+            cuts = packing.window_cuts(np.array(ends), np.array(penalties), size)
+            got = sum(padding(j - i, size) + (0 if j == ends[-1] else penalties[ends.index(j)]) for i, j in zip([0, *cuts], cuts))
+            assert got == best[ends[-1]] and all(b - a <= size for a, b in zip([0, *cuts], cuts)) and cuts[-1] == ends[-1]
+    assert packing.window_cuts(np.array([512, 576, 1536, 1600, 2112]), np.array([0, 500, 0, 500, 0])) == [512, 1536, 2112]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok, enc, rng = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path()), random.Random(11)
+    alphabet = list("abcXYZ 019.,!?'\"\n\t-_<>|@é漢字ñßя\u0301\u200b\u00a0😀") + ["'s", "  ", "<|endoftext|>", "\r\n"]
+    for _ in range(600):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
+        assert enc.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_wastes_little(spark, small):
+    rows = packing.op3_packing(spark, small).groupBy("sequence_id").sum("length").collect()
+    lengths = [r[1] for r in rows]
+    assert sum(padding(n, 1024) for n in lengths) <= 0.01 * sum(lengths)
+
+
+def test_packing_of_a_long_document_and_clashing_names(spark):
+    frame = spark.createDataFrame([(7, "one two three. " * 200_000, 1, 2), (8, "x", 1, 2)], "doc_id long, text string, start int, body int")
+    rows = packing.pack(frame).collect()
+    by = sorted((r["start"], r["length"]) for r in rows if r["doc_id"] == 7)
+    assert all(a + n == b for (a, n), (b, _) in zip(by, by[1:])) and by[-1][0] + by[-1][1] == rows[0]["doc_tokens"] > 500_000
 
 
 # 4 mixing
@@ -264,6 +300,35 @@ def test_flight_keeps_both_totals():
     assert np.abs(mean - 0.37).max() < 0.05
 
 
+def test_landing_keeps_both_totals():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 14):
+        size, p = rng.integers(1, 400, n).astype(float), rng.random(n)
+        p[:1] = 1.0 if n > 7 else p[:1]
+        out = mixing.landing(p, size)
+        assert set(out) <= {0.0, 1.0} and (n <= 7 or out[0] == 1.0) and abs(out.sum() - p.sum()) < 1
+        open_ = np.flatnonzero(p < 1)
+        best = min(abs(sum(size[k] for b, k in enumerate(open_) if m >> b & 1) - (p * size)[open_].sum()) for m in range(1 << len(open_)) if abs(m.bit_count() - p[open_].sum()) < 1)
+        assert abs((out * size).sum() - (p * size).sum()) == pytest.approx(best)
+
+
+def test_mixing_keeps_the_number_of_documents(spark):
+    """Of a source's fractional copies, as many documents as expected are taken."""
+    rng = random.Random(14)
+    rows = [(i, words(rng, rng.choice([1, 9, 80])), "en", f"s{i % 4}") for i in range(6000)]
+    plan = mixing.copies(docs_frame(spark, rows)).collect()
+    for s in {r["source"] for r in plan}:
+        own = [r for r in plan if r["source"] == s]
+        rate = own[0]["target"] / own[0]["source_size"]
+        assert abs(sum(r["copies"] for r in own) - rate * len(own)) <= 1.5 and abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 0.001 * own[0]["target"]
+
+
+def test_mixing_carries_clashing_names_and_long_texts(spark):
+    frame = spark.createDataFrame([(i, "w " * (200_000 if i == 3 else 5), "a" if i % 2 else "b", i) for i in range(20)], "doc_id int, text string, source string, size int")
+    plan = mixing.copies(frame).collect()
+    assert max(r["size"] for r in plan) == 200_000 and mixing.mix(frame).where("size <> doc_id").count() == 0
+
+
 # 5 language
 
 
@@ -281,6 +346,54 @@ def test_language(spark, small):
     assert language_id.predict(odd, nothing).select("lang_pred").distinct().collect() == [("und",)]
 
 
+def test_language_of_every_word(spark, small):
+    """Planted switches between runs of held-out documents are found word by word."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("lang is not null and length(text) between 200 and 20000").select("doc_id", "text", "lang")
+    field = language_id.learn(docs)
+    assert (np.diag(field.transition) > field.transition.max(axis=1) - 1e-9).all()  # staying is likelier than any switch, and learned
+    rng, by = random.Random(1), {}
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0:
+            by.setdefault(r["lang"], []).append([w for w in r["text"].split() if language_id.core(w)])
+    texts, want = [], []
+    for _ in range(60):
+        text, langs = [], []
+        for y in rng.sample(sorted(by), min(3, len(by))):
+            run = rng.choice(by[y])[:10]
+            text, langs = text + run, langs + [y] * len(run)
+        texts.append(" ".join(text))
+        want.append(langs)
+    got = {r["doc_id"]: r["word_langs"] for r in language_id.label_words(docs_frame(spark, [*((i, t, None, None) for i, t in enumerate(texts)), (-1, None, None, None), (-2, " 12 ", None, None)]), field).collect()}
+    pairs = [(a, b) for i, langs in enumerate(want) for a, b in zip(got[i], langs, strict=True)]
+    assert len(by) > 1 and sum(a == b for a, b in pairs) >= 0.9 * len(pairs) and got[-1] == got[-2] == []
+
+
+def test_every_language_is_learned_whatever_its_texts(spark):
+    """Seventy languages, one of them with long documents alone."""
+    rows = []
+    for k in range(70):
+        stem = chr(97 + k % 26) + chr(97 + k // 26 * 7 % 26) + "q"
+        for j in range(6):
+            n = 9000 if k == 69 else 25
+            rows.append((100 * k + j, " ".join(f"{stem}{chr(97 + (i * 5 + j) % 26)}{stem}" for i in range(n)), f"l{k:02}", "s"))
+    docs = docs_frame(spark, rows)
+    field = language_id.learn(docs)
+    assert len(field.names) == 70
+    got = language_id.predict(docs, field).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = lang_pred").count() >= 0.95 * len(rows) and got.where("lang = 'l69' and lang_pred = 'l69'").count() == 6
+
+
+def test_a_token_of_a_megabyte_is_read_at_once():
+    import time
+
+    began = time.time()
+    assert language_id.core("a" + "." * 1_000_000 + "b").startswith("a.") and language_id.core("." * 1_000_000) == "" and language_id.core("«1Été2»") == "été"
+    field = language_id.fit(["das ist gut", "this is good"] * 5, ["de", "en"] * 5)
+    reader = language_id.Reader(field)
+    assert reader.read(["a" + "." * 1_000_000 + "b"])[0][0] in ("de", "en") and reader.read(["é" * 500_000])[1][0] > 0
+    assert time.time() - began < 5
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 5, 70, 33, 32, 64])
@@ -310,8 +423,9 @@ def test_forward_backward():
 
 @pytest.mark.parametrize("scale", [1.0, 1e12])
 def test_topk(spark, monkeypatch, scale):
-    monkeypatch.setattr(exact_topk, "SHARD_ROWS", 60)
-    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(exact_topk, "SHARD_ROWS", 20)
+    monkeypatch.setattr(exact_topk, "ROUND_SHARDS", 2)
+    monkeypatch.setattr(exact_topk, "ROUND_GROWTH", 2)
     rng = np.random.default_rng(1)
     rows = [(i, (scale * rng.integers(-2, 3, 6)).tolist()) for i in range(220)] + [(None, [1.0] * 6), (1000, None), (1001, [float("inf")] * 6), (1002, [None] * 6)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
@@ -326,6 +440,19 @@ def test_topk(spark, monkeypatch, scale):
     assert exact_topk.top_k(frame.limit(0), "vec_id % 20 = 0").count() == 0
 
 
+def test_topk_of_every_length(spark):
+    """Vectors of each length are queries and candidates among themselves; repeated ids are rows of their own."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-3, 4, (2, 3, 5)[i % 3]).astype(float).tolist()) for i in range(90)] + [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (20, [])]
+    got = sorted(tuple(r) for r in exact_topk.top_k(spark.createDataFrame([(*r, "x") for r in rows], "vec_id int, embedding array<double>, row string"), "vec_id % 20 = 0", 4).collect())
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0 and v:
+            best = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(v, u)), j) for b, (j, u) in enumerate(rows) if b != a and len(u) == len(v))[:4]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # 7 toxicity
 
 
@@ -353,6 +480,42 @@ def test_toxicity(spark):
     assert toxicity.score(odd, fixed).where("score >= 0.5").count() == 4
 
 
+def test_hits_against_a_plain_matcher():
+    """The automaton's sums are those of looking for every pattern at every place."""
+    rng = random.Random(16)
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " idi": 1.5, "iot ": 2.0, " trash ": 2.5, " scum": 1.0, "ous ": 0.5})
+    vocabulary = ["idiot", "1d10t", "idiots", "patriot", "trash", "can", "cans", "TRASH", "scum", "pond", "fam0us", "ｔrash", "the", "a", "…", "scu\u200bm"]
+
+    def plain(text):
+        t, best = toxicity.fold(text), {}
+        places = lambda p: [k for k in range(len(t)) if t.startswith(p, k)]
+        safe = [(k, k + len(p)) for p in map(toxicity.fold, lexicon.exceptions) for k in places(p)]
+        for p, w in lexicon.weights.items():
+            for k in places(p):
+                if not any(s <= k and k + len(p) <= e for s, e in safe):
+                    word = max(j for j in range(k + len(p) - 1) if t[j] == " ") if p.endswith(" ") else k
+                    best[word] = max(best.get(word, 0), w)
+        return sum(best.values())
+
+    texts = [None, "", *(" ".join(rng.choices(vocabulary, k=rng.randint(1, 30))) for _ in range(400))]
+    assert lexicon.sums(texts)[0].tolist() == [plain(t) for t in texts]
+    assert lexicon.sums(["two trash cans and a trash can"])[0][0] == 0
+
+
+def test_exceptions_are_learned_from_clean_documents(spark):
+    rng = random.Random(17)
+    rows = [(i, f"{words(rng, 20)} " + ("you stupid idiot" if i % 4 == 0 else "the garbage truck came" if i % 4 == 1 else "fine"), "en", "s") for i in range(400)]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs_frame(spark, rows), known)
+    assert "garbage truck" in lexicon.exceptions and lexicon.sums(["a garbage truck", "you garbage"])[0].tolist() == [0.0, 3.0]
+
+
+def test_toxicity_carries_clashing_names_and_long_texts(spark):
+    frame = spark.createDataFrame([(1, "fine words " * 100_000 + "moron", 5), (2, "you moron, you idiot", 6)], "doc_id int, text string, score int")
+    lexicon = toxicity.Lexicon({" moron ": 3.0, " idiot ": 3.0})
+    assert {r["doc_id"]: r["hits"] for r in toxicity.score(frame, lexicon).collect()} == {1: 3.0, 2: 6.0} and toxicity.drop_toxic(frame, lexicon, 2.0).where("score = 4 + doc_id").count() == 2
+
+
 def test_samples_hold_a_repeated_id_once(spark):
     docs = docs_frame(spark, [(1, f"text {k}", "en", "s") for k in range(500)] + [(2, None, "en", "s"), (3, "other", "en", "s")])
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
@@ -451,6 +614,32 @@ def test_quality(spark):
     assert [r["score"] for r in quality.score(odd, quality.learn(docs, known.limit(0))).collect()] == [0.5] * 5
 
 
+def test_votes_against_all_neighbours():
+    """Scores are those of sorting every labelled vector by its cosine."""
+    rng = random.Random(18)
+    texts = [words(rng, rng.randint(1, 60)) + (" !!" * rng.randint(0, 30)) for _ in range(200)]
+    y = np.array([int("!!" not in t) for t in texts])
+    voters = quality.fit(quality.terms(texts), y, 0.8)
+    asked = [words(rng, 30), "a !! b !!", "", None, "漢字 かな", "Привет мир", words(rng, 5000)]
+    v = voters.project(quality.terms(asked)).astype(float)
+    for got, x in zip(voters.scores(asked), v):
+        near = voters.vectors.astype(float) @ x
+        last = np.sort(near)[-quality.NEIGHBOURS]
+        weight = [max(c, 0) ** quality.SHARPNESS * m if c >= last - 1e-6 else 0 for c, m in zip(near, voters.votes)]
+        assert got == pytest.approx(np.dot(weight, y) / max(sum(weight), 1e-9), abs=2e-3)
+    cyrillic, chinese = quality.terms(["Привет мир", "漢字 かな"])
+    assert cyrillic[: quality.WORDS] @ chinese[: quality.WORDS] == 0
+
+
+def test_quality_of_documents_with_named_ids(spark):
+    rng = random.Random(19)
+    docs = spark.createDataFrame([(f"d{i}", words(rng, 40) if i % 2 else "!! " * 40, i) for i in range(120)], "doc_id string, text string, y int")
+    known = spark.createDataFrame([(f"d{i}", i % 2) for i in range(120)], "doc_id string, quality int")
+    voters = quality.learn(docs, known)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, voters).collect()}
+    assert all((got[f"d{i}"] >= 0.7) == bool(i % 2) for i in range(120)) and quality.keep_good(docs, voters).where("y % 2 = 0").count() == 0
+
+
 # 10 HTML
 
 
@@ -472,6 +661,27 @@ def test_rendering_hides_by_attributes_alone():
     assert [html_render.render(x) for x in unseen] == [""] * len(unseen)
 
 
+def test_rendering_of_visible_parts_of_hidden_elements():
+    assert html_render.render('<div style="visibility:hidden">no<b style="visibility:visible">yes</b><p>no<table><tr><td>no<td style="visibility: visible">cell</table></div>after') == "yes\n\ncell\nafter"
+    assert html_render.render('<ul style="visibility:collapse"><li>no<li style="visibility:visible">two</ul><img alt=x style="visibility:hidden">') == "* two"
+    assert html_render.render('<div style="visibility:visible"><pre style="visibility:hidden">no <i style="visibility:visible">yes</i></pre></div>').strip() == "yes"
+
+
+def test_rendering_of_numbered_lists():
+    assert html_render.render("<ol start=3><li>a<li value=7>b<li>c</ol>") == "3. a\n7. b\n8. c"
+    assert html_render.render("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert html_render.render("<ol reversed start=5><li>a<li value=2>b<li>c</ol><ol start=x><li>d</ol>") == "5. a\n2. b\n1. c\n\n1. d"
+
+
+def test_rendering_of_deep_and_wide_pages():
+    """Nothing is lost below the deepest level, in wide cells or in very long pages."""
+    for tag in ("div", "blockquote", "span", "ul><li", "table><tr><td"):
+        assert "".join(html_render.render(f"<{tag}>w" * 3000 + "end").split()).replace("*", "").endswith("wend")
+    page = "<table>" + "<tr><td>" + "x" * 5000 + "<td>y<tr><td>a<td>b</table>" + "<p>tail words</p>" * 50_000
+    got = html_render.render(page).split("\n")
+    assert got[0] == "x" * 5000 + "  y" and got[1].split() == ["a", "b"] and got.count("tail words") == 50_000
+
+
 def test_rendering_of_formulas_drawings_and_lists():
     assert html_render.render("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b") == "a x=2 b"
     assert html_render.render("<p>a <svg><title>t</title><defs><text>no</text></defs><g><text>one <tspan>two</tspan></text></g><text/></svg> b") == "a one two b"

@@ -69,12 +69,23 @@ def test_run(spark, small):
 
 
 def test_stages_on_odd_documents(spark, small):
-    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, None, "en", "s", None), (2, None, "en", "s", None), (3, "plain words here", None, None, 16)]
+    """Each stage on nulls, empty texts, repeated rows and repeated ids: exactly the rows that its own scores or a plain version choose."""
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, None, "en", "s", None), (2, None, "en", "s", None), (3, "plain words here", None, None, 16), (3, "plain words here", None, None, 16), (4, "you idiot, you moron", "en", "t", 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, frame, small)
-            assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    key = lambda r: (str(r[0]), str(r[1]))
+    stages = dict(corpus_pipeline.STAGES)
+    got = {name: sorted(map(key, stage(spark, docs, small).select("doc_id", "text" if name != "packing" else "start").collect())) for name, stage in stages.items()}
+    voters = quality.learn(docs, labels)
+    assert got["quality"] == sorted(key(r) for r in rows if voters.scores([r[1]])[0] >= quality.ACCEPT)
+    assert got["toxicity"] == sorted(key(r) for r in rows if r[0] != 4)
+    assert got["simhash_near_dedup"] == sorted([("1", ""), ("3", "plain words here"), ("4", "you idiot, you moron")])
+    copies = {key((r["doc_id"], None if r["size"] == 0 and r["doc_id"] != 1 else {1: "", 3: rows[4][1], 4: rows[6][1]}[r["doc_id"]])): r["copies"] * r["rows"] for r in mixing.copies(docs).collect()}
+    assert got["mixing"] == sorted(k for k, n in copies.items() for _ in range(n))
+    assert sorted(i for i, _ in got["packing"]) == sorted(str(r[0]) for r in rows)
+    for name, stage in stages.items():
+        empty = stage(spark, docs.limit(0), small)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
 
 
 def test_clashing_columns(spark, small):
