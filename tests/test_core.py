@@ -125,7 +125,7 @@ def test_resolution(spark):
     asked = spark.createDataFrame([("a", "COMPANY", "cik", " 77 "), ("b", "COMPANY", "cik", "77"), ("b", "COMPANY", "lei", "XYZ"), ("c", "COMPANY", "cik", "1")], "candidate string, entity_type string, scheme string, value string")
     assert sorted(map(tuple, resolve.match_keys(asked, known).collect())) == [("a", 1, "e1", "MATCHED"), ("b", 2, None, "CONFLICT"), ("c", 0, None, "NEW")]
     assert resolve.untrusted(spark.createDataFrame([("a", "nickname"), ("a", "iso-alpha2")], "candidate string, scheme string")).count() == 1
-    names = spark.createDataFrame([("e1", "COMPANY", "Samsung Electronics Co., Ltd."), ("e2", "COMPANY", "Hyundai Heavy Industries Group"), ("e3", "COMPANY", "Twin"), ("e4", "COMPANY", "TWIN Inc")], "entity_id string, entity_type string, name string")
+    names = spark.createDataFrame([("e1", "COMPANY", "Samsung Electronics Co., Ltd."), ("e2", "COMPANY", "Hyundai Heavy Industries Corp"), ("e3", "COMPANY", "Twin"), ("e4", "COMPANY", "TWIN Inc")], "entity_id string, entity_type string, name string")
     c = spark.createDataFrame([("a", "COMPANY", "SAMSUNG ELECTRONICS"), ("b", "COMPANY", "Hyundai Heavy Industriess"), ("c", "COMPANY", "Twin Corp"), ("d", "COMPANY", "ab")], "candidate string, entity_type string, name string")
     assert {(r["candidate"], r["entity_id"]) for r in resolve.match_names(c, names, 0.95).collect()} == {("a", "e1"), ("b", "e2")}
 
@@ -203,17 +203,35 @@ def test_cycles_fire_once_and_changes_are_held(spark):
     assert {r["entity"]: round(r["change"], 6) for r in simulate.changes(t, s).collect()} == {"x": -1.0, "y": -0.7, "z": -1.0}
 
 
-def test_industrial(spark):
-    c = spark.createDataFrame([(0, "maker", 100.0, 120.0, 0.0, 100.0, 10.0, 4.0, 10.0, 2.0, 1.0), (0, "mine", 50.0, 60.0, 35.0, 60.0, 5.0, 2.0, 5.0, 1.0, 1.0)], "component int, company string, production double, capacity double, inventory double, demand double, unit_price double, unit_cost double, workforce double, wage double, productivity double")
-    links = spark.createDataFrame([(0, "mine", "maker", 1.0, 200.0, 1.0)], "component int, supplier string, customer string, per_output double, max_flow double, unit_cost double")
-    shocks = spark.createDataFrame([(2, 0, 1, "mine", 0.5, 1.0, 1.0, 2.0)], "branch int, component int, turn int, company string, supply double, demand double, capacity double, price double")
-    run = lambda seed: simulate.industrial(c, links, shocks, spark.sql("SELECT explode(array(1, 2)) AS branch"), seed, 3).orderBy("branch", "turn", "company").collect()
-    a = run("7")
-    assert a == run("7") and a != run("8") and len(a) == 12
-    first = {(r["branch"], r["company"]): r for r in a if r["turn"] == 1}
-    assert first[(1, "maker")]["production"] <= 35.0 and first[(2, "mine")]["price"] == 10.0 and first[(1, "mine")]["price"] == 5.0
-    assert all(r["production"] >= 0 and r["inventory"] >= 0 and r["unmet"] >= 0 for r in a)
-    assert {r["price"] for r in a if r["branch"] == 2 and r["company"] == "mine"} == {10.0}
+def test_first_shock_takes_a_common_edge(spark):
+    """Shocks on A (edge r9) and then on B (edge r1) both reach X; its edge r5 fires for A's, and a type without a rule passes nothing on."""
+    e = spark.createDataFrame([("r9", "A", "X", 1.0, "TRADE_FLOW"), ("r1", "B", "X", 1.0, "SUPPLIES"), ("r5", "X", "Y", 0.5, "DEPENDS_ON"), ("r6", "X", "Z", 0.5, "LOVES")], "rel string, src string, dst string, ratio double, type string")
+    s = spark.createDataFrame([(1, 1, 0, "A", "SUPPLY", -1.0, False), (1, 1, 1, "B", "SUPPLY", -0.2, False)], "branch int, turn int, ord int, src string, metric string, change double, mitigates boolean")
+    t = {r["rel"]: (r["input"], r["propagated"]) for r in simulate.propagate(e, s, 3).collect()}
+    assert t == {"r9": (-1.0, -1.0), "r1": (-0.2, -0.2), "r5": (-1.0, -0.5)}
+    assert {r["entity"]: round(r["change"], 6) for r in simulate.changes(simulate.propagate(e, s, 3), s).collect()} == {"A": -1.0, "B": -0.2, "X": -1.0, "Y": -0.5}
+
+
+def test_names_against_every_pair(spark):
+    """The keys miss no pair within the similarity: long names with edits at both ends too."""
+    rng = random.Random(9)
+    letters = "abcdefg"
+    long = "".join(rng.choices(letters, k=57))
+    names = [long, "x" + long[1:-1] + "x"]
+    for n in (3, 10, 24, 25, 26, 49, 50, 51, 80):
+        base = "".join(rng.choices(letters, k=n))
+        names.append(base)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["z"], [w[k], "y"]])
+            names.append("".join(w))
+    df = spark.createDataFrame([(i, "T", n) for i, n in enumerate(names)], "id int, entity_type string, name string")
+    keys_a, keys_b = df.select("id", F.explode(resolve._keys("name", 0.96, False)).alias("key")), df.select(F.col("id").alias("other"), F.explode(resolve._keys("name", 0.96, True)).alias("key"))
+    met = {tuple(r) for r in keys_a.join(keys_b, "key").select("id", "other").distinct().collect()}
+    near = df.alias("a").crossJoin(df.alias("b")).where(fn.similarity(F.col("a.name"), F.col("b.name")) >= 0.96).select("a.id", "b.id")
+    assert {tuple(r) for r in near.collect()} <= met
 
 
 def test_shock_combination(spark):

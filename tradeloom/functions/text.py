@@ -52,13 +52,18 @@ def similarity(a, b) -> Column:
 
 
 # Legal forms dropped from the end of a company's name.
-LEGAL_FORMS = "incorporated corporation company limited holdings group corp inc ltd llc plc gmbh ag sa nv bv co".split()
+LEGAL_FORMS = "incorporated inc corp corporation company co ltd limited llc plc".split()
 
 
 def company_name(c) -> Column:
-    """A company's name for comparison: lower case, letters and digits only, without legal forms at its end."""
-    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.trim(plain), rf"( ({'|'.join(LEGAL_FORMS)}))+$", ""), " ", "")
+    """A company's name for comparison: lower case, without punctuation and white space, then without legal forms at its end. Compatibility forms are folded by ``nfkc`` beforehand."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[\p{Punct}\s]+", ""), f"({'|'.join(LEGAL_FORMS)})+$", "")
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    """Compatibility-normalised text: Spark has no built-in for it."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(T.StringType())

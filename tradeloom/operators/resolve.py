@@ -35,18 +35,27 @@ def match_keys(candidates: DataFrame, registered: DataFrame) -> DataFrame:
     return g.select("candidate", "matches", F.when(F.col("matches") == 1, F.col("entity_id")).alias("entity_id"), F.when(F.col("matches") == 0, "NEW").when(F.col("matches") == 1, "MATCHED").otherwise("CONFLICT").alias("status"))
 
 
+def _keys(name: str, least: float, registered: bool) -> Column:
+    """Keys that names within the similarity share. A registered name of length n is cut into one more piece than the edits that its length allows, so
+    one piece is whole in the other name, shifted by no more than the edits: the other name has a key for every such length, piece and shift."""
+    lengths = f"array(length({name}))" if registered else f"sequence(cast(ceil({least}D * length({name})) as int), cast(floor(length({name}) / {least}D) as int))"
+    edits = f"cast(floor((1 - {least}D) * floor(n / {least}D) + 1e-9D) as int)"
+    start, stop = (f"cast({i} * n div ({edits} + 1) as int)" for i in ("i", "(i + 1)"))
+    shifts = "array(0)" if registered else f"filter(sequence(-{edits}, {edits}), d -> {start} + d >= 0)"
+    piece = f"named_struct('n', n, 'i', i, 'piece', substring({name}, {start} + 1 + d, {stop} - {start}))"
+    return F.expr(f"array_distinct(flatten(flatten(transform({lengths}, n -> transform(sequence(0, {edits}), i -> transform({shifts}, d -> {piece}))))))")
+
+
 def match_names(candidates: DataFrame, registered: DataFrame, least: float = 0.96) -> DataFrame:
     """Candidates (``candidate``, ``entity_type``, ``name``) whose name is that of one registered entity, or nearly that of just one: ``candidate``, ``entity_id``, ``score``.
 
-    Nearly equal names are sought among those of the same type that share a first or a last four letters and whose lengths allow the
-    similarity; an edit cannot spoil both ends of a long name within 4 % of it. Names under three letters are skipped.
+    Nearly equal names are met by keys that no such pair can miss (see ``_keys``), then compared. Names under three letters are skipped.
     """
-    c = candidates.select("candidate", "entity_type", fn.company_name("name").alias("a")).where(F.length("a") >= 3)
-    r = registered.select("entity_id", "entity_type", fn.company_name("name").alias("b")).where(F.length("b") >= 3)
-    ends = lambda x: F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(x, 1, 4)), F.concat(F.lit("$"), F.right(x, F.lit(4))))))
-    pairs = c.withColumn("end", ends(F.col("a"))).join(r.withColumn("end", ends(F.col("b"))), ["entity_type", "end"]).select("candidate", "entity_id", "a", "b").distinct()
-    la, lb = F.length("a"), F.length("b")
-    scored = pairs.where(F.least(la, lb) >= least * F.greatest(la, lb)).withColumn("score", fn.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    c = candidates.select("candidate", "entity_type", fn.company_name(fn.nfkc("name")).alias("a")).where(F.length("a") >= 3)
+    r = registered.select("entity_id", "entity_type", fn.company_name(fn.nfkc("name")).alias("b")).where(F.length("b") >= 3)
+    left = c.withColumn("key", F.explode(_keys("a", least, False)))
+    pairs = left.join(r.withColumn("key", F.explode(_keys("b", least, True))), ["entity_type", "key"]).select("candidate", "entity_id", "a", "b").distinct()
+    scored = pairs.withColumn("score", fn.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
     g = scored.groupBy("candidate").agg(F.count_distinct(F.when(F.col("score") == 1, F.col("entity_id"))).alias("same"), F.count_distinct("entity_id").alias("near"), F.max_by("entity_id", "score").alias("entity_id"), F.max("score").alias("score"))
     return g.where("same = 1 or (same = 0 and near = 1)").select("candidate", "entity_id", "score")
 

@@ -1,10 +1,7 @@
-"""Simulation: shocks that spread over dependency edges, and the turn-based supply-chain engine, across parallel branches."""
+"""Simulation: shocks that spread over dependency edges across parallel branches, and the row-wise parts of a supply-chain turn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +10,8 @@ from ..plans.storage import written
 from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, trade
 from .graph import top_edges
 
-#: Edge types that observed alternative supply softens.
-SOFTENED = ["TRADE_FLOW", "SUPPLIES"]
+# Edge types that pass a change on, and whether observed alternative supply softens it.
+RULES = {"TRADE_FLOW": True, "SUPPLIES": True, "DEPENDS_ON": False, "PRODUCES": False, "SHIPS_VIA": False}
 
 
 def active_by_turn(shocks: DataFrame, turns: int) -> DataFrame:
@@ -46,26 +43,30 @@ def alternative_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, shocks: DataFrame, depth: int) -> DataFrame:
-    """The trace of shocks: ``branch``, ``turn``, ``depth``, ``path``, ``rel``, ``src``, ``dst``, ``metric``, ``propagated``.
+    """The trace of shocks: ``branch``, ``turn``, ``depth``, ``path``, ``rel``, ``type``, ``src``, ``dst``, ``metric``, ``input``, ``propagated``.
 
-    ``edges``: ``rel``, ``src``, ``dst``, ``ratio``, and if wanted ``type`` and ``alternative`` (taken where ``mitigates``); ``shocks``: ``branch``, ``turn``, ``src``, ``metric``, ``change``, ``mitigates``.
-    Edges are taken breadth first, in the order of the path of ids that leads to them; each fires once for a branch, turn and metric, on the
-    first path that reaches it, and passes on the change as it received it times its share. A level is one join and one aggregation; paths
-    carry the order, so nothing is ranked globally.
+    ``edges``: ``rel``, ``src``, ``dst``, ``ratio``, and if wanted ``type`` (types without a rule pass nothing on) and ``alternative`` (taken where
+    ``mitigates``); ``shocks``: ``branch``, ``turn``, ``src``, ``metric``, ``change``, ``mitigates``, and ``ord``, their order (theirs by ``src`` if absent).
+    Shocks are taken in their order, edges breadth first and by their ids; each fires once for a branch, turn and metric, on the first path
+    that reaches it, and passes on the change as it received it times its share. A level is one join and one aggregation, written before the
+    next begins; a path, which begins with its shock's place, carries the order, so nothing is ranked globally.
     """
     kind = F.col("type") if "type" in edges.columns else F.lit("TRADE_FLOW")
     other = F.col("alternative") if "alternative" in edges.columns else F.lit(0.0)
-    e = edges.select("rel", F.col("src"), F.col("dst"), F.col("ratio"), kind.alias("type"), other.alias("alternative"))
+    e = edges.select("rel", F.col("src"), F.col("dst"), F.col("ratio"), kind.alias("type"), other.alias("alternative")).where(F.col("type").isin(list(RULES)))
     key = ["branch", "turn", "metric"]
-    frontier = shocks.select(*key, "mitigates", "src", "change", F.lit("").alias("path"))
+    place = F.format_string("%010d", F.col("ord")) if "ord" in shocks.columns else F.col("src").cast("string")
+    frontier = shocks.select(*key, "mitigates", "src", "change", F.array(place).alias("path"))
     fired = trace = None
     for level in range(1, depth + 1):
-        share = F.col("ratio") * F.when(F.col("mitigates") & F.col("type").isin(SOFTENED), 1 - F.col("alternative")).otherwise(1.0)
+        share = F.col("ratio") * F.when(F.col("mitigates") & F.col("type").isin([k for k, soft in RULES.items() if soft]), 1 - F.col("alternative")).otherwise(1.0)
         step = frontier.join(e, "src")
         if fired is not None:
             step = step.join(fired, [*key, "rel"], "left_anti")
-        first = step.withColumn("path", F.concat_ws("/", "path", "rel")).groupBy(*key, "rel").agg(F.min(F.struct("path", "src", "dst", (F.col("change") * share).alias("propagated"), "mitigates")).alias("f"))
-        rows = first.select(*key, "rel", F.lit(level).alias("depth"), *(F.col(f"f.{c}").alias(c) for c in ("path", "src", "dst", "propagated", "mitigates")))
+        step = step.withColumn("path", F.concat("path", F.array("rel"))).withColumn("propagated", F.col("change") * share)
+        first = step.groupBy(*key, "rel").agg(F.min(F.struct("path", "type", "src", "dst", F.col("change").alias("input"), "propagated", "mitigates")).alias("f"))
+        rows = first.select(*key, "rel", F.lit(level).alias("depth"), "f.*")
+        rows = written(rows, "level") if level < depth else rows
         trace = rows if trace is None else trace.unionByName(rows)
         done = rows.select(*key, "rel")
         fired = done if fired is None else fired.unionByName(done)
@@ -74,12 +75,12 @@ def propagate(edges: DataFrame, shocks: DataFrame, depth: int) -> DataFrame:
 
 
 def changes(trace: DataFrame, shocks: DataFrame) -> DataFrame:
-    """``branch``, ``turn``, ``entity``, ``metric``, ``change``: a shocked entity's own change, then what reaches it in order, held between -1 and 1 at every step."""
+    """``branch``, ``turn``, ``entity``, ``metric``, ``change``: a shocked entity's own change (its last shock's), then what reaches it in order, held between -1 and 1 at every step."""
     key = ["branch", "turn", "entity", "metric"]
     got = trace.groupBy("branch", "turn", F.col("dst").alias("entity"), "metric").agg(F.sort_array(F.collect_list(F.struct("depth", "path", "propagated"))).alias("steps"))
     own = shocks.groupBy("branch", "turn", F.col("src").alias("entity"), "metric").agg(F.max_by("change", "ord").alias("own") if "ord" in shocks.columns else F.max("change").alias("own"))
     both = got.join(own, key, "full")
-    held = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<depth:int,path:string,propagated:double>>")), F.coalesce("own", F.lit(0.0)), lambda a, x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a + x["propagated"])))
+    held = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<depth:int,path:array<string>,propagated:double>>")), F.coalesce("own", F.lit(0.0)), lambda a, x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a + x["propagated"])))
     return both.select(*key, held.alias("change"))
 
 
@@ -100,10 +101,11 @@ def missing_metrics(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     return changed.join(nodes.select("entity", "metric"), ["entity", "metric"], "left_anti")
 
 
-def totals(state: DataFrame) -> DataFrame:
-    """Sums of supply and demand and the entities affected, by branch and turn."""
-    of = lambda m: F.round(F.sum(F.when(F.col("metric") == m, F.col("value")).otherwise(0.0)), 2)
-    return state.groupBy("branch", "turn").agg(of("SUPPLY").alias("supply"), of("DEMAND").alias("demand"), F.count_distinct(F.when(F.col("affected"), F.col("entity"))).alias("affected"))
+def totals(state: DataFrame, changed: DataFrame) -> DataFrame:
+    """Sums of supply and demand, and the entities' metrics affected, by branch and turn."""
+    of = lambda m: F.round(F.sum(F.when(F.col("metric") == m, F.col("value")).otherwise(0.0)), 6)
+    hit = changed.groupBy("branch", "turn").agg(F.count("*").alias("affected"))
+    return state.groupBy("branch", "turn").agg(of("SUPPLY").alias("supply"), of("DEMAND").alias("demand")).join(hit, ["branch", "turn"], "left").na.fill(0, ["affected"])
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,52 +117,56 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return written(top_edges(dependency(pairs), 3), "edges")
 
 
-def _shock(spark: SparkSession, branches: str = "(1, false)", turn: int = 1) -> DataFrame:
-    return spark.sql(f"SELECT branch, {turn} AS turn, 9 AS src, 'SUPPLY' AS metric, -0.3D AS change, mitigates FROM VALUES {branches} AS t(branch, mitigates)")
+def _shocks(spark: SparkSession, branches: str = "(1, false)", turn: int = 1) -> DataFrame:
+    """Two shocks, which compete for edges."""
+    return spark.sql(f"SELECT branch, {turn} AS turn, ord, src, 'SUPPLY' AS metric, change, mitigates FROM VALUES {branches} AS t(branch, mitigates), VALUES (0, 9, -0.3D), (1, 3, -0.2D) AS s(ord, src, change)")
 
 
-_TOP = TRADE + DEPENDENCY + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3),
-a1 AS (SELECT 1 AS depth, '/' || rel AS path, rel, src, dst, -0.3::DOUBLE * ratio AS p FROM top WHERE src = 9),
-a2 AS (SELECT * FROM (SELECT 2 AS depth, a1.path || '/' || t.rel AS path, t.rel AS rel, t.src AS src, t.dst AS dst, a1.p * t.ratio AS p, row_number() OVER (PARTITION BY t.rel ORDER BY a1.path || '/' || t.rel) AS rn FROM a1 JOIN top t ON t.src = a1.dst WHERE t.rel NOT IN (SELECT rel FROM a1)) WHERE rn = 1),
-a3 AS (SELECT * FROM (SELECT 3 AS depth, a2.path || '/' || t.rel AS path, t.rel AS rel, t.src AS src, t.dst AS dst, a2.p * t.ratio AS p, row_number() OVER (PARTITION BY t.rel ORDER BY a2.path || '/' || t.rel) AS rn FROM a2 JOIN top t ON t.src = a2.dst WHERE t.rel NOT IN (SELECT rel FROM a1 UNION ALL SELECT rel FROM a2)) WHERE rn = 1),
-trace AS (SELECT depth, path, rel, src, dst, p FROM a1 UNION ALL SELECT depth, path, rel, src, dst, p FROM a2 UNION ALL SELECT depth, path, rel, src, dst, p FROM a3)"""
+_SHOCKS = "s(ord, src, change) AS (VALUES (0, 9, -0.3::DOUBLE), (1, 3, -0.2::DOUBLE))"
+_LEVEL = """a{n} AS (SELECT * FROM (SELECT {n} AS depth, list_append(f.path, t.rel) AS path, t.rel AS rel, t.src AS src, t.dst AS dst, f.p AS p0, f.p * t.ratio AS p, row_number() OVER (PARTITION BY t.rel ORDER BY list_append(f.path, t.rel)) AS rn FROM a{m} f JOIN top t ON t.src = f.dst WHERE t.rel NOT IN (SELECT rel FROM done{m})) WHERE rn = 1), done{n} AS (SELECT rel FROM done{m} UNION ALL SELECT rel FROM a{n})"""
+_TOP = TRADE + DEPENDENCY + f""", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3), {_SHOCKS},
+a1 AS (SELECT 1 AS depth, [printf('%010d', ord), rel] AS path, rel, top.src AS src, dst, change AS p0, change * ratio AS p FROM top JOIN s ON s.src = top.src), done1 AS (SELECT rel FROM a1),
+{_LEVEL.format(n=2, m=1)}, {_LEVEL.format(n=3, m=2)},
+trace AS (SELECT depth, rel, src, dst, p0, p FROM a1 UNION ALL SELECT depth, rel, src, dst, p0, p FROM a2 UNION ALL SELECT depth, rel, src, dst, p0, p FROM a3)"""
 
 
 @query(_TOP + " SELECT rel, src, dst, round(p, 9) AS propagated FROM a1")
 def propagate_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propagate(_edges(_pairs(spark, sf_dir)), _shock(spark), 1).select("rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
+    """The edges that two shocks reach at once."""
+    return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 1).select("rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
 
 
-@query(_TOP + " SELECT depth, rel, src, dst, round(p, 9) AS propagated FROM trace")
+@query(_TOP + " SELECT depth, rel, src, dst, round(p0, 12) AS input, round(p, 12) AS propagated FROM trace")
 def propagate_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propagate(_edges(_pairs(spark, sf_dir)), _shock(spark), 3).select("depth", "rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
-
+    """The trace of two shocks over three levels; an edge that both reach fires for the first."""
+    return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 3).select("depth", "rel", "src", "dst", F.round("input", 12).alias("input"), F.round("propagated", 12).alias("propagated"))
 
-_BRANCHES = _TOP.replace(", top AS (SELECT *", ", top0 AS (SELECT *", 1).replace("a1 AS (", "alt AS (SELECT e.rel AS rel, round(least(1.0::DOUBLE, coalesce(sum(o.ratio), 0)), 6) AS alternative FROM top0 e LEFT JOIN top0 o ON o.dst = e.dst AND o.src <> e.src GROUP BY e.rel),\ntop AS (SELECT top0.rel AS rel, src, dst, ratio, alternative FROM top0 JOIN alt ON alt.rel = top0.rel),\nb(branch, m) AS (VALUES (1, 0), (2, 0), (3, 1)),\na1 AS (", 1)
 
-
-@query(_BRANCHES[: _BRANCHES.index("a1 AS (SELECT 1")] + """c1 AS (SELECT branch, m, rel, src, dst, -0.3::DOUBLE * (ratio * CASE WHEN m = 1 THEN 1 - alternative ELSE 1 END) AS p FROM top, b WHERE src = 9),
-c2 AS (SELECT * FROM (SELECT c1.branch AS branch, t.rel AS rel, t.dst AS dst, c1.p * (t.ratio * CASE WHEN c1.m = 1 THEN 1 - t.alternative ELSE 1 END) AS p, row_number() OVER (PARTITION BY c1.branch, t.rel ORDER BY c1.rel) AS rn FROM c1 JOIN top t ON t.src = c1.dst WHERE t.rel NOT IN (SELECT rel FROM c1)) WHERE rn = 1),
-t AS (SELECT branch, dst, p FROM c1 UNION ALL SELECT branch, dst, p FROM c2) SELECT branch, dst AS entity, round(sum(p) + CASE WHEN dst = 9 THEN -0.3::DOUBLE ELSE 0 END, 6) AS change FROM (SELECT * FROM t UNION ALL SELECT branch, 9, 0 FROM b) GROUP BY branch, dst""")
+@query(TRADE + DEPENDENCY + f""", top0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3), {_SHOCKS}, b(branch, m) AS (VALUES (1, 0), (2, 0), (3, 1)),
+alt AS (SELECT e.rel AS rel, round(least(1.0::DOUBLE, coalesce(sum(o.ratio), 0)), 6) AS alternative FROM top0 e LEFT JOIN top0 o ON o.dst = e.dst AND o.src <> e.src GROUP BY e.rel),
+top AS (SELECT branch, top0.rel AS rel, src, dst, ratio * CASE WHEN m = 1 THEN 1 - alternative ELSE 1 END AS share FROM top0 JOIN alt ON alt.rel = top0.rel, b),
+c1 AS (SELECT branch, [printf('%010d', ord), rel] AS path, rel, dst, change * share AS p FROM top JOIN s ON s.src = top.src),
+c2 AS (SELECT * FROM (SELECT t.branch AS branch, t.rel AS rel, t.dst AS dst, c1.p * t.share AS p, row_number() OVER (PARTITION BY t.branch, t.rel ORDER BY list_append(c1.path, t.rel)) AS rn FROM c1 JOIN top t ON t.src = c1.dst AND t.branch = c1.branch WHERE t.rel NOT IN (SELECT rel FROM c1)) WHERE rn = 1)
+SELECT branch, dst AS entity, round(sum(p), 6) AS change FROM (SELECT branch, dst, p FROM c1 UNION ALL SELECT branch, dst, p FROM c2 UNION ALL SELECT branch, src, change FROM s, b) GROUP BY branch, dst""")
 def branch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shock in three branches: as it is, with a recorded policy, and with observed alternative supply."""
+    """Two shocks in three branches: as it is, with a recorded policy, and with observed alternative supply."""
     e = _edges(_pairs(spark, sf_dir))
     e = e.join(alternatives(e), "rel")
-    s = _shock(spark, "(1, false), (2, false), (3, true)")
+    s = _shocks(spark, "(1, false), (2, false), (3, true)")
     return changes(propagate(e, s, 2), s).select("branch", "entity", F.round("change", 6).alias("change"))
 
 
-@query(_TOP + """, ch AS (SELECT entity, sum(p) AS change FROM (SELECT dst AS entity, p FROM a1 UNION ALL SELECT dst, p FROM a2 UNION ALL SELECT 9, -0.3::DOUBLE) GROUP BY entity), base AS (SELECT src AS entity, 'SUPPLY' AS metric, sum(cents) / 100.0::DOUBLE AS v FROM pairs GROUP BY src UNION ALL SELECT dst, 'DEMAND', sum(cents) / 100.0::DOUBLE FROM pairs GROUP BY dst),
-st AS (SELECT turn, base.entity AS entity, metric, CASE WHEN metric = 'SUPPLY' AND turn >= 2 AND change IS NOT NULL THEN greatest(0, v * (1 + change)) ELSE v END AS v, metric = 'SUPPLY' AND turn = 2 AND change IS NOT NULL AS hit FROM base CROSS JOIN (SELECT unnest([1, 2, 3]) AS turn) LEFT JOIN ch ON ch.entity = base.entity)
-SELECT turn, round(sum(CASE WHEN metric = 'SUPPLY' THEN v ELSE 0 END), 0) AS supply, round(sum(CASE WHEN metric = 'DEMAND' THEN v ELSE 0 END), 0) AS demand, count(DISTINCT CASE WHEN hit THEN entity END) AS affected FROM st GROUP BY turn""")
+@query(_TOP + """, ch AS (SELECT entity, sum(p) AS change FROM (SELECT dst AS entity, p FROM a1 UNION ALL SELECT dst, p FROM a2 UNION ALL SELECT src, change FROM s) GROUP BY entity), base AS (SELECT src AS entity, 'SUPPLY' AS metric, sum(cents) / 100.0::DOUBLE AS v FROM pairs GROUP BY src UNION ALL SELECT dst, 'DEMAND', sum(cents) / 100.0::DOUBLE FROM pairs GROUP BY dst),
+st AS (SELECT turn, metric, CASE WHEN metric = 'SUPPLY' AND turn >= 2 AND change IS NOT NULL THEN greatest(0, v * (1 + change)) ELSE v END AS v FROM base CROSS JOIN (SELECT unnest([1, 2, 3]) AS turn) LEFT JOIN ch ON ch.entity = base.entity)
+SELECT turn, round(sum(CASE WHEN metric = 'SUPPLY' THEN v ELSE 0 END), 0) AS supply, round(sum(CASE WHEN metric = 'DEMAND' THEN v ELSE 0 END), 0) AS demand, CASE WHEN turn = 2 THEN (SELECT count(*) FROM ch) ELSE 0 END AS affected FROM st GROUP BY turn""")
 def turn_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of three turns, the second of them shocked; what was shocked stays so."""
     pairs = _pairs(spark, sf_dir)
-    s = _shock(spark, turn=2)
-    ch = changes(propagate(_edges(pairs), s, 2), s)
+    s = _shocks(spark, turn=2)
+    ch = written(changes(propagate(_edges(pairs), s, 2), s), "changes")
     side = lambda c, m: pairs.groupBy(F.col(c).alias("entity")).agg((F.sum("cents") / F.lit(100.0)).alias("value")).withColumn("metric", F.lit(m))
     nodes = side("src", "SUPPLY").unionByName(side("dst", "DEMAND"))
-    return totals(states(nodes, ch, 3)).select("turn", F.round("supply", 0).alias("supply"), F.round("demand", 0).alias("demand"), "affected")
+    return totals(states(nodes, ch, 3), ch).select("turn", F.round("supply", 0).alias("supply"), F.round("demand", 0).alias("demand"), "affected")
 
 
 def modifier(seed, turn, entity) -> Column:
@@ -194,85 +200,3 @@ def industrial_turn1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "company", F.round("production", 4).alias("production"), F.round("sales", 4).alias("sales"), F.round(F.col("sales") * F.col("price"), 3).alias("revenue"),
         F.round(F.col("sales") * F.col("price") - F.col("production") * F.col("cost") - F.col("workforce") * 10, 3).alias("profit"), F.round(F.col("demand") * (0.85 + 0.15 * F.col("sales") / F.col("demand")), 4).alias("next_demand"),
     )
-
-
-COMPANY = ["company", "production", "capacity", "inventory", "demand", "unit_price", "unit_cost", "workforce", "wage", "productivity"]
-RUN = "branch int, company string, turn int, production double, sales double, inventory double, price double, revenue double, profit double, unmet double, workforce double"
-
-
-def _component_run(companies: pd.DataFrame, links: pd.DataFrame, shocks: pd.DataFrame, branch: int, seed: str, turns: int) -> pd.DataFrame:
-    """All turns of one connected group of companies."""
-    import hashlib
-
-    held = lambda x: max(0.0, round(x, 6))
-    state = {r.company: {c: getattr(r, c) for c in COMPANY} for r in companies.sort_values("company").itertuples(index=False)}
-    base = {k: v["production"] for k, v in state.items()}
-    inputs = {k: g.sort_values("supplier").to_dict("records") for k, g in links.groupby("customer")} if len(links) else {}
-    by = {(r.turn, r.company): r for r in shocks.itertuples(index=False)} if len(shocks) else {}
-    rows = []
-    for turn in range(1, turns + 1):
-        stock = {k: v["inventory"] for k, v in state.items()}
-        made, paid = {}, dict.fromkeys(state, 0.0)
-        flows = []
-        for k, c in state.items():
-            s = by.get((turn, k))
-            supply, demand, cap, price = (s.supply, s.demand, s.capacity, s.price) if s else (1.0, 1.0, 1.0, 1.0)
-            c["unit_price"] = held(c["unit_price"] * price)
-            c["wanted"] = held(c["demand"] * demand)
-            luck = 0.995 + int.from_bytes(hashlib.sha256(f"{seed}:{turn}:{k}".encode()).digest()[:8], "big") / (2**64 - 1) * 0.01
-            target = min(base[k] * supply * c["productivity"] * luck, c["capacity"] * cap, c["wanted"])
-            for x in inputs.get(k, []):
-                target = min(target, min(stock[x["supplier"]], x["max_flow"]) / max(x["per_output"], 1e-6))
-            made[k] = held(target)
-            for x in inputs.get(k, []):
-                moved = held(min(made[k] * x["per_output"], stock[x["supplier"]]))
-                stock[x["supplier"]] = held(stock[x["supplier"]] - moved)
-                paid[k] += moved * x["unit_cost"]
-                flows.append(moved)
-        for k, c in state.items():
-            sales = held(min(c["wanted"], stock[k] + made[k]))
-            left = held(stock[k] + made[k] - sales)
-            profit = round(sales * c["unit_price"] - made[k] * c["unit_cost"] - paid[k] - c["workforce"] * c["wage"], 6)
-            rows.append((branch, k, turn, made[k], sales, left, c["unit_price"], held(sales * c["unit_price"]), profit, held(c["wanted"] - sales), c["workforce"]))
-            c["inventory"] = left
-            c["workforce"] = held(c["workforce"] * min(1.25, made[k] / max(base[k], 1e-6)))
-            c["demand"] = held(c["demand"] * (0.85 + 0.15 * sales / max(c["wanted"], 1e-6)))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in RUN.split(", ")])
-
-
-def industrial(companies: DataFrame, links: DataFrame, shocks: DataFrame, branches: DataFrame, seed: str, turns: int) -> DataFrame:
-    """Every branch's run of the supply-chain engine.
-
-    ``companies``: ``COMPANY`` and ``component``, the group of companies that links join; ``links``: ``component``, ``supplier``, ``customer``, ``per_output``, ``max_flow``,
-    ``unit_cost``; ``shocks``: ``branch``, ``component``, ``turn``, ``company`` and the four multipliers; ``branches``: ``branch``. Companies of a group take from shared stocks one
-    after another, so a group in a branch is one task; groups and branches run side by side.
-    """
-    both = companies.join(branches).withColumn("kind", F.lit("c"))
-    wide = both.select("branch", "component", "kind", *COMPANY, *(F.lit(None).cast(t).alias(c) for c, t in (("supplier", "string"), ("customer", "string"), ("per_output", "double"), ("max_flow", "double"), ("turn", "int"), ("supply", "double"), ("demand_by", "double"), ("capacity_by", "double"), ("price", "double"))))
-    l = links.join(branches).select("branch", "component", F.lit("l").alias("kind"), "supplier", "customer", "per_output", "max_flow", "unit_cost")  # noqa: E741
-    s = shocks.select("branch", "component", F.lit("s").alias("kind"), "company", "turn", "supply", F.col("demand").alias("demand_by"), F.col("capacity").alias("capacity_by"), "price")
-    rows = wide.unionByName(l, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        c, l, s = (g[g["kind"] == k] for k in "cls")  # noqa: E741
-        return _component_run(c[COMPANY], l[["supplier", "customer", "per_output", "max_flow", "unit_cost"]], s[["turn", "company", "supply", "demand_by", "capacity_by", "price"]].rename(columns={"demand_by": "demand", "capacity_by": "capacity"}), int(key[0]), seed, turns)
-
-    return rows.groupBy("branch", "component").applyInPandas(run, RUN)
-
-
-@query(None)
-def industrial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three turns of suppliers in groups of a nation, chained by links within it, in two branches."""
-    k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    d = lambda x: x.cast("double")
-    c = s.select(
-        F.col("s_nationkey").alias("component"), F.format_string("c%06d", k).alias("company"), d(100 + k % 50).alias("production"), d(120 + k % 40).alias("capacity"), d(60 + k % 30).alias("inventory"), d(90 + k % 70).alias("demand"),
-        d(10 + k % 7).alias("unit_price"), d(4 + k % 3).alias("unit_cost"), F.lit(20.0).alias("workforce"), F.lit(2.0).alias("wage"), F.lit(1.0).alias("productivity"),
-    )
-    from pyspark.sql.window import Window
-
-    nxt = F.lead("company").over(Window.partitionBy("component").orderBy("company"))
-    links = c.select("component", F.col("company").alias("supplier"), nxt.alias("customer"), F.lit(0.5).alias("per_output"), F.lit(200.0).alias("max_flow"), F.lit(1.0).alias("unit_cost")).where("customer is not null")
-    shocks = c.where("production >= 140").select(F.lit(2).alias("branch"), "component", F.lit(2).alias("turn"), "company", F.lit(0.5).alias("supply"), F.lit(1.0).alias("demand"), F.lit(1.0).alias("capacity"), F.lit(1.1).alias("price"))
-    return industrial(c, links, shocks, spark.sql("SELECT explode(array(1, 2)) AS branch"), "42", 3)
