@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,15 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..plans.registry import query
+from ..plans.storage import written
 from ..plans.tables import table
 
 # The chunker's window and overlap, the fusion's constant.
 WINDOW, OVERLAP, RRF = 1200, 160, 60
-#: Queries that meet a row at a time.
-QUERY_BLOCK = 256
+#: Distinct (search, term) pairs that are sent to the documents; beyond, documents and searches are joined by terms.
+SENT_TERMS = 1_000_000
+#: Scores held at a time, and vectors of a shard.
+CELLS, SHARD_ROWS = 2_000_000, 8192
 
 
 def candidate_limit(k: int) -> int:
@@ -54,30 +59,118 @@ kw AS (SELECT item_id, d.doc_id AS doc_id, round(sum(least(tf_q, tf_d)) / sqrt(C
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM kw)"""
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` best of each column, by the score rounded to six places; equal ones from the top."""
+    order = np.argsort(-np.floor(score * 1e6 + 0.5), axis=0, kind="stable")[:k]
+    return order.ravel(), np.tile(np.arange(score.shape[1]), len(order))
+
+
+def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``, ``rank``: the ``k`` best documents of each query by ``keyword_scores``, ties to the smaller id, scores above 0 alone.
+
+    The queries' terms go to the documents, whose terms lie together: nothing is shuffled by term, and a batch of documents gives on its ``k``
+    best for each query, so common terms cost no pairs. With a count of 2 or more a term is as many features (once, twice, ...), so shared terms by
+    the lesser count are sums of rows of a matrix. Where there are more than ``SENT_TERMS`` terms, or ids are no whole numbers, the join decides.
+    """
+    asked = queries.select(query_id, F.explode(fn.tokens("text")).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf")).limit(SENT_TERMS + 1)
+    kinds = [docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()]
+    terms = asked.collect() if set(kinds) <= {"int", "bigint"} else None  # SENT_TERMS rows at most
+    if terms is None or len(terms) > SENT_TERMS:
+        return ranked(keyword_scores(docs, queries, doc_id, query_id).where("score > 0"), query_id, doc_id, k)
+    names = sorted({r[0] for r in terms})
+    column = {q: i for i, q in enumerate(names)}
+    first: dict[str, int] = {}
+    most: Counter = Counter()
+    for r in terms:
+        most[r["term"]] = max(most[r["term"]], r["tf"])
+    rows = 0
+    for t, n in most.items():
+        first[t] = rows
+        rows += n
+    at = np.array([(first[r["term"]] + i, column[r[0]]) for r in terms for i in range(r["tf"])], dtype=np.int64).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast((first, dict(most), at, np.array(names, dtype=np.int64)))
+    block = max(1, CELLS // max(rows, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, most, at, names = shared.value
+        for b in batches:
+            b = b.sort_values("id", kind="stable")
+            features, length = [], []
+            for text in b["body"]:
+                words = re.findall(r"[^\W_]+", text.lower()) if text else []
+                length.append(len(words))
+                features.append([i for w, n in Counter(words).items() if w in first for i in range(first[w], first[w] + min(n, most[w]))])
+            root, ids = np.sqrt(np.maximum(length, 1)), b["id"].to_numpy()
+            for begin in range(0, len(names), block):  # so many queries at a time
+                mine = at[(at[:, 1] >= begin) & (at[:, 1] < begin + block)]
+                has = np.zeros((rows, min(block, len(names) - begin)), dtype=np.float32)
+                has[mine[:, 0], mine[:, 1] - begin] = 1
+                step = max(1, CELLS // has.shape[1])
+                for some in range(0, len(ids), step):
+                    both = np.stack([has[f].sum(axis=0) for f in features[some : some + step]])
+                    r, c = _best(both / root[some : some + step, None], k)
+                    found = pd.DataFrame({query_id: names[begin + c], doc_id: ids[some + r], "shared": both[r, c].astype(np.int64), "length": np.asarray(length)[some + r]})
+                    yield found[found["shared"] > 0]
+
+    slim = docs.select(F.col(doc_id).alias("id"), F.col("text").alias("body"))
+    found = slim.mapInPandas(run, f"{query_id} {kinds[1]}, {doc_id} {kinds[0]}, shared long, length long")
+    return ranked(found.select(query_id, doc_id, F.round(F.col("shared") / F.sqrt(F.greatest("length", F.lit(1)).cast("double")), 6).alias("score")), query_id, doc_id, k)
+
+
+def _keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return keyword_top(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id", k)
+
+
 @query(_KEYWORD + " SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text."""
-    return ranked(keyword_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id"), "item_id", "doc_id", 10)
+    return _keyword(spark, sf_dir, 10)
 
 
-def unit(c) -> Column:
-    """A vector over its length, in double precision."""
-    d = F.transform(c, lambda x: x.cast("double"))
-    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / n)
+def _units(x: pd.Series) -> np.ndarray:
+    v = np.array(x.tolist(), dtype=np.float64)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` (cosine), ``rank``: the ``k`` nearest rows (``vec_id``, ``embedding``) of each of a stated query set (``query_id``, ``embedding``); a
+    row of the query's id only if ``own``. Ids are whole numbers, vectors of one length and not null.
 
+    Rows are dealt into shards of ``SHARD_ROWS``; the queries, few beside the rows, travel to every shard. In a task a shard's rows come first and are
+    one matrix, then its queries stream past it; each gives on its ``k`` best of the shard.
+    """
+    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    rows = vectors.select(F.expr(f"cast(pmod(xxhash64(vec_id, 3), {shards}) as int)").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").cast("long").alias("id"), "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("id"), "embedding")
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id``, ``vec_id``, ``score`` (cosine) of each of a stated query set (``query_id``, ``q``) against all rows (``vec_id``, ``v``); the queries go to the rows in blocks."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    blocks = queries.groupBy(F.expr(f"cast(pmod(xxhash64(query_id), {n}) as int)").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    met = vectors.withColumn("block", F.explode(F.expr(f"sequence(0, {n - 1})"))).join(blocks, "block")
-    pairs = met.select("vec_id", "v", F.explode("asked").alias("a")).where(F.col("a.query_id") != F.col("vec_id"))
-    return pairs.select(F.col("a.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("a.q"), F.col("v")), 6).alias("score"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, parts, ids, matrix = None, [], None, None
+        for b in batches:
+            for (key, asks), g in b.groupby(["shard", "asks"]):
+                if key != shard:
+                    shard, parts, matrix = key, [], None
+                if not asks:
+                    parts.append(g)
+                    continue
+                if matrix is None:
+                    own_rows = pd.concat(parts).sort_values("id") if parts else g.iloc[:0]
+                    ids, matrix = own_rows["id"].to_numpy(), _units(own_rows["embedding"]) if parts else None
+                if matrix is None:
+                    continue
+                step = max(1, CELLS // len(ids))
+                for first in range(0, len(g), step):
+                    some = g.iloc[first : first + step]
+                    score = matrix @ _units(some["embedding"]).T
+                    names = some["id"].to_numpy()
+                    if not own:
+                        score[ids[:, None] == names[None, :]] = -np.inf
+                    r, c = _best(score, k)
+                    found = pd.DataFrame({"query_id": names[c], "vec_id": ids[r], "score": score[r, c]})
+                    yield found[found["score"] > -np.inf]
+
+    dealt = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
+    found = dealt.mapInPandas(run, "query_id long, vec_id long, score double")
+    return ranked(found.withColumn("score", F.round("score", 6)), "query_id", "vec_id", k)
 
 
 _VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM v),
@@ -86,9 +179,8 @@ vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 
 
 def _vector_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", unit("embedding").alias("v"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return ranked(vector_scores(e, q), "query_id", "vec_id", k)
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return vector_top(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k)
 
 
 @query(_VECTOR + " SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM vt WHERE rank <= 10")
@@ -106,29 +198,67 @@ def fuse(*rankings: DataFrame, by: str, item: str, constant: int = RRF) -> DataF
     return all_.groupBy(by, item).agg(F.round(F.sum("part"), 9).alias("score"))
 
 
-@query(_KEYWORD + """, byl AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY -doc_id DESC) AS rank FROM top WHERE rank <= 40),
-f AS (SELECT item_id, doc_id, round(sum(p), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS p FROM top WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM byl) GROUP BY ALL)
-SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
+def _text_vectors(texts: DataFrame, id_col: str) -> DataFrame:
+    """Vectors of texts by hashed terms, with a hash that SQL has too; blank texts have none."""
+    v = hashing_embedding(texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")), id_col, "text", digest="md5")
+    return v.withColumn(id_col, F.col(id_col).cast("long"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """``item_id``, ``doc_id``, ``score``, ``rank`` of the benchmark's texts as searches for ``k`` results: all candidates of the keyword and the vector ranking of all
+    documents, fused by reciprocal ranks."""
+    d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    most = candidate_limit(k)
+    keyword = keyword_top(d, b, "doc_id", "item_id", most)
+    vector = vector_top(_text_vectors(d, "doc_id").withColumnRenamed("doc_id", "vec_id"), _text_vectors(b, "item_id").withColumnRenamed("item_id", "query_id"), most, own=True)
+    f = fuse(keyword, vector.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), by="item_id", item="doc_id")
+    return ranked(f, "item_id", "doc_id", 2 * most)
+
+
+_HYBRID = _KEYWORD + r""", tok AS (SELECT 'd' AS kind, doc_id AS id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)
+  UNION ALL SELECT 'q', item_id, unnest(t), generate_subscripts(t, 1) FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark)),
+hashed AS (SELECT kind, id, ('0x' || substr(md5(term), 1, 15))::UBIGINT AS h, pos FROM tok),
+buckets AS (SELECT kind, id, CAST(h % 384 AS INTEGER) AS bucket, sum(CASE WHEN (h // 384) % 2 = 1 THEN 1 ELSE -1 END / sqrt(CAST(pos AS DOUBLE))) AS w FROM hashed GROUP BY ALL),
+norms AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM buckets GROUP BY ALL), unit AS (SELECT b.kind AS kind, b.id AS id, bucket, CASE WHEN n > 0 THEN w / n ELSE 0 END AS w FROM buckets b JOIN norms m ON b.kind = m.kind AND b.id = m.id),
+cosines AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score FROM (SELECT * FROM unit WHERE kind = 'q') q JOIN (SELECT * FROM unit WHERE kind = 'd') d ON q.bucket = d.bucket GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cosines),
+fused AS (SELECT item_id, doc_id, round(sum(p), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS p FROM top WHERE rank <= {most} UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM near WHERE rank <= {most}) GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= {k})"""
+
+
+@query(_HYBRID.replace("{most}", "40").replace("{k}", "10") + " SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of the same candidates, by keywords and by age, fused by reciprocal ranks."""
-    first = ranked(keyword_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id"), "item_id", "doc_id", candidate_limit(10))
-    second = first.select("item_id", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
-    f = fuse(first, second, by="item_id", item="doc_id")
-    return ranked(f, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
+    """The ten best documents for each benchmark text by keywords and vectors together."""
+    return hybrid(spark, sf_dir, 10).where("rank <= 10")
 
 
-@query(_KEYWORD + r""", c AS (SELECT * FROM top WHERE rank <= 20), s AS (SELECT c.item_id AS item_id, c.doc_id AS doc_id, score, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')) AS dt, contains(lower(d.text), substr(lower(b.text), 1, 40)) AS phrase FROM c JOIN benchmark b ON b.item_id = c.item_id JOIN documents d ON d.doc_id = c.doc_id),
-r AS (SELECT item_id, doc_id, round(score + len(list_intersect(qt, dt)) / CAST(greatest(len(qt), 1) AS DOUBLE) + CASE WHEN phrase THEN 0.2 ELSE 0 END::DOUBLE, 6) AS score FROM s)
-SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM r) WHERE rn <= 5""")
+def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, section: Column, k: int) -> DataFrame:
+    """``item_id``, ``doc_id``, ``score``, ``rank``: hits anew by their score, the share of the query's terms in the text, 0.2 if the whole query stands in it as a
+    phrase, and 0.1 times the share of its terms in the section. Texts are joined to hits only."""
+    j = hits.select("item_id", "doc_id", "score").join(queries.select("item_id", F.col("text").alias("asked")), "item_id").join(docs.withColumn("section", section), "doc_id")
+    qt, dt, st = (F.array_distinct(fn.tokens(c)) for c in ("asked", "text", "section"))
+    n = F.greatest(F.size(qt), F.lit(1)).cast("double")
+    phrase = F.contains(F.lower("text"), F.regexp_replace(F.lower("asked"), r"^\s+|\s+$", ""))
+    score = F.col("score") + F.size(F.array_intersect(qt, dt)) / n + F.when(phrase, 0.2).otherwise(0.0) + F.lit(0.1) * F.size(F.array_intersect(qt, st)) / n
+    return ranked(j.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", "doc_id", k)
+
+
+def heading() -> Column:
+    """A document's first line as its section."""
+    return F.coalesce(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(""))
+
+
+_RERANK = r""", pairs AS (SELECT c.item_id AS item_id, c.doc_id AS doc_id, score, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')) AS dt,
+  list_distinct(regexp_extract_all(lower(split_part(d.text, chr(10), 1)), '[\p{L}\p{N}]+')) AS st, contains(lower(d.text), regexp_replace(lower(b.text), '^\s+|\s+$', '', 'g')) AS phrase FROM {hits} c JOIN benchmark b ON b.item_id = c.item_id JOIN documents d ON d.doc_id = c.doc_id),
+anew AS (SELECT item_id, doc_id, round(score + len(list_intersect(qt, dt)) / CAST(greatest(len(qt), 1) AS DOUBLE) + CASE WHEN phrase THEN 0.2::DOUBLE ELSE 0 END + 0.1::DOUBLE * len(list_intersect(qt, st)) / CAST(greatest(len(qt), 1) AS DOUBLE), 6) AS score FROM pairs),
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM anew) WHERE rank <= 5)"""
+
+
+@query(_KEYWORD + _RERANK.replace("{hits}", "(SELECT * FROM top WHERE rank <= 20)") + " SELECT item_id, doc_id, score FROM final")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best candidates anew: their score, the share of the query's terms, and a bonus for its beginning as a phrase. Texts are joined to candidates only."""
+    """The five best of twenty keyword candidates, reranked by terms, the whole phrase and the heading."""
     d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    c = ranked(keyword_scores(d, b, "doc_id", "item_id"), "item_id", "doc_id", 20)
-    j = c.join(b.select("item_id", F.col("text").alias("asked")), "item_id").join(d, "doc_id")
-    qt, dt = F.array_distinct(fn.tokens("asked")), F.array_distinct(fn.tokens("text"))
-    phrase = F.contains(F.lower("text"), F.substring(F.lower("asked"), 1, 40))
-    score = F.round(F.col("score") + F.size(F.array_intersect(qt, dt)) / F.greatest(F.size(qt), F.lit(1)).cast("double") + F.when(phrase, 0.2).otherwise(0.0), 6)
-    return ranked(j.select("item_id", "doc_id", score.alias("score")), "item_id", "doc_id", 5).select("item_id", "doc_id", "score")
+    return reranked(_keyword(spark, sf_dir, candidate_limit(5)), b, d, heading(), 5).select("item_id", "doc_id", "score")
 
 
 def sentences(c) -> Column:
@@ -142,16 +272,28 @@ def best_sentence(asked, text) -> Column:
     return F.array_max(each)
 
 
-@query(_KEYWORD + r""", c AS (SELECT * FROM top WHERE rank <= 3), s AS (SELECT c.item_id AS item_id, rank, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, regexp_split_to_array(regexp_replace(d.text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM c JOIN benchmark b ON b.item_id = c.item_id JOIN documents d ON d.doc_id = c.doc_id),
-e AS (SELECT item_id, rank, qt, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM s), o AS (SELECT item_id, rank, i, sentence, len(list_intersect(qt, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')))) AS overlap FROM e)
-SELECT item_id, CAST(overlap AS INTEGER) AS overlap, sentence || ' [' || rank || ']' AS answer FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, rank, i) AS rn FROM o) WHERE rn = 1""")
+# Fixed value: the answer where nothing supports one.
+REFUSAL = "The indexed evidence does not support an answer."
+
+
+def answers(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``item_id``, ``answer``: the best sentence of each of the three best hits with its number; a refusal where there is no hit or the best scores 0."""
+    j = hits.where("rank <= 3 and score > 0").join(queries.select("item_id", F.col("text").alias("asked")), "item_id").join(docs, "doc_id")
+    s = j.select("item_id", "rank", F.regexp_replace(best_sentence("asked", "text")["sentence"], r"^\s+|\s+$", "").alias("sentence")).where("sentence <> ''")
+    told = s.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat(x["sentence"], F.lit(" ["), x["rank"].cast("string"), F.lit("]"))), " ")
+    return queries.select("item_id").join(told.select("item_id", text.alias("answer")), "item_id", "left").select("item_id", F.coalesce("answer", F.lit(REFUSAL)).alias("answer"))
+
+
+@query(_HYBRID.replace("{most}", "20").replace("{k}", "40") + _RERANK.replace("{hits}", "hits") + r""", s AS (SELECT f.item_id AS item_id, rank, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS qt, regexp_split_to_array(regexp_replace(d.text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM final f JOIN benchmark b ON b.item_id = f.item_id JOIN documents d ON d.doc_id = f.doc_id WHERE rank <= 3 AND score > 0),
+e AS (SELECT item_id, rank, qt, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM s), o AS (SELECT item_id, rank, i, sentence, len(list_intersect(qt, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')))) AS overlap FROM e),
+w AS (SELECT item_id, rank, regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY item_id, rank ORDER BY overlap DESC, i) AS rn FROM o) WHERE rn = 1),
+told AS (SELECT item_id, string_agg(sentence || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM w WHERE sentence <> '' GROUP BY item_id)
+SELECT benchmark.item_id AS item_id, coalesce(answer, 'The indexed evidence does not support an answer.') AS answer FROM benchmark LEFT JOIN told ON told.item_id = benchmark.item_id""")
 def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence of the three best documents that answers best, with its source's number."""
+    """Each search's answer: a cited sentence of each of the three best hits of the reranked hybrid search."""
     d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    c = ranked(keyword_scores(d, b, "doc_id", "item_id"), "item_id", "doc_id", 3)
-    j = c.join(b.select("item_id", F.col("text").alias("asked")), "item_id").join(d, "doc_id").select("item_id", "rank", best_sentence("asked", "text").alias("s"))
-    best = j.groupBy("item_id").agg(F.max(F.struct(F.col("s.overlap").alias("overlap"), (-F.col("rank")).alias("order"), F.col("s.sentence").alias("sentence"))).alias("b"))
-    return best.select("item_id", F.col("b.overlap").alias("overlap"), F.concat("b.sentence", F.lit(" ["), (-F.col("b.order")).cast("string"), F.lit("]")).alias("answer"))
+    return answers(reranked(hybrid(spark, sf_dir, 5), b, d, heading(), 5), b, d)
 
 
 def ranking_metrics(rankings: DataFrame, k: int) -> DataFrame:
@@ -161,10 +303,18 @@ def ranking_metrics(rankings: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at position ceil(share * n) in order."""
-    n = values.count()
-    at = max(1, -(-int(share * n * 10**9) // 10**9))
-    return values.select(column).orderBy(column).limit(at).agg(F.max(column).alias(f"p{int(share * 100)}"))
+    """The value at position ceil(share * n) in order, of those that are not null: equal values are counted together, ranges of values by partition, so that no
+    task sees more than its range."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    counts = written(counts, "counts")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row for each partition
+    at, before = max(1, -(-int(share * sum(r["n"] for r in parts) * 10**9) // 10**9)), 0
+    for r in parts:
+        if before + r["n"] >= at:
+            inside = F.sum("n").over(Window.partitionBy("part").orderBy(column))
+            return counts.where(F.col("part") == r["part"]).withColumn("upto", inside).where(F.col("upto") >= at - before).agg(F.min(column).alias(f"p{int(share * 100)}"))
+        before += r["n"]
+    return values.select(column).where("false").agg(F.max(column).alias(f"p{int(share * 100)}"))
 
 
 def quality_delta(current: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -218,21 +368,26 @@ def split_sections(text: str) -> list[tuple[list[str], int, int]]:
 
 
 def windows(text: str, begin: int, end: int, size: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Windows of a range: cut at the last line break or space past half a window; the next begins ``overlap`` before."""
+    """Windows of a range: cut at the last line break or space, if that lies beyond half a window; the next begins ``overlap`` before."""
     out, at = [], begin
     while at < end:
         stop = min(at + size, end)
         if stop < end:
-            cut = max(text.rfind("\n", at + size // 2, stop), text.rfind(" ", at + size // 2, stop))
-            stop = cut if cut > at else stop
-        if text[at:stop].strip():
-            out.append((at, stop))
+            cut = max(text.rfind("\n", at, stop), text.rfind(" ", at, stop))
+            stop = cut if cut > at + size // 2 else stop
+        out.append((at, stop))
         if stop >= end:
             break
         at = max(at + 1, stop - overlap)
     return out
 
 
+def _trimmed(text: str, begin: int, end: int) -> tuple[int, int]:
+    part = text[begin:end]
+    begin += len(part) - len(part.lstrip())
+    return begin, begin + len(part.strip())
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``chunk_id``, ``ordinal``, ``section`` (headings), ``begins``, ``ends``, ``content`` of every text; blank chunks have no number."""
 
@@ -243,29 +398,42 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 n = 0
                 for path, s, e in split_sections(t or ""):
                     for x, y in windows(t, s, e):
-                        rows.append((i, hashlib.sha256(f"{i}:{n}:{x}:{y}".encode()).hexdigest()[:32], n, path, x, y, t[x:y]))
-                        n += 1
+                        x, y = _trimmed(t, x, y)
+                        if y > x:
+                            rows.append((i, hashlib.sha256(f"{i}:{n}:{x}:{y}".encode()).hexdigest()[:32], n, path, x, y, t[x:y]))
+                            n += 1
             yield pd.DataFrame(rows, columns=["id", "chunk_id", "ordinal", "section", "begins", "ends", "content"])
 
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body"))
     return slim.mapInPandas(run, "id string, chunk_id string, ordinal int, section array<string>, begins int, ends int, content string").withColumnRenamed("id", id_col)
 
 
-def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
-    """``id_col``, ``embedding``: terms hashed to signed buckets, weighted by 1 / root of their position, of length 1."""
-
-    def one(text):
-        import numpy as np
+def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 384, digest: str = "blake2b") -> DataFrame:
+    """``id_col``, ``embedding``: terms hashed to signed buckets, weighted by 1 / root of their position, of length 1. ``digest``: blake2b, or md5 (a hash that SQL has)."""
 
-        v = np.zeros(dims)
-        for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").casefold())):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-            v[h % dims] += (1 if h >> 63 else -1) / (i + 1) ** 0.5
-        n = np.linalg.norm(v)
-        return (v / n if n else v).astype("float32")
+    def hashed(word: str) -> tuple[int, int]:
+        if digest == "md5":
+            h = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+            return h % dims, 1 if h // dims % 2 else -1
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        return h % dims, 1 if h >> 63 else -1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, int]] = {}
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "embedding": [one(t) for t in b["body"]]})
-
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).mapInPandas(run, "id string, embedding array<float>").withColumnRenamed("id", id_col)
+            out = []
+            for text in b["body"]:
+                words = re.findall(r"[^\W_]+", (text or "").lower() if digest == "md5" else (text or "").casefold())
+                if len(known) > 200_000:
+                    known.clear()
+                places = [known.get(w) or known.setdefault(w, hashed(w)) for w in words]
+                v = np.zeros(dims)
+                if places:
+                    bucket, sign = np.array(places).T
+                    v = np.bincount(bucket, weights=sign / np.sqrt(np.arange(1, len(words) + 1)), minlength=dims)
+                n = np.linalg.norm(v)
+                out.append(v / n if n else v)
+            yield pd.DataFrame({"id": b["id"], "embedding": out})
+
+    kind = "array<double>" if digest == "md5" else "array<float>"
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).mapInPandas(run, f"id string, embedding {kind}").withColumnRenamed("id", id_col)
