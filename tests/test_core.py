@@ -82,7 +82,7 @@ def test_payloads():
     assert payloads.text(payloads.decoded(gzip.compress("﻿é".encode()))) == "é" and payloads.text(b"\x93x\x94") == "“x”"
     assert list(payloads.csv_rows('a,b,c\r\n"x, ""y""", 2 \r\n\r\n')) == [{"a": 'x, "y"', "b": "2", "c": ""}]
     with pytest.raises(payloads.PayloadError):
-        payloads.unzipped(zipped({"../evil.csv": "x"}))
+        list(payloads.unzipped(zipped({"../evil.csv": "x"})))
 
 
 def test_rejection(spark):

@@ -5,11 +5,13 @@ Records carry ``record_id``, ``run_id``, ``source_system``, ``created_at`` besid
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..plans.storage import written
+from .joins import within
 from .resolve import match_names
 from .world import latest_per_key, slug
 
@@ -120,9 +122,11 @@ def semantic(records: DataFrame) -> DataFrame:
     port = r.where((system == "WPI") | ((system == "UNLOCODE") & F.contains(dim("function"), F.lit("1"))))
     out = out.unionByName(rule(port, "LOCATED_IN", tag("port", F.col("natural_key")), F.col("country")))
     out = out.unionByName(rule(r.where(system == "HS"), "PARENT_OF", tag("product", dim("parent")), tag("product", code)))
-    goods = r.where((system == "UN_COMTRADE") & (F.upper(code) != "TOTAL") & (F.col("country") != F.col("partner")))
+    flows_of = r.where((system == "UN_COMTRADE") & (F.col("country") != F.col("partner")))
+    goods = flows_of.where(F.upper(code) != "TOTAL")
     imports = F.upper(dim("flowCode")) == "M"
     exporter, importer, product = F.when(imports, F.col("partner")).otherwise(F.col("country")), F.when(imports, F.col("country")).otherwise(F.col("partner")), tag("product", code)
+    out = out.unionByName(rule(flows_of, "TRADE_FLOW", exporter, importer))
     for name, a, b in (("PRODUCES", exporter, product), ("SUPPLIES", product, importer), ("DEPENDS_ON", importer, product)):
         out = out.unionByName(rule(goods, name, a, b))
     out = out.unionByName(rule(goods.where(dim("motCode") != "0"), "SHIPS_VIA", product, tag("mode", dim("motCode"))))
@@ -146,10 +150,25 @@ def runs_with_turns(branches: DataFrame, runs: DataFrame, turns: DataFrame) -> D
     return branches.join(runs, "branch_id", "left").join(t, "run_id", "left")
 
 
+def append_turns(turns: DataFrame, path: str) -> None:
+    """Append snapshots (``run_id``, ``turn``, ``state``) of turns that the table does not have yet."""
+    try:
+        have = turns.sparkSession.read.schema(turns.schema).parquet(path)
+        turns = turns.join(have.select("run_id", "turn"), ["run_id", "turn"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    turns.write.mode("append").parquet(path)
+
+
+def with_places(entities: DataFrame, ids: list[str]) -> DataFrame:
+    """The entities of the given ids with ``pos``, their places; unknown ids are left out."""
+    return entities.join(entities.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, id string"), "id")
+
+
 def in_given_order(entities: DataFrame, ids: list[str]) -> DataFrame:
-    """The entities of the given ids, in their order; unknown ids are left out."""
-    asked = entities.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, id string")
-    return entities.join(F.broadcast(asked), "id").orderBy("pos").drop("pos")
+    """The entities of the given ids, in their order."""
+    return with_places(entities, ids).orderBy("pos").drop("pos")
 
 
 def index_text(records: DataFrame) -> DataFrame:
@@ -175,6 +194,29 @@ def misplaced_chunks(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def outcomes(results: DataFrame) -> DataFrame:
-    """How many records were indexed and which failed (``record_id``, ``error``): the failed ones as a list of a hundred at most, their number whole."""
-    bad = results.where("error is not null")
-    return results.agg(F.count_if(F.col("error").isNull()).alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed")).join(bad.orderBy("record_id").limit(100).agg(F.sort_array(F.collect_list("record_id")).alias("first_failed")))
+    """How many records (``record_id``, ``error``) were indexed and how many failed."""
+    return results.agg(F.count_if(F.col("error").isNull()).alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """Every record that failed, with its error."""
+    return results.where("error is not null").select("record_id", "error")
+
+
+def new_snapshots(fingerprints: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``fingerprint``, ``is_new``: whether no ready version has it with its counts."""
+    ready = manifests.where((F.col("index_status") == "READY") & F.col("records").isNotNull()).select("fingerprint", F.lit(True).alias("had")).distinct()
+    return fingerprints.join(ready, "fingerprint", "left").select("fingerprint", F.col("had").isNull().alias("is_new"))
+
+
+def reload_check(named: DataFrame, records: DataFrame) -> DataFrame:
+    """``version``, ``expected``, ``loaded``, ``whole``: whether all records that a version names (``version``, ``record_id``) are there."""
+    found = named.join(records.select("record_id", F.lit(1).alias("found")).distinct(), "record_id", "left")
+    return found.groupBy("version").agg(F.count("*").alias("expected"), F.count("found").alias("loaded")).withColumn("whole", F.col("expected") == F.col("loaded"))
+
+
+def affects(records: DataFrame, km: float = 500) -> DataFrame:
+    """``type``, ``source``, ``target``: earthquakes and the ports within ``km`` of them."""
+    at = lambda kind, name: records.where(F.col("record_type") == kind).select(F.col("natural_key").alias(name), dim("latitude").try_cast("double").alias(f"{name}_lat"), dim("longitude").try_cast("double").alias(f"{name}_lon")).dropna()
+    near = within(at("EARTHQUAKE", "a"), at("PORT", "b"), km)
+    return near.select(F.lit("AFFECTS").alias("type"), F.concat(F.lit("crisis:"), "a").alias("source"), F.concat(F.lit("port:"), "b").alias("target")).distinct()

@@ -82,6 +82,19 @@ def path_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return n.select("case_id", F.round(precision, 6).alias("path_precision"), F.round(recall, 6).alias("path_recall"), F.round(f1, 6).alias("f1"))
 
 
+def macro_mean(scores: DataFrame) -> DataFrame:
+    """The means over cases of what ``path_scores`` gives."""
+    return scores.agg(F.count("*").alias("cases"), *(F.round(F.avg(c), 6).alias(c) for c in ("path_precision", "path_recall", "f1")))
+
+
+def read_version(entities: DataFrame, version: str, order: list[str]) -> DataFrame:
+    """The entities of a world version in an order, with ``place``, their number in it. One version is sorted as a whole, as its reader asks."""
+    from pyspark.sql.window import Window
+
+    mine = entities.where(F.col("world_version_id") == version)
+    return mine.withColumn("place", F.row_number().over(Window.partitionBy("world_version_id").orderBy(*order))).orderBy("place")
+
+
 @query(_PATHS.format(root="region:0", depth=2) + """, pred AS (SELECT DISTINCT CAST(len(types) AS INTEGER) AS case_id, array_to_string(types, '>') AS types FROM p WHERE len(types) > 0),
 want(case_id, types) AS (VALUES (1, 'PART_OF'), (1, 'SUPPLIES'), (2, 'PART_OF>LOCATED_IN'), (2, 'PART_OF>PART_OF'), (3, 'PART_OF')), ids AS (SELECT case_id FROM pred UNION SELECT case_id FROM want),
 n AS (SELECT case_id, (SELECT count(*) FROM pred WHERE pred.case_id = ids.case_id) AS np, (SELECT count(*) FROM want WHERE want.case_id = ids.case_id) AS nw, (SELECT count(*) FROM want JOIN pred USING (case_id, types) WHERE want.case_id = ids.case_id) AS h FROM ids),
@@ -131,11 +144,16 @@ def node_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_nodes(nodes: DataFrame, search: str, k: int = 20) -> DataFrame:
-    """``id``, ``score`` of the best nodes (``id``, ``name``) for a search: exact 100, contained 80, and 50 times the word similarity from 0.6 on."""
+    """``id``, ``score`` of the best nodes (``id``, ``name``, one row for each alias; and ``text`` if there is one) for a search: a name that it is 100, a name that stands in
+    it 80, and 50 times the word similarity from 0.6 on; and 20 times the share of its words that the text has, where it has all of them."""
     q, name = F.lit(search.lower()), F.lower("name")
-    near = fn.word_similarity(q, name)
-    score = F.greatest(F.when(name == q, 100.0).when(F.contains(name, q), 80.0), F.when(near >= 0.6, 50 * near))
-    return nodes.withColumn("score", score).where("score is not null").groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    near = fn.word_similarity(name, q)
+    score = [F.when(name == q, 100.0).when(F.contains(q, name), 80.0), F.when(near >= 0.6, 50 * near)]
+    if "text" in nodes.columns:
+        asked, has = search_tokens(q), F.array_distinct(fn.tokens("text"))
+        score.append(F.when((F.size(asked) > 0) & (F.size(F.array_except(asked, has)) == 0), 20.0 * F.size(asked) / F.greatest(F.size(has), F.lit(1))))
+    best = F.greatest(*score)
+    return nodes.withColumn("score", best).where("score is not null").groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 #: Fixed value: tokens of a search.

@@ -39,14 +39,23 @@ def fingerprint(*columns) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("null")) for c in columns)), 256)
 
 
-def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """What of ``new`` ``existing`` does not have, each key once: the rows to append."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def _one_of_each(df: DataFrame, keys: list[str], order: list[str], last: bool) -> DataFrame:
+    """One row of each key: the first, or the last, by ``order`` and then by the other columns; an aggregation, which combines on the map side."""
+    rest = [c for c in [*order, *(c for c in df.columns if c not in order)] if c not in keys]
+    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_"))
+    best = df.groupBy(*keys).agg((F.max if last else F.min)(row).alias("_row"))
+    return best.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` with the rows of ``new`` in place of those of equal keys."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """What of ``new`` ``existing`` does not have, each key once, its first row by ``order``: the rows to append."""
+    return _one_of_each(new, keys, order or [], False).join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``existing`` with the rows of ``new`` in place of those of equal keys; of a key that repeats in ``new`` the last row by ``order`` counts."""
+    last = _one_of_each(new, keys, order or [], True)
+    return existing.join(last.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(last)
 
 
 def next_version(versions: DataFrame, world: str) -> DataFrame:

@@ -17,7 +17,7 @@ PERSONAL_KEYS = "name firstname lastname fullname email phone phonenumber addres
 
 def grammar_violations(edges: DataFrame, grammar: DataFrame) -> DataFrame:
     """Edges whose (type, source type, target type) the grammar does not have."""
-    return edges.join(F.broadcast(grammar), ["type", "source_type", "target_type"], "left_anti")  # a catalogue of a few dozen literals
+    return edges.join(grammar, ["type", "source_type", "target_type"], "left_anti")
 
 
 @query("""WITH e AS (SELECT DISTINCT 'supplier' AS source_type, 'LOCATED_IN' AS type, 'country' AS target_type, 's' || s_suppkey AS k FROM supplier UNION SELECT 'customer', 'LOCATED_IN', 'country', 'c' || c_custkey FROM customer UNION SELECT 'region', 'PART_OF', 'country', 'n' || n_nationkey FROM nation
@@ -50,7 +50,7 @@ def property_fits(value: Column, kind: Column) -> Column:
 def property_violations(entities: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``id``, ``property``, ``problem`` of entities (``id``, ``entity_type``, ``attributes`` as JSON) against declared properties (``entity_type``, ``property``, ``kind``, ``required``). Undeclared attributes are accepted."""
     attrs = F.from_json("attributes", "map<string,string>")
-    j = entities.withColumn("a", attrs).join(F.broadcast(catalogue), "entity_type").withColumn("v", F.col("a")[F.col("property")])
+    j = entities.withColumn("a", attrs).join(catalogue, "entity_type").withColumn("v", F.col("a")[F.col("property")])
     problem = F.when(F.col("v").isNull() & F.col("required"), "missing").when(F.col("v").isNotNull() & ~property_fits(F.col("v"), F.col("kind")), F.concat(F.lit("not a "), F.lower("kind")))
     return j.select("id", "property", problem.alias("problem")).where("problem is not null")
 

@@ -52,7 +52,14 @@ def provenance_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_links(links)
 
 
-@query(None)
+def stamped(values: DataFrame, rule: str, version: str) -> DataFrame:
+    """Links of values (``subject_id``, ``path``, ``record_id``) to their record's evidence, with the rule that made them and its version."""
+    key = F.concat(F.lit("normalized-record:"), "record_id")
+    how = F.to_json(F.struct(F.lit(rule).alias("rule"), F.lit(version).alias("version")))
+    return values.select("subject_id", "path", F.substring(F.sha2(key, 256), 1, 32).alias("evidence_id"), how.alias("transformation"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_linenumber NOT IN (5, 2)) SELECT '/lines/' || n AS path, count(*) FILTER (n % 3 <> 0) AS with_evidence, count(*) FILTER (n % 3 = 0) AS assumed FROM l GROUP BY n""")
 def provenance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values of each kind have evidence, and how many rest on assumptions."""
     links = provenance_links(spark, sf_dir)

@@ -317,6 +317,12 @@ def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
     return values.select(column).where("false").agg(F.max(column).alias(f"p{int(share * 100)}"))
 
 
+def documents_of(hits: DataFrame, by: str, document: str) -> DataFrame:
+    """``by``, ``document``, ``rank``: the documents of ranked hits, each once, in the order of its first hit."""
+    first = hits.groupBy(by, document).agg(F.min("rank").alias("first"))
+    return first.select(by, document, F.row_number().over(Window.partitionBy(by).orderBy("first", document)).alias("rank"))
+
+
 def quality_delta(current: DataFrame, legacy: DataFrame) -> DataFrame:
     """``strategy``, ``metric``, ``delta`` of two sets of figures; what the legacy set lacks counts as 0."""
     return current.join(legacy.withColumnRenamed("value", "old"), ["strategy", "metric"], "left").select("strategy", "metric", F.round(F.col("value") - F.coalesce("old", F.lit(0.0)), 6).alias("delta"))

@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The largest baselines, and edges that carry quantities.
 MOST_COMPANIES, MOST_LINKS, MOST_SHOCKS, MOST_TURNS, MOST_PARAMETER_BYTES = 5_000, 20_000, 20_000, 120, 32 * 1024
@@ -24,6 +25,29 @@ def parameter_faults(parameters: str) -> list[str]:
     return out + [f"credential parameter: {k}" for k in value if _CREDENTIAL.search(k)]
 
 
+def parameters_faults(column: str) -> Column:
+    """The same of a column of JSON texts, as an array: too long, no object, fields of the outermost object that look like credentials."""
+    c = F.col(column)
+    keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    named = F.transform(F.filter(keys, lambda k: k.rlike(f"(?i){_CREDENTIAL.pattern}")), lambda k: F.concat(F.lit("credential parameter: "), k))
+    first = F.array_compact(F.array(F.when(F.octet_length(c) > MOST_PARAMETER_BYTES, "parameters are too long"), F.when(F.json_object_keys(c).isNull(), "parameters must be an object")))
+    return F.concat(first, named)
+
+
+def sorted_fields(c: Column, kind: T.DataType) -> Column:
+    """A column with the fields of its structs, at any depth, in the order of their names."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*(sorted_fields(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    return c
+
+
+def result_hash(column: str, kind: T.DataType) -> Column:
+    """SHA-256 of a column of structs as JSON with sorted keys and no spaces."""
+    return F.sha2(F.to_json(sorted_fields(F.col(column), kind)), 256)
+
+
 def faults(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``key``, ``fault`` for every rule, a condition that should not hold, that holds for a row."""
     found = F.filter(F.array(*(F.when(c, F.lit(m)) for m, c in rules.items())), lambda x: x.isNotNull())

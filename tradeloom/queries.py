@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import graph, ingest, joins, ontology, provenance, resolve, retrieval, simulate, world  # noqa: F401  they register their queries
+from .operators import graph, ingest, joins, kept, ontology, provenance, resolve, retrieval, simulate, world  # noqa: F401  they register their queries
 from .plans import registry
+from .sources import given  # noqa: F401
 from .streaming import events  # noqa: F401
 
 

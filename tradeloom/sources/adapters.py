@@ -39,7 +39,7 @@ def value_of(*names: str, of: str = "raw") -> Column:
     """The first of a row's fields that is there, as JSON: numbers with or without commas and truth values as they are, else text."""
     v = F.coalesce(*(F.col(of)[n] for n in names))
     n = fn.number(v)
-    bare = F.regexp_replace(v, ",", "")
+    bare = F.regexp_replace(F.regexp_replace(v, ",", ""), r"^(-?)0+(?=\d)", "$1")
     return F.when(n.isNotNull(), bare).when(v.isin("true", "false"), v).otherwise(F.to_json(F.struct(v.alias("text"))))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class PayloadError(ValueError):
@@ -32,17 +33,21 @@ def text(content: bytes) -> str:
         return content.decode("cp1252", "replace")
 
 
-def unzipped(content: bytes) -> dict[str, bytes]:
-    """The files of an archive; one that points outside of it is an error."""
-    out = {}
+#: Bytes that an archive's files may have in all when unpacked.
+UNZIPPED_BYTES = 1 << 30
+
+
+def unzipped(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """The files of an archive, one after another; one that points outside of it, or an archive that unpacks to more than ``UNZIPPED_BYTES``, is an error."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if sum(info.file_size for info in z.infolist()) > UNZIPPED_BYTES:
+            raise PayloadError("the archive unpacks to too many bytes")
         for info in z.infolist():
             name = posixpath.normpath(info.filename.replace("\\", "/"))
             if name.startswith(("/", "..")) or ":" in name:
                 raise PayloadError(f"unsafe archive entry: {info.filename}")
             if not info.is_dir():
-                out[name] = z.read(info)
-    return out
+                yield name, z.read(info)
 
 
 def csv_rows(body: str) -> Iterator[dict[str, str]]:
@@ -60,7 +65,7 @@ LOCATION_HEADER = "Change,Country,Location,Name,NameWoDiacritics,Subdivision,Fun
 
 
 def location_files(content: bytes) -> Iterator[str]:
-    for name, body in unzipped(content).items():
+    for name, body in unzipped(content):
         if name.lower().endswith(".csv"):
             t = text(body)
             first = t.split("\n", 1)[0].lower()
@@ -102,6 +107,7 @@ def json_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_files(spark: SparkSession, folder: str, version: str) -> DataFrame:
-    """Fetched pages kept as files: one page each, in the order of their names."""
+    """Fetched pages kept as files: one page each, numbered in the order of their names. Only the names are sorted together."""
     f = spark.read.format("binaryFile").load(folder)
-    return f.select("content", F.lit(None).cast("string").alias("content_encoding"), F.lit(version).alias("source_version"), F.lit(1).alias("page_number"))
+    numbers = f.select("path").withColumn("page_number", F.row_number().over(Window.orderBy("path")))
+    return f.join(numbers, "path").select("content", F.lit(None).cast("string").alias("content_encoding"), F.lit(version).alias("source_version"), "page_number")
