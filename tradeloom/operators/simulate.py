@@ -136,10 +136,10 @@ def propagate_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 1).select("rel", "src", "dst", F.round("propagated", 9).alias("propagated"))
 
 
-@query(_TOP + " SELECT depth, rel, src, dst, round(p0, 12) AS input, round(p, 12) AS propagated FROM trace")
+@query(_TOP + " SELECT depth, rel, src, dst, round(p0, 9) AS input, round(p, 9) AS propagated FROM trace")
 def propagate_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace of two shocks over three levels; an edge that both reach fires for the first."""
-    return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 3).select("depth", "rel", "src", "dst", F.round("input", 12).alias("input"), F.round("propagated", 12).alias("propagated"))
+    return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 3).select("depth", "rel", "src", "dst", F.round("input", 9).alias("input"), F.round("propagated", 9).alias("propagated"))
 
 
 @query(TRADE + DEPENDENCY + f""", top0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3), {_SHOCKS}, b(branch, m) AS (VALUES (1, 0), (2, 0), (3, 1)),
