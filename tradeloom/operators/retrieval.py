@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..plans.registry import query
-from ..plans.storage import written
+from ..plans.storage import spread, written
 from ..plans.tables import table
 
 # The chunker's window and overlap, the fusion's constant.
@@ -113,7 +113,7 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
                     yield found[found["shared"] > 0]
 
     slim = docs.select(F.col(doc_id).alias("id"), F.col("text").alias("body"))
-    found = slim.mapInPandas(run, f"{query_id} {kinds[1]}, {doc_id} {kinds[0]}, shared long, length long")
+    found = spread(slim).mapInPandas(run, f"{query_id} {kinds[1]}, {doc_id} {kinds[0]}, shared long, length long")
     return ranked(found.select(query_id, doc_id, F.round(F.col("shared") / F.sqrt(F.greatest("length", F.lit(1)).cast("double")), 6).alias("score")), query_id, doc_id, k)
 
 
@@ -410,7 +410,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                             n += 1
             yield pd.DataFrame(rows, columns=["id", "chunk_id", "ordinal", "section", "begins", "ends", "content"])
 
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body"))
+    slim = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")))
     return slim.mapInPandas(run, "id string, chunk_id string, ordinal int, section array<string>, begins int, ends int, content string").withColumnRenamed("id", id_col)
 
 
@@ -442,4 +442,5 @@ def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 3
             yield pd.DataFrame({"id": b["id"], "embedding": out})
 
     kind = "array<double>" if digest == "md5" else "array<float>"
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).mapInPandas(run, f"id string, embedding {kind}").withColumnRenamed("id", id_col)
+    slim = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")))
+    return slim.mapInPandas(run, f"id string, embedding {kind}").withColumnRenamed("id", id_col)

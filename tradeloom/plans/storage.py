@@ -32,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tradeloom_path = path
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work row by row in Python: a table of fewer partitions than there are cores, which is a small one, is dealt out; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
