@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import scratch, shared_folder, written  # noqa: F401  for the operators
+from ..plans.storage import scratch, shared_folder, spread, written  # noqa: F401  for the operators
 
 #: Bytes in an Arrow batch sent to a Python worker, whatever the length of its texts; a longer row is a batch of its own.
 ARROW_BYTES = 8 << 20
@@ -36,7 +36,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 def computed(df: DataFrame, id_col: str, text_col: str, compute: Callable[[list], dict], fields: dict[str, str]) -> DataFrame:
     """``id_col`` as it is, and ``fields`` (name to type) computed from lists of texts, an Arrow batch at a time."""
     bound_batches(df.sparkSession)
-    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")))
     names = ["id", *fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
