@@ -335,13 +335,18 @@ def learn(docs: DataFrame) -> Field:
     labelled text every prediction is ``und``. A document without white space counts as one word, whatever its length."""
     common.bound_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
-    languages = known.select("lang").distinct().count()
+    counts = common.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
     if not languages:
         return fit([], [])
     each = max(2, min(SAMPLE, SAMPLE_DOCS // languages))
-    # The rank is limited in every task before the shuffle, so a language sends as many ids from each.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * each)
+    # Ids beyond the first few by hash are dropped where they are read, so a language of any size sends about twice its sample to its ranking.
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 31))
+    few = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").where(F.col("place") * F.col("n").cast("double") < (4 * each + 60) * float(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = few.select("doc_id", "lang", "place").distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * each).drop("place")
+    if languages <= SAMPLE_DOCS:
+        chosen = F.broadcast(chosen)  # 4 * SAMPLE_DOCS ids at most
     rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
