@@ -46,6 +46,7 @@ def _shown(p: DataFrame) -> DataFrame:
 
 @query(_PATHS.format(root="region:0", depth=2) + _SHOWN)
 def graph_paths_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every simple path of two hops at most from a region."""
     return _shown(simple_paths(_places(spark, sf_dir), spark.sql("SELECT 'region:0' AS node"), 2))
 
 
@@ -175,6 +176,7 @@ def search_query(c) -> Column:
 d AS (SELECT item_id, t, min(i) AS i FROM t WHERE length(t) >= 2 OR regexp_matches(t, '[^\x00-\x7F]') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS rn FROM d)
 SELECT item_id, string_agg(t, ' OR ' ORDER BY i) AS query FROM r WHERE rn <= 16 GROUP BY item_id""")
 def search_query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text as a search's tokens between OR."""
     return table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", search_query("text").alias("query"))
 
 

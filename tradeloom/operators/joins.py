@@ -22,12 +22,14 @@ def left_join_coalesce_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1997-01-01')")
 def semi_join_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with an order since 1997."""
     c, o = table(spark, sf_dir, "customer", "c_custkey", "c_name"), table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").where("o_orderdate >= '1997-01-01'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2000-06-01')")
 def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order since June 2000."""
     c, o = table(spark, sf_dir, "customer", "c_custkey", "c_name"), table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").where("o_orderdate >= '2000-06-01'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 

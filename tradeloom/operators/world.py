@@ -85,21 +85,26 @@ def first_name_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey").groupBy(F.col("o_custkey").alias("customer")).agg(F.min_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("first_name"))
 
 
-#: Ids hashed together in a snapshot's fingerprint.
+#: Ids, or hashes, that are hashed together in a snapshot's fingerprint.
 LEAF = 4096
 
 
 @query("""WITH leaf AS (SELECT event_type, event_id // 4096 AS part, sha256('|' || string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR))) AS h, count(*) AS n FROM events GROUP BY ALL)
 SELECT event_type, CAST(sum(n) AS BIGINT) AS records, sha256('|' || string_agg(h, '|' ORDER BY h)) AS fingerprint FROM leaf GROUP BY event_type""")
 def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of the ids of each source's snapshot, whatever their order: sorted ids are hashed by ranges, then the sorted hashes."""
+    """A fingerprint of the ids of each source's snapshot, whatever their order: sorted ids are hashed by ranges, then the sorted hashes by ranges of
+    ranges, until one is left. However many ids there are and however they lie, no group has more than ``LEAF`` members (ids are unique)."""
 
     def digest(c: str):
         return F.sha2(F.concat(F.lit("|"), F.array_join(F.sort_array(F.collect_list(c)), "|")), 256)
 
     e = table(spark, sf_dir, "events", "event_type", "event_id").select("event_type", F.expr(f"event_id div {LEAF}").alias("part"), F.col("event_id").cast("string").alias("id"))
-    leaf = e.groupBy("event_type", "part").agg(digest("id").alias("h"), F.count("*").alias("n"))
-    return leaf.groupBy("event_type").agg(F.sum("n").alias("records"), digest("h").alias("fingerprint"))
+    level, top = e.groupBy("event_type", "part").agg(digest("id").alias("h"), F.count("*").alias("n")), e.agg(F.max(F.abs("part"))).first()[0] or 0
+    while True:  # six times at most, for ids of any size
+        top //= LEAF
+        level = level.groupBy("event_type", F.expr(f"part div {LEAF}").alias("part")).agg(digest("h").alias("h"), F.sum("n").alias("n"))
+        if not top:
+            return level.select("event_type", F.col("n").alias("records"), F.col("h").alias("fingerprint"))
 
 
 @query("""WITH k AS (SELECT event_type, user_id, max(ts) AS ts FROM events GROUP BY ALL), m AS (SELECT event_type, count(*) AS keys FROM k GROUP BY ALL), t AS (SELECT event_type, count(*) AS records FROM events GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ def ingest_stream(events: DataFrame, target: str, checkpoint: str):
         spark = batch.sparkSession
         try:
             old = spark.read.parquet(target)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = None
         (insert_absent(new, old, ["fingerprint"]) if old is not None else new.dropDuplicates(["fingerprint"])).write.mode("append").parquet(target)
