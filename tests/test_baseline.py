@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.operators import baseline, validation
+from tradeloom.plans.storage import written
 from tradeloom.sources import adapters
 
 
@@ -28,6 +29,7 @@ def records(spark):
         assert bad.count() == 0
         out = good if out is None else out.unionByName(good)
     out = out.withColumn("record_id", F.col("fingerprint")).withColumn("run_id", F.lit("r")).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    out = written(out, "records")
     return out.unionByName(out.withColumn("created_at", F.lit("2023-01-01").cast("timestamp")).withColumn("value", F.lit("999")))
 
 
@@ -60,8 +62,8 @@ def test_small_reads(spark):
     assert {r["alias"] for r in aliases.collect()} == {"taiwan semi", "k", "2330", "tsmc"} and "TSMC" in docs.first()["text"]
     c = spark.createDataFrame([("c1", "e1", "s1"), ("c2", "e1", "s2"), ("c3", None, "s2")], "chunk_id string, evidence_id string, source_id string")
     assert [r["chunk_id"] for r in baseline.misplaced_chunks(c, spark.createDataFrame([("e1", "s1")], "evidence_id string, source_id string")).collect()] == ["c2"]
-    o = baseline.outcomes(spark.createDataFrame([("a", None), ("b", "x")], "record_id string, error string")).first()
-    assert (o["indexed"], o["failed"], o["first_failed"]) == (1, 1, ["b"])
+    results = spark.createDataFrame([("a", None), ("b", "x")], "record_id string, error string")
+    assert tuple(baseline.outcomes(results).first()) == (1, 1) and [tuple(r) for r in baseline.failures(results).collect()] == [("b", "x")]
     b = baseline.runs_with_turns(spark.createDataFrame([("A",), ("B",)], "branch_id string"), spark.createDataFrame([("r", "A")], "run_id string, branch_id string"), spark.createDataFrame([("r", 2, "y"), ("r", 1, "x")], "run_id string, turn int, state string"))
     assert {r["branch_id"]: r["turns"] and [t["turn"] for t in r["turns"]] for r in b.collect()} == {"A": [1, 2], "B": None}
 

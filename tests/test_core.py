@@ -159,7 +159,10 @@ def test_paths(spark):
     refs = graph.evidence_refs(spark.createDataFrame([("n", '{"a": [{"evidenceId": "00000000-0000-0000-0000-000000000001", "sourceUri": "u"}, {"dataSourceId": "bad"}]}'), ("m", "{")], "id string, attributes string"))
     assert sorted(map(str, map(tuple, refs.collect()))) == sorted(map(str, [("n", "00000000-0000-0000-0000-000000000001", None, "u"), ("n", None, None, None)]))
     nodes = spark.createDataFrame([("1", "Taiwan"), ("2", "Made in Taiwan"), ("3", "Taiwam"), ("4", "Chile")], "id string, name string")
-    assert [r["id"] for r in graph.match_nodes(nodes, "taiwan").collect()][:2] == ["1", "2"]
+    assert [(r["id"], r["score"]) for r in graph.match_nodes(nodes, "taiwan").collect()][0] == ("1", 100.0)
+    assert [(r["id"], r["score"]) for r in graph.match_nodes(nodes, "The Taiwan strait").collect()][0] == ("1", 80.0)
+    told = nodes.withColumn("text", F.lower("name"))
+    assert {r["id"]: r["score"] for r in graph.match_nodes(told, "in made").collect()}["2"] > {r["id"]: r["score"] for r in graph.match_nodes(nodes, "in made").collect()}.get("2", 0) - 1e-9
 
 
 def test_retrieval_figures(spark):

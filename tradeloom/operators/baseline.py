@@ -94,7 +94,7 @@ def build(records: DataFrame, alpha3: DataFrame | None = None) -> dict[str, Data
     f = flows(snap)
     pairs = written(f.groupBy("src", "dst").agg(F.sum("value").alias("flow"), F.count("*").alias("records")), "pairs")
     side = lambda c, m: pairs.groupBy(F.col(c).alias("entity")).agg(F.sum("flow").alias("value")).select("entity", F.lit(m).alias("metric"), "value", F.lit(None).cast("string").alias("record_id"), F.col("entity").alias("name"))
-    metrics = side("src", "SUPPLY").unionByName(side("dst", "DEMAND")).unionByName(observed(snap))
+    metrics = written(side("src", "SUPPLY").unionByName(side("dst", "DEMAND")).unionByName(observed(snap)), "metrics")
     nodes = metrics.groupBy("entity").agg(F.min("name").alias("display_name"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.coalesce("record_id", F.lit("aggregate")))))).alias("origins"))
     total = pairs.groupBy("dst").agg(F.sum("flow").alias("total")).where("total > 0")
     edges = pairs.where("src <> dst").join(total, "dst").select(F.sha2(F.concat_ws("|", F.lit("trade-flow"), "src", "dst"), 256).alias("rel"), "src", "dst", F.lit("TRADE_FLOW").alias("type"), "flow", (F.col("flow") / F.col("total")).alias("ratio"), "records")
