@@ -61,12 +61,12 @@ def sink_drop_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.drop_expired(o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("expires_at")), "1996-06-01 00:00:00").select("o_orderkey")
 
 
-@query("SELECT o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS turn, o_orderkey AS state FROM orders WHERE o_custkey % 4 = 1")
+@query("SELECT o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS turn, o_orderkey AS state FROM orders")
 def sink_turn_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of runs, appended turn by turn and read back; a turn that is written again adds nothing."""
     from pyspark.sql.window import Window
 
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_custkey % 4 = 1")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     turns = o.select(F.col("o_custkey").alias("run_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("turn"), F.col("o_orderkey").alias("state"))
     path = scratch(spark, "turns")
     baseline.append_turns(turns.where("turn <= 5"), path)
@@ -175,7 +175,7 @@ def grammar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # validation of simulations
 
 
-@query("""WITH c AS (SELECT s_suppkey % 90 AS company, CASE WHEN s_suppkey % 8 <> 0 THEN 'I' END AS industry, CASE WHEN s_suppkey % 6 = 0 THEN -1.0 ELSE 1.0 END AS production FROM supplier), l AS (SELECT DISTINCT l_suppkey AS supplier, l_partkey % 120 AS customer FROM lineitem WHERE l_partkey % 5 = 0),
+@query("""WITH c AS (SELECT s_suppkey % 90 AS company, CASE WHEN s_suppkey % 8 <> 0 THEN 'I' END AS industry, CASE WHEN s_suppkey % 6 = 0 THEN -1.0 ELSE 1.0 END AS production FROM supplier), l AS (SELECT DISTINCT l_suppkey AS supplier, l_partkey % 120 AS customer FROM lineitem),
 f AS (SELECT CAST(company AS VARCHAR) AS key, 'industry is required' AS fault FROM c WHERE industry IS NULL UNION ALL SELECT CAST(company AS VARCHAR), 'production is no amount' FROM c WHERE production < 0
 UNION ALL SELECT CAST(company AS VARCHAR), 'company ids must be unique' FROM c GROUP BY company HAVING count(*) > 1 UNION ALL SELECT supplier || '>' || customer, 'self-referencing link' FROM l WHERE supplier = customer
 UNION ALL SELECT DISTINCT CAST(supplier AS VARCHAR), 'links must reference known companies' FROM l WHERE supplier NOT IN (SELECT company FROM c) UNION ALL SELECT DISTINCT CAST(customer AS VARCHAR), 'links must reference known companies' FROM l WHERE customer NOT IN (SELECT company FROM c)
@@ -185,7 +185,7 @@ def baseline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     figures = [F.lit(1.0).alias(c) for c in ("capacity", "inventory", "demand", "unit_price", "unit_cost", "workforce", "wage", "productivity")]
     c = table(spark, sf_dir, "supplier", "s_suppkey").select((k % 90).alias("company"), F.when(k % 8 != 0, "I").alias("industry"), F.when(k % 6 == 0, -1.0).otherwise(1.0).alias("production"), *figures)
-    l = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").where("l_partkey % 5 = 0").select(F.col("l_suppkey").alias("supplier"), (F.col("l_partkey") % 120).alias("customer")).distinct()  # noqa: E741
+    l = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("supplier"), (F.col("l_partkey") % 120).alias("customer")).distinct()  # noqa: E741
     l = l.withColumns({"per_output": F.lit(1.0), "max_flow": F.lit(1.0), "unit_cost": F.lit(1.0)})  # noqa: E741
     return validation.baseline_faults(c, l).groupBy("key", "fault").agg(F.count("*").alias("n"))
 
@@ -446,13 +446,13 @@ def semantic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.semantic(r)
 
 
-@query("""WITH a AS (SELECT n_nationkey AS a, CAST((n_nationkey * 37) % 180 - 90 AS DOUBLE) AS a_lat, CAST((n_nationkey * 73) % 360 - 180 AS DOUBLE) AS a_lon FROM nation), b AS (SELECT s_suppkey AS b, CAST((s_suppkey * 37) % 180 - 90 AS DOUBLE) AS b_lat, CAST((s_suppkey * 73) % 360 - 180 AS DOUBLE) AS b_lon FROM supplier WHERE s_suppkey % 3 <> 0),
+@query("""WITH a AS (SELECT n_nationkey AS a, CAST((n_nationkey * 37) % 180 - 90 AS DOUBLE) AS a_lat, CAST((n_nationkey * 73) % 360 - 180 AS DOUBLE) AS a_lon FROM nation), b AS (SELECT s_suppkey AS b, CAST((s_suppkey * 37) % 180 - 90 AS DOUBLE) AS b_lat, CAST((s_suppkey * 73) % 360 - 180 AS DOUBLE) AS b_lon FROM supplier),
 h AS (SELECT a, b, pow(sin(radians(b_lat - a_lat) / 2), 2) + cos(radians(a_lat)) * cos(radians(b_lat)) * pow(sin(radians(b_lon - a_lon) / 2), 2) AS x FROM a, b) SELECT 'AFFECTS' AS type, 'crisis:e' || a AS source, 'port:' || b AS target FROM h WHERE round(2 * 6371.0088 * atan2(sqrt(x), sqrt(1 - x)), 3) <= 500""")
 def crisis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crises and the ports within 500 km of them."""
     at = lambda c, m, w, s: ((F.col(c) * m) % w - s).cast("double").cast("string")
     row = lambda df, system, kind, key, c: df.select(F.lit(system).alias("source_system"), F.lit(kind).alias("record_type"), key.alias("natural_key"), F.create_map(F.lit("latitude"), at(c, 37, 180, 90), F.lit("longitude"), at(c, 73, 360, 180)).alias("dimensions"))
-    n, s = table(spark, sf_dir, "nation", "n_nationkey"), table(spark, sf_dir, "supplier", "s_suppkey").where("s_suppkey % 3 <> 0")
+    n, s = table(spark, sf_dir, "nation", "n_nationkey"), table(spark, sf_dir, "supplier", "s_suppkey")
     return baseline.affects(row(n, "USGS", "EARTHQUAKE", F.concat(F.lit("e"), "n_nationkey"), "n_nationkey").unionByName(row(s, "WPI", "PORT", F.col("s_suppkey").cast("string"), "s_suppkey")))
 
 
