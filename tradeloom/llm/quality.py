@@ -33,8 +33,8 @@ BLOCK = 256
 WORDS, RUNS, GRADES = 1 << 11, 1 << 11, 16
 MEASURES = 5
 TERMS = WORDS + RUNS + MEASURES * GRADES
-#: The lengths of a text's words, runs and measures as parts of its vector.
-WORD_LENGTH, RUN_LENGTH, MEASURE_LENGTH = 30.0, 60.0, 120.0
+#: The lengths of a text's words, runs and measures as parts of its vector: chosen inside the training fold by tests/llm/choose_quality.py.
+WORD_LENGTH, RUN_LENGTH, MEASURE_LENGTH = 15.0, 120.0, 240.0
 
 
 def grades(raw: bytes, words: list[bytes], counts: dict[bytes, int]) -> list[float]:
