@@ -99,8 +99,10 @@ def _valid(vectors: DataFrame) -> DataFrame:
 
 
 def _decoded(classes: DataFrame, per_block: int, cosine: float) -> DataFrame:
+    """``cid``, ``copies``, ``label``, ``filters`` of each class; its vector and its filters also as bytes, which cost Python nothing to read.
+    Floats travel as floats: they are the same numbers as doubles."""
     classes = classes.select("cid", "copies", "label", "embedding")
-    label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    label, kind = classes.schema["label"].dataType.simpleString(), _bytes_of(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,24 +111,32 @@ def _decoded(classes: DataFrame, per_block: int, cosine: float) -> DataFrame:
                 x = np.array(b["embedding"].tolist(), dtype=np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 lists = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation, code, cosine)
-                yield b.assign(filters=[v + (dims << 34) for v in lists])
+                filters = [v + (dims << 34) for v in lists]
+                yield b[["cid", "copies", "label"]].assign(filters=filters, vector=[np.asarray(v, dtype=kind).tobytes() for v in b["embedding"]], names=[v.astype("<i8").tobytes() for v in filters])
 
-    return classes.mapInPandas(run, f"cid long, copies long, label {label}, embedding {vector}, filters array<bigint>")
+    return classes.mapInPandas(run, f"cid long, copies long, label {label}, filters array<bigint>, vector binary, names binary")
 
 
-def _linked_in_filter(g: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
+def _bytes_of(vectors: DataFrame) -> str:
+    """The type of components as bytes."""
+    return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def _linked_in_filter(g: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame | None:
     """The links of one pair of blocks of one filter: for each class the rows linked to it here, and a root that joins linked classes."""
-    x = np.array(g["embedding"].tolist(), dtype=np.float64)
+    x = np.frombuffer(b"".join(g["vector"]), dtype=kind).reshape(len(g), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
     if g["i"].iat[0] != g["j"].iat[0]:
         near &= g["own"].to_numpy()[:, None] != g["own"].to_numpy()[None, :]
-    if not near.any():
+    rows = np.flatnonzero(near.any(axis=1))
+    if not len(rows):
         return None
-    f, lists = g["filter"].iat[0], g["filters"].tolist()
-    smaller = np.concatenate([np.asarray(v)[np.asarray(v) < f] for v in lists])
+    g, near = g.iloc[rows], near[np.ix_(rows, rows)]
+    f, lists = g["filter"].iat[0], [np.frombuffer(v, dtype="<i8") for v in g["names"]]
+    smaller = np.concatenate([v[v < f] for v in lists])
     names, counts = np.unique(smaller, return_counts=True)
     names = names[counts > 1]
     if len(names):
@@ -150,7 +160,7 @@ def _linked_in_filter(g: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
     return pd.DataFrame({"cid": ids, "links": near.astype(np.int64) @ m, "root": root})
 
 
-def _compare(rows: DataFrame, cosine: float) -> DataFrame:
+def _compare(rows: DataFrame, cosine: float, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         keys = ["label", "filter", "i", "j"]
@@ -159,12 +169,12 @@ def _compare(rows: DataFrame, cosine: float) -> DataFrame:
                 b = pd.concat([rest, b], ignore_index=True)
             k = b[keys].to_numpy()
             cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            found = [_linked_in_filter(b.iloc[s:e], cosine) for s, e in zip([0, *cuts[:-1]], cuts)]
+            found = [_linked_in_filter(b.iloc[s:e], cosine, kind) for s, e in zip([0, *cuts[:-1]], cuts)]
             rest = b.iloc[cuts[-1] if len(cuts) else 0 :]
             found = [x for x in found if x is not None]
             if found:
                 yield pd.concat(found, ignore_index=True)
-        if rest is not None and len(rest) and (x := _linked_in_filter(rest, cosine)) is not None:
+        if rest is not None and len(rest) and (x := _linked_in_filter(rest, cosine, kind)) is not None:
             yield x
 
     ordered = rows.repartition("label", "filter", "i", "j").sortWithinPartitions("label", "filter", "i", "j", "cid")
@@ -190,8 +200,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     slim = slim.join(met, ["label", "filter"]).withColumn("blocks", F.expr(f"cast((n + {BLOCK_ROWS - 1}) div {BLOCK_ROWS} as int)"))
     slim = slim.withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     slim = slim.select("label", "filter", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = slim.join(lists.select("cid", "copies", "embedding", "filters"), "cid")
-    found = common.written(_compare(rows, cosine), "links")
+    rows = slim.join(lists.select("cid", "copies", "vector", "names"), "cid")
+    found = common.written(_compare(rows, cosine, _bytes_of(base)), "links")
     comp = common.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     answer = classes.join(counts, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cid"))
