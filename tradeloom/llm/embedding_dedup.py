@@ -29,14 +29,15 @@ from . import common
 BLOCKS = 4
 #: Parts of the blocks that have filters of their own.
 HALVES = 2
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 COSINE = 0.98
 SEED = 20_240_501
 
 
 def directions_per_block(vectors: int) -> int:
-    """Random vectors in each block of the code: twice the fourth root of the number of vectors."""
-    return max(16, round(2 * max(vectors, 1) ** 0.25))
+    """Random vectors in each block of the code. Filters grow with their square, lists and decoding with them; comparing falls with the square. The
+    cube root keeps these costs in step."""
+    return max(16, round(0.43 * max(vectors, 1) ** (1 / 3)))
 
 
 def product_code(dims: int, per_block: int, seed: int = SEED) -> list[np.ndarray]:
@@ -76,7 +77,7 @@ def list_decode(unit: np.ndarray, code: list[np.ndarray], cosine: float = COSINE
             of, nth, cost = of[near], nth[near], total[near]
             row, ids = row[of], ids[of] * size + cell[nth]
         rows.append(row)
-        names.append(ids + (h << 32))
+        names.append(ids + (h << 30))
     row, ids = np.concatenate(rows), np.concatenate(names)
     ids = ids[np.argsort(row, kind="stable")]
     ends = np.cumsum(np.bincount(row, minlength=len(unit)))
@@ -111,8 +112,8 @@ def _decoded(classes: DataFrame, per_block: int, cosine: float) -> DataFrame:
                 x = np.array(b["embedding"].tolist(), dtype=np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 lists = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation, code, cosine)
-                filters = [v + (dims << 34) for v in lists]
-                yield b[["cid", "copies", "label"]].assign(filters=filters, vector=[np.asarray(v, dtype=kind).tobytes() for v in b["embedding"]], names=[v.astype("<i8").tobytes() for v in filters])
+                filters = [v + (dims << 32) for v in lists]
+                yield b[["cid", "copies", "label"]].assign(filters=filters, vector=[np.asarray(v, dtype=kind).tobytes() for v in b["embedding"]], names=[v.astype("<i4").tobytes() for v in lists])
 
     return classes.mapInPandas(run, f"cid long, copies long, label {label}, filters array<bigint>, vector binary, names binary")
 
@@ -122,22 +123,27 @@ def _bytes_of(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def _linked_in_filter(g: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame | None:
-    """The links of one pair of blocks of one filter: for each class the rows linked to it here, and a root that joins linked classes."""
-    x = np.frombuffer(b"".join(g["vector"]), dtype=kind).reshape(len(g), -1).astype(np.float64)
+def _units(vectors: pd.Series, kind: str) -> np.ndarray:
+    """Vectors of one length, from bytes, at length one."""
+    x = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(vectors), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _linked_in_filter(x: np.ndarray, g: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
+    """The links of one pair of blocks of one filter: for each class the rows linked to it here, and a root that joins linked classes."""
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
+    if not near.any():
+        return None
     if g["i"].iat[0] != g["j"].iat[0]:
         near &= g["own"].to_numpy()[:, None] != g["own"].to_numpy()[None, :]
     rows = np.flatnonzero(near.any(axis=1))
     if not len(rows):
         return None
     g, near = g.iloc[rows], near[np.ix_(rows, rows)]
-    f, lists = g["filter"].iat[0], [np.frombuffer(v, dtype="<i8") for v in g["names"]]
-    smaller = np.concatenate([v[v < f] for v in lists])
-    names, counts = np.unique(smaller, return_counts=True)
+    f, lists = g["filter"].iat[0] & 0xFFFFFFFF, [np.frombuffer(v, dtype="<i4") for v in g["names"]]
+    names, counts = np.unique(np.concatenate([v[v < f] for v in lists]), return_counts=True)
     names = names[counts > 1]
     if len(names):
         has = np.zeros((len(g), len(names)), dtype=np.float32)
@@ -160,22 +166,41 @@ def _linked_in_filter(g: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame
     return pd.DataFrame({"cid": ids, "links": near.astype(np.int64) @ m, "root": root})
 
 
+def _starts(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    turn = np.ones(len(b) + 1, dtype=bool)
+    turn[1:-1] = False
+    for k in keys:
+        v = b[k].to_numpy()
+        turn[1:-1] |= v[1:] != v[:-1]
+    return np.flatnonzero(turn)
+
+
 def _compare(rows: DataFrame, cosine: float, kind: str) -> DataFrame:
+    keys = ["label", "filter", "i", "j"]
+
+    def linked(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The links of whole cells. All vectors of one length are read at once."""
+        b = b.assign(dims=b["filter"] // (1 << 32))
+        ends = _starts(b, ["dims"])
+        for s, e in zip(ends[:-1], ends[1:]):
+            part = b.iloc[s:e]
+            x, cells = _units(part["vector"], kind), _starts(part, keys)
+            for c, d in zip(cells[:-1], cells[1:]):
+                if d - c > 1 and (found := _linked_in_filter(x[c:d], part.iloc[c:d], cosine)) is not None:
+                    yield found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        keys = ["label", "filter", "i", "j"]
         for b in batches:
             if rest is not None:
                 b = pd.concat([rest, b], ignore_index=True)
-            k = b[keys].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            found = [_linked_in_filter(b.iloc[s:e], cosine, kind) for s, e in zip([0, *cuts[:-1]], cuts)]
-            rest = b.iloc[cuts[-1] if len(cuts) else 0 :]
-            found = [x for x in found if x is not None]
+            last = _starts(b, keys)[-2] if len(b) else 0
+            found, rest = list(linked(b.iloc[:last])), b.iloc[last:]
             if found:
                 yield pd.concat(found, ignore_index=True)
-        if rest is not None and len(rest) and (x := _linked_in_filter(rest, cosine, kind)) is not None:
-            yield x
+        if rest is not None:
+            yield from linked(rest)
 
     ordered = rows.repartition("label", "filter", "i", "j").sortWithinPartitions("label", "filter", "i", "j", "cid")
     return ordered.mapInPandas(run, "cid long, links long, root long")
@@ -196,7 +221,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     lists = common.written(_decoded(classes, directions_per_block(classes.count()), cosine), "filters")
     slim = lists.select("label", "cid", F.explode("filters").alias("filter"))
-    met = slim.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that its size is known: one row a filter, broadcast if Spark finds it small, else joined by shuffles
+    met = common.written(slim.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1"), "met")
     slim = slim.join(met, ["label", "filter"]).withColumn("blocks", F.expr(f"cast((n + {BLOCK_ROWS - 1}) div {BLOCK_ROWS} as int)"))
     slim = slim.withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     slim = slim.select("label", "filter", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
