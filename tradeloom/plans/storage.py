@@ -34,7 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Tables of fewer bytes, as the optimizer estimates them, are dealt out before work row by row in Python.
+SMALL_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for work row by row in Python: a table of fewer partitions than there are cores, which is a small one, is dealt out; any other stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` for work row by row in Python: a table of under ``SMALL_BYTES`` by the plan's estimate (of a scan, by its files) is dealt out to all cores; any other
+    stays as its splits are. Nothing is run to find out."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
