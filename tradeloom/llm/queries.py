@@ -16,6 +16,7 @@ MODULES = {
     "op8_simhash_near_dedup": "simhash_dedup",
     "op9_quality": "quality",
     "op10_html_extraction": "html_render",
+    "op11_importance_resampling": "importance",
 }
 
 
