@@ -17,6 +17,8 @@ MODULES = {
     "op9_quality": "quality",
     "op10_html_extraction": "html_render",
     "op11_importance_resampling": "importance",
+    "op12_pii": "pii",
+    "op13_spelling_variants": "spelling",
 }
 
 
