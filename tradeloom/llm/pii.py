@@ -15,6 +15,7 @@ rows are found alike, row by row; empty tables give empty results. Offsets are c
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -267,12 +268,17 @@ def learn(found: DataFrame) -> np.ndarray:
 
 def chosen(base: list[tuple[int, int, int]], found: list[tuple], weights: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(kind, start, end, odds) of the base spans (odds 1) and of the accepted candidates that touch none of them and no better one, by kind and start."""
-    taken = sorted((s, e) for _, s, e in base)
-    scored, at, reach = [], 0, 0
+    starts, ends = [], []  # of the stretches that base spans cover, in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    scored = []
     for kind, start, end, _, features in sorted(found, key=lambda c: (c[1], c[2], c[0])):
-        while at < len(taken) and taken[at][0] < end:  # base spans that begin before the candidate's end
-            reach, at = max(reach, taken[at][1]), at + 1
-        if reach <= start:
+        i = bisect.bisect_right(ends, start)
+        if i == len(ends) or starts[i] >= end:
             p = 1 / (1 + math.exp(-max(-50.0, min(50.0, float(weights[np.asarray(features)].sum())))))
             if p >= ACCEPT:
                 scored.append((start, end, kind, p))
