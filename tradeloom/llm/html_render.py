@@ -23,8 +23,9 @@ from . import common
 DEPTH = 512
 #: Calls that a level of the tree takes at most.
 CALLS = 6
-#: Cells are padded to at most this width; wider ones push the rest of their own row only. No text is lost.
-CELL = 80
+#: Cells are padded to at most this width; wider ones push the rest of their own row only. A line of a row is padded by four such widths and so many times its
+#: own text at most; what would need more follows two spaces behind. No text is lost.
+CELL, PADDING = 80, 16
 #: Fixed value of the HTML standard: the most columns of a cell; rows are held to the same.
 SPAN = 1000
 
@@ -45,7 +46,7 @@ IMPLIED = {
     "thead": ({"tr", "td", "th", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""", re.S)
 _DECLARATION = re.compile(r"""(?:[^;"']|"[^"]*"|'[^']*')+""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -342,11 +343,12 @@ def _table(node: Node) -> list[str]:
     _rows(node, rows, captions)
     grid: list[dict[int, list[str]]] = []
     widths: dict[int, int] = {}
-    taken: dict[int, int] = {}  # column to rows that a cell from above still holds
-    for row in rows:
+    taken: list[tuple[int, int, int]] = []  # stretches of columns (from, to) that cells from above hold before a row
+    for number, row in enumerate(rows):
         cells: dict[int, list[str]] = {}
-        column = 0
-        held = {k: n - 1 for k, n in taken.items() if n > 1}
+        column = at = 0
+        taken = [t for t in taken if t[2] > number]
+        held: list[tuple[int, int, int]] = []
         for c in row.children:
             if isinstance(c, str):
                 if not c.strip():
@@ -356,8 +358,8 @@ def _table(node: Node) -> list[str]:
                 continue
             elif c.name not in ("td", "th"):
                 c = _wrapped(c, row)
-            while column in taken:
-                column += 1
+            while at < len(taken) and taken[at][0] <= column:
+                column, at = max(column, taken[at][1]), at + 1
             inner = lay_out(c, Flow())
             inner.flush()
             cells[column] = inner.lines
@@ -365,9 +367,16 @@ def _table(node: Node) -> list[str]:
             if across == 1:
                 widths[column] = min(CELL, max([widths.get(column, 0), *map(len, inner.lines)]))
             if down > 1:
-                held.update(dict.fromkeys(range(column, column + across), down - 1))
+                held.append((column, column + across, number + down))
             column += across
-        taken = held
+        if held:
+            joined: list[tuple[int, int, int]] = []
+            for t in sorted(taken + held):
+                if joined and joined[-1][1] >= t[0] and joined[-1][2] == t[2]:
+                    joined[-1] = (joined[-1][0], max(joined[-1][1], t[1]), t[2])
+                else:
+                    joined.append(t)
+            taken = joined
         grid.append(cells)
     lines = []
     for c in captions:
@@ -375,16 +384,24 @@ def _table(node: Node) -> list[str]:
         inner.flush()
         lines += inner.lines
     places, place = {}, 0
-    for k in range(max([*widths, *(k for cells in grid for k in cells)], default=-1) + 1):
+    for k in sorted({*widths, *(k for cells in grid for k in cells)}):
         places[k] = place
         place += widths[k] + 2 if widths.get(k) else 0
     for cells in grid:
+        order = sorted(cells)
         for i in range(max(map(len, cells.values()), default=0)):
-            text = ""
-            for k in sorted(cells):
-                if i < len(cells[k]) and cells[k][i]:
-                    text = text.ljust(places[k]) + ("  " if text and len(text) >= places[k] and not text.endswith("  ") else "") + cells[k][i]
-            lines.append(text.rstrip())
+            mine = [(places[k], cells[k][i]) for k in order if i < len(cells[k]) and cells[k][i]]
+            text, room = [], 4 * CELL + PADDING * sum(len(x) for _, x in mine)
+            size = 0
+            for where, x in mine:
+                gap = max(where - size, 0)
+                gap = 0 if gap > room else gap
+                room -= gap
+                if text and not gap and not text[-1].endswith("  "):
+                    gap = 2
+                text += [" " * gap, x]
+                size += gap + len(x)
+            lines.append("".join(text).rstrip())
     return lines
 
 
