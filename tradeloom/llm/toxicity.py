@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -114,11 +116,12 @@ class Lexicon:
             words[i] = len(t.split())
             found = [(end, *value) for end, value in a.iter(t)]
             if found:
-                safe = [(end - n + 1, end) for end, n, w in found if not w]
+                safe = sorted((end - n + 1, end) for end, n, w in found if not w)
+                begins, reach = [s for s, _ in safe], list(accumulate((e for _, e in safe), max))  # the farthest end of the phrases that begin so early
                 # one hit a word: the heaviest pattern that begins or ends there
                 best: dict[int, float] = defaultdict(float)
                 for end, n, w in found:
-                    if w and not any(s <= end - n + 1 and end <= e for s, e in safe):
+                    if w and not ((k := bisect_right(begins, end - n + 1)) and reach[k - 1] >= end):
                         start = t.rfind(" ", 0, end if t[end] == " " else end + 1)
                         best[start] = max(best[start], w)
                 hit[i] = sum(best.values())
