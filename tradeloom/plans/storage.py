@@ -43,3 +43,15 @@ def spread(df: DataFrame) -> DataFrame:
     stays as its splits are. Nothing is run to find out."""
     small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that nothing reads any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tradeloom_path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
