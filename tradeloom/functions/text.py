@@ -72,28 +72,6 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def _trigrams(word: str) -> set[str]:
-    w = f"  {word} "
-    return {w[i : i + 3] for i in range(len(w) - 2)}
-
-
-@F.pandas_udf(T.DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """The greatest share of the query's trigrams found in a run of the text's words: 1 if the query's words stand in the text as they are."""
-
-    def one(q, t):
-        if q is None or t is None:
-            return None
-        want = set().union(*(_trigrams(w) for w in q.lower().split())) if q.strip() else set()
-        if not want:
-            return 0.0
-        ws = [_trigrams(w) for w in t.lower().split()]
-        n = max(1, len(q.split()))
-        return max((len(want & set().union(*ws[i : i + n])) / len(want) for i in range(len(ws))), default=0.0)
-
-    return pd.Series([one(q, t) for q, t in zip(query, text)], dtype="float64")
-
-
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance on a sphere of radius 6371.0088 km."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

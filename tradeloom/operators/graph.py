@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import text as fn
+from ..functions import variant
+from ..plans.numbering import numbered
 from ..plans.registry import query
 from ..plans.storage import written
 from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, trade
@@ -89,11 +89,8 @@ def macro_mean(scores: DataFrame) -> DataFrame:
 
 
 def read_version(entities: DataFrame, version: str, order: list[str]) -> DataFrame:
-    """The entities of a world version in an order, with ``place``, their number in it. One version is sorted as a whole, as its reader asks."""
-    from pyspark.sql.window import Window
-
-    mine = entities.where(F.col("world_version_id") == version)
-    return mine.withColumn("place", F.row_number().over(Window.partitionBy("world_version_id").orderBy(*order))).orderBy("place")
+    """The entities of a world version with ``place``, their number in an order, and sorted by it. Numbers come by ranges, so that a version of any size is sorted by many tasks."""
+    return numbered(entities.where(F.col("world_version_id") == version), order).withColumn("place", F.col("place").cast("int")).orderBy("place")
 
 
 @query(_PATHS.format(root="region:0", depth=2) + """, pred AS (SELECT DISTINCT CAST(len(types) AS INTEGER) AS case_id, array_to_string(types, '>') AS types FROM p WHERE len(types) > 0),
@@ -144,19 +141,6 @@ def node_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rn <= 20").select("query", "id", "score")
 
 
-def match_nodes(nodes: DataFrame, search: str, k: int = 20) -> DataFrame:
-    """``id``, ``score`` of the best nodes (``id``, ``name``, one row for each alias; and ``text`` if there is one) for a search: a name that it is 100, a name that stands in
-    it 80, and 50 times the word similarity from 0.6 on; and 20 times the share of its words that the text has, where it has all of them."""
-    q, name = F.lit(search.lower()), F.lower("name")
-    near = fn.word_similarity(name, q)
-    score = [F.when(name == q, 100.0).when(F.contains(q, name), 80.0), F.when(near >= 0.6, 50 * near)]
-    if "text" in nodes.columns:
-        asked, has = search_tokens(q), F.array_distinct(fn.tokens("text"))
-        score.append(F.when((F.size(asked) > 0) & (F.size(F.array_except(asked, has)) == 0), 20.0 * F.size(asked) / F.greatest(F.size(has), F.lit(1))))
-    best = F.greatest(*score)
-    return nodes.withColumn("score", best).where("score is not null").groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
 #: Fixed value: tokens of a search.
 SEARCH_TOKENS = 16
 
@@ -181,37 +165,17 @@ def search_query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_refs(documents: DataFrame, column: str = "attributes") -> DataFrame:
-    """Evidence references found anywhere in a JSON column: ``id``, ``evidence_id``, ``source_id``, ``source_uri``, distinct. Ids that are no UUIDs are null."""
-    import json
-    import re
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    uuid = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-
-    def walk(x):
-        todo = [x]
-        while todo:
-            y = todo.pop()
-            if isinstance(y, dict):
-                if y.keys() & {"evidenceId", "dataSourceId", "sourceUri"}:
-                    ids = [v if isinstance(v := y.get(k), str) and uuid.match(v) else None for k in ("evidenceId", "dataSourceId")]
-                    yield (*ids, y.get("sourceUri") if isinstance(y.get("sourceUri"), str) else None)
-                todo += y.values()
-            elif isinstance(y, list):
-                todo += y
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, text in zip(b["id"], b["body"]):
-                try:
-                    rows += [(i, *r) for r in walk(json.loads(text))] if text else []
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["id", "evidence_id", "source_id", "source_uri"])
-
-    slim = documents.select(F.col("id").cast("string").alias("id"), F.col(column).alias("body"))
-    kinds = T.StructType([T.StructField(x, T.StringType()) for x in ("id", "evidence_id", "source_id", "source_uri")])
-    return slim.mapInPandas(run, kinds).distinct()
+    """Evidence references found anywhere in a JSON column: ``id``, ``evidence_id``, ``source_id``, ``source_uri``, distinct. Ids that are no UUIDs are null; so is a source that is no text."""
+    rows = documents.select(F.col("id").cast("string").alias("id"), F.col(column).alias("body"))
+    names = ("evidenceId", "dataSourceId", "sourceUri")
+
+    def refs(df: DataFrame, v) -> DataFrame:
+        there = [variant.child(v, n) for n in names]
+        text = [F.when(variant.kind(c) == "STRING", F.try_variant_get(c, "$", "string")) for c in there]
+        ids = [F.when(t.rlike(variant.UUID), t) for t in text[:2]]
+        return df.where((variant.kind(v) == "OBJECT") & F.coalesce(*there).isNotNull()).select("id", ids[0].alias("evidence_id"), ids[1].alias("source_id"), text[2].alias("source_uri"))
+
+    found = refs(rows.withColumn("value", F.try_parse_json("body")), F.col("value"))
+    for level in variant.levels(rows, "id", "body"):
+        found = found.unionByName(refs(level, F.col("value")))
+    return found.distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import variant
 from ..plans.registry import query
 from ..plans.tables import table
 from .world import typed_edges
@@ -60,72 +61,29 @@ def validity_violations(df: DataFrame) -> DataFrame:
     return df.where(F.col("valid_to").isNotNull() & (F.col("valid_from").isNull() | (F.col("valid_to") < F.col("valid_from"))))
 
 
-def check_schema(value, schema: dict, path: str = "$") -> list[str]:
-    """Faults of a JSON value against a schema of type, properties, required, additionalProperties, minProperties, minimum, maximum, format and enum."""
-    import datetime
-    import re
-
-    kinds = {"object": dict, "array": list, "string": str, "boolean": bool}
-    out = []
-    kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer(), "null": value is None}.get(kind, isinstance(value, kinds.get(kind, object)))
-    if kind and not fits:
-        return [f"{path} must be {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{path} is not one of the allowed values")
-    if number:
-        out += [f"{path} must be at least {schema['minimum']}"] if value < schema.get("minimum", value) else []
-        out += [f"{path} must be at most {schema['maximum']}"] if value > schema.get("maximum", value) else []
-    if isinstance(value, str) and (form := schema.get("format")):
-        try:
-            ok = bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)) if form == "uuid" else bool(re.match(r"[A-Za-z][\w+.-]*:\S+$", value)) if form == "uri" else bool(datetime.date.fromisoformat(value) if form == "date" else datetime.datetime.fromisoformat(value) if form == "date-time" else True)
-        except ValueError:
-            ok = False
-        out += [] if ok else [f"{path} is no {form}"]
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{path}.{k} is required" for k in schema.get("required", []) if value.get(k) is None]
-        out += [f"{path} has too few properties"] if len(value) < schema.get("minProperties", 0) else []
-        if schema.get("additionalProperties") is False:
-            out += [f"{path}.{k} is not allowed" for k in value if k not in known]
-        for k, v in value.items():
-            if k in known and v is not None:
-                out += check_schema(v, known[k], f"{path}.{k}")
-    return out
-
-
 def schema_violations(rows: DataFrame, schema: dict, column: str = "payload") -> DataFrame:
     """``id`` and the faults of a JSON column against a schema, for the rows that have any."""
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def faults(text):
-        try:
-            return check_schema(json.loads(text), schema)
-        except (TypeError, ValueError):
-            return ["$ is no JSON"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame({"id": b["id"], "faults": [faults(t) for t in b["body"]]})
-            yield out[out["faults"].map(len) > 0]
-
-    return rows.select(F.col("id").cast("string").alias("id"), F.col(column).alias("body")).mapInPandas(run, "id string, faults array<string>")
+    v = F.try_parse_json(column)
+    found = F.when(v.isNull(), F.array(F.lit("$ is no JSON"))).otherwise(variant.schema_faults(v, schema))
+    return rows.select(F.col("id").cast("string").alias("id"), found.alias("faults")).where("size(faults) > 0")
 
 
-def personal_keys(json_column, deny: list[str] | None = None) -> Column:
-    """Keys anywhere in a JSON text that, in lower case and without other marks, are on the deny list."""
-    keys = F.regexp_extract_all(json_column, F.lit(r'"([^"\\]+)"\s*:'), 1)
-    plain = F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z]", ""))
-    return F.array_distinct(F.array_intersect(plain, F.array(*map(F.lit, deny or PERSONAL_KEYS))))
+def personal_keys(rows: DataFrame, id_col: str, json_col: str, deny: list[str] | None = None) -> DataFrame:
+    """``id_col``, ``personal`` for every row: the keys anywhere in a JSON column that, in lower case and without other marks, are on the deny list, each once, sorted. Rows of an id count together; what is no JSON has none."""
+    listed = F.array(*map(F.lit, deny or PERSONAL_KEYS))
+    found = rows.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("key"))
+    for level in variant.levels(rows, id_col, json_col):
+        found = found.unionByName(level.where("key is not null").select("id", F.regexp_replace(F.lower("key"), "[^a-z]", "").alias("key")).where(F.array_contains(listed, F.col("key"))))
+    return found.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("personal")).withColumnRenamed("id", id_col)
 
 
-@query("""WITH j AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"Full-Name": "x", "in": ' || props || '}' WHEN 1 THEN '{"a": {"E_Mail": 1, "email": 2}}' ELSE props END AS body FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'fullname' WHEN 1 THEN 'email' ELSE '' END AS personal FROM j""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'fullname' WHEN 1 THEN 'email' WHEN 2 THEN 'email,phone' ELSE '' END AS personal FROM events""")
 def pii_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose JSON names a person anywhere."""
-    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"Full-Name": "x", "in": '), "props", F.lit("}"))).when(F.col("event_id") % 4 == 1, F.lit('{"a": {"E_Mail": 1, "email": 2}}')).otherwise(F.col("props"))
-    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.array_join(personal_keys(body), ",").alias("personal"))
+    """Records whose JSON names a person anywhere, also by keys written with escapes; texts that look like keys are none."""
+    forms = [
+        F.concat(F.lit('{"Full-Name": "x", "in": '), "props", F.lit("}")), F.lit('{"a": {"E_Mail": 1, "list": [{"email": [2]}]}}'), F.concat(F.lit(r'[[{"\u0065mail": '), "props", F.lit(r', "b": {"Ph\u006Fne": null}}]]')),
+        F.concat(F.lit(r'{"note": "\"email\": 1, \"phone\": 2", "in": '), "props", F.lit("}")), F.col("props"),
+    ]
+    body = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
+    found = personal_keys(table(spark, sf_dir, "events", "event_id", "props").withColumn("body", body), "event_id", "body")
+    return found.select("event_id", F.array_join("personal", ",").alias("personal"))

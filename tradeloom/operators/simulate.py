@@ -156,9 +156,12 @@ def branch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(propagate(e, s, 2), s).select("branch", "entity", F.round("change", 6).alias("change"))
 
 
-@query(_TOP + """, ch AS (SELECT entity, sum(p) AS change FROM (SELECT dst AS entity, p FROM a1 UNION ALL SELECT dst, p FROM a2 UNION ALL SELECT src, change FROM s) GROUP BY entity), base AS (SELECT src AS entity, 'SUPPLY' AS metric, sum(cents) / 100.0::DOUBLE AS v FROM pairs GROUP BY src UNION ALL SELECT dst, 'DEMAND', sum(cents) / 100.0::DOUBLE FROM pairs GROUP BY dst),
+_TOTALS = _TOP + """, ch AS (SELECT entity, sum(p) AS change FROM (SELECT dst AS entity, p FROM a1 UNION ALL SELECT dst, p FROM a2 UNION ALL SELECT src, change FROM s) GROUP BY entity), base AS (SELECT src AS entity, 'SUPPLY' AS metric, sum(cents) / 100.0::DOUBLE AS v FROM pairs GROUP BY src UNION ALL SELECT dst, 'DEMAND', sum(cents) / 100.0::DOUBLE FROM pairs GROUP BY dst),
 st AS (SELECT turn, metric, CASE WHEN metric = 'SUPPLY' AND turn >= 2 AND change IS NOT NULL THEN greatest(0, v * (1 + change)) ELSE v END AS v FROM base CROSS JOIN (SELECT unnest([1, 2, 3]) AS turn) LEFT JOIN ch ON ch.entity = base.entity)
-SELECT turn, round(sum(CASE WHEN metric = 'SUPPLY' THEN v ELSE 0 END), 0) AS supply, round(sum(CASE WHEN metric = 'DEMAND' THEN v ELSE 0 END), 0) AS demand, CASE WHEN turn = 2 THEN (SELECT count(*) FROM ch) ELSE 0 END AS affected FROM st GROUP BY turn""")
+SELECT turn, round(sum(CASE WHEN metric = 'SUPPLY' THEN v ELSE 0 END), 0) AS supply, round(sum(CASE WHEN metric = 'DEMAND' THEN v ELSE 0 END), 0) AS demand, CASE WHEN turn = 2 THEN (SELECT count(*) FROM ch) ELSE 0 END AS affected FROM st GROUP BY turn"""
+
+
+@query(_TOTALS)
 def turn_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of three turns, the second of them shocked; what was shocked stays so."""
     pairs = _pairs(spark, sf_dir)

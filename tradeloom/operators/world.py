@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.registry import query
-from ..plans.tables import TRADE, pair_flows, table, trade
+from ..plans.storage import written
+from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, trade
 
 
 def latest_per_key(records: DataFrame, keys: list[str], newest: list[str], columns: list[str]) -> DataFrame:
@@ -165,3 +167,16 @@ def set_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = table(spark, sf_dir, "nation", F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), table(spark, sf_dir, "supplier", F.col("s_nationkey").alias("id"))
     keys = n.select("id").unionByName(s).distinct()
     return keys.join(n, "id", "left")
+
+
+@query(TRADE + DEPENDENCY + """, f AS (SELECT l_orderkey AS o, l_linenumber AS l, s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+p AS (SELECT src, dst, min((o, l, src, dst)) AS first FROM f WHERE src <> dst GROUP BY src, dst)
+SELECT 'trade-flow:' || row_number() OVER (ORDER BY first) AS relationship_id, rel, cents, ratio FROM p JOIN edges ON p.src = edges.src AND p.dst = edges.dst""")
+def trade_flow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trade edge with a dense ordinal in its id, in the order in which pairs of countries come up in the records."""
+    flows = trade(spark, sf_dir)
+    place = F.struct(F.split_part("record_id", F.lit("-"), F.lit(1)).cast("long").alias("o"), F.split_part("record_id", F.lit("-"), F.lit(2)).cast("long").alias("l"))
+    pairs = written(flows.groupBy("src", "dst").agg(F.sum("cents").alias("cents"), F.min(place).alias("first")), "first-flows")
+    edges = dependency(pairs.select("src", "dst", "cents")).join(pairs.select("src", "dst", "first"), ["src", "dst"])
+    given = numbered(edges, ["first", "src", "dst"], "n")
+    return given.select(F.concat(F.lit("trade-flow:"), "n").alias("relationship_id"), "rel", "cents", "ratio")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.storage import scratch
 from ..plans.tables import table
 from . import adapters, payloads
 
@@ -220,3 +221,12 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = marked.unionByName(paged(c.where("c_custkey % 3 = 1"), head, "c_custkey", "gzip")).unionByName(paged(c.where("c_custkey % 3 = 2"), F.encode(head, "iso-8859-1"), "c_custkey"))
     raw = F.col("raw")
     return payloads.raw_rows(pages, "csv").select(raw["k"].cast("long").alias("k"), raw["name"].alias("name"), raw["segment"].alias("segment"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY 'conv_id=' || conv_id || '/') AS INTEGER) AS page_number, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def source_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a fetched page in a file of its own, numbered by the files' names and read back."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    folder = scratch(spark, "pages")
+    c.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "text").write.partitionBy("conv_id").text(folder)
+    return payloads.page_files(spark, folder, "1").select("page_number", F.decode("content", "UTF-8").alias("body"))

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..plans.numbering import numbered
 
 
 class PayloadError(ValueError):
@@ -107,7 +108,7 @@ def json_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_files(spark: SparkSession, folder: str, version: str) -> DataFrame:
-    """Fetched pages kept as files: one page each, numbered in the order of their names. Only the names are sorted together."""
+    """Fetched pages kept as files: one page each, numbered in the order of their names. Only the names are numbered, by ranges; contents are not moved for it."""
     f = spark.read.format("binaryFile").load(folder)
-    numbers = f.select("path").withColumn("page_number", F.row_number().over(Window.orderBy("path")))
+    numbers = numbered(f.select("path"), ["path"], "page_number").withColumn("page_number", F.col("page_number").cast("int"))
     return f.join(numbers, "path").select("content", F.lit(None).cast("string").alias("content_encoding"), F.lit(version).alias("source_version"), "page_number")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import fingerprint, insert_absent
+from ..operators.ingest import fingerprint
+from ..operators.keyed import ingest, rows
 from ..plans.registry import query
+from ..plans.storage import scratch
 from ..plans.tables import table
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -19,22 +20,27 @@ def stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFr
 
 
 def ingest_stream(events: DataFrame, target: str, checkpoint: str):
-    """Append what ``target`` does not have yet, by fingerprint, batch by batch until the folder is read. A batch that is run again appends nothing."""
+    """Append what ``target``, a table kept by key, does not have yet, by fingerprint, batch by batch until the folder is read. A batch reads only the partitions of keys that may be there, and a batch that is run again appends nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("fingerprint", fingerprint("event_type", "user_id", "props"))
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(target)
-        except AnalysisException as e:  # the first batch finds no table
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            old = None
-        (insert_absent(new, old, ["fingerprint"]) if old is not None else new.dropDuplicates(["fingerprint"])).write.mode("append").parquet(target)
+        ingest(batch.withColumn("fingerprint", fingerprint("event_type", "user_id", "props")), target, ["fingerprint"], ["event_id"])
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@query("SELECT DISTINCT sha256(concat_ws('|', event_type, CAST(user_id AS VARCHAR), coalesce(props, 'null'))) AS fingerprint, event_type, user_id FROM events")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files that arrive in a folder, some of them twice, ingested batch by batch."""
+    folder, target, checkpoint = (scratch(spark, f"ingest-{x}") for x in ("in", "out", "checkpoint"))
+    e = table(spark, sf_dir, "events").select(*(c.split()[0] for c in EVENT.split(", ")))
+    for some in ("event_id % 2 = 0", "event_id % 3 > 0"):
+        e.where(some).write.mode("append").parquet(folder)
+        ingest_stream(stream(spark, folder), target, checkpoint).awaitTermination()
+    e.where("event_id % 6 = 3").write.mode("append").parquet(folder)
+    ingest_stream(stream(spark, folder), target, checkpoint).awaitTermination()
+    return rows(spark, target).select("fingerprint", "event_type", "user_id")
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; on a stream, with what comes later than ``late`` left out."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
