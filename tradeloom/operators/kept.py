@@ -332,14 +332,14 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # resolution
 
 
-@query("""WITH r AS (SELECT 's' || s_suppkey AS entity_id, lower('K' || s_suppkey % 40) AS v FROM supplier UNION ALL SELECT 't' || s_suppkey, 'lei' || s_suppkey % 30 FROM supplier WHERE s_suppkey <= 30), c AS (SELECT c_custkey AS candidate, 'k' || c_custkey % 60 AS v FROM customer UNION ALL SELECT c_custkey, 'lei' || c_custkey % 90 FROM customer WHERE c_custkey % 2 = 0),
+@query("""WITH r AS (SELECT 's' || s_suppkey AS entity_id, lower('K' || s_suppkey % 40) AS v FROM supplier UNION ALL SELECT 't' || s_suppkey, 'lei' || s_suppkey % 70 FROM supplier), c AS (SELECT c_custkey AS candidate, 'k' || c_custkey % 60 AS v FROM customer UNION ALL SELECT c_custkey, 'lei' || c_custkey % 90 FROM customer WHERE c_custkey % 2 = 0),
 m AS (SELECT candidate, count(DISTINCT entity_id) AS matches, min(entity_id) AS entity_id FROM c LEFT JOIN r ON c.v = r.v GROUP BY candidate) SELECT candidate, matches, CASE WHEN matches = 1 THEN entity_id END AS entity_id, CASE WHEN matches = 0 THEN 'NEW' WHEN matches = 1 THEN 'MATCHED' ELSE 'CONFLICT' END AS status FROM m""")
 def match_trusted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by the entities that their keys point to: none, one, or a conflict."""
     s, c = table(spark, sf_dir, "supplier", "s_suppkey"), table(spark, sf_dir, "customer", "c_custkey")
     k, q = F.col("s_suppkey"), F.col("c_custkey")
     key = lambda df, name, ident, scheme, value: df.select(ident.alias(name), F.lit("C").alias("entity_type"), F.lit(scheme).alias("scheme"), value.alias("value"))
-    known = key(s, "entity_id", F.concat(F.lit("s"), k), "natural-key", F.concat(F.lit("K"), k % 40)).unionByName(key(s.where("s_suppkey <= 30"), "entity_id", F.concat(F.lit("t"), k), "LEI", F.concat(F.lit("LEI"), k % 30)))
+    known = key(s, "entity_id", F.concat(F.lit("s"), k), "natural-key", F.concat(F.lit("K"), k % 40)).unionByName(key(s, "entity_id", F.concat(F.lit("t"), k), "LEI", F.concat(F.lit("LEI"), k % 70)))
     asked = key(c, "candidate", q, "NATURAL_KEY", F.concat(F.lit(" k"), q % 60)).unionByName(key(c.where("c_custkey % 2 = 0"), "candidate", q, "lei", F.concat(F.lit("lei"), q % 90)))
     return resolve.match_keys(asked, known)
 
@@ -510,11 +510,11 @@ def path_macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUT = "CASE WHEN ideal < n AND cut > cur + 600 THEN cut ELSE ideal END AS stop FROM (SELECT *, cur + length(regexp_extract(substr(text, CAST(cur + 1 AS BIGINT), CAST(ideal - cur AS BIGINT)), '(?s)^(.*)[ \n]', 1)) AS cut FROM x)"
 
 
-@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(^|\n|\r)#{{1,6}}[ \t]') AND length(text) > 0),
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n FROM (SELECT doc_id, replace(text, '#', '+') AS text FROM documents) WHERE text IS NOT NULL AND length(text) > 0),
 x AS (SELECT doc_id, text, n, 0 AS cur, least(1200, n) AS ideal FROM w UNION ALL SELECT doc_id, text, n, following, least(following + 1200, n) FROM (SELECT doc_id, text, n, stop, greatest(cur + 1, stop - 160) AS following FROM (SELECT *, {_CUT})) WHERE stop < n),
 p AS (SELECT doc_id, cur, substr(text, CAST(cur + 1 AS BIGINT), CAST(stop - cur AS BIGINT)) AS part FROM (SELECT *, {_CUT}))
 SELECT doc_id, begins, ends FROM (SELECT doc_id, CAST(cur + length(part) - length(regexp_replace(part, '^\s+', '')) AS INTEGER) AS begins, CAST(cur + length(regexp_replace(part, '\s+$', '')) AS INTEGER) AS ends FROM p) WHERE ends > begins""")
 def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that end at a break beyond their half, trimmed, of whole documents without headings: they are one section each."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text").where(r"not (text rlike '(^|\n|\r)#{1,6}[ \t]')")
+    """Windows that end at a break beyond their half, trimmed, of whole documents with their headings' marks replaced: they are one section each."""
+    d = table(spark, sf_dir, "documents", "doc_id", F.replace("text", F.lit("#"), F.lit("+")).alias("text"))
     return retrieval.chunks(d).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("begins"), F.col("ends"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -22,7 +23,7 @@ from ..plans.tables import table
 WINDOW, OVERLAP, RRF = 1200, 160, 60
 #: Distinct (search, term) pairs that are sent to the documents; beyond, documents and searches are joined by terms.
 SENT_TERMS = 1_000_000
-#: Scores held at a time, and vectors of a shard.
+#: Scores held at a time beside a task's best, and vectors of a shard.
 CELLS, SHARD_ROWS = 2_000_000, 8192
 
 
@@ -68,9 +69,9 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank``: the ``k`` best documents of each query by ``keyword_scores``, ties to the smaller id, scores above 0 alone.
 
-    The queries' terms go to the documents, whose terms lie together: nothing is shuffled by term, and a batch of documents gives on its ``k``
-    best for each query, so common terms cost no pairs. With a count of 2 or more a term is as many features (once, twice, ...), so shared terms by
-    the lesser count are sums of rows of a matrix. Where there are more than ``SENT_TERMS`` terms, or ids are no whole numbers, the join decides.
+    The queries' terms go to the documents, whose terms lie together: nothing is shuffled by term, and a task gives on its ``k`` best for each query,
+    so common terms cost no pairs. With a count of 2 or more a term is as many features (once, twice, ...), so shared terms by
+    the lesser count are sums over the queries that its features list: a sparse product, in which a document meets the queries that share a term with it. Where there are more than ``SENT_TERMS`` terms, or ids are no whole numbers, the join decides.
     """
     asked = queries.select(query_id, F.explode(fn.tokens("text")).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf")).limit(SENT_TERMS + 1)
     kinds = [docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()]
@@ -87,30 +88,37 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
     for t, n in most.items():
         first[t] = rows
         rows += n
-    at = np.array([(first[r["term"]] + i, column[r[0]]) for r in terms for i in range(r["tf"])], dtype=np.int64).reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast((first, dict(most), at, np.array(names, dtype=np.int64)))
-    block = max(1, CELLS // max(rows, 1))
+    at = np.array(sorted((first[r["term"]] + i, column[r[0]]) for r in terms for i in range(r["tf"])), dtype=np.int64).reshape(-1, 2)
+    begins = np.searchsorted(at[:, 0], np.arange(rows + 1))  # a row of queries for each feature, one after the other
+    shared = docs.sparkSession.sparkContext.broadcast((first, dict(most), begins, at[:, 1].copy(), np.array(names, dtype=np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, most, at, names = shared.value
+        first, most, begins, queries_of, names = shared.value
+        held, size = [], 0
+
+        def best() -> np.ndarray:
+            """Rows (query, id, shared, length) of the ``k`` best of each query so far."""
+            every = np.concatenate(held) if held else np.empty((0, 4), dtype=np.int64)
+            order = np.lexsort((every[:, 1], -np.floor(every[:, 2] / np.sqrt(np.maximum(every[:, 3], 1)) * 1e6 + 0.5), every[:, 0]))
+            every = every[order]
+            starts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0]])) if len(every) else np.empty(0, dtype=np.int64)
+            place = np.arange(len(every)) - np.repeat(starts, np.diff(np.append(starts, len(every))))
+            return every[place < k]
+
         for b in batches:
-            b = b.sort_values("id", kind="stable")
-            features, length = [], []
-            for text in b["body"]:
+            for name, text in zip(b["id"].tolist(), b["body"]):
                 words = re.findall(r"[^\W_]+", text.lower()) if text else []
-                length.append(len(words))
-                features.append([i for w, n in Counter(words).items() if w in first for i in range(first[w], first[w] + min(n, most[w]))])
-            root, ids = np.sqrt(np.maximum(length, 1)), b["id"].to_numpy()
-            for begin in range(0, len(names), block):  # so many queries at a time
-                mine = at[(at[:, 1] >= begin) & (at[:, 1] < begin + block)]
-                has = np.zeros((rows, min(block, len(names) - begin)), dtype=np.float32)
-                has[mine[:, 0], mine[:, 1] - begin] = 1
-                step = max(1, CELLS // has.shape[1])
-                for some in range(0, len(ids), step):
-                    both = np.stack([has[f].sum(axis=0) for f in features[some : some + step]])
-                    r, c = _best(both / root[some : some + step, None], k)
-                    found = pd.DataFrame({query_id: names[begin + c], doc_id: ids[some + r], "shared": both[r, c].astype(np.int64), "length": np.asarray(length)[some + r]})
-                    yield found[found["shared"] > 0]
+                features = np.array([i for w, n in Counter(words).items() if w in first for i in range(first[w], first[w] + min(n, most[w]))], dtype=np.int64)
+                lengths = begins[features + 1] - begins[features]
+                hits = queries_of[np.repeat(begins[features] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+                q, n = np.unique(hits, return_counts=True)
+                held.append(np.column_stack([q, np.full(len(q), name), n, np.full(len(q), len(words))]))
+                size += len(q)
+                if size > CELLS + k * len(names):
+                    held = [best()]
+                    size = len(held[0])
+        got = best()
+        yield pd.DataFrame({query_id: names[got[:, 0]], doc_id: got[:, 1], "shared": got[:, 2], "length": got[:, 3]})
 
     slim = docs.select(F.col(doc_id).alias("id"), F.col("text").alias("body"))
     found = spread(slim).mapInPandas(run, f"{query_id} {kinds[1]}, {doc_id} {kinds[0]}, shared long, length long")
@@ -132,16 +140,54 @@ def _units(x: pd.Series) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False) -> DataFrame:
-    """``query_id``, ``vec_id``, ``score`` (cosine), ``rank``: the ``k`` nearest rows (``vec_id``, ``embedding``) of each of a stated query set (``query_id``, ``embedding``); a
-    row of the query's id only if ``own``. Ids are whole numbers, vectors of one length and not null.
+#: Numbers of the sample that cells are cut by, and its rows for a cell at least: so there are SAMPLED / (64 * length) cells at most, and their boxes are few.
+SAMPLED, CELL_SAMPLE = 4_000_000, 64
+
+
+def cut_cells(sample: np.ndarray, cells: int) -> list[tuple]:
+    """A tree of median splits of the component that varies most: nodes (component, threshold, left, right), or the number of a cell."""
+    nodes: list = []
+
+    def split(rows: np.ndarray, wanted: int) -> int:
+        at = len(nodes)
+        nodes.append(None)
+        axis = int(np.argmax(rows.var(axis=0))) if len(rows) else 0
+        if wanted > 1 and len(rows) >= 2 * CELL_SAMPLE and np.ptp(rows[:, axis]) > 0:
+            middle = float(np.median(rows[:, axis]))
+            low = rows[:, axis] < middle
+            nodes[at] = (axis, middle, split(rows[low], wanted // 2), split(rows[~low], wanted - wanted // 2))
+        else:
+            nodes[at] = len([x for x in nodes if isinstance(x, int)])
+        return at
+
+    split(sample, cells)
+    return nodes
+
+
+def cell_of(nodes: list, rows: np.ndarray) -> np.ndarray:
+    """The cell of each row."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    todo = [(0, np.arange(len(rows)))]
+    while todo:
+        at, some = todo.pop()
+        if isinstance(nodes[at], int):
+            out[some] = nodes[at]
+        elif len(some):
+            axis, middle, left, right = nodes[at]
+            low = rows[some, axis] < middle
+            todo += [(left, some[low]), (right, some[~low])]
+    return out
 
-    Rows are dealt into shards of ``SHARD_ROWS``; the queries, few beside the rows, travel to every shard. In a task a shard's rows come first and are
-    one matrix, then its queries stream past it; each gives on its ``k`` best of the shard.
-    """
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    rows = vectors.select(F.expr(f"cast(pmod(xxhash64(vec_id, 3), {shards}) as int)").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").cast("long").alias("id"), "embedding")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("id"), "embedding")
+
+def cell_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, center: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """What no product of a query (rows of ``q``, of length 1) and a row of a cell exceeds: by the cell's box, and by the ball around its middle."""
+    box = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    return np.minimum(box, q @ center.T + radius)
+
+
+def _searched(rows: DataFrame, asked: DataFrame, k: int, own: bool) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: the ``k`` best of each shard for each of its queries. ``rows``: ``shard``, ``id``, ``embedding``; ``asked``: the same of queries. In a task a shard's rows come first and are one matrix, then its
+    queries stream past it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, parts, ids, matrix = None, [], None, None
@@ -168,9 +214,87 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
                     found = pd.DataFrame({"query_id": names[c], "vec_id": ids[r], "score": score[r, c]})
                     yield found[found["score"] > -np.inf]
 
-    dealt = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
-    found = dealt.mapInPandas(run, "query_id long, vec_id long, score double")
-    return ranked(found.withColumn("score", F.round("score", 6)), "query_id", "vec_id", k)
+    both = rows.select("shard", F.lit(0).alias("asks"), "id", "embedding").unionByName(asked.select("shard", F.lit(1).alias("asks"), "id", "embedding"))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", "asks")
+    return dealt.mapInPandas(run, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
+
+
+def _sent(asked: DataFrame, bounds, subs: int, pilot: bool) -> DataFrame:
+    """Queries (``id``, ``embedding``, ``floor``) with the shards they go to: those of the cell of the highest bound, or of all other cells whose bound reaches their floor."""
+    vector = asked.schema["embedding"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            top = bounds(_units(b["embedding"]))
+            best = top.argmax(axis=1)
+            goes = np.zeros(top.shape, dtype=bool)
+            if not pilot:
+                goes = top >= np.where(b["floor"].isna(), -np.inf, b["floor"].astype(float) - 2e-6).reshape(-1, 1)  # scores are rounded to six places
+            goes[np.arange(len(b)), best] = pilot
+            q, cell = np.nonzero(goes)
+            for sub in range(subs):
+                yield pd.DataFrame({"shard": (cell * subs + sub).astype(np.int32), "id": b["id"].to_numpy()[q], "embedding": b["embedding"].to_numpy()[q]})
+
+    return asked.mapInPandas(run, f"shard int, id long, embedding {vector}")
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False, rows: int | None = None) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` (cosine), ``rank``: the ``k`` nearest rows (``vec_id``, ``embedding``) of each of a stated query set (``query_id``, ``embedding``); a
+    row of the query's id only if ``own``. Ids are whole numbers, vectors of one length and not null. ``rows``: how many there are, where that is known without computing them.
+
+    More than ``SHARD_ROWS`` rows are cut into cells by medians of a bounded sample; larger cells are dealt into shards of that size. Each query first meets the cell that may hold its
+    best, then, with its k-th score so far, the other cells whose box or ball may hold one as good: no others are sent it. Exact at any distribution; where vectors lie evenly, few cells are ruled out.
+    """
+    n = vectors.count() if rows is None else rows
+    shards = max(1, -(-n // SHARD_ROWS))
+    given = vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), "embedding")
+    if shards == 1:
+        return ranked(_searched(given.withColumn("shard", F.lit(0)), asked.withColumn("shard", F.lit(0)), k, own), "query_id", "vec_id", k)
+    given, asked = written(given, "vectors"), written(asked, "asked")
+    width = given.select(F.size("embedding")).first()
+    sample = _units(given.orderBy(F.xxhash64("id", F.lit(9))).limit(max(2 * CELL_SAMPLE, SAMPLED // max(width[0], 1))).toPandas()["embedding"]) if width else np.zeros((0, 1))
+    nodes = cut_cells(sample, shards)
+    cells = len([x for x in nodes if isinstance(x, int)])
+    subs = max(1, -(-shards // cells))
+    where = cell_of(nodes, sample)
+    center = np.array([sample[where == c].mean(axis=0) if (where == c).any() else np.zeros(sample.shape[1]) for c in range(cells)])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["cell"] = cell_of(nodes, _units(b["embedding"])).astype(np.int32)
+            yield b
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lo, hi, far = np.full(center.shape, np.inf), np.full(center.shape, -np.inf), np.full(cells, -np.inf)
+        for b in batches:
+            x, c = _units(b["embedding"]), b["cell"].to_numpy()
+            np.minimum.at(lo, c, x)
+            np.maximum.at(hi, c, x)
+            np.maximum.at(far, c, np.sqrt(((x - center[c]) ** 2).sum(axis=1)))
+        held = np.flatnonzero(far >= 0)
+        yield pd.DataFrame({"cell": held, "lo": list(lo[held]), "hi": list(hi[held]), "far": far[held]})
+
+    vector = given.schema["embedding"].dataType.simpleString()
+    placed = written(given.mapInPandas(place, f"id long, embedding {vector}, cell int"), "cells")
+    at = placed.mapInPandas(boxes, "cell long, lo array<double>, hi array<double>, far double")
+    least, most = (at.select("cell", F.posexplode(c).alias("i", "v")).groupBy("cell", "i").agg(f("v").alias("v")).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias(c)) for c, f in (("lo", F.min), ("hi", F.max)))
+    box = least.join(most, "cell").join(at.groupBy("cell").agg(F.max("far").alias("far")), "cell").orderBy("cell").collect()  # one row for each cell that holds any
+    full = np.array([r["cell"] for r in box], dtype=np.int64)
+    lo, hi, far = np.array([r["lo"] for r in box]), np.array([r["hi"] for r in box]), np.array([r["far"] for r in box])
+
+    def bounds(q: np.ndarray) -> np.ndarray:
+        out = np.full((len(q), cells), -np.inf)
+        out[:, full] = cell_bounds(q, lo, hi, center[full], far) + 1e-9
+        return out
+
+    sharded = placed.select((F.col("cell") * subs + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(subs)).cast("int")).cast("int").alias("shard"), "id", "embedding")
+    none = asked.withColumn("floor", F.lit(None).cast("double"))
+    first = written(_searched(sharded, _sent(none, bounds, subs, True), k, own), "first")
+    best = ranked(first, "query_id", "vec_id", k)
+    floors = best.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    going = written(_sent(asked.join(floors, "id", "left"), bounds, subs, False), "sent")
+    return ranked(first.unionByName(_searched(sharded, going, k, own)), "query_id", "vec_id", k)
 
 
 _VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM v),
@@ -204,15 +328,18 @@ def _text_vectors(texts: DataFrame, id_col: str) -> DataFrame:
     return v.withColumn(id_col, F.col(id_col).cast("long"))
 
 
+def _rankings(d: DataFrame, b: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` best documents of each search by keywords, and by vectors: ``item_id``, ``doc_id``, ``rank``. Texts are embedded once: how many there are is known without it."""
+    vector = vector_top(_text_vectors(d, "doc_id").withColumnRenamed("doc_id", "vec_id"), _text_vectors(b, "item_id").withColumnRenamed("item_id", "query_id"), most, own=True, rows=d.count())
+    return keyword_top(d, b, "doc_id", "item_id", most), vector.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+
+
 def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """``item_id``, ``doc_id``, ``score``, ``rank`` of the benchmark's texts as searches for ``k`` results: all candidates of the keyword and the vector ranking of all
     documents, fused by reciprocal ranks."""
     d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     most = candidate_limit(k)
-    keyword = keyword_top(d, b, "doc_id", "item_id", most)
-    vector = vector_top(_text_vectors(d, "doc_id").withColumnRenamed("doc_id", "vec_id"), _text_vectors(b, "item_id").withColumnRenamed("item_id", "query_id"), most, own=True)
-    f = fuse(keyword, vector.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), by="item_id", item="doc_id")
-    return ranked(f, "item_id", "doc_id", 2 * most)
+    return ranked(fuse(*_rankings(d, b, most), by="item_id", item="doc_id"), "item_id", "doc_id", 2 * most)
 
 
 _HYBRID = _KEYWORD + r""", tok AS (SELECT 'd' AS kind, doc_id AS id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)
@@ -337,6 +464,32 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking_metrics(top.withColumn("relevant", F.col("label") == F.col("own")), 5)
 
 
+def strategy_metrics(rankings: dict[str, DataFrame], relevant: DataFrame, k: int) -> DataFrame:
+    """``strategy``, ``queries``, ``recall_at_k``, ``mrr`` of several rankings (``item_id``, ``doc_id``, ``rank``) against the relevant pairs (``item_id``, ``doc_id``)."""
+    out = None
+    for name, hits in rankings.items():
+        r = hits.select(F.col("item_id").alias("query_id"), "doc_id", "rank").join(relevant.select(F.col("item_id").alias("query_id"), "doc_id", F.lit(True).alias("relevant")), ["query_id", "doc_id"], "left")
+        m = ranking_metrics(r.withColumn("relevant", F.coalesce("relevant", F.lit(False))), k).withColumn("strategy", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out.select("strategy", "queries", "recall_at_k", "mrr")
+
+
+@query(_HYBRID.replace("{most}", "20").replace("{k}", "40") + _RERANK.replace("{hits}", "hits") + """, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+rs AS (SELECT 'ftsOnly' AS strategy, item_id, doc_id, rank FROM top WHERE rank <= 5 UNION ALL SELECT 'vectorOnly', item_id, doc_id, rank FROM near WHERE rank <= 5 UNION ALL SELECT 'hybridRrf', item_id, doc_id, rank FROM hits WHERE rank <= 5 UNION ALL SELECT 'hybridReranked', item_id, doc_id, rank FROM final),
+f AS (SELECT strategy, rs.item_id AS item_id, min(CASE WHEN rel.doc_id IS NOT NULL THEN rank END) AS r FROM rs LEFT JOIN rel ON rel.item_id = rs.item_id AND rel.doc_id = rs.doc_id GROUP BY strategy, rs.item_id)
+SELECT strategy, count(*) AS queries, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM f GROUP BY strategy""")
+def retrieval_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords alone, vectors alone, both fused, and fused and reranked, judged by whether documents hold the benchmark text."""
+    d, b = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    keyword, vector = (written(x, "ranking") for x in _rankings(d, b, candidate_limit(5)))
+    fused = written(ranked(fuse(keyword, vector, by="item_id", item="doc_id"), "item_id", "doc_id", 2 * candidate_limit(5)), "fused")
+    every = {"ftsOnly": keyword, "vectorOnly": vector, "hybridRrf": fused, "hybridReranked": reranked(fused, b, d, heading(), 5)}
+    hits = written(functools.reduce(DataFrame.unionByName, (h.where("rank <= 5").select(F.lit(n).alias("strategy"), "item_id", "doc_id", "rank") for n, h in every.items())), "strategies")
+    texts = hits.select("item_id", "doc_id").distinct().join(b.select("item_id", F.col("text").alias("asked")), "item_id").join(d, "doc_id")
+    relevant = written(texts.where(F.contains("text", "asked")).select("item_id", "doc_id"), "relevant")
+    return strategy_metrics({n: hits.where(F.col("strategy") == n) for n in every}, relevant, 5)
+
+
 @query("SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, 'null'), coalesce(source, 'null'), coalesce(text, 'null'), 'simple', '1')) AS fingerprint FROM documents")
 def doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What makes an indexed document the same: its fields, the normaliser and its version."""

@@ -75,7 +75,8 @@ def propagate(edges: DataFrame, shocks: DataFrame, depth: int) -> DataFrame:
 
 
 def changes(trace: DataFrame, shocks: DataFrame) -> DataFrame:
-    """``branch``, ``turn``, ``entity``, ``metric``, ``change``: a shocked entity's own change (its last shock's), then what reaches it in order, held between -1 and 1 at every step."""
+    """``branch``, ``turn``, ``entity``, ``metric``, ``change``: a shocked entity's own change (its last shock's), then what reaches it in order, held between -1 and 1 at every step. An entity's steps of a
+    turn are folded in one row: as many as edges lead to it, as each fires once."""
     key = ["branch", "turn", "entity", "metric"]
     got = trace.groupBy("branch", "turn", F.col("dst").alias("entity"), "metric").agg(F.sort_array(F.collect_list(F.struct("depth", "path", "propagated"))).alias("steps"))
     own = shocks.groupBy("branch", "turn", F.col("src").alias("entity"), "metric").agg(F.max_by("change", "ord").alias("own") if "ord" in shocks.columns else F.max("change").alias("own"))
@@ -142,6 +143,13 @@ def propagate_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate(_edges(_pairs(spark, sf_dir)), _shocks(spark), 3).select("depth", "rel", "src", "dst", F.round("input", 9).alias("input"), F.round("propagated", 9).alias("propagated"))
 
 
+@query(_TOP.replace("WHERE rn <= 3", "") + " SELECT depth, rel, src, dst, round(p0, 9) AS input, round(p, 9) AS propagated FROM trace")
+def propagate_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of two shocks over three levels along all edges, however small."""
+    trace = propagate(written(dependency(_pairs(spark, sf_dir)), "edges"), _shocks(spark), 3)
+    return trace.select("depth", "rel", "src", "dst", F.round("input", 9).alias("input"), F.round("propagated", 9).alias("propagated"))
+
+
 @query(TRADE + DEPENDENCY + f""", top0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cents DESC, rel) AS rn FROM edges) WHERE rn <= 3), {_SHOCKS}, b(branch, m) AS (VALUES (1, 0), (2, 0), (3, 1)),
 alt AS (SELECT e.rel AS rel, round(least(1.0::DOUBLE, coalesce(sum(o.ratio), 0)), 6) AS alternative FROM top0 e LEFT JOIN top0 o ON o.dst = e.dst AND o.src <> e.src GROUP BY e.rel),
 top AS (SELECT branch, top0.rel AS rel, src, dst, ratio * CASE WHEN m = 1 THEN 1 - alternative ELSE 1 END AS share FROM top0 JOIN alt ON alt.rel = top0.rel, b),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import connect, graph, ingest, joins, kept, keyed, names, ontology, paths, positions, provenance, resolve, retrieval, simulate, world  # noqa: F401  they register their queries
+from .operators import connect, graph, ingest, joins, kept, keyed, names, ontology, paths, positions, provenance, resolve, retrieval, simulate, world, worlds  # noqa: F401  they register their queries
 from .plans import registry
 from .sources import given  # noqa: F401
 from .streaming import events, turns  # noqa: F401
