@@ -34,8 +34,8 @@ SAMPLE, SAMPLE_DOCS, SAMPLE_WORDS = 120, 2400, 400
 #: Words of a run that is taken from a long document; spliced chains, by languages, and the least and most words of their runs.
 RUN_WORDS = 50
 SPLICES, SPLICE_RUNS, SPLICE_WORDS = 40, 5, (3, 16)
-#: Documents of a language that have a word which its lexicon keeps, and entries of a lexicon, all languages together.
-LEXICON_DOCS, LEXICON = 2, 200_000
+#: Documents of a language that have a word which its lexicon keeps. The lexicon has all such words of its sample: half the sample's words at most.
+LEXICON_DOCS = 2
 BUCKETS = 1 << 16
 EPOCHS, RATE, DECAY = 16, 0.5, 1e-5
 STRETCH = 32
@@ -329,9 +329,10 @@ def _cores(texts: pd.Series) -> list[list[str]]:
     return [sorted({c for c in map(core, t.split()) if c}) for t in texts]
 
 
-def learn(docs: DataFrame) -> Field:
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Field:
     """The field of a bounded sample of the labelled documents outside the held-out fold: of each language those with the smallest hashes of their ids, every
-    second one for the lexicon. Every language with a labelled text is learned. Of a repeated id the first text in their order counts. Without
+    second one for the lexicon. What bounds the sample are ``sample`` documents of a language for the field and as many for the lexicon, ``sample_docs`` of all languages, and ``sample_words``
+    words of a document: the rest of a longer labelled text teaches nothing. Every language with a labelled text is learned. Of a repeated id the first text in their order counts. Without
     labelled text every prediction is ``und``. A document without white space counts as one word, whatever its length."""
     common.bound_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~common.in_fold("doc_id", FOLDS, HELD_OUT))
@@ -339,19 +340,19 @@ def learn(docs: DataFrame) -> Field:
     languages = counts.count()
     if not languages:
         return fit([], [])
-    each = max(2, min(SAMPLE, SAMPLE_DOCS // languages))
+    each = max(2, min(sample, sample_docs // languages))
     # Ids beyond the first few by hash are dropped where they are read, so a language of any size sends about twice its sample to its ranking.
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 31))
     few = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").where(F.col("place") * F.col("n").cast("double") < (4 * each + 60) * float(1 << 31))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = few.select("doc_id", "lang", "place").distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * each).drop("place")
-    if languages <= SAMPLE_DOCS:
-        chosen = F.broadcast(chosen)  # 4 * SAMPLE_DOCS ids at most
+    if languages <= sample_docs:
+        chosen = F.broadcast(chosen)  # 4 * sample_docs ids at most
     rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[_runs(t, SAMPLE_WORDS) for t in b["text"]])
+            yield b.assign(text=[_runs(t, sample_words) for t in b["text"]])
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -360,8 +361,8 @@ def learn(docs: DataFrame) -> Field:
     rows = common.written(rows.select("lang", "rank", "text").mapInPandas(cut, "lang string, rank int, text string"), "language-sample")
     words = rows.where(F.col("rank") % 2 == 0).select("lang", "text").mapInPandas(entries, "lang string, word array<string>").select("lang", F.explode("word").alias("word"))
     kept = words.groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("n") >= LEXICON_DOCS).groupBy("word").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.sum("n").alias("n"))
-    lexicon = {r["word"]: zlib.crc32("\0".join(r["langs"]).encode()) for r in kept.orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
-    taught = rows.where(F.col("rank") % 2 == 1).select("lang", "text").toPandas().sort_values(["lang", "text"])  # SAMPLE_DOCS texts of SAMPLE_WORDS words
+    lexicon = {r["word"]: zlib.crc32("\0".join(r["langs"]).encode()) for r in kept.collect()}  # a word of the sample counts twice or more
+    taught = rows.where(F.col("rank") % 2 == 1).select("lang", "text").toPandas().sort_values(["lang", "text"])  # sample_docs texts of sample_words words
     return fit(taught["text"].tolist(), taught["lang"].tolist(), lexicon)
 
 
