@@ -24,7 +24,7 @@ WINDOW, OVERLAP, RRF = 1200, 160, 60
 #: Distinct (search, term) pairs that are sent to the documents; beyond, documents and searches are joined by terms.
 SENT_TERMS = 1_000_000
 #: Scores held at a time beside a task's best, and vectors of a shard.
-CELLS, SHARD_ROWS = 2_000_000, 8192
+CELLS, SHARD_ROWS = 2_000_000, 16384
 
 
 def candidate_limit(k: int) -> int:
