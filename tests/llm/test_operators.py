@@ -453,6 +453,27 @@ def test_topk_of_every_length(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("spread, part", [(0.05, 0.5), (5.0, 1.01)])
+def test_topk_sends_queries_to_cells_that_may_hold_better_ones(spark, monkeypatch, spread, part):
+    """The rows of a brute force; of clusters, fewer pairs of queries and shards than all."""
+    monkeypatch.setattr(exact_topk, "SHARD_ROWS", 150)
+    monkeypatch.setattr(exact_topk, "ROUND_SHARDS", 4)
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(16, 12))
+    x = (centers[rng.integers(0, 16, 2400)] + spread * rng.normal(size=(2400, 12))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sent, real = [], exact_topk._sent
+    monkeypatch.setattr(exact_topk, "_sent", lambda *a: sent.append(common.written(real(*a), "sent")) or sent[-1])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk.top_k(frame, "vec_id % 40 = 0", 5).collect()}
+    w = np.floor(1024 * x.astype(float))
+    for i in range(0, 2400, 40):
+        s = w @ w[i]
+        s[i] = -np.inf
+        assert [got[i, k + 1] for k in range(5)] == [(j, int(s[j])) for j in np.lexsort((np.arange(2400), -s))[:5]]
+    shards = 60 * 16
+    assert sum(df.count() for df in sent) <= part * shards * 1.3
+
+
 # 7 toxicity
 
 

@@ -1,13 +1,15 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Candidates are dealt into shards of a bounded number of rows by a hash; each shard's KD-tree (median splits of the widest component, tight
-bounding boxes) is built once and kept as a row of a table in the shared folder. Queries travel to the shards, in rounds: in the first each
-query meets one shard, in the next ones ever more of the rest, and with a query goes the k-th score of what it has found so far. In a
-task a shard's tree comes first and its queries stream past it, so memory is a tree and a batch. A query walks the tree best first: of the
-open boxes it takes the one with the highest bound on the inner product, and stops when that bound is below its k-th score.
+Shards are cut in space: medians of a bounded sample split the rows into cells, and a cell of more than ``SHARD_ROWS`` rows is dealt into shards of that size. Each
+shard's KD-tree (median splits of the widest component, tight bounding boxes) is built once and kept as a row of a table in the shared folder. The
+cells' boxes, of which there is a bounded number, go to the queries: a query travels first to the cell of the highest bound on its inner products, then, with the k-th score
+of what it has found so far, to the next cells in the order of their bounds, in rounds, and never to a cell whose bound is below that score. In a task a shard's tree comes first
+and its queries stream past it, so memory is a tree and a batch. A query walks the tree best first: of the open boxes it takes the one with the highest
+bound on the inner product, and stops when that bound is below its k-th score. How many cells boxes rule out depends on the vectors: of clusters most, of evenly spread vectors of 64
+components hardly any, as no box bounds them well.
 
 Scores are exact: components are whole numbers, and products are taken in double precision only where they stay below 2**53, else in
-Python's integers.
+Python's integers; bounds of cells are widened by more than their rounding.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.retrieval import cell_of, cut_cells
 from . import common
 
 SCALE = 1024
 SHARD_ROWS = 8192
 LEAF = 64
-#: Shards that a query meets in the second round, and how many times as many in each round after it.
+#: Cells that a query may meet in the second round, and how many times as many in each round after it.
 ROUND_SHARDS, ROUND_GROWTH = 16, 16
+#: Lengths of vectors that are cut into cells, the most frequent ones; others are one cell. And numbers of the samples that cells are cut by, all lengths together.
+LENGTHS, SAMPLED = 64, 4_000_000
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -123,13 +129,99 @@ class Shard:
 FOUND = ["query_row", "query_id", "row", "vec_id", "score"]
 
 
+@dataclass
+class Cut:
+    """The cells of the vectors of one length: how they are cut, the shards of each, and the boxes of those that hold rows."""
+
+    nodes: list
+    subs: int
+    full: np.ndarray | None = None
+    lo: np.ndarray | None = None
+    hi: np.ndarray | None = None
+
+    @property
+    def cells(self) -> int:
+        return sum(isinstance(x, int) for x in self.nodes)
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """What no product of a query and a row of a cell exceeds, widened by rounding; of cells without rows minus infinity."""
+        out = np.full((len(q), self.cells), -np.inf)
+        most = np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
+        size = np.abs(q) @ np.maximum(np.abs(self.hi), np.abs(self.lo)).T
+        out[:, self.full] = most + size * 1e-12 * max(q.shape[1], 1) + 1
+        return out
+
+
+def _cuts(base: DataFrame, sizes: DataFrame) -> dict[int, Cut]:
+    """The cells of each length that has more rows than a shard."""
+    many = sizes.where("shards > 1").orderBy(F.desc("shards"), "dims").limit(LENGTHS).collect()
+    out = {}
+    for r in many:
+        rows = base.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("row", F.lit(9)), "row").select("embedding").limit(max(128, SAMPLED // (r["dims"] * len(many))))
+        nodes = cut_cells(whole(rows.toPandas()["embedding"]), r["shards"])
+        out[r["dims"]] = Cut(nodes, -(-r["shards"] // sum(isinstance(x, int) for x in nodes)))
+    return out
+
+
+def _placed(points: DataFrame, cuts: dict[int, Cut]) -> DataFrame:
+    """Rows (``dims``, ``shards``, ``row``, ``vec_id``, ``embedding``) with their ``shard``."""
+    vector = points.schema["embedding"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dims, g in b.groupby("dims", sort=False):
+                if cut := cuts.get(dims):
+                    g = g.assign(shard=cell_of(cut.nodes, whole(g["embedding"])) * cut.subs + g["shard"].to_numpy() % cut.subs)
+                yield g
+
+    hashed = points.select("dims", F.expr("pmod(xxhash64(row, 3), shards)").alias("shard"), "row", "vec_id", "embedding")
+    return hashed.mapInPandas(run, f"dims int, shard long, row long, vec_id long, embedding {vector}") if cuts else hashed
+
+
+def _boxed(trees: DataFrame, cuts: dict[int, Cut]) -> None:
+    """Give the cuts the boxes of their cells, from those of their shards: a row for each cell and component."""
+    for dims, cut in cuts.items():
+        own = trees.where(F.col("dims") == dims).select(F.expr(f"cast(shard div {cut.subs} as int)").alias("cell"), "lo", "hi")
+        sides = own.select("cell", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b")).groupBy("cell", "i").agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi")).toPandas().sort_values(["cell", "i"])
+        cut.full = np.sort(sides["cell"].unique()).astype(np.int64)
+        cut.lo, cut.hi = (sides[c].to_numpy().reshape(len(cut.full), dims) for c in ("lo", "hi"))
+
+
+def _sent(asks: DataFrame, cuts: dict[int, Cut], first: int, stop: int) -> DataFrame:
+    """Queries (``dims``, ``shards``, ``row``, ``vec_id``, ``embedding``, ``floor``) with the shards of the cells that they go to: of those from ``first`` to ``stop`` in the order of their bounds the ones whose bound reaches the floor."""
+    vector = asks.schema["embedding"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dims, g in b.groupby("dims", sort=False):
+                cut = cuts.get(dims)
+                if cut is None:
+                    if not first:
+                        n = g["shards"].to_numpy()
+                        yield g.iloc[np.repeat(np.arange(len(g)), n)].assign(shard=np.concatenate([np.arange(k) for k in n]))[COLUMNS]
+                    continue
+                bounds = cut.bounds(whole(g["embedding"]))
+                order = np.argsort(-bounds, axis=1, kind="stable")[:, first:stop]
+                top = np.take_along_axis(bounds, order, axis=1)
+                floor = g["floor"].astype(float).fillna(-np.inf).to_numpy()[:, None]
+                q, at = np.nonzero((top >= floor) & (top > -np.inf))
+                for sub in range(cut.subs):
+                    yield g.iloc[q].assign(shard=order[q, at] * cut.subs + sub)[COLUMNS]
+
+    return asks.mapInPandas(run, f"dims int, shard long, row long, vec_id long, embedding {vector}, floor double")
+
+
+COLUMNS = ["dims", "shard", "row", "vec_id", "embedding", "floor"]
+
+
 def _planted(points: DataFrame) -> DataFrame:
-    """``dims``, ``shard``, ``tree`` (bytes) of each shard."""
+    """``dims``, ``shard``, ``tree`` (bytes), ``lo`` and ``hi`` (its box) of each shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def tree(parts: list[pd.DataFrame]) -> pd.DataFrame:
             own = pd.concat(parts, ignore_index=True)
-            return pd.DataFrame({"dims": own["dims"][:1], "shard": own["shard"][:1], "tree": [pickle.dumps(Shard(own), protocol=5)]})
+            planted = Shard(own)
+            return pd.DataFrame({"dims": own["dims"][:1], "shard": own["shard"][:1], "tree": [pickle.dumps(planted, protocol=5)], "lo": [planted.tree.lo[0]], "hi": [planted.tree.hi[0]]})
 
         parts, last = [], None
         for b in batches:
@@ -143,7 +235,7 @@ def _planted(points: DataFrame) -> DataFrame:
             yield tree(parts)
 
     ordered = points.repartition("dims", "shard").sortWithinPartitions("dims", "shard", "row")
-    return ordered.select("dims", "shard", "row", "vec_id", "embedding").mapInPandas(run, "dims int, shard long, tree binary")
+    return ordered.select("dims", "shard", "row", "vec_id", "embedding").mapInPandas(run, "dims int, shard long, tree binary, lo array<double>, hi array<double>")
 
 
 def _met(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -187,23 +279,21 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10) -> DataFrame:
     base = base.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dims"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id())
     base = common.written(base, "vectors")
     sizes = common.written(base.groupBy("dims").agg(F.expr(f"cast(ceil(count(*) / {SHARD_ROWS}) as long)").alias("shards"), F.count_if("asks").alias("asked")).where("asked > 0"), "sizes")
-    most = sizes.agg(F.max("shards")).first()[0]
-    if not most:
+    if sizes.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cuts = _cuts(base, sizes)
     dealt = base.join(sizes.drop("asked"), "dims")
-    points = dealt.withColumn("shard", F.expr("pmod(xxhash64(row, 3), shards)"))
-    trees = common.written(_planted(points), "trees")
-    asks = dealt.where("asks").withColumn("pilot", F.expr("pmod(xxhash64(row, 5), shards)"))
+    trees = common.written(_planted(_placed(dealt, cuts)), "trees")
+    _boxed(trees, cuts)
+    most = max([1, *(cut.cells for cut in cuts.values())])
+    asks = dealt.where("asks").select("dims", "shards", "row", "vec_id", "embedding")
     found, first, stop = None, 0, 1
     while first < most:
-        floor = F.lit(None).cast("double").alias("floor")
-        going = asks
+        floors = asks.withColumn("floor", F.lit(None).cast("double"))
         if found is not None:
-            floors = common.again(found).groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-            going, floor = asks.join(floors, "row", "left"), F.col("floor")
-        steps = F.explode(F.expr(f"sequence({first}L, least(shards, {stop}L) - 1)")).alias("step")
-        going = going.where(f"shards > {first}").select("dims", "row", "vec_id", "embedding", floor, "pilot", "shards", steps).withColumn("shard", F.expr("(pilot + step) % shards"))
-        met = _met(trees, going, k)
+            least = common.again(found).groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+            floors = asks.join(least, "row", "left").select("dims", "shards", "row", "vec_id", "embedding", "floor")
+        met = _met(trees, _sent(floors, cuts, first, stop), k)
         found = common.written(_best(met if found is None else found.unionByName(met), k).drop("rank"), "found")
         first, stop = stop, (1 + ROUND_SHARDS if stop == 1 else stop * ROUND_GROWTH)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
