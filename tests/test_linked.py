@@ -277,3 +277,40 @@ def test_ingestion_that_stops_goes_on(spark, small, tmp_path):
         e.where(some).write.mode("append").parquet(folder)
         events.ingest_stream(events.stream(spark, folder), target, checkpoint).awaitTermination()
     assert keyed.rows(spark, target).count() == e.select("event_type", "user_id", "props").distinct().count()
+
+
+def test_written_tables_can_be_cleaned_up(spark, tmp_path, monkeypatch):
+    from tradeloom.plans import storage
+
+    (tmp_path / "mine").mkdir()
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    kept = storage.written(spark.range(5), "some")
+    assert storage.exists(spark, kept._tradeloom_path) and kept.count() == 5
+    assert storage.clean(spark) == 1 and storage.clean(spark) == 0
+    assert not storage.exists(spark, kept._tradeloom_path) and sorted(os.listdir(tmp_path)) == ["mine"]
+
+
+def test_small_tables_are_told_without_running_them(spark, tmp_path):
+    """Nothing runs to find out how large a table is, and a table beyond the bound is not dealt out."""
+    from tradeloom.plans import storage
+
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    df = spark.range(1000).mapInPandas(counted, "id long").groupBy("id").count()
+    small = storage.spread(df)
+    assert ran.value == 0
+    assert small.count() == 1000
+    path = str(tmp_path / "wide")
+    spark.range(300).select(F.expr("cast(repeat(cast(rand() as string), 2) as string)").alias("t")).write.parquet(path)
+    wide = spark.read.parquet(path)
+    old, storage.SMALL_BYTES = storage.SMALL_BYTES, 100
+    try:
+        assert "Exchange" not in storage.spread(wide)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        storage.SMALL_BYTES = old
+    assert "Exchange" in storage.spread(wide)._jdf.queryExecution().executedPlan().toString()

@@ -55,3 +55,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder or file is there, in whatever store the path names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that queries have written on their way, once no result reads them any more; returns how many. Only folders named ``tradeloom-*`` of the shared folder are touched."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in (store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "tradeloom-*")) or [])]
+    return sum(bool(store.delete(x, True)) for x in found)
