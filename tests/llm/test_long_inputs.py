@@ -59,3 +59,14 @@ def test_long_texts_with_exception_phrases_take_time_in_proportion():
     began = time.process_time()
     hit, words = lexicon.sums(["trash can " * 100_000])
     assert time.process_time() - began < 2 and hit[0] == 0 and words[0] == 200_000
+
+
+def test_languages_of_tables_with_columns_of_the_names_used_inside(spark):
+    from tradeloom.llm import language_id
+
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 5, "en" if k % 2 else "de", "a", 1, "b", 0.5) for k in range(60)] + [(None, "the", None, None, None, None, None), (61, None, "en", None, 2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id string, rank int, body string, score double")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.learn(docs)).collect()}
+    assert len(got) == 62 and got[61] == "und" and {got[k] for k in range(1, 60, 2)} == {"en"} and {got[k] for k in range(0, 60, 2)} == {"de"}
+    few = language_id.learn(docs, sample=4, sample_docs=8, sample_words=5)
+    assert language_id.predict(docs, few).where("lang_pred is null").count() == 0

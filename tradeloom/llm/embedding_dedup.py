@@ -210,7 +210,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
     Input: ``vec_id``, ``embedding``, ``label``; other columns are ignored. Rows whose id or label is null, and vectors that are null, empty,
-    zero or hold null or non-finite components, link with nothing: no links, their own component, kept (null id: component null, not
+    zero or hold null or non-finite components, link with nothing (an empty table gives an empty result): no links, their own component, kept (null id: component null, not
     kept). Equal vectors of one label are linked, whatever their ids; a repeated id is a vector of its own in the counts. Vectors of
     each length link among themselves.
     """

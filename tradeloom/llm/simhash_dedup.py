@@ -98,6 +98,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest non-null id reachable over links of fingerprints with two or fewer differing bits, the row's own
     fingerprint included; null only where no row of the component has an id. Repeated rows get equal answers; an empty table gives an empty result.
+    A text of any length is read whole, in the task that holds it.
     """
     return _found(docs, id_col, text_col).select(id_col, "fp", "component_id")
 
