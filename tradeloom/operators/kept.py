@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..plans.numbering import numbered
 from ..plans.registry import query
-from ..plans.storage import scratch
+from ..plans.storage import scratch, written
 from ..plans.tables import TRADE, pair_flows, table, trade
 from . import baseline, graph, ingest, ontology, provenance, resolve, retrieval, simulate, validation
 
@@ -518,3 +519,19 @@ def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that end at a break beyond their half, trimmed, of whole documents with their headings' marks replaced: they are one section each."""
     d = table(spark, sf_dir, "documents", "doc_id", F.replace("text", F.lit("#"), F.lit("+")).alias("text"))
     return retrieval.chunks(d).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("begins"), F.col("ends"))
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n FROM (SELECT doc_id, replace(text, '#', '+') AS text FROM documents) WHERE text IS NOT NULL AND length(text) > 0),
+x AS (SELECT doc_id, text, n, 0 AS cur, least(1200, n) AS ideal FROM w UNION ALL SELECT doc_id, text, n, following, least(following + 1200, n) FROM (SELECT doc_id, text, n, stop, greatest(cur + 1, stop - 160) AS following FROM (SELECT *, {_CUT})) WHERE stop < n),
+p AS (SELECT doc_id, cur, substr(text, CAST(cur + 1 AS BIGINT), CAST(stop - cur AS BIGINT)) AS part FROM (SELECT *, {_CUT})),
+c AS (SELECT *, row_number() OVER (ORDER BY doc_id, begins) AS id FROM (SELECT doc_id, CAST(cur + length(part) - length(regexp_replace(part, '^\s+', '')) AS INTEGER) AS begins, CAST(cur + length(regexp_replace(part, '\s+$', '')) AS INTEGER) AS ends, regexp_replace(part, '^\s+|\s+$', '', 'g') AS content FROM p) WHERE ends > begins),
+q AS (SELECT item_id, term, count(*) AS tf_q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT id, term, count(*) AS tf_d FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) AS term FROM c) GROUP BY ALL),
+n AS (SELECT id, sum(tf_d) AS length FROM d GROUP BY id), kw AS (SELECT item_id, d.id AS id, round(sum(least(tf_q, tf_d)) / sqrt(CAST(any_value(length) AS DOUBLE)), 6) AS score FROM q JOIN d ON q.term = d.term JOIN n ON n.id = d.id GROUP BY item_id, d.id),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM kw) SELECT item_id, doc_id, begins, ends, score, CAST(rank AS INTEGER) AS rank FROM top JOIN c ON c.id = top.id WHERE rank <= 10""")
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of all documents for each benchmark text: chunks are numbered in their order and searched as documents are."""
+    d = table(spark, sf_dir, "documents", "doc_id", F.replace("text", F.lit("#"), F.lit("+")).alias("text"))
+    c = written(retrieval.chunks(d).select(F.col("doc_id").cast("long").alias("doc_id"), "begins", "ends", F.col("content").alias("text")), "chunks")
+    places = written(numbered(c.select("doc_id", "begins"), ["doc_id", "begins"], "chunk"), "chunk-numbers")
+    found = retrieval.keyword_top(c.join(places, ["doc_id", "begins"]), table(spark, sf_dir, "benchmark", "item_id", "text"), "chunk", "item_id", 10)
+    return found.join(places, "chunk").join(c.select("doc_id", "begins", "ends"), ["doc_id", "begins"]).select("item_id", "doc_id", "begins", "ends", "score", "rank")
