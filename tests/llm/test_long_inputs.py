@@ -70,3 +70,24 @@ def test_languages_of_tables_with_columns_of_the_names_used_inside(spark):
     assert len(got) == 62 and got[61] == "und" and {got[k] for k in range(1, 60, 2)} == {"en"} and {got[k] for k in range(0, 60, 2)} == {"de"}
     few = language_id.learn(docs, sample=4, sample_docs=8, sample_words=5)
     assert language_id.predict(docs, few).where("lang_pred is null").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources_are_those_of_repeated_sharing(spark, seed):
+    """The running sum finds the level that sharing again and again settles at."""
+    from tradeloom.llm import mixing
+
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 1, 2, 5, 40, 1000, 10**7]) if seed else 0 for _ in range(60)]
+    units = spark.createDataFrame([(f"s{k:03d}" if k else None, n, 1) for k, n in enumerate(sizes)], "source string, size long, rows long")
+    got = {r.source: r.target for r in mixing.source_targets(units).collect()}
+    order = [*range(1, 60), 0]
+    weight = {k: (1, 2, 3)[i % 3] for i, k in enumerate(order)}
+    level, full = 0.0, -1
+    while True:
+        stops = [k for k in order if sizes[k] * 3 < weight[k] * level]
+        if len(stops) == full:
+            break
+        full, level = len(stops), (sum(sizes) - sum(3 * sizes[k] for k in stops)) / sum(weight[k] for k in order if k not in stops)
+    assert got == {f"s{k:03d}" if k else None: min(weight[k] * level, 3.0 * sizes[k]) for k in order}
+    assert mixing.source_targets(units.where("false")).count() == 0

@@ -121,15 +121,21 @@ def source_targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("within") + F.col("start")) % len(weights) + 1).cast("int"))
     numbered = per.withColumn("within", within).join(per.sparkSession.createDataFrame(starts, "part int, start long"), "part")
     ranked = common.written(numbered.select("source", "source_size", "units", weight.alias("weight")), "weights")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level, full = 0.0, -1
-    while True:  # at most once per source that stops; in practice a few times
-        stops = F.col("source_size") * cap < F.col("weight") * F.lit(level)
-        r = ranked.agg(F.count(F.when(stops, 1)).alias("full"), F.sum(F.when(stops, F.col("source_size") * cap)).alias("words"), F.sum(F.when(~stops, F.col("weight"))).alias("w")).first()
-        if r["full"] == full or not r["w"]:
-            break
-        full, level = r["full"], (total - (r["words"] or 0)) / r["w"]
-    return ranked.select("source", "source_size", "units", F.least(F.col("weight") * F.lit(float(level)), (F.col("source_size") * cap).cast("double")).alias("target"))
+    most = F.col("source_size") * cap
+    # In the order of size over weight, sources stop as long as the next one's share of what is left exceeds what it may take: a running sum, by ranges of the order.
+    ranged = common.written(ranked.select("source_size", "weight", (most / F.col("weight")).alias("ratio")).repartitionByRange("ratio").withColumn("part", F.spark_partition_id()), "ratios")
+    offsets, words, left = [], 0, 0
+    for r in ranged.groupBy("part").agg(F.sum(most).alias("words"), F.sum("weight").alias("weight")).orderBy("part").collect():  # a row per range
+        offsets.append((r["part"], words, left))
+        words, left = words + r["words"], left + r["weight"]
+    total, level = words // cap, 0.0
+    before = Window.partitionBy("part").orderBy("ratio", "source_size", "weight").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(ranged.sparkSession.createDataFrame(offsets, "part int, words_before long, weight_before long"), "part").withColumn("gone", F.col("words_before") + F.coalesce(F.sum(most).over(before), F.lit(0))).withColumn("used", F.col("weight_before") + F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    goes_on = most < F.col("weight") * ((total - F.col("gone")).cast("double") / (left - F.col("used")).cast("double"))
+    last = summed.where(~goes_on).agg(F.min(F.struct("part", "ratio", "source_size", "weight", "gone", "used")).alias("r")).first()["r"]
+    if last:
+        level = (total - last["gone"]) / (left - last["used"])
+    return ranked.select("source", "source_size", "units", F.least(F.col("weight") * F.lit(float(level)), most.cast("double")).alias("target"))
 
 
 def sized_units(docs: DataFrame) -> DataFrame:
