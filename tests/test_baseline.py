@@ -83,7 +83,8 @@ def test_faults(spark):
     assert {r["fault"] for r in validation.branch_faults(b, s, n, 3).collect()} == {"branch names must be unique", "turn is outside of the run", "duplicate shock in a turn", "shocks must reference known entities"}
     q = spark.createDataFrame([("1", "v2", "SUPPLY", "PERCENT", -0.5, 0.9), ("2", "v1", "LOVE", "ABS", 0.0, 0.1)], "id string, contract string, metric string, change_type string, change double, confidence double")
     assert {r["key"] for r in validation.scenario_faults(q, ["SUPPLY"]).collect()} == {"2"} and validation.scenario_faults(q, ["SUPPLY"]).count() == 5
-    assert validation.parameter_faults('{"apiKey": 1, "page": 2}') == ["credential parameter: apiKey"] and validation.parameter_faults('{"a": "' + "x" * 40000 + '"}') == ["parameters are too long"]
+    given = spark.createDataFrame([('{"apiKey": 1, "page": 2}',), ('{"a": "' + "x" * 40000 + '"}',), ("[1]",)], "p string")
+    assert [r[0] for r in given.select(validation.parameters_faults("p")).collect()] == [["credential parameter: apiKey"], ["parameters are too long"], ["parameters must be an object"]]
 
 
 def test_scenarios_and_answers(spark):
@@ -94,4 +95,5 @@ def test_scenarios_and_answers(spark):
     p = spark.createDataFrame([(["a", "b"], ["X"], 2, 1), (["a"], [], 0, 0), ([], [], 0, 0)], "names array<string>, types array<string>, refs int, cites int")
     assert [r[0] for r in p.select(validation.answer(F.col("names"), F.col("types"), F.col("refs"), F.col("cites"))).collect()] == ["Best path: a --X-- b. Based on 2 evidence references and 1 text citations.", "Matched a, but found no path.", "No entity of this world version matched."]
     assert p.select(validation.expanded_query(F.lit("q"), F.col("names"), F.col("types"))).first()[0] == "q a b X"
-    assert validation.canonical_hash({"b": 1, "a": [1, 2]}) == hashlib.sha256(b'{"a":[1,2],"b":1}').hexdigest()
+    r = spark.createDataFrame([((1, [1, 2]),)], "r struct<b:int,a:array<int>>")
+    assert r.select(validation.result_hash("r", r.schema["r"].dataType)).first()[0] == hashlib.sha256(b'{"a":[1,2],"b":1}').hexdigest()

@@ -160,6 +160,16 @@ def test_the_filter_tells_new_keys_without_reading_the_table(spark, tmp_path, mo
     assert sorted(r.k for r in keyed.rows(spark, path).collect()) == [*range(2000), *range(5000, 5050), 9999]
 
 
+def test_a_table_without_filters_gets_them(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    spark.range(100).select(F.col("id").alias("k"), keyed.part_of(["id"], 4).alias("key_part")).write.partitionBy("key_part").parquet(path)
+    batch = lambda ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    assert keyed.ingest(batch([5, 200]), path, ["k"], parts=4).count() == 1
+    assert keyed.ingest(batch([*range(100), 200, 201]), path, ["k"], parts=4).count() == 1
+    keyed.upsert(batch([]), path, ["k"], parts=4)
+    assert sorted(r.k for r in keyed.rows(spark, path).collect()) == [*range(100), 200, 201]
+
+
 def test_a_filter_holds_every_key_and_few_others(spark):
     held = spark.range(4000).select(F.col("id").alias("k"), F.lit(0).alias("key_part"))
     filters = written(keyed.key_filter(held, ["k"]), "filter")

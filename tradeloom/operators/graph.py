@@ -15,7 +15,8 @@ from ..plans.tables import DEPENDENCY, TRADE, dependency, pair_flows, table, tra
 def simple_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """All paths of 1 to ``depth`` edges from ``roots`` (``node``) that visit no node twice, against or along the edges: ``nodes``, ``types``, ``hops``.
 
-    ``edges``: ``type``, ``source``, ``target``. Each level is an equi-join of the open paths with the edges.
+    ``edges``: ``type``, ``source``, ``target``. Each level is an equi-join of the open paths with the edges. All paths are made: where only
+    the first are wanted, or a hub multiplies them, see ``paths.preorder_paths``.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "type").union(edges.select("target", "source", "type"))
     open_ = roots.select(F.array("node").alias("nodes"), F.array().cast("array<string>").alias("types"))

@@ -60,10 +60,11 @@ def partitions(spark: SparkSession, path: str, parts: list[int]) -> DataFrame:
 
 
 def _note(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Add the keys of ``new`` to the filters of their partitions."""
+    """Add the keys of ``new`` to the filters of their partitions. A table that has none yet, as it was written otherwise, gets them for all of its keys."""
     spark, place = new.sparkSession, f"{path}-filter"
-    fresh = key_filter(new, keys)
-    if exists(spark, place):
+    known = exists(spark, place)
+    fresh = key_filter(new if known or not exists(spark, path) else new.select("key_part", *keys).unionByName(spark.read.parquet(path).select("key_part", *keys)), keys)
+    if known:
         old = spark.read.parquet(place).where(F.col("key_part").isin(touched(new))).select(F.col("key_part"), F.col("bits").alias("old"))
         fresh = fresh.join(old, "key_part", "left").select("key_part", F.coalesce(F.zip_with("bits", "old", lambda a, b: a.bitwiseOR(b)), "bits").alias("bits"))
     replace_partition(written(fresh, "filter"), place, "key_part")
@@ -75,7 +76,8 @@ def ingest(new: DataFrame, path: str, keys: list[str], order: list[str] | None =
     spark = new.sparkSession
     batch = _one_of_each(new, keys, order or [], False).withColumn("key_part", part_of(keys, parts))
     if exists(spark, path):
-        batch = maybe_kept(batch, spark.read.parquet(f"{path}-filter"), keys)
+        filters = f"{path}-filter"
+        batch = maybe_kept(batch, spark.read.parquet(filters), keys) if exists(spark, filters) else batch.withColumn("maybe", F.lit(True))
         batch = written(batch, "batch")
         doubted = batch.where("maybe")
         known = partitions(spark, path, touched(doubted)).select("key_part", *keys)

@@ -86,7 +86,8 @@ def changes(trace: DataFrame, shocks: DataFrame) -> DataFrame:
 
 
 def states(nodes: DataFrame, changed: DataFrame, turns: int) -> DataFrame:
-    """``branch``, ``turn``, ``entity``, ``metric``, ``value``: the baseline (``entity``, ``metric``, ``value``) times 1 + change, from each turn that changes it on: a metric keeps its last shocked value when the shock is over."""
+    """``branch``, ``turn``, ``entity``, ``metric``, ``value``: the baseline (``entity``, ``metric``, ``value``) times 1 + change, from each turn that changes it on: a metric keeps its last shocked value when the shock is over.
+    Every node stands in every branch, so rows grow with nodes times branches, which the model has, and times ``turns``."""
     from pyspark.sql.window import Window
 
     branches = changed.select("branch").distinct()

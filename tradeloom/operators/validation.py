@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -16,17 +14,8 @@ QUANTITATIVE = ["TRADE_FLOW", "SUPPLIES", "DEPENDS_ON", "PRODUCES", "SHIPS_VIA"]
 _CREDENTIAL = re.compile(r"key|token|secret|password|credential|authorization", re.I)
 
 
-def parameter_faults(parameters: str) -> list[str]:
-    """Faults of a run's parameters, given as JSON: too long, no object, or a field that looks like a credential."""
-    out = ["parameters are too long"] if len(parameters.encode()) > MOST_PARAMETER_BYTES else []
-    value = json.loads(parameters)
-    if not isinstance(value, dict):
-        return [*out, "parameters must be an object"]
-    return out + [f"credential parameter: {k}" for k in value if _CREDENTIAL.search(k)]
-
-
 def parameters_faults(column: str) -> Column:
-    """The same of a column of JSON texts, as an array: too long, no object, fields of the outermost object that look like credentials."""
+    """Faults of runs' parameters, a column of JSON texts, as an array: too long, no object, fields of the outermost object that look like credentials."""
     c = F.col(column)
     keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
     named = F.transform(F.filter(keys, lambda k: k.rlike(f"(?i){_CREDENTIAL.pattern}")), lambda k: F.concat(F.lit("credential parameter: "), k))
@@ -118,11 +107,6 @@ def scenario_branches(scenarios: DataFrame) -> DataFrame:
     return scenarios.withColumn("seed", seed).select("*", three.alias("b")).select("*", "b.*").drop("b")
 
 
-def canonical_hash(value) -> str:
-    """SHA-256 of a value as JSON with sorted keys and no spaces."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-
-
 def expanded_query(question, names, types) -> Column:
     """A question with the names and edge types of the best paths, each once, cut at 2,000 characters."""
     return F.substring(F.array_join(F.array_distinct(F.concat(F.array(question), names, types)), " "), 1, 2000)
