@@ -144,6 +144,12 @@ def _units(x: pd.Series) -> np.ndarray:
 SAMPLED, CELL_SAMPLE = 4_000_000, 64
 
 
+def smallest_hashes(rows: DataFrame, key: str, n: int, wanted: int) -> DataFrame:
+    """``wanted`` of about ``n`` rows, those whose keys have the smallest hashes. Rows beyond twice as many are dropped where they are read, so that a table of any size sends few to be ranked."""
+    place = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(1 << 30))
+    return rows.where(place < F.lit(min(1.0, 2 * wanted / max(n, 1)) * (1 << 30))).orderBy(place, key).limit(wanted)
+
+
 def cut_cells(sample: np.ndarray, cells: int) -> list[tuple]:
     """A tree of median splits of the component that varies most: nodes (component, threshold, left, right), or the number of a cell."""
     nodes: list = []
@@ -253,7 +259,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
         return ranked(_searched(given.withColumn("shard", F.lit(0)), asked.withColumn("shard", F.lit(0)), k, own), "query_id", "vec_id", k)
     given, asked = written(given, "vectors"), written(asked, "asked")
     width = given.select(F.size("embedding")).first()
-    sample = _units(given.orderBy(F.xxhash64("id", F.lit(9))).limit(max(2 * CELL_SAMPLE, SAMPLED // max(width[0], 1))).toPandas()["embedding"]) if width else np.zeros((0, 1))
+    sample = _units(smallest_hashes(given, "id", n, max(2 * CELL_SAMPLE, SAMPLED // max(width[0], 1))).toPandas()["embedding"]) if width else np.zeros((0, 1))
     nodes = cut_cells(sample, shards)
     cells = len([x for x in nodes if isinstance(x, int)])
     subs = max(1, -(-shards // cells))
