@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.retrieval import cell_of, cut_cells
+from ..operators.retrieval import cell_of, cut_cells, smallest_hashes
 from . import common
 
 SCALE = 1024
@@ -157,7 +157,7 @@ def _cuts(base: DataFrame, sizes: DataFrame) -> dict[int, Cut]:
     many = sizes.where("shards > 1").orderBy(F.desc("shards"), "dims").limit(LENGTHS).collect()
     out = {}
     for r in many:
-        rows = base.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("row", F.lit(9)), "row").select("embedding").limit(max(128, SAMPLED // (r["dims"] * len(many))))
+        rows = smallest_hashes(base.where(F.col("dims") == r["dims"]), "row", r["shards"] * SHARD_ROWS, max(128, SAMPLED // (r["dims"] * len(many)))).select("embedding")
         nodes = cut_cells(whole(rows.toPandas()["embedding"]), r["shards"])
         out[r["dims"]] = Cut(nodes, -(-r["shards"] // sum(isinstance(x, int) for x in nodes)))
     return out

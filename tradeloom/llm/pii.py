@@ -260,9 +260,12 @@ def learn(found: DataFrame) -> np.ndarray:
     counts = {(r["kind"], r["votes"]): r["count"] for r in each.groupBy("kind", "votes").count().collect()}  # bounded by the combinations
     odds = reliabilities(counts)[1]
     rows = []
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "start", "stop"), F.lit(1 << 30))
     for kind in range(len(KINDS)):
-        some = each.where(F.col("kind") == kind).select("votes", "features", F.xxhash64(F.col("id").cast("string"), "start", "stop").alias("h"))
-        rows += [(r["features"], odds[kind, r["votes"]]) for r in some.orderBy("h", "votes", "features").limit(SAMPLE).collect()]
+        # Candidates beyond a few times the sample are dropped where they are read, so that a table of any size sends few to be ranked.
+        share = min(1.0, 4 * SAMPLE / max(1, sum(n for (k, _), n in counts.items() if k == kind)))
+        some = each.where((F.col("kind") == kind) & (place < F.lit(share * (1 << 30)))).select("votes", "features", place.alias("place"))
+        rows += [(r["features"], odds[kind, r["votes"]]) for r in some.orderBy("place", "votes", "features").limit(SAMPLE).collect()]
     return fit([f for f, _ in rows], [p for _, p in rows])
 
 
