@@ -37,6 +37,21 @@ def test_cells_rule_out_shards_and_no_row(spark, monkeypatch, kind):
     assert pairs < 60 * 15 * (0.7 if kind == "clusters" else 1.5)
 
 
+def test_cells_of_splits_without_rows(spark, monkeypatch):
+    """Small splits of the written tables, of which some hold no rows."""
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 300)
+    x = np.random.default_rng(4).normal(size=(900, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in retrieval.vector_top(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == plain_nearest(x, range(0, 900, 50), 3)
+
+
 def test_median_cells_hold_all_rows():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(5000, 8))

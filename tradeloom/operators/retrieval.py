@@ -279,7 +279,8 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
             np.maximum.at(hi, c, x)
             np.maximum.at(far, c, np.sqrt(((x - center[c]) ** 2).sum(axis=1)))
         held = np.flatnonzero(far >= 0)
-        yield pd.DataFrame({"cell": held, "lo": list(lo[held]), "hi": list(hi[held]), "far": far[held]})
+        if len(held):  # a split without rows has none
+            yield pd.DataFrame({"cell": held, "lo": list(lo[held]), "hi": list(hi[held]), "far": far[held]})
 
     vector = given.schema["embedding"].dataType.simpleString()
     placed = written(given.mapInPandas(place, f"id long, embedding {vector}, cell int"), "cells")
