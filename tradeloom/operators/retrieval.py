@@ -225,7 +225,11 @@ def _searched(rows: DataFrame, asked: DataFrame, k: int, own: bool) -> DataFrame
     return dealt.mapInPandas(run, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
 
 
-def _sent(asked: DataFrame, bounds, subs: int, pilot: bool) -> DataFrame:
+#: Shards of a cell have numbers from so many times the cell's.
+CELL_SHARDS = 1 << 20
+
+
+def _sent(asked: DataFrame, bounds, subs: np.ndarray, pilot: bool) -> DataFrame:
     """Queries (``id``, ``embedding``, ``floor``) with the shards they go to: those of the cell of the highest bound, or of all other cells whose bound reaches their floor."""
     vector = asked.schema["embedding"].dataType.simpleString()
 
@@ -238,10 +242,11 @@ def _sent(asked: DataFrame, bounds, subs: int, pilot: bool) -> DataFrame:
                 goes = top >= np.where(b["floor"].isna(), -np.inf, b["floor"].astype(float) - 2e-6).reshape(-1, 1)  # scores are rounded to six places
             goes[np.arange(len(b)), best] = pilot
             q, cell = np.nonzero(goes)
-            for sub in range(subs):
-                yield pd.DataFrame({"shard": (cell * subs + sub).astype(np.int32), "id": b["id"].to_numpy()[q], "embedding": b["embedding"].to_numpy()[q]})
+            for sub in range(int(subs[cell].max(initial=0))):
+                has = subs[cell] > sub
+                yield pd.DataFrame({"shard": cell[has] * CELL_SHARDS + sub, "id": b["id"].to_numpy()[q[has]], "embedding": b["embedding"].to_numpy()[q[has]]})
 
-    return asked.mapInPandas(run, f"shard int, id long, embedding {vector}")
+    return asked.mapInPandas(run, f"shard long, id long, embedding {vector}")
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False, rows: int | None = None) -> DataFrame:
@@ -262,7 +267,6 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
     sample = _units(smallest_hashes(given, "id", n, max(2 * CELL_SAMPLE, SAMPLED // max(width[0], 1))).toPandas()["embedding"]) if width else np.zeros((0, 1))
     nodes = cut_cells(sample, shards)
     cells = len([x for x in nodes if isinstance(x, int)])
-    subs = max(1, -(-shards // cells))
     where = cell_of(nodes, sample)
     center = np.array([sample[where == c].mean(axis=0) if (where == c).any() else np.zeros(sample.shape[1]) for c in range(cells)])
 
@@ -272,30 +276,35 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
             yield b
 
     def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi, far = np.full(center.shape, np.inf), np.full(center.shape, -np.inf), np.full(cells, -np.inf)
+        lo, hi, far, n = np.full(center.shape, np.inf), np.full(center.shape, -np.inf), np.full(cells, -np.inf), np.zeros(cells, dtype=np.int64)
         for b in batches:
             x, c = _units(b["embedding"]), b["cell"].to_numpy()
             np.minimum.at(lo, c, x)
             np.maximum.at(hi, c, x)
             np.maximum.at(far, c, np.sqrt(((x - center[c]) ** 2).sum(axis=1)))
+            n += np.bincount(c, minlength=cells)
         held = np.flatnonzero(far >= 0)
         if len(held):  # a split without rows has none
-            yield pd.DataFrame({"cell": held, "lo": list(lo[held]), "hi": list(hi[held]), "far": far[held]})
+            yield pd.DataFrame({"cell": held, "lo": list(lo[held]), "hi": list(hi[held]), "far": far[held], "n": n[held]})
 
     vector = given.schema["embedding"].dataType.simpleString()
     placed = written(given.mapInPandas(place, f"id long, embedding {vector}, cell int"), "cells")
-    at = placed.mapInPandas(boxes, "cell long, lo array<double>, hi array<double>, far double")
+    at = written(placed.mapInPandas(boxes, "cell long, lo array<double>, hi array<double>, far double, n long"), "boxes")
     least, most = (at.select("cell", F.posexplode(c).alias("i", "v")).groupBy("cell", "i").agg(f("v").alias("v")).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias(c)) for c, f in (("lo", F.min), ("hi", F.max)))
-    box = least.join(most, "cell").join(at.groupBy("cell").agg(F.max("far").alias("far")), "cell").orderBy("cell").collect()  # one row for each cell that holds any
+    box = least.join(most, "cell").join(at.groupBy("cell").agg(F.max("far").alias("far"), F.sum("n").alias("n")), "cell").orderBy("cell").collect()  # one row for each cell that holds any
     full = np.array([r["cell"] for r in box], dtype=np.int64)
     lo, hi, far = np.array([r["lo"] for r in box]), np.array([r["hi"] for r in box]), np.array([r["far"] for r in box])
 
+    subs = np.ones(cells, dtype=np.int64)
+    subs[full] = [-(-r["n"] // SHARD_ROWS) for r in box]  # a cell of many rows, equal ones too, is many shards
+
     def bounds(q: np.ndarray) -> np.ndarray:
         out = np.full((len(q), cells), -np.inf)
         out[:, full] = cell_bounds(q, lo, hi, center[full], far) + 1e-9
         return out
 
-    sharded = placed.select((F.col("cell") * subs + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(subs)).cast("int")).cast("int").alias("shard"), "id", "embedding")
+    parts = placed.sparkSession.createDataFrame(list(enumerate(subs.tolist())), "cell int, subs long")
+    sharded = placed.join(F.broadcast(parts), "cell").select((F.col("cell") * F.lit(CELL_SHARDS) + F.pmod(F.xxhash64("id", F.lit(3)), F.col("subs"))).alias("shard"), "id", "embedding")  # a row for each cell
     none = asked.withColumn("floor", F.lit(None).cast("double"))
     first = written(_searched(sharded, _sent(none, bounds, subs, True), k, own), "first")
     best = ranked(first, "query_id", "vec_id", k)
