@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.retrieval import cell_of, cut_cells, smallest_hashes
+from ..operators.retrieval import CELL_SHARDS, cell_of, cut_cells, smallest_hashes
 from . import common
 
 SCALE = 1024
@@ -134,7 +134,7 @@ class Cut:
     """The cells of the vectors of one length: how they are cut, the shards of each, and the boxes of those that hold rows."""
 
     nodes: list
-    subs: int
+    subs: np.ndarray | None = None
     full: np.ndarray | None = None
     lo: np.ndarray | None = None
     hi: np.ndarray | None = None
@@ -159,7 +159,21 @@ def _cuts(base: DataFrame, sizes: DataFrame) -> dict[int, Cut]:
     for r in many:
         rows = smallest_hashes(base.where(F.col("dims") == r["dims"]), "row", r["shards"] * SHARD_ROWS, max(128, SAMPLED // (r["dims"] * len(many)))).select("embedding")
         nodes = cut_cells(whole(rows.toPandas()["embedding"]), r["shards"])
-        out[r["dims"]] = Cut(nodes, -(-r["shards"] // sum(isinstance(x, int) for x in nodes)))
+        out[r["dims"]] = Cut(nodes)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dims, g in b.groupby("dims", sort=False):
+                cell, n = np.unique(cell_of(out[dims].nodes, whole(g["embedding"])), return_counts=True)
+                yield pd.DataFrame({"dims": np.full(len(cell), dims), "cell": cell, "n": n})
+
+    if out:  # a row for each cell; a cell of many rows, equal ones too, is many shards
+        held = base.where(F.col("dims").isin(list(out))).select("dims", "embedding").mapInPandas(count, "dims int, cell long, n long").groupBy("dims", "cell").agg(F.sum("n").alias("n")).collect()
+        for dims, cut in out.items():
+            cut.subs = np.ones(cut.cells, dtype=np.int64)
+            for r in held:
+                if r["dims"] == dims:
+                    cut.subs[r["cell"]] = -(-r["n"] // SHARD_ROWS)
     return out
 
 
@@ -171,17 +185,18 @@ def _placed(points: DataFrame, cuts: dict[int, Cut]) -> DataFrame:
         for b in batches:
             for dims, g in b.groupby("dims", sort=False):
                 if cut := cuts.get(dims):
-                    g = g.assign(shard=cell_of(cut.nodes, whole(g["embedding"])) * cut.subs + g["shard"].to_numpy() % cut.subs)
-                yield g
+                    cell = cell_of(cut.nodes, whole(g["embedding"]))
+                    g = g.assign(shard=cell * CELL_SHARDS + g["hash"].to_numpy() % cut.subs[cell])
+                yield g[["dims", "shard", "row", "vec_id", "embedding"]]
 
-    hashed = points.select("dims", F.expr("pmod(xxhash64(row, 3), shards)").alias("shard"), "row", "vec_id", "embedding")
-    return hashed.mapInPandas(run, f"dims int, shard long, row long, vec_id long, embedding {vector}") if cuts else hashed
+    hashed = points.select("dims", F.expr("pmod(xxhash64(row, 3), shards)").alias("shard"), F.expr(f"pmod(xxhash64(row, 3), {LONG[1]})").alias("hash"), "row", "vec_id", "embedding")
+    return hashed.mapInPandas(run, f"dims int, shard long, row long, vec_id long, embedding {vector}") if cuts else hashed.drop("hash")
 
 
 def _boxed(trees: DataFrame, cuts: dict[int, Cut]) -> None:
     """Give the cuts the boxes of their cells, from those of their shards: a row for each cell and component."""
     for dims, cut in cuts.items():
-        own = trees.where(F.col("dims") == dims).select(F.expr(f"cast(shard div {cut.subs} as int)").alias("cell"), "lo", "hi")
+        own = trees.where(F.col("dims") == dims).select(F.expr(f"cast(shard div {CELL_SHARDS} as int)").alias("cell"), "lo", "hi")
         sides = own.select("cell", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b")).groupBy("cell", "i").agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi")).toPandas().sort_values(["cell", "i"])
         cut.full = np.sort(sides["cell"].unique()).astype(np.int64)
         cut.lo, cut.hi = (sides[c].to_numpy().reshape(len(cut.full), dims) for c in ("lo", "hi"))
@@ -205,8 +220,10 @@ def _sent(asks: DataFrame, cuts: dict[int, Cut], first: int, stop: int) -> DataF
                 top = np.take_along_axis(bounds, order, axis=1)
                 floor = g["floor"].astype(float).fillna(-np.inf).to_numpy()[:, None]
                 q, at = np.nonzero((top >= floor) & (top > -np.inf))
-                for sub in range(cut.subs):
-                    yield g.iloc[q].assign(shard=order[q, at] * cut.subs + sub)[COLUMNS]
+                cell = order[q, at]
+                for sub in range(int(cut.subs[cell].max(initial=0))):
+                    has = cut.subs[cell] > sub
+                    yield g.iloc[q[has]].assign(shard=cell[has] * CELL_SHARDS + sub)[COLUMNS]
 
     return asks.mapInPandas(run, f"dims int, shard long, row long, vec_id long, embedding {vector}, floor double")
 
