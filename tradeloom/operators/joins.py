@@ -79,12 +79,18 @@ def haversine_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_similar(left: DataFrame, right: DataFrame, block: list[str], least: float) -> DataFrame:
     """Of each left name the right name of at least that similarity, if there is exactly one: ``left_id``, ``right_id``, ``score``. Both sides: ``id``, ``name``, and the columns of ``block``.
 
-    Names are only compared within a block, and only where their lengths allow the similarity.
+    Names are only compared within a block, and only where their lengths allow the similarity. Rows of equal names are one name with their number, so copies make no pairs; what is left is
+    quadratic in a block's different names. Of a row's matches those of its own id are taken off; where one other is left, it is the one of the least or of the greatest id.
     """
-    a, b = left.select(F.col("id").alias("left_id"), F.col("name").alias("a"), *block), right.select(F.col("id").alias("right_id"), F.col("name").alias("b"), *block)
     la, lb = F.length("a"), F.length("b")
-    near = a.join(b, block).where((F.col("left_id") != F.col("right_id")) & (F.least(la, lb) >= F.greatest(la, lb) * least)).withColumn("score", F.round(fn.similarity(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
-    return near.groupBy("left_id").agg(F.count("*").alias("n"), F.min("right_id").alias("right_id"), F.min("score").alias("score")).where("n = 1").select("left_id", "right_id", "score")
+    alike = lambda df: df.where(F.least(la, lb) >= F.greatest(la, lb) * least).withColumn("score", F.round(fn.similarity(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
+    asked, known = left.where("id is not null").select(F.col("id").alias("left_id"), F.col("name").alias("a"), *block), right.where("id is not null").select("id", F.col("name").alias("b"), *block)
+    names = known.groupBy("b", *block).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    near = alike(asked.select("a", *block).distinct().join(names, block)).groupBy("a", *block).agg(F.sum("n").alias("n"), F.min(F.struct(F.col("lo").alias("id"), "score")).alias("first"), F.max(F.struct(F.col("hi").alias("id"), "score")).alias("last"))
+    met = asked.join(near, ["a", *block]).groupBy("left_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    own = alike(asked.join(known.withColumnRenamed("id", "left_id"), ["left_id", *block])).groupBy("left_id").agg(F.count("*").alias("own"))
+    one = met.join(own, "left_id", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) == 1).withColumn("other", F.when(F.col("first.id") != F.col("left_id"), F.col("first")).otherwise(F.col("last")))
+    return one.select("left_id", F.col("other.id").alias("right_id"), "other.score")
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, p_brand, p_size, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS name FROM part),
