@@ -5,7 +5,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from tradeloom.operators import joins
+from tradeloom.operators import joins, resolve
 
 
 def timed(spark, seconds, f):
@@ -48,3 +48,22 @@ def test_single_similar_of_one_large_block(spark):
     n = spark.range(60000).select("id", F.lit("dark copper bolt").alias("name"), F.lit(1).alias("block"))
     n = n.union(spark.createDataFrame([(70000, "pale silver ring", 1), (70001, "pale silver rings", 1)], n.schema))
     assert sorted((r[0], r[1]) for r in timed(spark, 60, joins.single_similar(n, n, ["block"], 0.75).collect)) == [(70000, 70001), (70001, 70000)]
+
+
+def test_match_keys_by_sets(spark):
+    rng = random.Random(6)
+    keys = [(rng.choice(["LEI", "lei ", "natural-key", None]), rng.choice(["a", " A", "b", "c", None])) for _ in range(60)]
+    asked, known = ([(rng.randrange(25), rng.choice(["C", "D", None]), *rng.choice(keys)) for _ in range(70)] for _ in "ak")
+    got = resolve.match_keys(spark.createDataFrame(asked, "candidate long, entity_type string, scheme string, value string"), spark.createDataFrame(known, "entity_id long, entity_type string, scheme string, value string")).collect()
+    plain = lambda r: None if None in r[1:] else (r[1], r[2].strip().upper().replace("-", "_"), r[3].strip().lower())
+    want = []
+    for c in {r[0] for r in asked}:
+        hit = {k[0] for k in known for r in asked if r[0] == c and plain(r) and plain(r) == plain(k)}
+        want.append((c, len(hit), min(hit) if len(hit) == 1 else None, ["NEW", "MATCHED", "CONFLICT"][min(len(hit), 2)]))
+    assert sorted(map(tuple, got)) == sorted(want) and len({w[3] for w in want}) == 3
+
+
+def test_match_keys_of_one_common_key(spark):
+    asked = spark.range(40000).select(F.col("id").alias("candidate"), F.lit("C").alias("entity_type"), F.lit("LEI").alias("scheme"), F.lit("x").alias("value"))
+    got = timed(spark, 60, resolve.match_keys(asked, asked.withColumnRenamed("candidate", "entity_id")).groupBy("matches", "status").count().collect)
+    assert [tuple(r) for r in got] == [(40000, "CONFLICT", 40000)]

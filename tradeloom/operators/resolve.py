@@ -27,11 +27,23 @@ def untrusted(keys: DataFrame) -> DataFrame:
     return keys.where(~scheme(F.col("scheme")).isin(*TRUSTED))
 
 
+def _key_sets(rows: DataFrame, who: str) -> DataFrame:
+    """``who`` with ``keys``, the sorted set of its keys; those with a part missing point to nothing and are left out, so a set may be empty."""
+    parts = F.struct("entity_type", scheme("scheme").alias("scheme"), key_value("value").alias("value"))
+    whole = F.col("entity_type").isNotNull() & F.col("scheme").isNotNull() & F.col("value").isNotNull()
+    return rows.groupBy(who).agg(F.sort_array(F.collect_set(F.when(whole, parts))).alias("keys"))
+
+
 def match_keys(candidates: DataFrame, registered: DataFrame) -> DataFrame:
-    """For each candidate (``candidate``, ``entity_type``, ``scheme``, ``value``): ``matches``, the registered entities its keys point to, ``entity_id`` if that is one, and ``status`` NEW, MATCHED or CONFLICT."""
-    keyed = candidates.select("candidate", "entity_type", scheme("scheme").alias("scheme"), key_value("value").alias("value"))
-    hits = keyed.join(registered.select("entity_type", scheme("scheme").alias("scheme"), key_value("value").alias("value"), "entity_id"), ["entity_type", "scheme", "value"], "left")
-    g = hits.select("candidate", "entity_id").distinct().groupBy("candidate").agg(F.count("entity_id").alias("matches"), F.min("entity_id").alias("entity_id"))
+    """For each candidate (``candidate``, ``entity_type``, ``scheme``, ``value``): ``matches``, the registered entities its keys point to, ``entity_id`` if that is one, and ``status`` NEW, MATCHED or CONFLICT.
+
+    Candidates of the same keys are answered together, and entities of the same keys are counted together: a key that many have on both sides makes a pair for each two sets, not for each two rows.
+    """
+    asked = _key_sets(candidates, "candidate")
+    known = _key_sets(registered.where("entity_id is not null"), "entity_id").groupBy("keys").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"))
+    pairs = asked.select(F.col("keys").alias("asked")).distinct().select("asked", F.explode("asked").alias("key")).join(known.select("n", "entity_id", F.explode("keys").alias("key")), "key")
+    hits = pairs.select("asked", "n", "entity_id").distinct().groupBy("asked").agg(F.sum("n").alias("matches"), F.min("entity_id").alias("entity_id"))
+    g = asked.join(hits, F.col("keys") == F.col("asked"), "left").select("candidate", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), "entity_id")
     return g.select("candidate", "matches", F.when(F.col("matches") == 1, F.col("entity_id")).alias("entity_id"), F.when(F.col("matches") == 0, "NEW").when(F.col("matches") == 1, "MATCHED").otherwise("CONFLICT").alias("status"))
 
 
