@@ -67,3 +67,22 @@ def test_match_keys_of_one_common_key(spark):
     asked = spark.range(40000).select(F.col("id").alias("candidate"), F.lit("C").alias("entity_type"), F.lit("LEI").alias("scheme"), F.lit("x").alias("value"))
     got = timed(spark, 60, resolve.match_keys(asked, asked.withColumnRenamed("candidate", "entity_id")).groupBy("matches", "status").count().collect)
     assert [tuple(r) for r in got] == [(40000, "CONFLICT", 40000)]
+
+
+def test_match_names_among_copies(spark):
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(2, 8)))
+    asked, known = ([(rng.randrange(50), rng.choice("TU"), name()) for _ in range(80)] for _ in "ak")
+    got = resolve.match_names(spark.createDataFrame(asked, "candidate long, entity_type string, name string"), spark.createDataFrame(known, "entity_id long, entity_type string, name string"), 0.8).collect()
+    want = []
+    for c in {r[0] for r in asked}:
+        hits = [(k[0], alike(r[2], k[2])) for r in asked if r[0] == c and len(r[2]) >= 3 for k in known if k[1] == r[1] and len(k[2]) >= 3 and alike(r[2], k[2]) >= 0.8]
+        same, near = {h[0] for h in hits if h[1] == 1}, {h[0] for h in hits}
+        if len(same) == 1 or (not same and len(near) == 1):
+            want.append((c, *(same or near), max(h[1] for h in hits)))
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_match_names_of_one_common_name(spark):
+    asked = spark.range(20000).select(F.col("id").alias("candidate"), F.lit("T").alias("entity_type"), F.lit("amber glass holding of the north").alias("name"))
+    assert timed(spark, 60, resolve.match_names(asked, asked.withColumnRenamed("candidate", "entity_id")).count) == 0

@@ -61,15 +61,20 @@ def _keys(name: str, least: float, registered: bool) -> Column:
 def match_names(candidates: DataFrame, registered: DataFrame, least: float = 0.96) -> DataFrame:
     """Candidates (``candidate``, ``entity_type``, ``name``) whose name is that of one registered entity, or nearly that of just one: ``candidate``, ``entity_id``, ``score``.
 
-    Nearly equal names are met by keys that no such pair can miss (see ``_keys``), then compared. Names under three letters are skipped.
+    Nearly equal names are met by keys that no such pair can miss (see ``_keys``), then compared. Names under three letters are skipped. Each different name is met once, with the least and the
+    greatest entity that has it: these are equal where there is one entity, so copies make no pairs.
     """
     c = candidates.select("candidate", "entity_type", fn.company_name(fn.nfkc("name")).alias("a")).where(F.length("a") >= 3)
     r = registered.select("entity_id", "entity_type", fn.company_name(fn.nfkc("name")).alias("b")).where(F.length("b") >= 3)
-    left = c.withColumn("key", F.explode(_keys("a", least, False)))
-    pairs = left.join(r.withColumn("key", F.explode(_keys("b", least, True))), ["entity_type", "key"]).select("candidate", "entity_id", "a", "b").distinct()
+    names = r.groupBy("entity_type", "b").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    left = c.select("entity_type", "a").distinct().withColumn("key", F.explode(_keys("a", least, False)))
+    pairs = left.join(names.withColumn("key", F.explode(_keys("b", least, True))), ["entity_type", "key"]).select("entity_type", "a", "b", "lo", "hi").distinct()
     scored = pairs.withColumn("score", fn.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    g = scored.groupBy("candidate").agg(F.count_distinct(F.when(F.col("score") == 1, F.col("entity_id"))).alias("same"), F.count_distinct("entity_id").alias("near"), F.max_by("entity_id", "score").alias("entity_id"), F.max("score").alias("score"))
-    return g.where("same = 1 or (same = 0 and near = 1)").select("candidate", "entity_id", "score")
+    same = F.col("score") == 1
+    every = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("score").alias("score")]
+    by_name = scored.groupBy("entity_type", "a").agg(F.min(F.when(same, F.col("lo"))).alias("same_lo"), F.max(F.when(same, F.col("hi"))).alias("same_hi"), *every)
+    g = c.join(by_name, ["entity_type", "a"]).groupBy("candidate").agg(F.min("same_lo").alias("same_lo"), F.max("same_hi").alias("same_hi"), *every)
+    return g.where("same_lo = same_hi or (same_lo is null and lo = hi)").select("candidate", F.coalesce("same_lo", "lo").alias("entity_id"), "score")
 
 
 @query("""WITH k AS (SELECT 'supplier:' || s_suppkey AS entity, 'NATURAL_KEY' AS scheme, lower(trim(s_name)) AS value FROM supplier UNION ALL SELECT 'supplier:' || s_suppkey, 'STOCK_CODE', CAST(s_suppkey % 60 AS VARCHAR) FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'NATURAL_KEY', lower(trim(c_name)) FROM customer),
