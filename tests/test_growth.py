@@ -86,3 +86,26 @@ def test_match_names_among_copies(spark):
 def test_match_names_of_one_common_name(spark):
     asked = spark.range(20000).select(F.col("id").alias("candidate"), F.lit("T").alias("entity_type"), F.lit("amber glass holding of the north").alias("name"))
     assert timed(spark, 60, resolve.match_names(asked, asked.withColumnRenamed("candidate", "entity_id")).count) == 0
+
+
+def test_batches_of_pages_are_bounded_by_bytes(spark):
+    from tradeloom.sources import payloads
+
+    pages = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 200_000).cast("binary").alias("content"), F.lit(None).cast("string").alias("content_encoding"), F.lit("v").alias("source_version"), F.col("id").cast("int").alias("page_number"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = {}
+    run, plain = type(pages).mapInPandas, payloads.text
+
+    def counting(self, f, schema):
+        def each(batches):
+            return f(b for b in batches if len(b) * 200_000 <= 2 * (8 << 20) or 1 / 0)
+
+        seen["used"] = True
+        return run(self, each, schema)
+
+    type(pages).mapInPandas = counting
+    try:
+        j = payloads.json_pages(pages)
+    finally:
+        type(pages).mapInPandas = run
+    assert seen and j.count() == 300

@@ -8,11 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import scratch, shared_folder, spread, written  # noqa: F401  for the operators
-
-#: Bytes in an Arrow batch sent to a Python worker, whatever the length of its texts; a longer row is a batch of its own.
-ARROW_BYTES = 8 << 20
-
+from ..plans.storage import bound_batches, scratch, shared_folder, spread, written  # noqa: F401  for the operators
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, with only the columns asked for."""
@@ -20,11 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes. All operators set the same bound, so it does not matter which of several lazy ones was built last."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def again(df: DataFrame) -> DataFrame:
     """A table made by ``written``, read anew: for joins of a table with itself."""
     return df.sparkSession.read.schema(df.schema).parquet(df._tradeloom_path)

@@ -34,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes in an Arrow batch sent to a Python worker, whatever the length of its texts; a longer row is a batch of its own.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes. All work in Python sets the same bound, so it does not matter which of several lazy queries was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 #: Tables of fewer bytes, as the optimizer estimates them, are dealt out before work row by row in Python.
 SMALL_BYTES = 32 << 20
 

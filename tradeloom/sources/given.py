@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.storage import scratch
+from ..plans.storage import bound_batches, scratch
 from ..plans.tables import table
 from . import adapters, payloads
 
@@ -46,6 +46,7 @@ def packed(pages: DataFrame, how: str) -> DataFrame:
         for b in batches:
             yield b.assign(content=[one(c) for c in b["content"]])
 
+    bound_batches(pages.sparkSession)
     return pages.mapInPandas(run, pages.schema)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.numbering import numbered
+from ..plans.storage import bound_batches
 
 
 class PayloadError(ValueError):
@@ -93,17 +94,19 @@ def raw_rows(pages: DataFrame, kind: str) -> DataFrame:
                 if part:
                     yield pd.DataFrame(part, columns=["page_number", "source_version", "row"])
 
+    bound_batches(pages.sparkSession)
     rows = pages.select("content", "content_encoding", "source_version", "page_number").mapInPandas(run, "page_number int, source_version string, row string")
     return rows.withColumn("raw", F.from_json("row", "map<string,string>"))
 
 
 def json_pages(pages: DataFrame) -> DataFrame:
-    """Pages with their ``body`` as text; gzip is undone in a worker only where the first bytes show it."""
+    """Pages with their ``body`` as text, gzip undone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"page_number": b["page_number"], "source_version": b["source_version"], "body": [text(decoded(c, e)) for c, e in zip(b["content"], b["content_encoding"])]})
 
+    bound_batches(pages.sparkSession)
     return pages.select("content", "content_encoding", "source_version", "page_number").mapInPandas(run, "page_number int, source_version string, body string")
 
 
