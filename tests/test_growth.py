@@ -109,3 +109,20 @@ def test_batches_of_pages_are_bounded_by_bytes(spark):
     finally:
         type(pages).mapInPandas = run
     assert seen and j.count() == 300
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark, monkeypatch):
+    from tradeloom.operators import retrieval
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("x"), 200_000)).alias("text"))
+    asked = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    monkeypatch.setattr(retrieval, "spread", lambda df: df)
+    run = type(docs).mapInPandas
+
+    def counting(self, f, schema):
+        return run(self, lambda batches: f(b for b in batches if len(b) * 200_000 <= 2 * (8 << 20) or 1 / 0), schema)
+
+    monkeypatch.setattr(type(docs), "mapInPandas", counting)
+    for f, n in ((lambda: retrieval.keyword_top(docs, asked, "doc_id", "item_id", 10), 10), (lambda: retrieval.hashing_embedding(docs, "doc_id", "text"), 400), (lambda: retrieval.chunks(docs).select("doc_id").distinct(), 400)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert f().count() == n

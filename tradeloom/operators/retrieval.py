@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..plans.registry import query
-from ..plans.storage import spread, written
+from ..plans.storage import bound_batches, spread, written
 from ..plans.tables import table
 
 # The chunker's window and overlap, the fusion's constant.
@@ -24,7 +24,7 @@ WINDOW, OVERLAP, RRF = 1200, 160, 60
 #: Distinct (search, term) pairs that are sent to the documents; beyond, documents and searches are joined by terms.
 SENT_TERMS = 1_000_000
 #: Scores held at a time beside a task's best, and vectors of a shard.
-CELLS, SHARD_ROWS = 2_000_000, 16384
+CELLS, SHARD_ROWS = 500_000, 16384
 
 
 def candidate_limit(k: int) -> int:
@@ -120,6 +120,7 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
         got = best()
         yield pd.DataFrame({query_id: names[got[:, 0]], doc_id: got[:, 1], "shared": got[:, 2], "length": got[:, 3]})
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("id"), F.col("text").alias("body"))
     found = spread(slim).mapInPandas(run, f"{query_id} {kinds[1]}, {doc_id} {kinds[0]}, shared long, length long")
     return ranked(found.select(query_id, doc_id, F.round(F.col("shared") / F.sqrt(F.greatest("length", F.lit(1)).cast("double")), 6).alias("score")), query_id, doc_id, k)
@@ -209,7 +210,7 @@ def _searched(rows: DataFrame, asked: DataFrame, k: int, own: bool) -> DataFrame
                     ids, matrix = own_rows["id"].to_numpy(), _units(own_rows["embedding"]) if parts else None
                 if matrix is None:
                     continue
-                step = max(1, CELLS // len(ids))
+                step = max(1, 4 * CELLS // len(ids))
                 for first in range(0, len(g), step):
                     some = g.iloc[first : first + step]
                     score = matrix @ _units(some["embedding"]).T
@@ -258,6 +259,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
     """
     n = vectors.count() if rows is None else rows
     shards = max(1, -(-n // SHARD_ROWS))
+    bound_batches(vectors.sparkSession)
     given = vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding")
     asked = queries.select(F.col("query_id").cast("long").alias("id"), "embedding")
     if shards == 1:
@@ -566,6 +568,8 @@ def _trimmed(text: str, begin: int, end: int) -> tuple[int, int]:
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``chunk_id``, ``ordinal``, ``section`` (headings), ``begins``, ``ends``, ``content`` of every text; blank chunks have no number."""
 
+    names = ["id", "chunk_id", "ordinal", "section", "begins", "ends", "content"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -577,8 +581,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         if y > x:
                             rows.append((i, hashlib.sha256(f"{i}:{n}:{x}:{y}".encode()).hexdigest()[:32], n, path, x, y, t[x:y]))
                             n += 1
-            yield pd.DataFrame(rows, columns=["id", "chunk_id", "ordinal", "section", "begins", "ends", "content"])
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
+    bound_batches(docs.sparkSession)
     slim = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")))
     return slim.mapInPandas(run, "id string, chunk_id string, ordinal int, section array<string>, begins int, ends int, content string").withColumnRenamed("id", id_col)
 
@@ -611,5 +619,6 @@ def hashing_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 3
             yield pd.DataFrame({"id": b["id"], "embedding": out})
 
     kind = "array<double>" if digest == "md5" else "array<float>"
+    bound_batches(docs.sparkSession)
     slim = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")))
     return slim.mapInPandas(run, f"id string, embedding {kind}").withColumnRenamed("id", id_col)
