@@ -126,3 +126,22 @@ def test_batches_of_texts_are_bounded_by_bytes(spark, monkeypatch):
     for f, n in ((lambda: retrieval.keyword_top(docs, asked, "doc_id", "item_id", 10), 10), (lambda: retrieval.hashing_embedding(docs, "doc_id", "text"), 400), (lambda: retrieval.chunks(docs).select("doc_id").distinct(), 400)):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         assert f().count() == n
+
+
+def test_few_searches_go_to_the_vectors(spark, monkeypatch):
+    from tradeloom.operators import retrieval
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, [float(rng.randrange(-2, 3)) for _ in range(3)] + [0.5]) for i in range(900)], "vec_id long, embedding array<double>").repartition(5)
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 200)
+    ways = []
+    for sent in (4096, 0):
+        monkeypatch.setattr(retrieval, "SENT_VECTORS", sent)
+        ways.append([sorted(map(tuple, retrieval.nearest(rows, asked, 7, own).collect())) for own in (False, True)])
+    assert ways[0] == ways[1] and len(ways[0][0]) == 7 * 18
+    monkeypatch.setattr(retrieval, "SENT_VECTORS", 4096)
+    monkeypatch.setattr(retrieval, "CELLS", 40)  # the best so far are cut to k often
+    assert [sorted(map(tuple, retrieval.nearest(rows, asked, 7, own).collect())) for own in (False, True)] == ways[0]
+    monkeypatch.setattr(retrieval, "written", None)  # no vectors are written or dealt out
+    assert retrieval.nearest(rows, asked, 7).count() == 7 * 18

@@ -25,6 +25,8 @@ WINDOW, OVERLAP, RRF = 1200, 160, 60
 SENT_TERMS = 1_000_000
 #: Scores held at a time beside a task's best, and vectors of a shard.
 CELLS, SHARD_ROWS = 500_000, 16384
+#: Searches whose vectors are sent to all rows; beyond, rows are cut into shards.
+SENT_VECTORS = 4096
 
 
 def candidate_limit(k: int) -> int:
@@ -250,6 +252,43 @@ def _sent(asked: DataFrame, bounds, subs: np.ndarray, pilot: bool) -> DataFrame:
     return asked.mapInPandas(run, f"shard long, id long, embedding {vector}")
 
 
+def _passed(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, own: bool) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: the ``k`` best of each task's rows for each of some searches, whose vectors (rows of ``asked``, of length 1) go to the rows: no rows are moved."""
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, asked))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, asked = shared.value
+        held, size, floor = [], 0, np.full(len(ids), -np.inf)
+        step = max(1, CELLS // len(ids))
+
+        def best() -> pd.DataFrame:
+            every = pd.concat(held).sort_values(["q", "order", "vec_id"], ascending=[True, False, True])
+            return every[every.groupby("q").cumcount() < k]
+
+        for b in batches:
+            for first in range(0, len(b), step):
+                some = b.iloc[first : first + step]
+                names = some["vec_id"].to_numpy()
+                score = _units(some["embedding"]) @ asked.T
+                if not own:
+                    score[names[:, None] == ids[None, :]] = -np.inf
+                order = np.floor(score * 1e6 + 0.5)
+                r, q = np.nonzero((order >= floor) & (score > -np.inf))
+                held.append(pd.DataFrame({"q": q, "vec_id": names[r], "score": score[r, q], "order": order[r, q]}))
+                size += len(q)
+                if size > 4 * k * len(ids):
+                    held = [best()]
+                    size = len(held[0])
+                    last = held[0].groupby("q")["order"].agg(["size", "min"])
+                    floor[last.index[last["size"] == k]] = last["min"][last["size"] == k]
+        if held:
+            got = best()
+            yield pd.DataFrame({"query_id": ids[got["q"].to_numpy()], "vec_id": got["vec_id"], "score": got["score"]})
+
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+    return found.withColumn("score", F.round("score", 6))
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False, rows: int | None = None) -> DataFrame:
     """``query_id``, ``vec_id``, ``score`` (cosine), ``rank``: the ``k`` nearest rows (``vec_id``, ``embedding``) of each of a stated query set (``query_id``, ``embedding``); a
     row of the query's id only if ``own``. Ids are whole numbers, vectors of one length and not null. ``rows``: how many there are, where that is known without computing them.
@@ -315,6 +354,15 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False
     return ranked(first.unionByName(_searched(sharded, going, k, own)), "query_id", "vec_id", k)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False, rows: int | None = None) -> DataFrame:
+    """As ``vector_top``; up to ``SENT_VECTORS`` queries are sent to the rows, which then lie where they are and are computed once."""
+    bound_batches(vectors.sparkSession)
+    few = queries.select("query_id", "embedding").limit(SENT_VECTORS + 1).toPandas()
+    if 0 < len(few) <= SENT_VECTORS:
+        return ranked(_passed(vectors, few["query_id"].to_numpy(dtype=np.int64), _units(few["embedding"]), k, own), "query_id", "vec_id", k)
+    return vector_top(vectors, queries, k, own, rows)
+
+
 _VECTOR = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM v),
 vs AS (SELECT q.vec_id AS query_id, u.vec_id AS vec_id, round(list_inner_product(q.v, u.v), 6) AS score, q.label = u.label AS relevant FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 20 = 0),
 vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
@@ -347,8 +395,8 @@ def _text_vectors(texts: DataFrame, id_col: str) -> DataFrame:
 
 
 def _rankings(d: DataFrame, b: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The ``most`` best documents of each search by keywords, and by vectors: ``item_id``, ``doc_id``, ``rank``. Texts are embedded once: how many there are is known without it."""
-    vector = vector_top(_text_vectors(d, "doc_id").withColumnRenamed("doc_id", "vec_id"), _text_vectors(b, "item_id").withColumnRenamed("item_id", "query_id"), most, own=True, rows=d.count())
+    """The ``most`` best documents of each search by keywords, and by vectors: ``item_id``, ``doc_id``, ``rank``. Texts are embedded once, where they are read, if the searches can be sent to them."""
+    vector = nearest(_text_vectors(d, "doc_id").withColumnRenamed("doc_id", "vec_id"), _text_vectors(b, "item_id").withColumnRenamed("item_id", "query_id"), most, own=True, rows=d.count())
     return keyword_top(d, b, "doc_id", "item_id", most), vector.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
 
 
