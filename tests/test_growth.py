@@ -145,3 +145,25 @@ def test_few_searches_go_to_the_vectors(spark, monkeypatch):
     assert [sorted(map(tuple, retrieval.nearest(rows, asked, 7, own).collect())) for own in (False, True)] == ways[0]
     monkeypatch.setattr(retrieval, "written", None)  # no vectors are written or dealt out
     assert retrieval.nearest(rows, asked, 7).count() == 7 * 18
+
+
+def test_pages_of_filings_and_facts_are_read_once(spark, small):
+    import json
+
+    from tradeloom.sources import adapters, given
+
+    plan = given.source_sec_facts(spark, small)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 1 and plan.count("hashpartitioning") == 1, plan
+    recent = {"accessionNumber": ["n1", "n2"], "filingDate": ["2020-01-02", "202003"], "form": ["8-K"], "reportDate": [], "primaryDocument": []}
+    facts = {"us-gaap": {"A": {"label": "la", "units": {"USD": [{"val": "1,000", "end": "2020-05-06", "accn": "x"}, None, {"val": "b"}], "m2": []}}, "B": {"label": "lb", "units": {}}}, "none": {}}
+    both = {"cik": "7", "name": "N", "entityName": "E", "filings": {"recent": recent}, "facts": facts}
+    bodies = [json.dumps(both), json.dumps({"cik": "8", "facts": facts}).replace('"facts"', '"f\\u0061cts"'), '{"cik": "9", "filings": {"recent": {"accessionNumber": []}}}', '{"cik": "9", "facts": null}', "no json facts filings"]
+    pages = spark.createDataFrame([(b.encode(), None, "v", i) for i, b in enumerate(bodies)], "content binary, content_encoding string, source_version string, page_number int")
+    got = sorted((r.page_number, r.record_type, r.natural_key or "", str(r.period_start), r.value or "", r.dimensions) for r in adapters.sec(pages).collect())
+    fact = lambda page, cik, entity: [
+        (page, "SEC_XBRL_FACT", f"{cik}:us-gaap:A:USD:null:null:null:null", "None", None, entity), (page, "SEC_XBRL_FACT", f"{cik}:us-gaap:A:USD:null:null:null:null", "None", '{"text":"b"}', entity),
+        (page, "SEC_XBRL_FACT", f"{cik}:us-gaap:A:USD:x:null:2020-05-06:null", "2020-05-06", "1000", entity),
+    ]
+    assert [x[:4] for x in got] == [(0, "SEC_FILING", "7:n1", "2020-01-02"), (0, "SEC_FILING", "7:n2", "2020-03-01")] + [x[:4] for x in fact(0, "7", {}) + fact(1, "8", {})]
+    assert got[0][5] == {"cik": "7", "companyName": "N"} and got[4][5] == {"cik": "7", "entityName": "E", "label": "la"} and got[7][5] == {"cik": "8", "label": "la"} and got[4][4] == "1000"

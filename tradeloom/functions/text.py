@@ -31,7 +31,8 @@ def flexible_date(c) -> Column:
     """Dates written as yyyy, yyyyMM, yyyyMMdd or with an ISO date in front; null if they are none of these."""
     c = F.col(c) if isinstance(c, str) else c
     shaped = F.when(c.rlike(r"^\d{4}$"), F.concat(c, F.lit("-01-01"))).when(c.rlike(r"^\d{6}$"), F.concat_ws("-", c.substr(1, 4), c.substr(5, 2), F.lit("01"))).when(c.rlike(r"^\d{8}$"), F.concat_ws("-", c.substr(1, 4), c.substr(5, 2), c.substr(7, 2))).otherwise(c.substr(1, 10))
-    return F.when(shaped.rlike(r"^\d{4}-\d{2}-\d{2}$"), shaped.try_cast("date"))
+    other = F.when(shaped.rlike(r"^\d{4}-\d{2}-\d{2}$"), shaped.try_cast("date"))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.substr(1, 10).try_cast("date")).otherwise(other)
 
 
 def flexible_instant(c) -> Column:

@@ -35,12 +35,15 @@ def year_end(start: Column) -> Column:
     return F.date_sub(F.add_months(start, 12), 1)
 
 
+def json_value(v: Column) -> Column:
+    """A text as JSON: numbers with or without commas and truth values as they are, else text."""
+    bare = F.translate(v, ",", "")
+    return F.when(bare.try_cast("decimal(38,9)").isNotNull(), F.regexp_replace(bare, r"^(-?)0+(?=\d)", "$1")).when(v.isin("true", "false"), v).otherwise(F.to_json(F.struct(v.alias("text"))))
+
+
 def value_of(*names: str, of: str = "raw") -> Column:
-    """The first of a row's fields that is there, as JSON: numbers with or without commas and truth values as they are, else text."""
-    v = F.coalesce(*(F.col(of)[n] for n in names))
-    n = fn.number(v)
-    bare = F.regexp_replace(F.regexp_replace(v, ",", ""), r"^(-?)0+(?=\d)", "$1")
-    return F.when(n.isNotNull(), bare).when(v.isin("true", "false"), v).otherwise(F.to_json(F.struct(v.alias("text"))))
+    """The first of a row's fields that is there, as JSON."""
+    return json_value(F.coalesce(*(F.col(of)[n] for n in names)))
 
 
 def records(rows: DataFrame, **fields) -> DataFrame:
@@ -63,25 +66,44 @@ def _json_rows(pages: DataFrame, path: str | None) -> DataFrame:
     return p.withColumn("raw", F.explode(F.from_json(array, "array<map<string,string>>"))).withColumn("row", F.to_json("raw"))
 
 
+def _may_have(name: str) -> Column:
+    """Whether a body may have a field of this name: false only if its text lacks it, even behind an escape. Cheaper than parsing a page to find out."""
+    return F.contains("body", F.lit(name)) | F.contains("body", F.lit("\\u"))
+
+
 def sec(pages: DataFrame) -> DataFrame:
-    """Filings, whose fields stand in parallel arrays, and facts, four levels deep."""
-    p = payloads.json_pages(pages)
-    filings = p.withColumn("f", F.from_json("body", "cik string, name string, sic string, sicDescription string, tickers string, filings struct<recent:struct<accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,form:array<string>,primaryDocument:array<string>>>"))
-    r = filings.where("f.filings is not null").select("page_number", "source_version", "f", F.explode(F.arrays_zip(*(F.col(f"f.filings.recent.{c}").alias(c) for c in ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")))).alias("x"))
-    filed = fn.flexible_date(F.col("x.filingDate"))
-    a = records(
-        r, record_type="SEC_FILING", natural_key=whole_key(F.col("f.cik"), F.col("x.accessionNumber")), country_code="US", country_code_scheme=ALPHA2, classification_code=F.col("x.form"), classification_version="EDGAR", period_start=filed, period_end=filed,
-        data_version=F.col("source_version"), dimensions={"cik": F.col("f.cik"), "companyName": F.col("f.name"), "sic": F.col("f.sic"), "sicDescription": F.col("f.sicDescription"), "tickers": F.col("f.tickers")}, value=F.to_json("x"), source_record=F.to_json("x"),
+    """Filings, whose fields stand in parallel arrays, and facts, four levels deep. Pages are read once for both: each goes on twice, as its filings (``filed``) and as its facts."""
+    recent = ["accessionNumber", "filingDate", "reportDate", "form", "primaryDocument"]
+    f = F.from_json("body", f"cik string, name string, sic string, sicDescription string, tickers string, filings struct<recent:struct<{','.join(f'{c}:array<string>' for c in recent)}>>")
+    g = F.from_json("body", "cik string, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<map<string,string>>>>>>")
+    p = payloads.json_pages(pages).select("page_number", "source_version", F.when(_may_have("filings"), f).alias("f"), F.when(_may_have("facts"), g).alias("g"))
+    filed = F.col("filed")
+    p = p.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("filed")).where((filed & F.col("f.filings").isNotNull()) | (~filed & F.col("g.facts").isNotNull()))
+    x = F.arrays_zip(*(F.col(f"f.filings.recent.{c}").alias(c) for c in recent))
+    kept = ["page_number", "source_version", "filed", "f", "x", F.col("g.cik").alias("cik"), F.col("g.entityName").alias("entityName")]
+    u = p.select("*", F.posexplode_outer(F.when(filed, x)).alias("filing", "x")).where(~filed | F.col("filing").isNotNull()).select(*kept, F.explode_outer(F.when(~filed, F.col("g.facts"))).alias("taxonomy", "concepts"))
+    # Each level keeps only what the next ones need; what is used more than once becomes a column.
+    kept = [*kept[:5], "cik", "entityName", "taxonomy"]
+    u = u.select(*kept, F.explode_outer("concepts").alias("concept", "definition")).select(*kept, "concept", "definition.label", F.explode_outer("definition.units").alias("unit", "observations"))
+    kept += ["concept", "label", "unit"]
+    u = u.select(*kept, F.posexplode_outer("observations").alias("observation", "raw")).where(filed | F.col("observation").isNotNull())
+    u = u.select(*kept, "raw", pick("start").alias("start"), pick("end").alias("end"), pick("frame").alias("frame"), F.col("raw")["val"].alias("val"))
+    start, end, day = F.col("start"), F.col("end"), F.col("x.filingDate")
+    a = dict(
+        record_type="SEC_FILING", natural_key=whole_key(F.col("f.cik"), F.col("x.accessionNumber")), classification_code=F.col("x.form"), classification_version="EDGAR", period_start=fn.flexible_date(day), period_end=fn.flexible_date(day),
+        dimensions={"cik": F.col("f.cik"), "companyName": F.col("f.name"), "sic": F.col("f.sic"), "sicDescription": F.col("f.sicDescription"), "tickers": F.col("f.tickers")}, value=F.to_json("x"), source_record=F.to_json("x"),
     )
-    facts = p.withColumn("f", F.from_json("body", "cik string, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<map<string,string>>>>>>")).where("f.facts is not null")
-    u = facts.select("*", F.explode("f.facts").alias("taxonomy", "concepts")).select("*", F.explode("concepts").alias("concept", "definition")).select("*", F.explode("definition.units").alias("unit", "observations")).select("*", F.explode("observations").alias("raw"))
-    start, end = pick("start"), pick("end")
-    b = records(
-        u, record_type="SEC_XBRL_FACT", natural_key=key(F.col("f.cik"), F.col("taxonomy"), F.col("concept"), F.col("unit"), pick("accn"), start, end, pick("frame")), country_code="US", country_code_scheme=ALPHA2, classification_code=F.col("concept"), classification_version=F.col("taxonomy"),
-        currency_code=F.when(F.col("unit").rlike("^[A-Z]{3}$"), F.col("unit")), unit_code=F.col("unit"), period_start=fn.flexible_date(F.coalesce(start, end)), period_end=fn.flexible_date(end), data_version=F.col("source_version"),
-        dimensions={"cik": F.col("f.cik"), "entityName": F.col("f.entityName"), "label": F.col("definition.label"), "fiscalYear": pick("fy"), "fiscalPeriod": pick("fp"), "form": pick("form"), "filed": pick("filed"), "frame": pick("frame")}, value=value_of("val"), source_record=F.to_json("raw"),
+    b = dict(
+        record_type="SEC_XBRL_FACT", natural_key=key(F.col("cik"), F.col("taxonomy"), F.col("concept"), F.col("unit"), pick("accn"), start, end, F.col("frame")), classification_code=F.col("concept"), classification_version=F.col("taxonomy"),
+        currency_code=F.when(F.col("unit").rlike("^[A-Z]{3}$"), F.col("unit")), unit_code=F.col("unit"), period_start=fn.flexible_date(F.coalesce(start, end)), period_end=fn.flexible_date(end),
+        dimensions={"cik": F.col("cik"), "entityName": F.col("entityName"), "label": F.col("label"), "fiscalYear": pick("fy"), "fiscalPeriod": pick("fp"), "form": pick("form"), "filed": pick("filed"), "frame": F.col("frame")}, value=json_value(F.col("val")), source_record=F.to_json("raw"),
     )
-    return a.unionByName(b)
+
+    def either(a: dict, b: dict) -> dict:
+        column = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return {k: F.when(filed, column(a.get(k))).otherwise(column(b.get(k))) for k in [*a, *(k for k in b if k not in a)] if k != "dimensions"}
+
+    return records(u, country_code="US", country_code_scheme=ALPHA2, data_version=F.col("source_version"), dimensions=either(a["dimensions"], b["dimensions"]), **either(a, b))
 
 
 def opendart(pages: DataFrame) -> DataFrame:

@@ -89,8 +89,10 @@ def source_sec_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     one = F.struct(F.when(F.col("l_linenumber") % 2 == 0, day).alias("start"), day.alias("end"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("val"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("accn"), F.lit("10-Q").alias("form"))
-    by_unit = li.groupBy("l_partkey", "l_returnflag", F.when(F.col("l_linestatus") == "O", "USD").otherwise("shares").alias("u")).agg(F.collect_list(one).alias("o"))
-    by_concept = by_unit.groupBy("l_partkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("u", "o"))).alias("units"))
+    # Observations are made before the rows meet, and a part's rows meet once for all levels.
+    seen = li.select("l_partkey", "l_returnflag", F.col("l_linestatus").eqNullSafe("O").alias("usd"), one.alias("o")).repartition("l_partkey")
+    units = F.map_filter(F.create_map(F.lit("USD"), F.collect_list(F.when(F.col("usd"), F.col("o"))), F.lit("shares"), F.collect_list(F.when(~F.col("usd"), F.col("o")))), lambda _, o: F.size(o) > 0)
+    by_concept = seen.groupBy("l_partkey", "l_returnflag").agg(units.alias("units"))
     concept = F.struct(F.col("l_returnflag"), F.struct(F.concat(F.lit("L "), "l_returnflag").alias("label"), F.col("units")).alias("d"))
     by_part = by_concept.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(concept)).alias("concepts"))
     body = F.to_json(F.struct(F.col("l_partkey").alias("cik"), F.lit("P").alias("entityName"), F.create_map(F.lit("us-gaap"), F.col("concepts")).alias("facts")))
