@@ -167,3 +167,22 @@ def test_pages_of_filings_and_facts_are_read_once(spark, small):
     ]
     assert [x[:4] for x in got] == [(0, "SEC_FILING", "7:n1", "2020-01-02"), (0, "SEC_FILING", "7:n2", "2020-03-01")] + [x[:4] for x in fact(0, "7", {}) + fact(1, "8", {})]
     assert got[0][5] == {"cik": "7", "companyName": "N"} and got[4][5] == {"cik": "7", "entityName": "E", "label": "la"} and got[7][5] == {"cik": "8", "label": "la"} and got[4][4] == "1000"
+
+
+def test_a_batch_meets_only_its_own_keys_of_the_table(spark, tmp_path, monkeypatch):
+    from tradeloom.operators import keyed
+
+    path, batch = f"file://{tmp_path}/kept", lambda ids: spark.createDataFrame([(i, i % 7) for i in ids], "k long, v long")
+    assert keyed.ingest(spark.range(20_000).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("v")), path, ["k"]).count() == 20_000
+    met, run = [], type(spark.range(0)).join
+
+    def counting(self, other, on=None, how=None):
+        if how == "left_anti":
+            met.append(other.count())
+        return run(self, other, on, how)
+
+    monkeypatch.setattr(type(spark.range(0)), "join", counting)
+    assert keyed.ingest(batch(range(19_000, 21_000)), path, ["k"]).count() == 1000
+    assert met and 1000 <= met[0] < 3000
+    assert keyed.ingest(batch([1, 1, 20_999, 30_000]), path, ["k"]).count() == 1 and met[1] < 100
+    assert keyed.rows(spark, path).count() == 21_001 == keyed.rows(spark, path).distinct().count()

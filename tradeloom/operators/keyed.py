@@ -18,30 +18,32 @@ from .kept import _OLD_NEW, _versions
 
 #: Partitions of a table (choose them so that one is some hundred megabytes), bits of a partition's filter and bits that a key sets.
 PARTS, BITS, PROBES = 64, 1 << 17, 5
+#: Bits at most that all of the filters of a batch's doubted keys have: 8 MB, as they are sent to all executors.
+ASKED_BITS = 1 << 26
 
 
 def part_of(keys: list[str], parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
 
-def _places(keys: list[str]) -> Column:
+def _places(keys: list[str], bits: int = BITS) -> Column:
     """The bits that a key sets: two other hashes, stepped."""
-    first, step = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(BITS)) for seed in ("first", "step"))
-    return F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: ((first + i * (2 * step + 1)) % BITS).cast("int"))
+    first, step = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(bits)) for seed in ("first", "step"))
+    return F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: ((first + i * (2 * step + 1)) % bits).cast("int"))
 
 
-def key_filter(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``key_part``, ``bits``: the Bloom filter of the keys of each partition that ``df`` has, as ``BITS / 64`` numbers in order."""
-    set_bits = df.select("key_part", F.explode(_places(keys)).alias("p")).select("key_part", F.expr("p div 64").cast("int").alias("word"), F.expr("shiftleft(1L, p % 64)").alias("bits"))
-    blank = df.select("key_part").distinct().select("key_part", F.explode(F.sequence(F.lit(0), F.lit(BITS // 64 - 1))).alias("word"), F.lit(0).cast("long").alias("bits"))
+def key_filter(df: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
+    """``key_part``, ``bits``: the Bloom filter of the keys of each partition that ``df`` has, as ``bits / 64`` numbers in order."""
+    set_bits = df.select("key_part", F.explode(_places(keys, bits)).alias("p")).select("key_part", F.expr("p div 64").cast("int").alias("word"), F.expr("shiftleft(1L, p % 64)").alias("bits"))
+    blank = df.select("key_part").distinct().select("key_part", F.explode(F.sequence(F.lit(0), F.lit(bits // 64 - 1))).alias("word"), F.lit(0).cast("long").alias("bits"))
     words = set_bits.union(blank).groupBy("key_part", "word").agg(F.bit_or("bits").alias("bits"))
     return words.groupBy("key_part").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words")).select("key_part", F.col("words.bits").alias("bits"))
 
 
-def maybe_kept(df: DataFrame, filters: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with ``maybe``: false for a key that its partition's filter rules out."""
-    there = F.forall(_places(keys), lambda p: F.getbit(F.get(F.col("bits"), F.floor(p / 64).cast("int")), p % 64) == 1)
-    return df.join(filters, "key_part", "left").withColumn("maybe", F.coalesce(there, F.lit(False))).drop("bits")
+def maybe_kept(df: DataFrame, filters: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
+    """``df`` with ``maybe``: false for a key that its partition's filter rules out. The filters, of bounded size, go to the rows."""
+    there = F.forall(_places(keys, bits), lambda p: F.getbit(F.get(F.col("bits"), F.floor(p / 64).cast("int")), p % 64) == 1)
+    return df.join(F.broadcast(filters), "key_part", "left").withColumn("maybe", F.coalesce(there, F.lit(False))).drop("bits")
 
 
 def rows(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +61,17 @@ def partitions(spark: SparkSession, path: str, parts: list[int]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("key_part").isin(parts))
 
 
+def kept_of(asked: DataFrame, path: str, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Keys of the table among which are all of ``asked`` that it has. The partitions of ``asked`` are read, and a filter of its keys rules out nearly all others where they are
+    read, so that what a batch shuffles does not grow with the table."""
+    counts = {r["key_part"]: r["count"] for r in asked.groupBy("key_part").count().collect()}
+    bits = 64
+    while bits < 16 * max(counts.values(), default=0) and 2 * bits * parts <= ASKED_BITS:
+        bits *= 2
+    known = partitions(asked.sparkSession, path, sorted(counts)).select("key_part", *keys)
+    return maybe_kept(known, key_filter(asked, keys, bits), keys, bits).where("maybe").drop("maybe")
+
+
 def _note(new: DataFrame, path: str, keys: list[str]) -> None:
     """Add the keys of ``new`` to the filters of their partitions. A table that has none yet, as it was written otherwise, gets them for all of its keys."""
     spark, place = new.sparkSession, f"{path}-filter"
@@ -72,7 +85,7 @@ def _note(new: DataFrame, path: str, keys: list[str]) -> None:
 
 def ingest(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None, parts: int = PARTS) -> DataFrame:
     """Append what the table does not have, each key once, its first row by ``order``; returns the rows appended. Keys that the filters rule out are appended
-    unseen; for the others only their partitions are read, and of these only the keys."""
+    unseen; for the others only their partitions are read, and of these only the keys, of which those that the batch has are met with it."""
     spark = new.sparkSession
     batch = _one_of_each(new, keys, order or [], False).withColumn("key_part", part_of(keys, parts))
     if exists(spark, path):
@@ -80,8 +93,7 @@ def ingest(new: DataFrame, path: str, keys: list[str], order: list[str] | None =
         batch = maybe_kept(batch, spark.read.parquet(filters), keys) if exists(spark, filters) else batch.withColumn("maybe", F.lit(True))
         batch = written(batch, "batch")
         doubted = batch.where("maybe")
-        known = partitions(spark, path, touched(doubted)).select("key_part", *keys)
-        batch = batch.where("not maybe").unionByName(doubted.join(known, ["key_part", *keys], "left_anti")).drop("maybe")
+        batch = batch.where("not maybe").unionByName(doubted.join(kept_of(doubted, path, keys, parts), ["key_part", *keys], "left_anti")).drop("maybe")
     batch = written(batch, "additions")
     if not batch.isEmpty():
         _note(batch, path, keys)
