@@ -186,3 +186,40 @@ def test_a_batch_meets_only_its_own_keys_of_the_table(spark, tmp_path, monkeypat
     assert met and 1000 <= met[0] < 3000
     assert keyed.ingest(batch([1, 1, 20_999, 30_000]), path, ["k"]).count() == 1 and met[1] < 100
     assert keyed.rows(spark, path).count() == 21_001 == keyed.rows(spark, path).distinct().count()
+
+
+def test_pages_are_files_of_one_folder(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tradeloom.plans.storage import shared_folder
+
+    rows = [(i * 7 - 30, t, None if (i + t) % 9 == 0 else f"é {i}\n{t}") for i in range(120) for t in range(i % 4 + 1)] + [(33, None, "last"), (None, 0, "no"), (None, 1, "id")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = lambda: {f for f in os.listdir(shared_folder(spark)[7:]) if f.startswith("tradeloom-pages-")}
+    before = kept()
+    got = sorted(map(tuple, entry.queries()["source_page_files"](spark, f"file://{tmp_path}").select("page_number", "body").collect()))
+    d = duckdb.connect()
+    d.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(d.execute(entry.oracle_sql()["source_page_files"]).fetchall()) and len(got) == 121
+    (folder,) = kept() - before
+    # A file for each page and nothing else: no folders to make and to list, no sums beside.
+    assert [len(x) for x in list(os.walk(f"{shared_folder(spark)[7:]}/{folder}"))[0][1:]] == [0, 121]
+
+
+def test_pages_are_the_same_in_another_store(spark, tmp_path):
+    import os
+
+    from tradeloom.sources import payloads
+
+    rows = [(k, f"{i}") for k in ["1", "10", "2", "a/b:c%", "é", None] for i in range(3)]
+    lines = spark.createDataFrame(rows, "k string, line string").coalesce(1)
+    os.mkdir(f"{tmp_path}/store")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pages.link./t", f"file://{tmp_path}/store")
+    for folder in (f"file://{tmp_path}/own", f"file://{tmp_path}/own", "viewfs://pages/t/own"):  # what is written again takes the same place
+        payloads.write_page_files(lines, folder)
+        got = sorted((r.page_number, bytes(r.content)) for r in payloads.page_files(spark, folder, "1").collect())
+        assert got == [(i, b"0\n1\n2\n") for i in range(1, 7)]
+    assert sorted(os.listdir(f"{tmp_path}/own")) == sorted(f for f in os.listdir(f"{tmp_path}/store/own") if f.startswith("k="))

@@ -231,5 +231,5 @@ def source_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a fetched page in a file of its own, numbered by the files' names and read back."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     folder = scratch(spark, "pages")
-    c.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "text").write.partitionBy("conv_id").text(folder)
+    payloads.write_page_files(c.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn")).select("conv_id", "text"), folder)
     return payloads.page_files(spark, folder, "1").select("page_number", F.decode("content", "UTF-8").alias("body"))

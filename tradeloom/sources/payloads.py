@@ -5,8 +5,12 @@ from __future__ import annotations
 import csv
 import gzip
 import io
+import itertools
 import json
+import os
 import posixpath
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.numbering import numbered
-from ..plans.storage import bound_batches
+from ..plans.storage import bound_batches, written
 
 
 class PayloadError(ValueError):
@@ -110,8 +114,54 @@ def json_pages(pages: DataFrame) -> DataFrame:
     return pages.select("content", "content_encoding", "source_version", "page_number").mapInPandas(run, "page_number int, source_version string, body string")
 
 
+# What Spark's writers put in place of a null in a file's name, and the characters that they escape there.
+NO_NAME, ESCAPED = "__HIVE_DEFAULT_PARTITION__", re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def page_name(column: str, value: str) -> str:
+    return f"{column}={ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', value)}"
+
+
+def write_page_files(lines: DataFrame, folder: str) -> None:
+    """Pages as files of ``folder``, which is new: one each, named by the first column. The second column has their lines; those of a page stand together in a partition.
+
+    In a store of local paths (a disk, or one that all machines mount) tasks write the files themselves: there Hadoop starts two processes for each file and one for each folder that it
+    makes. A file is named once it is whole, so a task that runs again puts the same in its place. In other stores Spark writes them, each in a folder named alike, so the order of names is the same.
+    """
+    spark, (column, line) = lines.sparkSession, lines.columns
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        lines.write.partitionBy(column).text(folder)
+        return
+    store.mkdirs(where)
+    path = where.toUri().getPath()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, n = (r for b in batches for r in zip(b["name"], b["line"])), 0
+        for name, page in itertools.groupby(rows, lambda r: r[0]):
+            part = f"{path}/.{uuid.uuid4().hex}"  # readers pass over names with a dot
+            try:
+                with open(part, "wb") as out:
+                    out.writelines(x + b"\n" for _, x in page)
+                os.replace(part, f"{path}/{page_name(column, name)}")
+            except BaseException:
+                if os.path.exists(part):
+                    os.remove(part)
+                raise
+            n += 1
+        yield pd.DataFrame({"pages": [n]})
+
+    bound_batches(spark)
+    named = lines.select(F.coalesce(F.col(column).cast("string"), F.lit(NO_NAME)).alias("name"), F.coalesce(line, F.lit("")).cast("binary").alias("line"))
+    named.mapInPandas(run, "pages long").agg(F.sum("pages")).collect()
+
+
 def page_files(spark: SparkSession, folder: str, version: str) -> DataFrame:
-    """Fetched pages kept as files: one page each, numbered in the order of their names. Only the names are numbered, by ranges; contents are not moved for it."""
-    f = spark.read.format("binaryFile").load(folder)
-    numbers = numbered(f.select("path"), ["path"], "page_number").withColumn("page_number", F.col("page_number").cast("int"))
-    return f.join(numbers, "path").select("content", F.lit(None).cast("string").alias("content_encoding"), F.lit(version).alias("source_version"), "page_number")
+    """Fetched pages kept as files, in ``folder`` or folders in it: one page each, numbered in the order of their names.
+
+    Files are met twice: for their names, which are numbered by ranges, and for their contents, which then get their numbers in a join.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    numbers = numbered(written(f.select("path").repartition("path"), "names"), ["path"], "page_number").withColumn("page_number", F.col("page_number").cast("int"))
+    return f.join(numbers.hint("shuffle_hash"), "path").select("content", F.lit(None).cast("string").alias("content_encoding"), F.lit(version).alias("source_version"), "page_number")
